@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkloom.functions.shipping import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
@@ -36,4 +38,5 @@ def spool(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
