@@ -4,10 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.llm import langid, simhash
+from linkloom.llm import langid, mixing, packing, pii, quality, simhash
 from linkloom.llm.common import table
 
 
+def op2_surrogates(spark, sf_dir):
+    """Every document with its personal data replaced."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_quality(spark, sf_dir):
+    """Base counts and compression verdict of every document."""
+    return quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_packing(spark, sf_dir):
+    """The place of every piece of every document."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_mixture(spark, sf_dir):
+    """What the mixture takes of every document."""
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark, sf_dir):
     """SimHash fingerprint and near-duplicate component of every document."""
     return simhash.report(table(spark, sf_dir, "documents"))
@@ -21,8 +41,14 @@ def op10_language(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_surrogates": op2_surrogates,
+    "op3_quality": op3_quality,
+    "op5_packing": op5_packing,
+    "op6_mixture": op6_mixture,
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_mixture": mixing.oracle(),
+}
