@@ -25,6 +25,7 @@ PAD = ORDER - 1
 UNDETERMINED = "und"
 ALPHABET = 2048  # characters over which the last back-off is uniform
 MIX = np.uint64(0x9E3779B97F4A7C15)
+HASHES = 1 << 40
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -272,16 +273,24 @@ def train(docs: DataFrame, bounds: TrainingBounds = TrainingBounds()) -> list[Mo
     """Models of all languages in ``docs`` (doc_id, text, lang), each fitted in one task on its bounded sample.
 
     The sample: per language the docs_per_lang texts of at most max_chars characters with the
-    smallest hash of doc_id. Ids are chosen first, on two narrow columns with the rank limited before
-    the shuffle; the texts of the chosen are then picked in a second scan.
+    smallest hash of doc_id. Ids are chosen first, among hashes below a limit that follows from the
+    language's number of texts, so that a task ranks few at any corpus size; the texts of the chosen
+    are then picked in a second scan.
     """
     usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= bounds.max_chars))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = usable.select("lang", "doc_id").withColumn("r", rank).where(F.col("r") <= bounds.docs_per_lang)
-    langs = [r["lang"] for r in ids.where("r = 1").select("lang").orderBy("lang").limit(bounds.max_langs + 1).collect()]
-    if len(langs) > bounds.max_langs:
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).limit(bounds.max_langs + 1).collect()
+    if len(counts) > bounds.max_langs:
         raise ValueError(f"more than {bounds.max_langs} languages")
-    sample = usable.join(F.broadcast(ids.select("lang", "doc_id").distinct()), ["lang", "doc_id"], "left_semi")
+    if not counts:
+        return []
+    spark = docs.sparkSession
+    # Hashes below a limit are four times what is wanted; of these the smallest are taken.
+    limits = spark.createDataFrame([(r["lang"], min(HASHES, 4 * bounds.docs_per_lang * HASHES // r["n"])) for r in counts], "lang string, below long")
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(HASHES))
+    few = usable.select("lang", "doc_id", mark.alias("mark")).join(F.broadcast(limits), "lang").where(F.col("mark") < F.col("below"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id"))
+    ids = few.withColumn("r", rank).where(F.col("r") <= bounds.docs_per_lang).select("lang", "doc_id").distinct()
+    sample = usable.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi")
 
     def fit_one(key, frame):
         import pandas as pd
