@@ -226,7 +226,7 @@ def cut_up(n: int, capacity: int) -> Iterator[tuple[int, int]]:
 def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every document of docs (doc_id, text)."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    schema = docs.select("doc_id").schema.add("piece", "int").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    schema = docs.select("doc_id").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     types = [None, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     if with_ids:
         from pyspark.sql.types import ArrayType, IntegerType
