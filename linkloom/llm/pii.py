@@ -352,7 +352,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, max_redrawn: int = 100_000)
         for batch in batches:
             yield _batch(batch, names, [shared.value] * batch.num_rows, key)
 
-    return docs.mapInArrow(run, docs.schema.add("n_entities", "integer").add("kinds", "string"))
+    return docs.mapInArrow(run, docs.select(*names).schema.add("n_entities", "integer").add("kinds", "string"))
 
 
 def _batch(batch, names: list[str], tables: list[dict], key: bytes):
@@ -387,4 +387,4 @@ def _joined(docs: DataFrame, again: DataFrame, key: bytes) -> DataFrame:
             tables = [{(x["kind"], x["form"]): x["tries"] for x in own.as_py() or ()} for own in batch.column("_redrawn")]
             yield _batch(batch, names, tables, key)
 
-    return rows.mapInArrow(run, docs.schema.add("n_entities", "integer").add("kinds", "string"))
+    return rows.mapInArrow(run, docs.select(*names).schema.add("n_entities", "integer").add("kinds", "string"))
