@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.llm import langid, mixing, packing, pii, quality, simhash
+from linkloom.llm import ann, langid, licenses, mixing, packing, pii, quality, simhash
 from linkloom.llm.common import table
 
 
+def op1_nearest(spark, sf_dir):
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY vec_id),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20"""
+
+
 def op2_surrogates(spark, sf_dir):
     """Every document with its personal data replaced."""
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -18,6 +36,11 @@ def op3_quality(spark, sf_dir):
     return quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_licenses(spark, sf_dir):
+    """Base phrases and licence labels of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark, sf_dir):
     """The place of every piece of every document."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -41,8 +64,10 @@ def op10_language(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op2_surrogates": op2_surrogates,
     "op3_quality": op3_quality,
+    "op4_licenses": op4_licenses,
     "op5_packing": op5_packing,
     "op6_mixture": op6_mixture,
     "op9_simhash": op9_simhash,
@@ -50,5 +75,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_nearest": OP1_SQL,
     "op6_mixture": mixing.oracle(),
 }
