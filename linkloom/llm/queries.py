@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.llm import ann, langid, licenses, mixing, packing, pii, quality, simhash
+from linkloom.llm import ann, langid, licenses, mixing, packing, pii, quality, simhash, urlfilter, warc
 from linkloom.llm.common import table
 
 
@@ -51,6 +51,17 @@ def op6_mixture(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op7_urls(spark, sf_dir):
+    """The rule and verdict of every page's URL."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, urlfilter.listed_urls(pages))
+
+
+def op8_revisits(spark, sf_dir):
+    """The response behind every revisit of the crawl that the pages stand for."""
+    return warc.resolve(warc.capture_log(table(spark, sf_dir, "pages")))
+
+
 def op9_simhash(spark, sf_dir):
     """SimHash fingerprint and near-duplicate component of every document."""
     return simhash.report(table(spark, sf_dir, "documents"))
@@ -70,6 +81,8 @@ QUERIES = {
     "op4_licenses": op4_licenses,
     "op5_packing": op5_packing,
     "op6_mixture": op6_mixture,
+    "op7_urls": op7_urls,
+    "op8_revisits": op8_revisits,
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
 }
@@ -77,4 +90,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_nearest": OP1_SQL,
     "op6_mixture": mixing.oracle(),
+    "op7_urls": urlfilter.oracle(),
+    "op8_revisits": warc.oracle(urlfilter.CANONICAL_SQL),
 }
