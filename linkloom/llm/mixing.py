@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from linkloom.llm.common import cut
 
 NONE = "null"
+MAX_SENT = 20_000  # leaves whose budgets are sent to all tasks; more are joined by shuffle
 
 
 @dataclass(frozen=True)
@@ -111,7 +112,10 @@ def mix(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:
     plan = plan.withColumn("epochs", full).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("supply"))
     # The order of the last epoch, in 4,096 slices.
     mark = F.md5(F.concat_ws("-", F.lit(targets.seed), "epochs", "doc_id"))
-    rows = rows.join(plan, LEAF).withColumn("_mark", mark).withColumn("_slice", F.substring("_mark", 1, 3))
+    if leaves.limit(MAX_SENT + 1).count() <= MAX_SENT:
+        plan = F.broadcast(plan)
+    # Dealt by slice, not by leaf: what follows would otherwise keep the join's distribution, and a leaf in one task.
+    rows = rows.join(plan, LEAF).withColumn("_mark", mark).withColumn("_slice", F.substring("_mark", 1, 3)).repartition(*LEAF, "_slice")
     sums = rows.groupBy(*LEAF, "_slice").agg(F.sum("n_tokens").alias("_sum"))
     earlier = Window.partitionBy(*LEAF).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*LEAF, "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
