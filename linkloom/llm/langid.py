@@ -166,7 +166,7 @@ def fit(lang: str, texts: list[str], bounds: TrainingBounds) -> Model:
 class Scorer:
     """Log-probabilities by binary search in the sorted arrays, each distinct 5-gram looked up once."""
 
-    def __init__(self, models: list[Model], cache_size: int = 400_000):
+    def __init__(self, models: list[Model], cache_size: int = 250_000):
         self.models = models
         self.cache_size = cache_size
         self.keys = np.zeros(0, np.uint64)
@@ -309,20 +309,20 @@ def train(docs: DataFrame, bounds: TrainingBounds = TrainingBounds()) -> list[Mo
     return sorted((m for m in models if len(m.gram_keys)), key=lambda m: m.lang)
 
 
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 400_000
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about CHUNK_CHARS characters, each with the place of its first."""
-    begin, run, size = 0, [], 0
-    for i, text in enumerate(texts):
-        run.append(text or "")
+def _chunks(texts) -> Iterator[list[str]]:
+    """Runs of the texts of an Arrow column, of about CHUNK_CHARS characters."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text.as_py() or "")
         size += len(run[-1])
         if size >= CHUNK_CHARS:
-            yield begin, run
-            begin, run, size = i + 1, [], 0
+            yield run
+            run, size = [], 0
     if run:
-        yield begin, run
+        yield run
 
 
 def identify(docs: DataFrame, models: list[Model], keep: list[str], z: float = 8.0) -> DataFrame:
@@ -334,9 +334,8 @@ def identify(docs: DataFrame, models: list[Model], keep: list[str], z: float = 8
     def run(batches):
         scorer = Scorer(packed.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             found: list = []
-            for _, part in _chunks(texts):
+            for part in _chunks(batch.column("text")):
                 found += judge(scorer, part, z)
             cols = [batch.column(name) for name in keep] + [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "rejected", "cross_entropy"])
