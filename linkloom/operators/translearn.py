@@ -9,6 +9,7 @@ from linkloom.functions import similarity as sim
 from linkloom.functions.folding import ascii_fold
 from linkloom.functions.translit import is_nonlatin, raw_tokens, skeleton
 from linkloom.operators.sampling import mark
+from linkloom.sources.shared import spool
 
 #: Scripts from Devanagari to Sinhala.
 NATIVE = r"[\x{0900}-\x{0DFF}]"
@@ -25,8 +26,7 @@ def learn(records: DataFrame, s1: DataFrame, truth_pairs: DataFrame, max_pairs:
     share = F.conv(F.substring(mark(seed, "entity_id"), 1, 6), 16, 10).cast("long") / F.lit(16**6)
     taken = native.where(share <= keep).orderBy(mark(seed + 1, "entity_id")).limit(max_pairs)
     taken = taken.select("entity_id", "s1_id", F.array_distinct(F.filter(raw_tokens(text()), is_nonlatin)).alias("tokens")).where(F.size("tokens") > 0)
-    # Both loops below need the sample; it is bounded by max_pairs.
-    taken = taken.persist()
+    taken = spool(taken, "translearn")
     n = taken.count()
     words = s1.join(taken.select(F.col("s1_id").alias("entity_id")).distinct(), "entity_id", "left_semi").select(F.col("entity_id").alias("s1_id"), raw_tokens(F.lower(ascii_fold(text()))).alias("w"))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))

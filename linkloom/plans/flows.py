@@ -11,6 +11,7 @@ from linkloom.functions.text import fast_records, normalized_records
 from linkloom.functions.translit import prepared
 from linkloom.operators import blocking, evaluation, models, pairs, sampling, selection, siblings, tfidf
 from linkloom.sources.io import CANDIDATE_HEADER, MATCH_HEADER, id_lists
+from linkloom.sources.shared import spool
 
 
 @dataclass(frozen=True)
@@ -105,24 +106,26 @@ def expanded(p1: DataFrame, cands: DataFrame, queries: DataFrame, s1: DataFrame)
 def two_stage(s1: DataFrame, s2: DataFrame, s3: DataFrame, truth_pairs: DataFrame, rounds: int = 20) -> DataFrame:
     """All candidates (src, q_id, s1_id, p1, p2), trained and scored on the given records.
 
-    Intermediate tables are kept for the second stage; trees fit on training queries, out of fold for p1.
+    Tables that later steps read again are written to the shared folder; trees fit on training queries, out of fold for p1.
     """
     queries = prepared_queries(s2, s3)
     parents = prepared(s1).withColumn("s1_id", F.col("entity_id"))
-    cands = featured(block(queries, parents), queries, parents).persist()
+    queries, parents = spool(queries, "queries"), spool(parents, "parents")
+    cands = spool(featured(spool(block(queries, parents), "blocked"), queries, parents), "candidates")
     number = F.regexp_extract("s1_id", "([0-9]+)$", 1).cast("long")
     own = truth_pairs.select(F.col("s1_id"), F.col("cand_id").alias("q_id"), F.lit(1).alias("label"))
     val = sampling.validation_queries(cands, number, ["src", "q_id"]).withColumn("is_val", F.lit(True))
-    key = F.col("src") * 1_000_000_000 + F.regexp_extract("q_id", "([0-9]+)$", 1).cast("long")
-    marked = cands.join(own, ["s1_id", "q_id"], "left").join(val, ["src", "q_id"], "left").fillna({"label": 0, "is_val": False}).withColumn("qhash", sampling.query_hash(key))
+    key = F.col("src").cast("long") * 1_000_000_000 + F.regexp_extract("q_id", "([0-9]+)$", 1).cast("long")
+    marked = spool(cands.join(own, ["s1_id", "q_id"], "left").join(val, ["src", "q_id"], "left").fillna({"label": 0, "is_val": False}).withColumn("qhash", sampling.query_hash(key)), "marked")
     first = ["src", *CONTEXT, *FUZZY]
     fitted = models.stage1(marked, first, rounds)
-    scored = models.stage1_probability(fitted, marked.withColumn("n_keys", F.lit(0).cast("long")))
+    scored = spool(models.stage1_probability(fitted, marked.withColumn("n_keys", F.lit(0).cast("long"))), "stage1")
     extra = expanded(scored.select("src", "q_id", "s1_id", "p1"), cands, queries, parents).join(own, ["s1_id", "q_id"], "left").join(val, ["src", "q_id"], "left").fillna({"label": 0, "is_val": False})
     extra = models.stage1_probability(fitted, extra.withColumn("qhash", sampling.query_hash(key)))
     columns = ["src", "q_id", "s1_id", "label", "is_val", "qhash", "p1", "n_keys", *CONTEXT, *FUZZY]
-    everything = scored.select(*columns).unionByName(extra.select(*columns)).dropDuplicates(["src", "q_id", "s1_id"]).persist()
-    second = siblings.sibling_features(pairs.probability_context(everything), queries)
+    everything = scored.select(*columns).unionByName(extra.select(*columns)).dropDuplicates(["src", "q_id", "s1_id"])
+    everything = spool(pairs.probability_context(everything), "everything")
+    second = spool(siblings.sibling_features(everything, queries), "stage2")
     names = list(dict.fromkeys([*first, *STAGE2]))
     model = models.tree_pipeline(names, rounds=rounds, rate=0.08).fit(second.where(~F.col("is_val")))
     return models.with_probability(model, second, "p2").select("src", "q_id", "s1_id", "p1", "p2", "label", "is_val")

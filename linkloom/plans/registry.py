@@ -10,6 +10,7 @@ from linkloom.operators import blocking, evaluation, models, pairs, sampling, se
 from linkloom.plans import entities, flows, sql
 from linkloom.plans.entities import SCORED_SQL, SOURCES_SQL, TRUTH_SQL, table
 from linkloom.sources import io
+from linkloom.sources.shared import spool
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -457,7 +458,7 @@ def key_coverage(spark, d):
 def fast_flow_matches(spark, d):
     """Boosted stumps trained on the truth, then the fast flow."""
     s1, s2, s3 = entities.sources(spark, d)
-    compared = flows.fast_pairs(s1, s2.unionByName(s3)).persist()
+    compared = spool(flows.fast_pairs(s1, s2.unionByName(s3)), "compared")
     model = flows.fit_fast_model(compared, io.truth_pairs(entities.truth(spark, d)))
     return selection.select_matches(model.score(compared).select("s1_id", "cand_id", "score"), 0.45, 0.3, 10)
 
@@ -465,7 +466,7 @@ def fast_flow_matches(spark, d):
 @query()
 def logistic_scores(spark, d):
     s1, s2, s3 = entities.sources(spark, d)
-    compared = flows.fast_pairs(s1, s2.unionByName(s3)).persist()
+    compared = spool(flows.fast_pairs(s1, s2.unionByName(s3)), "compared")
     labelled = compared.join(io.truth_pairs(entities.truth(spark, d)).withColumn("label", F.lit(1)), ["s1_id", "cand_id"], "left").fillna({"label": 0})
     x, y = models.bounded_sample(labelled, pairs.FAST_FEATURES, "label", ["s1_id", "cand_id"])
     return models.fit_logistic(x, y, pairs.FAST_FEATURES).score(compared).select("s1_id", "cand_id", "score")
@@ -531,12 +532,12 @@ _BY = {"q": "PARTITION BY src, q_id", "s": "PARTITION BY s1_id"}
 @query(f"""WITH {SCORED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY src, q_id ORDER BY score DESC, s1_id) AS rq, max(score) OVER (PARTITION BY src, q_id) AS tq, count(*) OVER (PARTITION BY src, q_id) AS nq,
   row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, src, q_id) AS rs, max(score) OVER (PARTITION BY s1_id) AS ts, count(*) OVER (PARTITION BY s1_id) AS ns, max(ncos) OVER (PARTITION BY src, q_id) AS tn, row_number() OVER (PARTITION BY src, q_id ORDER BY ncos DESC, s1_id) AS rn,
   max(acos) OVER (PARTITION BY src, q_id) AS ta, row_number() OVER (PARTITION BY src, q_id ORDER BY acos DESC, s1_id) AS ra, coalesce(nth_value(score, 2) OVER (PARTITION BY src, q_id ORDER BY score DESC, s1_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS sq FROM scored)
-SELECT src, q_id, s1_id, CAST(least(rq, 127) AS INTEGER) AS rank, round(tq - score, 9) AS gap_top, round(CASE WHEN rq = 1 THEN score - sq ELSE score - tq END, 9) AS margin, nq AS n_cand_q, round(tn - ncos, 9) AS ncos_gap, CAST(least(rn, 127) AS INTEGER) AS ncos_rank,
+SELECT src, q_id, s1_id, CAST(least(rq, 127) AS INTEGER) AS rank, round(tq - score, 9) AS gap_top, round(CASE WHEN rq = 1 THEN score - sq ELSE score - tq END, 9) + 0.0 AS margin, nq AS n_cand_q, round(tn - ncos, 9) AS ncos_gap, CAST(least(rn, 127) AS INTEGER) AS ncos_rank,
   round(ta - acos, 9) AS acos_gap, CAST(least(ra, 127) AS INTEGER) AS acos_rank, CAST(least(rs, 32000) AS INTEGER) AS rank_s1, round(ts - score, 9) AS gap_top_s1, least(ns, 32000) AS n_cand_s1, CAST(sum(CASE WHEN rq = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY s1_id) AS BIGINT) AS n_top1_s1 FROM r""")
 def competition_features(spark, d):
     df = pairs.competition(entities.scored_pairs(spark, d))
     exact = ["gap_top", "margin", "ncos_gap", "acos_gap", "gap_top_s1"]
-    return df.select("src", "q_id", "s1_id", *(F.round(c, 9).alias(c) if c in exact else F.col(c) for c in flows.CONTEXT if c not in ("ncos", "acos")))
+    return df.select("src", "q_id", "s1_id", *((F.round(c, 9) + 0.0).alias(c) if c in exact else F.col(c) for c in flows.CONTEXT if c not in ("ncos", "acos")))
 
 
 @query(f"""WITH {SCORED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY src, q_id ORDER BY p DESC, s1_id) AS rq, max(p) OVER (PARTITION BY src, q_id) AS tq, sum(p) OVER (PARTITION BY src, q_id) AS pq,
@@ -619,7 +620,7 @@ sk AS (SELECT *, coalesce({_skeleton_sql('w1')}, '') AS street FROM st),
 skeys AS (SELECT src, q_id, country || '|addr|' || a_norm AS key FROM sk WHERE length(a_norm) >= 8 UNION ALL SELECT src, q_id, country || '|name|' || n_core FROM sk WHERE length(n_core) >= 4
   UNION ALL SELECT src, q_id, country || '|skel|' || n_skel FROM sk WHERE length(n_skel) >= 4 UNION ALL SELECT src, q_id, country || '|num|' || a_first_num || '|' || street FROM sk WHERE a_first_num <> '' AND street <> ''),
 par AS (SELECT DISTINCT key, s1_id FROM skeys JOIN sure USING (src, q_id)), tell AS (SELECT key FROM par GROUP BY key HAVING count(*) <= 3)
-SELECT src, q_id, s1_id, count(*) AS n_keys FROM skeys ANTI JOIN sure USING (src, q_id) JOIN par USING (key) JOIN tell USING (key) GROUP BY ALL HAVING NOT EXISTS (SELECT 1 FROM claimed c WHERE c.src = skeys.src AND c.q_id = skeys.q_id AND c.s1_id = par.s1_id)""")
+SELECT src, q_id, s1_id, n_keys FROM (SELECT src, q_id, s1_id, count(*) AS n_keys FROM skeys ANTI JOIN sure USING (src, q_id) JOIN par USING (key) JOIN tell USING (key) GROUP BY ALL) ANTI JOIN claimed USING (src, q_id, s1_id)""")
 def sibling_expansion(spark, d):
     _, s2, s3 = entities.sources(spark, d)
     return siblings.expand(_claimed(spark, d), flows.prepared_queries(s2, s3))
@@ -644,7 +645,7 @@ def collision_resolution(spark, d):
 def two_stage_matches(spark, d):
     """Both stages of trees, expansion by siblings, and the sets of most expected F0.5."""
     s1, s2, s3 = (df.withColumn("country", text.normalize_country(F.col("country"))) for df in entities.sources(spark, d))
-    return flows.final_matches(flows.two_stage(s1, s2, s3, io.truth_pairs(entities.truth(spark, d)), rounds=5))
+    return flows.final_matches(flows.two_stage(s1, s2, s3, io.truth_pairs(entities.truth(spark, d)), rounds=4))
 
 
 # Profiles and checks.
