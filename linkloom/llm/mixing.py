@@ -127,16 +127,16 @@ def mix(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:
     """The documents themselves, each as often as it is taken whole; columns as in docs."""
-    chosen = mix(docs, targets).where("n_tokens > 0").select("doc_id", "lang", "source", "text_hash", (F.col("epochs") + (F.col("extra_tokens") == F.col("n_tokens")).cast("int")).alias("_times")).where("_times > 0")
-    key = ["doc_id", "lang", "source", "text_hash"]
-    marked = docs.withColumn("text_hash", F.xxhash64("text"))
-    firsts = marked.groupBy(*key).agg(*(F.first(c).alias(c) for c in docs.columns if c not in key))
+    times = F.col("epochs") + (F.col("extra_tokens") == F.col("n_tokens")).cast("int")
+    chosen = mix(docs, targets).where("n_tokens > 0").select("doc_id", "lang", "source", "text_hash", times.alias("times")).where("times > 0")
+    own = F.struct(*docs.columns)  # so that no name of docs meets one of ours
+    firsts = docs.select("doc_id", "lang", "source", F.xxhash64("text").alias("text_hash"), own.alias("own")).groupBy("doc_id", "lang", "source", "text_hash").agg(F.first("own").alias("own"))
     same = None
-    for c in key:
+    for c in ("doc_id", "lang", "source", "text_hash"):
         here = F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}"))
         same = here if same is None else same & here
     met = firsts.alias("d").join(chosen.alias("c"), same)
-    return met.select(*(F.col(f"d.{c}") for c in docs.columns), F.explode(F.sequence(F.lit(1), "_times")).alias("_epoch")).drop("_epoch")
+    return met.select("own", F.explode(F.sequence(F.lit(1), "times"))).select("own.*")
 
 
 def report(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:

@@ -338,10 +338,11 @@ def redraw(found: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY, max_redrawn: int = 100_000) -> DataFrame:
-    """docs with text replaced, and n_entities and kinds (sorted, comma-joined) added."""
+    """docs with text replaced, and n_entities and kinds (sorted, comma-joined) added, in place of columns so named."""
     again = redraw(entities(docs), key)
     rows = again.limit(max_redrawn + 1).collect()
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
+    docs = docs.select(*names)
     if len(rows) > max_redrawn:
         # Too many to give to every task: each document brings its own redrawn entities from a join.
         return _joined(docs, again, key)
