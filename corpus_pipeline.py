@@ -29,17 +29,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the smallest doc_id stays.
 
-    Repeated rows are one document; documents without doc_id that link to no other stay.
+    Repeated rows are one document. Of a component in which no document has a doc_id, one of each text stays.
     """
     ship(spark)
     found = simhash.near_duplicates(docs)
-    first = found.groupBy("component_id").agg(F.min("fp").alias("fp")).where("component_id IS NOT NULL")
-    keepers = first.select(F.col("component_id").alias("doc_id"))
-    kept = docs.select(*COLUMNS).join(keepers, "doc_id", "left_semi")
-    unnamed = docs.select(*COLUMNS).where("doc_id IS NULL")
+    keepers = found.where("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct()
+    kept = docs.select(*COLUMNS).join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     lone = found.where("doc_id IS NULL AND component_id IS NULL").select("fp").distinct()
-    unnamed = simhash.fingerprints(unnamed, COLUMNS).join(lone, "fp", "left_semi").select(*COLUMNS)
-    return kept.unionByName(unnamed).dropDuplicates(["doc_id", "text"])
+    unnamed = simhash.fingerprints(docs.select(*COLUMNS).where("doc_id IS NULL"), COLUMNS).join(lone, "fp", "left_semi").dropDuplicates(["text"])
+    return kept.select(*COLUMNS).unionByName(unnamed.select(*COLUMNS))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
