@@ -222,7 +222,8 @@ IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-
 SSN = re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 ACCESS = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")
-SECRET = re.compile(r"""(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?([A-Za-z0-9_\-+/.]{6,128})""")
+#: What follows a label; words without a digit count only as the value of a password after an equals sign.
+SECRET = re.compile(r"""(?i)\b(?:(?:password|passwd|pwd)\s{0,3}=|(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:](?=\s{0,3}["']?[A-Za-z_\-+/.]{0,127}[0-9]))\s{0,3}["']?([A-Za-z0-9_\-+/.]{6,128})""")
 CAP = r"[A-ZÀ-ÖØ-ÞĀ-ĮΑ-ΩА-ЯЁ][^\W\d_]{1,24}"
 #: Titles and introductions that come before a name, by the gender they tell.
 TITLES = {

@@ -24,6 +24,11 @@ def test_kinds_and_formats():
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}, card 4\d{3} \d{4} \d{4} \d{4}, ip [\d.]+, ssn \d{3}-\d\d-\d{4}, key AKIA[A-Z0-9]{16}, password=[0-9a-f]{18} end\.$", out)
 
 
+def test_secrets():
+    for text, value in (('token = "0641917ea4e9feb9"', "0641917ea4e9feb9"), ("Password=letmein!", "letmein"), ("api_key: ab12cd34", "ab12cd34"), ("pwd: abcde9", "abcde9")):
+        assert [s.text for s in pii.find(text)] == [value] and value not in pseudonymise(text)
+
+
 def test_check_digits_and_ranges_stay():
     valid = "4539578763621486"
     assert pii.luhn_digit(valid[:-1]) == int(valid[-1])
@@ -52,7 +57,7 @@ def test_same_entity_same_surrogate_in_any_dress():
 
 
 def test_clean_text_is_untouched():
-    for text in ("", "The quick brown fox, 12 of 2024-05-06. v1.2.3; pages 1234-1240.", "Die Frau ist mit dem Herr Müller" [:18], "# 3 items | 45% off"):
+    for text in ("", "The secret: nothing. My token: gratitude; token = parser.next", "The quick brown fox, 12 of 2024-05-06. v1.2.3; pages 1234-1240.", "Die Frau ist mit dem Herr Müller" [:18], "# 3 items | 45% off"):
         assert pseudonymise(text) == text
 
 
