@@ -121,12 +121,20 @@ def pruned_keys(keys: DataFrame, max_postings: int = 500) -> DataFrame:
     return keys.join(kept, "key", "left_semi")
 
 
-def candidates(source_keys: DataFrame, target_keys: DataFrame, max_postings: int = 500) -> DataFrame:
-    """Pairs (s1_id, cand_id, reasons) that share a key which the targets don't crowd; reasons are the targets' strategies."""
+def candidates(source_keys: DataFrame, target_keys: DataFrame, max_postings: int = 500, names: list[str] | None = None) -> DataFrame:
+    """Pairs (s1_id, cand_id, reasons) that share a key which the targets don't crowd; reasons are the targets' strategies.
+
+    Strategies travel as bits of a long (names: at most 63, by default the registered ones), which hash aggregation sums up in place.
+    """
+    names = sorted(names or BLOCKERS)
+    bit = F.lit(0).cast("long")
+    for i, name in enumerate(names):
+        bit = F.when(F.col("blocker") == name, F.lit(1 << i).cast("long")).otherwise(bit)
     left = source_keys.select(F.col("entity_id").alias("s1_id"), "key").distinct()
-    right = pruned_keys(target_keys, max_postings).select(F.col("entity_id").alias("cand_id"), "blocker", "key")
-    met = left.join(right, "key").groupBy("s1_id", "cand_id").agg(F.array_sort(F.collect_set("blocker")).alias("reasons"))
-    return met
+    right = pruned_keys(target_keys, max_postings).groupBy("key", F.col("entity_id").alias("cand_id")).agg(F.bit_or(bit).alias("bits"))
+    met = left.join(right, "key").groupBy("s1_id", "cand_id").agg(F.bit_or("bits").alias("bits"))
+    each = F.array(*(F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(name)) for i, name in enumerate(names)))
+    return met.select("s1_id", "cand_id", F.array_compact(each).alias("reasons"))
 
 
 def capped(pairs: DataFrame, most: int = 150) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import similarity as sim
+from linkloom.sources.shared import spool
 
 
 def top_k(pairs: DataFrame, k: int, by: list[str], score: str, tie: list[str]) -> DataFrame:
@@ -52,9 +53,17 @@ def prune_candidates(cands: DataFrame, final_k: int = 8, relative: float = 0.6,
 
 
 def dense_codes(df: DataFrame, by: str, name: str = "code") -> DataFrame:
-    """Codes 0, 1, ... of a column's values in their order, joined from the distinct values."""
-    codes = df.select(by).distinct().withColumn(name, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(by)) - 1)
-    return df.join(codes, by)
+    """Codes 0, 1, ... of a column's values in their order.
+
+    Distinct values are dealt by range and written with the number of their part; a code is the count of all
+    earlier parts and the place within its own, so no task sees all values.
+    """
+    values = spool(df.select(by).distinct().repartitionByRange(by).withColumn("_part", F.spark_partition_id()), "codes")
+    parts = values.groupBy("_part").agg(F.count("*").alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1
+    codes = values.withColumn("_place", place).join(parts.select("_part", earlier.alias("_before")), "_part")
+    return df.join(codes.select(by, (F.col("_before") + F.col("_place")).alias(name)), by)
 
 
 def multi_claimed(matches: DataFrame) -> DataFrame:

@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir as the session has it; a folder of our own only where that is unset (tests)."""
+    context = spark.sparkContext
+    own = context._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
+    if named is None and own.isDefined():
         return own.get()
-    made = tempfile.mkdtemp(prefix="linkloom-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    folder = named or tempfile.mkdtemp(prefix="linkloom-")
+    if not own.isDefined():
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
