@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.functions.shipping import ship
+from linkloom.sources.shared import shared_dir, spool
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_dir.isDefined():
-        return set_dir.get()
-    own = tempfile.mkdtemp(prefix="linkloom-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+__all__ = ["cut", "prepare", "spool", "table"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,14 +16,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """Wide rows, written once as Parquet to the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+MAX_BATCH_ROWS = 2000  # texts are long: a batch of Spark's usual 10,000 rows is tens of MB on either side
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Before an operator runs: the package at the workers, and Arrow batches of a modest size."""
     ship(spark)
+    if int(spark.conf.get(BATCH_ROWS, "10000")) > MAX_BATCH_ROWS:
+        spark.conf.set(BATCH_ROWS, str(MAX_BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

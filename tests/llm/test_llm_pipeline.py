@@ -1,7 +1,7 @@
 """The pipeline's stages on a small fixture with planted cases."""
 
 import corpus_pipeline
-from linkloom.llm import pii, simhash
+from linkloom.llm import langid, pii, simhash
 from linkloom.llm.queries import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -22,7 +22,7 @@ def test_stages(spark, tmp_path):
         (900004, doc["text"][:900] + " mail ann.bee@corp.example.com now", None, None, None), (900005, "12345 !!!", lang, source, 1),
     ]
     planted = docs.select(corpus_pipeline.COLUMNS).unionByName(spark.createDataFrame(extra, docs.select(corpus_pipeline.COLUMNS).schema))
-    held = {}
+    held, first = {}, planted
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, planted, DIR)
         if name != "packing":
@@ -32,7 +32,24 @@ def test_stages(spark, tmp_path):
         held[name] = planted.collect()
     ids = lambda name: {r["doc_id"] for r in held[name]}
     assert {900002, 900003, 900005} & ids("language") == set() and {900001, 900004, None, doc["doc_id"]} <= ids("language")
+    # Each stage once more, by plain Python over what it got.
+    models = langid.train(first)
+    judged = langid.judge(langid.Scorer(models), [r["text"] or "" for r in first.collect()], 8.0)
+    expected = sorted(((r["doc_id"], r["text"], lang) for r, (lang, _, rejected, _) in zip(first.collect(), judged, strict=True) if not rejected), key=str)
+    assert sorted(((r["doc_id"], r["text"], r["lang"]) for r in held["language"]), key=str) == expected
     fps = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in held["language"]}
+    root = {f: f for f in fps.values()}
+    for _ in range(len(root)):  # labels spread until they settle
+        spread = {f: min(root[g] for g in root if ((f ^ g) % (1 << 64)).bit_count() <= 2) for f in root}
+        if spread == root:
+            break
+        root = spread
+    groups = {}
+    for d, f in fps.items():
+        groups.setdefault(root[f], set()).add(d)
+    keepers = {min(g - {None}) if g - {None} else None for g in groups.values()}
+    assert ids("near_duplicates") == keepers
+    assert {r["doc_id"]: r["text"] for r in held["personal_data"]} == {r["doc_id"]: pii.replace(r["text"], pii.find(r["text"]), {}) for r in held["near_duplicates"]}
     assert 900001 not in ids("near_duplicates")
     assert None in ids("near_duplicates") and 900004 in ids("near_duplicates")
     kept = [fps[r["doc_id"]] for r in held["near_duplicates"]]
