@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.functions.shipping import ship
 from linkloom.llm import langid, mixing, packing, pii, simhash
-from linkloom.llm.common import spool, table
+from linkloom.llm.common import prepare, spool, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,7 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     The models learn from docs as they come in.
     """
-    ship(spark)
+    prepare(spark)
     found = langid.identify(docs.select(*COLUMNS), langid.train(docs), COLUMNS)
     return found.where("NOT rejected").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
@@ -31,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Repeated rows are one document. Of a component in which no document has a doc_id, one of each text stays.
     """
-    ship(spark)
+    prepare(spark)
     found = simhash.near_duplicates(docs)
     keepers = found.where("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct()
     kept = docs.select(*COLUMNS).join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
@@ -42,20 +41,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document goes on, its personal data replaced by surrogates."""
-    ship(spark)
+    prepare(spark)
     done = pii.pseudonymise(docs.select(*COLUMNS))
     return done.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mixture takes it whole."""
-    ship(spark)
+    prepare(spark)
     return mixing.mixed_documents(docs.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 ids with their sequence and place."""
-    ship(spark)
+    prepare(spark)
     return packing.pack(docs)
 
 
