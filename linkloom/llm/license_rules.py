@@ -75,15 +75,15 @@ TEXT = r"""
 3 mit | software is provided as is | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
 3 mit-0 | without restriction | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction .{0,300}to do so the software is provided as is
 2 mit-0 | mit no attribution | mit no attribution(?: license)?
-2 mit | mit li | (?:released|licensed|distributed|available|provided) under (?:the )?(?:terms of the )?mit licen[sc]e
-2 mit | mit li | (?:x11|expat) mit licen[sc]e
-1 mit | mit li | mit licen[sc]e
-1 mit | mit li | mit licensed
+2 mit | mit licen | (?:released|licensed|distributed|available|provided) under (?:the )?(?:terms of the )?mit licen[sc]e
+2 mit | mit licen | (?:x11|expat) mit licen[sc]e
+1 mit | mit licen | mit licen[sc]e
+1 mit | mit licen | mit licensed
 2 x11 | x11 | x11 licen[sc]e
-2 mit | expat li | expat licen[sc]e
+2 mit | expat licen | expat licen[sc]e
 3 mit-cmu | permission to use copy | permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted
 3 isc | permission to use copy | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
-1 isc | isc li | isc licen[sc]e
+1 isc | isc licen | isc licen[sc]e
 3 0bsd | permission to use copy | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is
 2 0bsd | zero clause | (?:bsd )?zero clause bsd(?: licen[sc]e)?
 2 0bsd | 0bsd | 0bsd
@@ -95,9 +95,9 @@ TEXT = r"""
 2 bsd-3-clause | 3 clause | (?:bsd 3 clause|3 clause bsd)(?: licen[sc]e)?
 2 bsd-4-clause | 4 clause | (?:bsd 4 clause|4 clause bsd)(?: licen[sc]e)?
 2 bsd-2-clause | simplified bsd | simplified bsd licen[sc]e
-2 bsd-2-clause | freebsd li | freebsd licen[sc]e
+2 bsd-2-clause | freebsd licen | freebsd licen[sc]e
 2 bsd-3-clause | new bsd | new bsd licen[sc]e
-2 bsd-3-clause | bsd li | (?:revised|modified) bsd licen[sc]e
+2 bsd-3-clause | bsd licen | (?:revised|modified) bsd licen[sc]e
 2 bsd-4-clause | original bsd | original bsd licen[sc]e
 1 bsd | bsd | bsd (?:style )?licen[sc]ed?
 3 mpl-2.0 | source code form | this source code form is subject to the terms of the mozilla public license v 2 0
@@ -134,22 +134,23 @@ TEXT = r"""
 2 wtfpl | what the f | do what the f(?:uck)? you want to public licen[sc]e
 1 wtfpl | wtfpl | wtfpl
 3 zlib | misrepresented | the origin of this software must not be misrepresented
-2 zlib | zlib li | zlib (?:libpng )?licen[sc]e
+2 zlib | zlib licen | zlib licen[sc]e
+2 zlib | zlib libpng licen | zlib libpng licen[sc]e
 2 libpng | libpng | libpng licen[sc]e
 2 boost-1.0 | boost software | boost software licen[sc]e (?:v ?1|version 1)(?: 0)?
 3 boost-1.0 | boost software | distributed under the boost software license version 1 0
 1 boost | boost software | boost software licen[sc]e
-2 artistic-1.0 | artistic li | artistic licen[sc]e (?:v ?1|version 1|1)(?: 0)?
-2 artistic-2.0 | artistic li | artistic licen[sc]e (?:v ?2|version 2|2)(?: 0)?
-1 artistic | artistic li | artistic licen[sc]e
+2 artistic-1.0 | artistic licen | artistic licen[sc]e (?:v ?1|version 1|1)(?: 0)?
+2 artistic-2.0 | artistic licen | artistic licen[sc]e (?:v ?2|version 2|2)(?: 0)?
+1 artistic | artistic licen | artistic licen[sc]e
 2 artistic-perl | same terms as perl | under the same terms as perl(?: itself)?
 2 psf-2.0 | python software | python software foundation licen[sc]e (?:v ?2|version 2)(?: 0)?
 1 psf | python software | python software foundation licen[sc]e
 2 python-2.0 | python licen | python licen[sc]e (?:v ?2|version 2|2)(?: 0)?
-2 ruby | ruby li | ruby licen[sc]e
-2 php-3.0 | php li | php licen[sc]e (?:v ?3|version 3)(?: 0)
-2 php-3.01 | php li | php licen[sc]e (?:v ?3 01|version 3 01)
-1 php | php li | php licen[sc]e
+2 ruby | ruby licen | ruby licen[sc]e
+2 php-3.0 | php licen | php licen[sc]e (?:v ?3|version 3)(?: 0)
+2 php-3.01 | php licen | php licen[sc]e (?:v ?3 01|version 3 01)
+1 php | php licen | php licen[sc]e
 2 zpl-2.1 | zope public | zope public licen[sc]e (?:v ?2 1|version 2 1)
 1 zpl | zope public | zope public licen[sc]e
 2 openssl | openssl | openssl licen[sc]e
@@ -161,15 +162,16 @@ TEXT = r"""
 1 ncsa | ncsa | ncsa licen[sc]e
 2 postgresql | postgresql | postgresql licen[sc]e
 2 json | good not evil | the software shall be used for good not evil
-1 json | json li | json licen[sc]e
-2 beerware | beer | the beer ?ware licen[sc]e
+1 json | json licen | json licen[sc]e
+2 beerware | beerware licen | the beerware licen[sc]e
+2 beerware | beer ware licen | the beer ware licen[sc]e
 1 beerware | beerware | beerware
 2 upl-1.0 | universal permissive | universal permissive licen[sc]e(?: v ?1 0)?
-2 osl-3.0 | open software li | open software licen[sc]e (?:v ?3|version 3)(?: 0)?
-2 afl-3.0 | academic free li | academic free licen[sc]e (?:v ?3|version 3)(?: 0)?
-1 osl | open software li | open software licen[sc]e
-1 afl | academic free li | academic free licen[sc]e
-2 ecl-2.0 | educational community li | educational community licen[sc]e (?:v ?2|version 2)(?: 0)?
+2 osl-3.0 | open software licen | open software licen[sc]e (?:v ?3|version 3)(?: 0)?
+2 afl-3.0 | academic free licen | academic free licen[sc]e (?:v ?3|version 3)(?: 0)?
+1 osl | open software licen | open software licen[sc]e
+1 afl | academic free licen | academic free licen[sc]e
+2 ecl-2.0 | educational community licen | educational community licen[sc]e (?:v ?2|version 2)(?: 0)?
 2 cecill-2.1 | cecill | cecill (?:free software )?licen[sc]e(?: agreement)? (?:v ?2 1|version 2 1)
 2 cecill-b | cecill | cecill b
 2 cecill-c | cecill | cecill c
@@ -179,13 +181,13 @@ TEXT = r"""
 2 sspl-1.0 | server side public | server side public licen[sc]e(?: v ?1| version 1)?
 2 busl-1.1 | business source | business source licen[sc]e (?:v ?1 1|version 1 1|1 1)
 1 busl | business source | business source licen[sc]e
-2 elastic-2.0 | elastic li | elastic licen[sc]e (?:v ?2|version 2|2)(?: 0)?
-1 elastic | elastic li | elastic licen[sc]e
+2 elastic-2.0 | elastic licen | elastic licen[sc]e (?:v ?2|version 2|2)(?: 0)?
+1 elastic | elastic licen | elastic licen[sc]e
 2 commons-clause | commons clause | commons clause(?: licen[sc]e condition v1 0)?
 2 polyform-noncommercial | polyform | polyform noncommercial(?: licen[sc]e)?(?: 1 0 0)?
 2 polyform-small-business | polyform | polyform small business(?: licen[sc]e)?
 2 openrail | openrail | (?:creativeml |bigcode )?openrail(?: m)?
-2 llama-community | community li | llama (?:2 |3 |3 1 )?community licen[sc]e
+2 llama-community | community licen | llama (?:2 |3 |3 1 )?community licen[sc]e
 2 cc-by-1.0 | cc by | cc by 1 0
 2 cc-by-2.0 | cc by | cc by 2 0
 2 cc-by-2.5 | cc by | cc by 2 5
@@ -249,8 +251,8 @@ TEXT = r"""
 1 proprietary | all rights reserved | all rights reserved
 2 proprietary | unauthorized copying | unauthorized copying of this file via any medium is strictly prohibited
 2 proprietary | redistribut | redistribution (?:is )?(?:strictly )?(?:prohibited|forbidden)
-1 proprietary | commercial li | commercial licen[sc]e (?:agreement|required)
-1 proprietary | end user li | end user licen[sc]e agreement
+1 proprietary | commercial licen | commercial licen[sc]e (?:agreement|required)
+1 proprietary | end user licen | end user licen[sc]e agreement
 2 freeware | freeware | (?:this software is|distributed as) freeware
 2 shareware | shareware | (?:this software is|distributed as) shareware
 3 spdx | spdx | spdx license identifier [0-9a-z]+(?: [0-9a-z]+){0,4}
