@@ -32,26 +32,25 @@ def test_jaro_winkler(spark, a, b, expected):
 
 
 def lcs(a, b):
+    """By the table of all prefixes, a row at a time."""
     row = [0] * (len(b) + 1)
     for x in a:
-        row = [0] + [max(row[j + 1], 0) if x != y else 0 for j, y in enumerate(b)] if False else _next(row, x, b)
+        fresh = [0]
+        for j, y in enumerate(b):
+            fresh.append(row[j] + 1 if x == y else max(row[j + 1], fresh[j]))
+        row = fresh
     return row[-1]
 
 
-def _next(row, x, b):
-    out = [0]
-    for j, y in enumerate(b):
-        out.append(row[j] + 1 if x == y else max(row[j + 1], out[j]))
-    return out
-
-
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc ", max_size=14), st.text("abc ", max_size=14))
 def test_fuzzy_properties(a, b):
     assert sim.lcs_length(a, b) == lcs(a, b)
     for f in (sim.indel_ratio, sim.token_sort_ratio, sim.token_set_ratio, sim.partial_ratio, sim.partial_token_set_ratio, sim.weighted_ratio):
         assert 0 <= f(a, b) <= 100 and f(a, b) == pytest.approx(f(b, a))
-    assert sim.partial_ratio(a, b) >= sim.indel_ratio(a, b) - 1e-9 or not a or not b
+    # A window has the shorter text's length, so a spread-out match may score less than as a whole; a contained text is full.
+    if a and a in b:
+        assert sim.partial_ratio(a, b) == 100
 
 
 def test_fuzzy_values():
