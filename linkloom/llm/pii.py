@@ -10,7 +10,8 @@ syllables of the same script, with endings that match the gender of the title.
 
 The collision check runs over all distinct entities of the corpus: where two entities of a
 type share a surrogate, or one keeps its own form, all but the first draw again, until none
-is left. What drew again is a table; it goes to the tasks as a whole if it has at most
+is left; names get a syllable longer each time, so there is room for any number. If clashes
+remain after MAX_TRIES rounds (a fixed format with no place left), that is an error. What drew again is a table; it goes to the tasks as a whole if it has at most
 ``max_redrawn`` rows, and is joined by document otherwise.
 
 Defined results: null text stays null with no entities; empty text stays empty; text without
@@ -33,7 +34,9 @@ from linkloom.llm.common import cut
 
 KEY = b"linkloom surrogate key"
 ROUNDS = 6
-MAX_TRIES = 24
+MAX_TRIES = 64
+MAX_LONGER = 8  # syllables or characters added to what draws again
+SAME_LENGTH = 8  # draws after which secrets and e-mail addresses get longer too
 
 
 @dataclass(frozen=True)
@@ -164,27 +167,37 @@ def script_of(word: str) -> str:
     return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else "latin" if c < 0x250 else f"block{c >> 8}"
 
 
-def _name(form: str, key: bytes, tweak: str, kind: str) -> str:
+def _name(form: str, key: bytes, tweak: str, kind: str, tries: int) -> str:
+    """Each time it draws again the name is a syllable (or a letter) longer, so there is room for any number of names."""
     script = script_of(form)
     x = _number(key, tweak, kind, form)
     if script not in NAMES:  # letters of the same block of 256, as many
         letters = [chr(c) for c in range((ord(form[0]) >> 8) << 8, ((ord(form[0]) >> 8) + 1) << 8) if chr(c).isalpha() and chr(c).lower() == chr(c)]
-        return "".join(letters[(x >> 8 * (i % 15)) % len(letters)] for i in range(len(form)))
+        return "".join(letters[(x >> 8 * (i % 15)) % len(letters)] for i in range(len(form) + min(tries, MAX_LONGER)))
     syllables, woman, man, family = NAMES[script]
     ending = {"given_f": woman, "given_m": man}.get(kind, family if kind == "surname" else "")
     said = ""
-    for _ in range(3 if kind == "surname" else 2):
+    for _ in range((3 if kind == "surname" else 2) + min(tries, MAX_LONGER)):
         x, at = divmod(x, len(syllables))
         said += syllables[at]
     return said + ending
 
 
+def _tail(form: str, key: bytes, tweak: str, tries: int) -> str:
+    """Letters to add to a form whose shape has no place left."""
+    x, said = _number(key, tweak, "tail", form), ""
+    for _ in range(min(max(0, tries - SAME_LENGTH), MAX_LONGER)):
+        x, at = divmod(x, len(LOWER))
+        said += LOWER[at]
+    return said
+
+
 @lru_cache(maxsize=200_000)
 def surrogate(kind: str, form: str, tries: int = 0, key: bytes = KEY) -> str:
     """The canonical form of the entity's surrogate; tries counts how often it had to draw again."""
     tweak = f"{kind}#{tries}#"
     if kind == "email":
-        return _email(form, key, tweak)
+        return _tail(form, key, tweak, tries) + _email(form, key, tweak)
     if kind == "phone":
         return _phone(form, key, tweak)
     if kind == "card":
@@ -196,10 +209,11 @@ def surrogate(kind: str, form: str, tries: int = 0, key: bytes = KEY) -> str:
     if kind == "access_key":
         return form[:4] + reshape(form[4:], key, tweak)
     if kind in ("given_f", "given_m", "given", "surname"):
-        return _name(form, key, tweak, kind)
+        return _name(form, key, tweak, kind, tries)
+    tail = _tail(form, key, tweak, tries) if kind == "secret" else ""
     if re.fullmatch("[0-9a-f]{16,}", form):
-        return reshape(form, key, tweak, (HEX,))
-    return reshape(form, key, tweak)
+        return reshape(form, key, tweak, (HEX,)) + tail
+    return reshape(form, key, tweak) + tail
 
 
 def render(span: Span, form: str) -> str:
@@ -335,7 +349,7 @@ def redraw(found: DataFrame, key: bytes = KEY) -> DataFrame:
             return drawn.where("tries > 0").select("kind", "form", "tries")
         again = clash.withColumn("tries", F.col("tries") + 1).mapInArrow(draw, schema)
         drawn = cut(drawn.join(clash.select("kind", "form"), ["kind", "form"], "left_anti").unionByName(again))
-    return drawn.where("tries > 0").select("kind", "form", "tries")
+    raise RuntimeError(f"surrogates still clash after {MAX_TRIES} draws")
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY, max_redrawn: int = 100_000) -> DataFrame:

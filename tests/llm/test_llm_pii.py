@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -98,3 +99,19 @@ def test_dataframe_with_awkward_rows(spark):
     joined = pii.pseudonymise(df, max_redrawn=-1)  # the way by a join gives the same
     assert sorted(map(str, joined.collect())) == sorted(map(str, out.collect()))
     assert pii.pseudonymise(df.limit(0)).count() == 0
+
+
+def test_more_names_than_short_ones(spark):
+    """Of two syllables there are 1,849 names."""
+    rows = [(kind, f"name{i}") for kind in ("given", "given_f") for i in range(3000)]
+    again = {(r["kind"], r["form"]): r["tries"] for r in pii.redraw(spark.createDataFrame(rows, "kind string, form string")).collect()}
+    assert len({(k, pii.surrogate(k, f, again.get((k, f), 0))) for k, f in rows}) == len(rows)
+
+
+def test_clashes_that_stay_are_an_error(spark, monkeypatch):
+    full = [("secret", "------"), ("secret", "......")]  # shapes of one string each get longer
+    again = {(r["kind"], r["form"]): r["tries"] for r in pii.redraw(spark.createDataFrame(full, "kind string, form string")).collect()}
+    assert all(pii.surrogate(k, f, again[k, f]) != f for k, f in full)
+    monkeypatch.setattr(pii, "MAX_TRIES", 2)
+    with pytest.raises(RuntimeError):
+        pii.redraw(spark.createDataFrame([("ssn", "-")], "kind string, form string"))
