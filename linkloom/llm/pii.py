@@ -75,8 +75,21 @@ def _wheels(text: str, alphabets: tuple[str, ...]) -> list[str]:
     return [next((a for a in alphabets if c in a), "") for c in text]
 
 
+PART = 48  # characters permuted as one number: half of its bits must be fewer than the 128 of _number, or the first characters stay
+
+
 def reshape(text: str, key: bytes, tweak: str, alphabets: tuple[str, ...] = (DIGITS, LOWER, UPPER)) -> str:
-    """Another string of the same shape: each character stays in its alphabet, others stay as they are."""
+    """Another string of the same shape: each character stays in its alphabet, others stay as they are.
+
+    A long one goes in parts, each by a permutation that depends on the original before it; so it stays a permutation.
+    """
+    if len(text) > PART:
+        n, out, before = -(-len(text) // PART), [], tweak
+        for i in range(n):
+            part = text[len(text) * i // n : len(text) * (i + 1) // n]
+            out.append(reshape(part, key, f"{tweak}{before}", alphabets))
+            before = f"{i}-{_number(key, before, part):x}|"
+        return "".join(out)
     wheels = _wheels(text, alphabets)
     n, x = 1, 0
     for c, wheel in zip(text, wheels, strict=True):
@@ -237,7 +250,7 @@ SSN = re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-]
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 ACCESS = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")
 #: What follows a label; words without a digit count only as the value of a password after an equals sign.
-SECRET = re.compile(r"""(?i)\b(?:(?:password|passwd|pwd)\s{0,3}=|(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:](?=\s{0,3}["']?[A-Za-z_\-+/.]{0,127}[0-9]))\s{0,3}["']?([A-Za-z0-9_\-+/.]{6,128})""")
+SECRET = re.compile(r"""(?i)\b(?:(?:password|passwd|pwd)\s{0,3}=|(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:](?=\s{0,3}["']?[A-Za-z_\-+/.]*+[0-9]))\s{0,3}["']?([A-Za-z0-9_\-+/.]{6,}+)""")
 CAP = r"[A-ZÀ-ÖØ-ÞĀ-ĮΑ-ΩА-ЯЁ][^\W\d_]{1,24}"
 #: Titles and introductions that come before a name, by the gender they tell.
 TITLES = {

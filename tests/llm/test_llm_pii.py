@@ -115,3 +115,15 @@ def test_clashes_that_stay_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(pii, "MAX_TRIES", 2)
     with pytest.raises(RuntimeError):
         pii.redraw(spark.createDataFrame([("ssn", "-")], "kind string, form string"))
+
+
+def test_long_secrets_go_whole():
+    for value in ("eyJhbGciOiJIUzI1NiJ9." + "aB3-x_" * 30 + "Qz", "abcdefghij" * 15 + "7tail", "Zy9." * 20_000):
+        text = f"token: {value} end"
+        assert [s.text for s in pii.find(text)] == [value]
+        out = pseudonymise(text).removeprefix("token: ").removesuffix(" end")
+        assert len(out) == len(value) and not any(value[i : i + 16] in out for i in range(0, min(len(value), 400), 8)) and value[-16:] not in out
+    same = "x1" * 100  # parts depend on what is before them
+    assert pii.surrogate("secret", same + "ab")[-2:] != "ab" and len({pii.surrogate("secret", same + c) for c in "abcdefgh"}) == 8
+    letters = "password-and-token=" + "a" * 200_000  # no digit: looked through once
+    assert pii.find("token: " + "a" * 200_000) == [] and pii.find(letters) == []
