@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linkloom.functions.shipping import ship
 from linkloom.sources.shared import shared_dir, spool
 
-__all__ = ["cut", "prepare", "spool", "table"]
+__all__ = ["cut", "join_split", "prepare", "spool", "table"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -27,6 +28,17 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(BATCH_ROWS, str(MAX_BATCH_ROWS))
 
 
+def join_split(rows: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "left", parts: int = 64) -> DataFrame:
+    """rows joined with right, which has at most one row a key, where a key may hold a large share of rows.
+
+    The rows of a key are dealt to ``parts`` by a hash of the columns ``by``. right is first brought to the
+    groups there are, at most ``parts`` a key, so that no task of either join has to take a key whole.
+    """
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int"))
+    brought = dealt.select(*keys, "_deal").distinct().join(right, keys, "inner")
+    return dealt.join(brought, [*keys, "_deal"], how).drop("_deal")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,17 +2,19 @@
 
 Detected: e-mail addresses, telephone numbers, payment cards, IPv4 addresses, social
 security numbers, IBANs, access keys, passwords and tokens after their label, and personal
-names after a title or an introduction. A surrogate is a keyed function of the entity's
-type and canonical form alone, so an entity has the same one in every document
-(coreference). Formats of digits and letters go through a keyed permutation of all strings
-of the same shape, so different entities get different surrogates; names are drawn from
-syllables of the same script, with endings that match the gender of the title.
+names after a title or an introduction, with all later mentions of their parts in the text. A
+surrogate is a keyed function of the entity's type and canonical form alone, so an entity has
+the same one in every document and under every title (coreference). Formats of digits and
+letters go through a keyed permutation of all strings of the same shape, so different entities
+get different surrogates; names are drawn from syllables of the same script. A given name ends
+as its gender asks: the one that titles tell anywhere in the corpus, or neither if they tell both.
 
 The collision check runs over all distinct entities of the corpus: where two entities of a
-type share a surrogate, or one keeps its own form, all but the first draw again, until none
-is left; names get a syllable longer each time, so there is room for any number. If clashes
-remain after MAX_TRIES rounds (a fixed format with no place left), that is an error. What drew again is a table; it goes to the tasks as a whole if it has at most
-``max_redrawn`` rows, and is joined by document otherwise.
+type share a surrogate, or one is a form that the corpus holds, all but the first draw again, until
+none is left; names get a syllable longer each time, so there is room for any number. Surrogates
+that are another's real form are allowed after AVOID draws only (a private network may be full), ones
+that two share or that are their own never: if such clashes remain after MAX_TRIES rounds, that
+is an error. What drew again, or has a gender, is a table that is joined to the texts that hold it.
 
 Defined results: null text stays null with no entities; empty text stays empty; text without
 entities is unchanged; repeated rows get the same text; other columns never matter.
@@ -30,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import cut
+from linkloom.llm.common import cut, join_split, prepare, spool
 
 KEY = b"linkloom surrogate key"
 ROUNDS = 6
 MAX_TRIES = 64
+AVOID = 16  # draws that keep off the real forms of other entities
 MAX_LONGER = 8  # syllables or characters added to what draws again
 SAME_LENGTH = 8  # draws after which secrets and e-mail addresses get longer too
 
@@ -46,6 +49,7 @@ class Span:
     kind: str  # type of entity; with its shape, the domain of the permutation
     form: str  # canonical form
     text: str
+    gender: str = ""  # of a given name: f or m, as its title tells
 
 
 def _number(key: bytes, *parts: object) -> int:
@@ -121,7 +125,7 @@ def _email(form: str, key: bytes, tweak: str) -> str:
 
 
 def _phone(form: str, key: bytes, tweak: str) -> str:
-    """form: digits, after + the country code. Ten national digits keep a valid area and exchange (first digit 2 to 9)."""
+    """form: digits, after + the country code (none for 1). Ten national digits keep a valid area and exchange (first digit 2 to 9)."""
     head, national = (form[:-10], form[-10:]) if len(form) >= 10 else ("", form)
     if len(national) == 10 and national[0] >= "2" and national[3] >= "2":
         x = (int(national[:3]) - 200) * 800 * 10_000 + (int(national[3:6]) - 200) * 10_000 + int(national[6:])
@@ -180,7 +184,7 @@ def script_of(word: str) -> str:
     return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else "latin" if c < 0x250 else f"block{c >> 8}"
 
 
-def _name(form: str, key: bytes, tweak: str, kind: str, tries: int) -> str:
+def _name(form: str, key: bytes, tweak: str, kind: str, tries: int, gender: str) -> str:
     """Each time it draws again the name is a syllable (or a letter) longer, so there is room for any number of names."""
     script = script_of(form)
     x = _number(key, tweak, kind, form)
@@ -188,7 +192,7 @@ def _name(form: str, key: bytes, tweak: str, kind: str, tries: int) -> str:
         letters = [chr(c) for c in range((ord(form[0]) >> 8) << 8, ((ord(form[0]) >> 8) + 1) << 8) if chr(c).isalpha() and chr(c).lower() == chr(c)]
         return "".join(letters[(x >> 8 * (i % 15)) % len(letters)] for i in range(len(form) + min(tries, MAX_LONGER)))
     syllables, woman, man, family = NAMES[script]
-    ending = {"given_f": woman, "given_m": man}.get(kind, family if kind == "surname" else "")
+    ending = family if kind == "surname" else {"f": woman, "m": man}.get(gender, "")
     said = ""
     for _ in range((3 if kind == "surname" else 2) + min(tries, MAX_LONGER)):
         x, at = divmod(x, len(syllables))
@@ -206,7 +210,7 @@ def _tail(form: str, key: bytes, tweak: str, tries: int) -> str:
 
 
 @lru_cache(maxsize=200_000)
-def surrogate(kind: str, form: str, tries: int = 0, key: bytes = KEY) -> str:
+def surrogate(kind: str, form: str, tries: int = 0, gender: str = "", key: bytes = KEY) -> str:
     """The canonical form of the entity's surrogate; tries counts how often it had to draw again."""
     tweak = f"{kind}#{tries}#"
     if kind == "email":
@@ -221,8 +225,8 @@ def surrogate(kind: str, form: str, tries: int = 0, key: bytes = KEY) -> str:
         return _iban(form, key, tweak)
     if kind == "access_key":
         return form[:4] + reshape(form[4:], key, tweak)
-    if kind in ("given_f", "given_m", "given", "surname"):
-        return _name(form, key, tweak, kind, tries)
+    if kind in ("given", "surname"):
+        return _name(form, key, tweak, kind, tries, gender)
     tail = _tail(form, key, tweak, tries) if kind == "secret" else ""
     if re.fullmatch("[0-9a-f]{16,}", form):
         return reshape(form, key, tweak, (HEX,)) + tail
@@ -233,9 +237,11 @@ def render(span: Span, form: str) -> str:
     """The surrogate form in the dress of the original text: separators, letter case."""
     old = span.text
     if span.kind in ("phone", "card", "ssn", "iban"):
-        fresh = iter(form.lstrip("+") if span.kind == "phone" else form)
+        own = form.lstrip("+") if span.kind == "phone" else form
+        more = sum(map(str.isalnum, old)) - len(own)  # digits of a country code that the form doesn't have
+        fresh = iter([*filter(str.isalnum, old)][: max(0, more)] + [*own])
         return "".join(next(fresh, "") if c.isalnum() else c for c in old)
-    if span.kind in ("given_f", "given_m", "given", "surname"):
+    if span.kind in ("given", "surname"):
         return form.upper() if old.isupper() and len(old) > 1 else form[:1].upper() + form[1:]
     if span.kind == "email":
         return form.upper() if old.isupper() else form
@@ -251,40 +257,46 @@ IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3}
 ACCESS = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")
 #: What follows a label; words without a digit count only as the value of a password after an equals sign.
 SECRET = re.compile(r"""(?i)\b(?:(?:password|passwd|pwd)\s{0,3}=|(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:](?=\s{0,3}["']?[A-Za-z_\-+/.]*+[0-9]))\s{0,3}["']?([A-Za-z0-9_\-+/.]{6,}+)""")
-CAP = r"[A-ZÀ-ÖØ-ÞĀ-ĮΑ-ΩА-ЯЁ][^\W\d_]{1,24}"
+CAPITALS = "".join(chr(c) for c in range(0x41, 0x590) if chr(c).isupper())
+CAP = rf"[{CAPITALS}][^\W\d_]+"
+#: Names of scripts without capitals: Hebrew to Malayalam, Thai, kana, Han and Hangul, with their marks.
+CASELESS = "[\u05d0-\u0dff\u0e01-\u0e4e\u3041-\u30ff\u3400-\u9fff\uac00-\ud7a3]{1,24}"
 #: Titles and introductions that come before a name, by the gender they tell.
 TITLES = {
-    "f": "Mrs Ms Miss Mme Madame Mlle Frau Señora Sra Señorita Doña Madam Lady".split(),
-    "m": "Mr Mister Monsieur Herr Señor Sr Don Sir Lord".split(),
+    "f": "Mrs Ms Miss Mme Madame Mlle Frau Señora Sra Señorita Doña Madam Lady Signora г-жа госпожа Госпожа κυρία Κυρία".split(),
+    "m": "Mr Mister Monsieur Herr Señor Sr Don Sir Lord Signor г-н господин Господин κύριος Κύριος".split(),
     "": "Dr Prof Professor Doctor".split(),
 }
-INTRODUCTIONS = ("my name is", "je m'appelle", "ich heiße", "mein name ist", "me llamo", "mi nombre es")
+INTRODUCTIONS = ("my name is", "je m'appelle", "ich heiße", "mein name ist", "me llamo", "mi nombre es", "меня зовут", "με λένε")
 GENDER = {t: g for g, own in TITLES.items() for t in own}
-NAME = re.compile(rf"(?:\b({'|'.join(sorted(GENDER, key=len, reverse=True))})\.? |\b(?i:{'|'.join(INTRODUCTIONS)}) )({CAP}(?:[ -]{CAP}){{0,2}})(?!\w)")
+NAME = re.compile(
+    rf"(?:\b({'|'.join(sorted(GENDER, key=len, reverse=True))})\.? (?:[{CAPITALS}]\. ?){{0,2}}|\b(?i:{'|'.join(INTRODUCTIONS)}) )"
+    rf"({CAP}(?:[ -]{CAP}){{0,2}}|{CASELESS}(?:[ ·]{CASELESS}){{0,2}})(?!\w)"
+)
+NAME_WORD = re.compile(rf"(?<!\w)(?:{CAP}|{CASELESS})(?!\w)")
 
 
 def _names(text: str) -> list[Span]:
-    """Names after a title or introduction, then the other places where their surnames stand in the same text."""
-    found, surnames = [], {}
+    """Names after a title or introduction, then the other places where their parts stand as whole words of the text."""
+    found: list[Span] = []
+    parts_of: dict[str, tuple[str, str]] = {}
     for m in NAME.finditer(text):
         gender = GENDER.get(m[1] or "", "")
-        parts = [(x.start() + m.start(2), x[0]) for x in re.finditer(r"[^\s-]+", m[2])]
-        if len(parts) == 1 and m[1] is None:
-            kinds = ["given"]
-        else:
-            kinds = [f"given_{gender}" if gender else "given"] * (len(parts) - 1) + ["surname"]
+        parts = [(x.start() + m.start(2), x[0]) for x in re.finditer(r"[^\s·-]+", m[2])]
+        kinds = ["given"] if len(parts) == 1 and m[1] is None else ["given"] * (len(parts) - 1) + ["surname"]
         for (at, word), kind in zip(parts, kinds, strict=True):
-            found.append(Span(at, at + len(word), kind, word.lower(), word))
-            if kind == "surname" and len(word) > 2:
-                surnames[word] = kind
-    if surnames:
-        again = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(surnames, key=len, reverse=True)))})(?!\w)")
-        found += [Span(m.start(), m.end(), "surname", m[0].lower(), m[0]) for m in again.finditer(text)]
+            found.append(Span(at, at + len(word), kind, word.lower(), word, gender if kind == "given" else ""))
+            for spelt in (word, word.upper(), word.capitalize()):
+                parts_of.setdefault(spelt, (kind, word.lower()))
+    if parts_of:
+        for m in NAME_WORD.finditer(text):
+            if m[0] in parts_of:
+                found.append(Span(m.start(), m.end(), *parts_of[m[0]], m[0]))
     return found
 
 
 HAS_DIGIT = re.compile(r"\d")
-RANK = ("email", "secret", "access_key", "iban", "ip", "card", "ssn", "phone", "given_f", "given_m", "given", "surname")
+RANK = ("email", "secret", "access_key", "iban", "ip", "card", "ssn", "phone", "given", "surname")
 
 
 def find(text: str) -> list[Span]:
@@ -300,7 +312,9 @@ def find(text: str) -> list[Span]:
         for m in CARD.finditer(text):
             add("card", m, re.sub(r"\D", "", m[0]))
         for m in PHONE.finditer(text):
-            add("phone", m, ("+" if m[0][0] == "+" else "") + re.sub(r"\D", "", m[0]))
+            digits = re.sub(r"\D", "", m[0])
+            # With the country code 1 or without it a number is the same.
+            add("phone", m, digits[1:] if m[0][:2] == "+1" and len(digits) == 11 else "+" * (m[0][0] == "+") + digits)
         for m in SSN.finditer(text):
             add("ssn", m, re.sub(r"\D", "", m[0]))
         for m in IBAN.finditer(text):
@@ -314,7 +328,8 @@ def find(text: str) -> list[Span]:
         for m in SECRET.finditer(text):
             add("secret", m, m[1], 1)
     found += _names(text)
-    found.sort(key=lambda s: (RANK.index(s.kind), s.start))
+    # A name where it was introduced comes before mentions of its parts.
+    found.sort(key=lambda s: min(RANK.index(s.kind), RANK.index("given")))
     kept: list[Span] = []
     taken = bytearray(len(text)) if found else b""
     for s in found:
@@ -324,96 +339,105 @@ def find(text: str) -> list[Span]:
     return sorted(kept, key=lambda s: s.start)
 
 
-def replace(text: str, spans: list[Span], redrawn: dict[tuple[str, str], int], key: bytes = KEY) -> str:
+#: What an entity needs besides its form: how often it drew again, and the gender of a given name.
+Special = dict[tuple[str, str], tuple[int, str]]
+
+
+def replace(text: str, spans: list[Span], special: Special, key: bytes = KEY) -> str:
     out, at = [], 0
     for s in spans:
-        out += [text[at : s.start], render(s, surrogate(s.kind, s.form, redrawn.get((s.kind, s.form), 0), key))]
+        tries, gender = special.get((s.kind, s.form), (0, ""))
+        out += [text[at : s.start], render(s, surrogate(s.kind, s.form, tries, gender, key))]
         at = s.end
     return "".join([*out, text[at:]])
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """Distinct (kind, form) of all entities of docs."""
+ENTITY = "kind string, form string, gender string"
+
+
+def held(texts: DataFrame) -> DataFrame:
+    """The columns but ``text``, then kind, form and gender: each entity of a row's text once (per gender told)."""
+    names = [c for c in texts.columns if c != "text"]
+    schema = texts.select(*names).schema
+    for part in ENTITY.split(", "):
+        schema = schema.add(*part.split(" "))
 
     def run(batches):
         for batch in batches:
-            own = {(s.kind, s.form) for t in batch.column("text") if t.is_valid for s in find(t.as_py())}
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.string()), pa.array([f for _, f in own], pa.string())], names=["kind", "form"])
+            at, own = [], []
+            for i, t in enumerate(batch.column("text")):
+                here = {(s.kind, s.form, s.gender) for s in find(t.as_py())} if t.is_valid else ()
+                at += [i] * len(here)
+                own += here
+            cols = [pa.array([x[k] for x in own], pa.string()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int64())) for c in names), *cols], names=[*names, "kind", "form", "gender"])
 
-    return docs.select("text").mapInArrow(run, "kind string, form string").distinct()
+    return texts.mapInArrow(run, schema)
+
+
+def distinct_entities(spans: DataFrame) -> DataFrame:
+    """(kind, form, gender) of all entities; gender is empty where titles tell both or none."""
+    told = [F.max(F.col("gender") == g).alias(g) for g in "fm"]
+    gender = F.when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").otherwise("")
+    return spans.groupBy("kind", "form").agg(*told).select("kind", "form", gender.alias("gender"))
 
 
 def redraw(found: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, form, tries) of the entities whose first surrogate isn't theirs alone, or is the entity itself."""
+    """(kind, form, gender, tries) of the entities that have a gender, or whose first surrogate can't be theirs."""
+    names = ["kind", "form", "gender", "tries"]
 
     def draw(batches):
         for batch in batches:
-            kind, form, tries = (batch.column(c).to_pylist() for c in ("kind", "form", "tries"))
-            fresh = [surrogate(k, f, t, key) for k, f, t in zip(kind, form, tries, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "form", "tries")), pa.array(fresh, pa.string())], names=["kind", "form", "tries", "fresh"])
+            fresh = [surrogate(k, f, t, g, key) for k, f, g, t in zip(*(batch.column(c).to_pylist() for c in names), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fresh, pa.string())], names=[*names, "fresh"])
 
-    schema = "kind string, form string, tries int, fresh string"
-    drawn = cut(found.withColumn("tries", F.lit(0)).mapInArrow(draw, schema))
+    schema = f"{ENTITY}, tries int, fresh string"
+    drawn = cut(found.withColumn("tries", F.lit(0)).select(*names).mapInArrow(draw, schema))
+    real = drawn.select("kind", F.col("form").alias("fresh"), F.lit(True).alias("is_real"))
     for _ in range(MAX_TRIES):
         rank = F.row_number().over(Window.partitionBy("kind", "fresh").orderBy("tries", "form"))
-        clash = drawn.withColumn("r", rank).where((F.col("r") > 1) | (F.col("fresh") == F.col("form"))).select("kind", "form", "tries")
-        clash = cut(clash)
+        met = drawn.withColumn("r", rank).join(real, ["kind", "fresh"], "left")
+        bad = (F.col("r") > 1) | (F.col("fresh") == F.col("form")) | (F.col("is_real") & (F.col("tries") < AVOID))
+        clash = cut(met.where(bad).select(*names))
         if clash.isEmpty():
-            return drawn.where("tries > 0").select("kind", "form", "tries")
+            return drawn.where("tries > 0 OR gender <> ''").select(*names)
         again = clash.withColumn("tries", F.col("tries") + 1).mapInArrow(draw, schema)
         drawn = cut(drawn.join(clash.select("kind", "form"), ["kind", "form"], "left_anti").unionByName(again))
     raise RuntimeError(f"surrogates still clash after {MAX_TRIES} draws")
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, max_redrawn: int = 100_000) -> DataFrame:
-    """docs with text replaced, and n_entities and kinds (sorted, comma-joined) added, in place of columns so named."""
-    again = redraw(entities(docs), key)
-    rows = again.limit(max_redrawn + 1).collect()
-    names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
-    docs = docs.select(*names)
-    if len(rows) > max_redrawn:
-        # Too many to give to every task: each document brings its own redrawn entities from a join.
-        return _joined(docs, again, key)
-    table = {(r["kind"], r["form"]): r["tries"] for r in rows}
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches):
-        for batch in batches:
-            yield _batch(batch, names, [shared.value] * batch.num_rows, key)
-
-    return docs.mapInArrow(run, docs.select(*names).schema.add("n_entities", "integer").add("kinds", "string"))
-
-
-def _batch(batch, names: list[str], tables: list[dict], key: bytes):
-    texts, counts, kinds = [], [], []
-    for t, redrawn in zip(batch.column("text"), tables, strict=True):
-        text = t.as_py()
-        spans = find(text) if text else []
-        texts.append(replace(text, spans, redrawn, key) if spans else text)
-        counts.append(len(spans))
-        kinds.append(",".join(sorted({s.kind for s in spans})))
-    cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-    return pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int32()), pa.array(kinds, pa.string())], names=[*names, "n_entities", "kinds"])
-
+def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+    """docs with text replaced, and n_entities and kinds (sorted, comma-joined) added, in place of columns so named.
 
-def _joined(docs: DataFrame, again: DataFrame, key: bytes) -> DataFrame:
-    """As pseudonymise, where the redrawn entities are joined to the texts (by a hash of the text) that hold them."""
-    names = docs.columns
-    marked = docs.withColumn("_text_hash", F.sha2("text", 256))
-
-    def spread(batches):
-        for batch in batches:
-            rows = {(h.as_py(), s.kind, s.form) for h, t in zip(batch.column("_text_hash"), batch.column("text"), strict=True) if t.is_valid for s in find(t.as_py())}
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["_text_hash", "kind", "form"])
-
-    held = marked.select("_text_hash", "text").mapInArrow(spread, "_text_hash string, kind string, form string").distinct()
-    own = held.join(again, ["kind", "form"]).groupBy("_text_hash").agg(F.collect_list(F.struct("kind", "form", "tries")).alias("_redrawn"))
-    rows = marked.join(own, "_text_hash", "left").select(*names, "_redrawn")
+    Texts are met by a hash (of two texts with one hash each gets both's entities, which does no harm) and a part,
+    so that a text that a large share of the rows has isn't one key. What is joined to them is a table of known
+    size, which Spark sends to the texts if it is small.
+    """
+    prepare(docs.sparkSession)
+    names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
+    hashable = [c for c in names if c != "text" and "map<" not in dict(docs.dtypes)[c] and "variant" not in dict(docs.dtypes)[c]]
+    part = F.pmod(F.xxhash64(*hashable), F.lit(64)).cast("int") if hashable else F.lit(0)
+    met = [F.xxhash64("text").alias("at"), part.alias("part")]
+    spans = cut(held(docs.select(*met, "text")))
+    special = spool(redraw(distinct_entities(spans), key), "surrogates")
+    # Of an entity each text needs one row, whatever genders were told there.
+    own = join_split(spans.select("at", "part", "kind", "form").distinct(), special, ["kind", "form"], ["at", "part"], "inner")
+    own = spool(own.groupBy("at", "part").agg(F.collect_list(F.struct("kind", "form", "gender", "tries")).alias("own")), "surrogates-by-text")
+    rows = docs.select(F.struct(*names).alias("doc"), *met).join(own, ["at", "part"], "left").select("doc", "own")
 
     def run(batches):
         for batch in batches:
-            tables = [{(x["kind"], x["form"]): x["tries"] for x in own.as_py() or ()} for own in batch.column("_redrawn")]
-            yield _batch(batch, names, tables, key)
+            doc = batch.column("doc")
+            cols = dict(zip(names, doc.flatten(), strict=True))
+            texts, counts, kinds = [], [], []
+            for t, mine in zip(cols["text"], batch.column("own"), strict=True):
+                text = t.as_py()
+                spans = find(text) if text else []
+                table = {(x["kind"], x["form"]): (x["tries"], x["gender"]) for x in mine.as_py() or ()} if spans else {}
+                texts.append(replace(text, spans, table, key) if spans else text)
+                counts.append(len(spans))
+                kinds.append(",".join(sorted({s.kind for s in spans})))
+            cols["text"] = pa.array(texts, cols["text"].type)
+            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(counts, pa.int32()), pa.array(kinds, pa.string())], names=[*names, "n_entities", "kinds"])
 
     return rows.mapInArrow(run, docs.select(*names).schema.add("n_entities", "integer").add("kinds", "string"))
