@@ -3,9 +3,10 @@
 One model per language holds two sorted hash arrays: n-grams with their interpolated
 log-probability, and contexts with the log of their back-off weight. A text gets, per
 language, its cross-entropy per character; the lowest wins. A text whose cross-entropy
-lies too far above what the winner's own texts show is marked as rejected.
+lies too far above what held-out texts of the winner show is marked as rejected.
 
 Defined results: null text or text without a letter gives ``und``, score 0, rejected;
+rows with a null doc_id are learned from like others, null lang from none;
 repeated rows are scored alike; no rows give no rows; with nothing to learn from, every
 text gives ``und``. Other columns of the input never matter, whatever their names.
 """
@@ -13,13 +14,15 @@ text gives ``und``. Other columns of the input never matter, whatever their name
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import prepare
+
 ORDER = 5
 PAD = ORDER - 1
 UNDETERMINED = "und"
@@ -33,10 +36,10 @@ STEP = np.uint64(0xD6E8FEB86659FD93)
 class TrainingBounds:
     """What the fit may read: a sample of whole labelled texts, and the size of each model."""
 
-    docs_per_lang: int = 400
-    max_chars: int = 20_000  # longer texts aren't sampled; they are scored like any other
-    max_ngrams: int = 600_000  # per language; rarest 5-grams go first
-    max_langs: int = 400
+    docs_per_lang: int = 400  # texts of any length
+    max_ngrams: int = 600_000  # stored per language and order; the rarest are left to their back-off
+    all_ngrams: int = 2_400_000  # stored per order in all models together, each language having an equal share
+    max_langs: int = 400  # the labels with the most texts
 
 
 @dataclass
@@ -49,7 +52,7 @@ class Model:
     mean: float
     between: float
     within: float
-    extra: dict = field(default_factory=dict)
+    z: float = 0.0  # calibrated limit of a text's distance from the mean
 
 
 _LETTER: np.ndarray | None = None
@@ -105,61 +108,100 @@ def _discount(counts: np.ndarray) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
 
 
-def fit(lang: str, texts: list[str], bounds: TrainingBounds) -> Model:
-    """Kneser-Ney counts of four fifths of the texts; the remaining fifth calibrates the rejection."""
-    held = texts[::5] if len(texts) >= 10 else texts
-    train = [t for i, t in enumerate(texts) if i % 5] if len(texts) >= 10 else texts
-    cp, starts = code_points(train)
-    positions = np.flatnonzero(_scored(len(cp), starts))
-    hashes = {n: gram_hashes(cp, n) for n in range(1, ORDER + 1)}
-    # Types of each order as (a position where one ends, its count): raw counts at the top, left continuations below.
-    types: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    _, first, count = np.unique(hashes[ORDER][positions], return_index=True, return_counts=True)
-    types[ORDER] = (positions[first], count)
+FIT_CHARS = 1_000_000  # counted at a time
+
+
+def windows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows of ORDER characters (rows of code points) and how often each occurs."""
+    windows, counts = np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
+    for run in _runs(texts, FIT_CHARS):
+        cp, starts = code_points(run)
+        ends = np.flatnonzero(_scored(len(cp), starts))
+        _, first, count = np.unique(gram_hashes(cp, ORDER)[ends], return_index=True, return_counts=True)
+        windows = np.concatenate([windows, cp[ends[first][:, None] + np.arange(-PAD, 1)].astype(np.uint32)])
+        counts = np.concatenate([counts, count])
+        _, first, group = np.unique(_window_hashes(windows, ORDER), return_index=True, return_inverse=True)
+        windows, counts = windows[first], np.bincount(group, weights=counts, minlength=len(first)).astype(np.int64)
+    return windows, counts
+
+
+def _window_hashes(windows: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the last n characters of each window."""
+    if not len(windows):
+        return np.zeros(0, np.uint64)
+    return gram_hashes(windows.reshape(-1), n)[ORDER - 1 :: ORDER]
+
+
+def estimate(lang: str, texts: list[str], max_ngrams: int) -> Model:
+    """Interpolated Kneser-Ney: raw counts at the top order, numbers of left continuations below.
+
+    Discounts and totals come of all counts. Of an order with more than max_ngrams the rarest aren't stored: what
+    they had above their back-off goes to the context's back-off weight, so that its probabilities still add up to 1.
+    """
+    types = {ORDER: windows_of(texts)}
     for n in range(ORDER - 1, 0, -1):
         above = types[n + 1][0]
-        _, first, count = np.unique(hashes[n][above], return_index=True, return_counts=True)
+        _, first, count = np.unique(_window_hashes(above, n), return_index=True, return_counts=True)
         types[n] = (above[first], count)
     grams, logps, ctxs, logbs = [], [], [], []
     lower_keys, lower_p = np.zeros(0, np.uint64), np.zeros(0)
     for n in range(1, ORDER + 1):
-        at, count = types[n]
-        if n == ORDER and len(at) > bounds.max_ngrams:
-            keep = np.argsort(-count, kind="stable")[: bounds.max_ngrams]
-            at, count = at[keep], count[keep]
+        windows, count = types[n]
         d = _discount(count)
-        ctx = hashes[n - 1][at - 1] if n > 1 else np.zeros(len(at), np.uint64)
-        ctx_key, inverse, kinds = np.unique(ctx, return_inverse=True, return_counts=True)
+        keys = _window_hashes(windows, n)
+        # The context is the n - 1 characters before the last one.
+        shifted = np.concatenate([np.zeros((len(windows), 1), np.uint32), windows[:, :-1]], axis=1)
+        ctx = _window_hashes(shifted, n - 1) if n > 1 else np.zeros(len(windows), np.uint64)
+        ctx_key, inverse = np.unique(ctx, return_inverse=True)
         total = np.bincount(inverse, weights=count, minlength=len(ctx_key))
-        back = d * kinds / np.maximum(total, 1)
-        if n == 1:
-            below = np.full(len(at), 1.0 / ALPHABET)
-        else:
-            below = lower_p[np.searchsorted(lower_keys, hashes[n - 1][at])]
-        p = (count - d) / total[inverse] + back[inverse] * below
-        key = hashes[n][at]
-        order = np.argsort(key)
-        lower_keys, lower_p = key[order], p[order]
-        grams.append(lower_keys)
-        logps.append(np.log2(lower_p))
-        ctxs.append(ctx_key)
-        logbs.append(np.log2(back))
+        kept = np.ones(len(count), bool)
+        if len(count) > max_ngrams:
+            kept[np.argsort(-count, kind="stable")[max_ngrams:]] = False
+        own = np.where(kept, (count - d) / total[inverse], 0.0)
+        back = 1.0 - np.bincount(inverse, weights=own, minlength=len(ctx_key))
+        below = np.full(len(count), 1.0 / ALPHABET) if n == 1 else lower_p[np.searchsorted(lower_keys, _window_hashes(windows, n - 1))]
+        p = own + back[inverse] * below
+        order = np.argsort(keys)
+        lower_keys, lower_p = keys[order], p[order]
+        grams.append(keys[kept])
+        logps.append(np.log2(p[kept]))
+        used = np.bincount(inverse[kept], minlength=len(ctx_key)) > 0  # others back off whole
+        ctxs.append(ctx_key[used])
+        logbs.append(np.log2(back[used]))
     gram_keys, ctx_keys = np.concatenate(grams), np.concatenate(ctxs)
     g, c = np.argsort(gram_keys), np.argsort(ctx_keys)
-    model = Model(lang, gram_keys[g], np.concatenate(logps)[g].astype(np.float32), ctx_keys[c], np.concatenate(logbs)[c].astype(np.float32), 0.0, 0.0, 0.0)
+    return Model(lang, gram_keys[g], np.concatenate(logps)[g].astype(np.float32), ctx_keys[c], np.concatenate(logbs)[c].astype(np.float32), 0.0, 0.0, 0.0)
+
+
+def fit(lang: str, texts: list[str], max_ngrams: int) -> Model:
+    """A model of the texts that calibrates its rejection on texts it wasn't fitted to.
+
+    Of ten texts or more a fifth is held out. Of fewer, each half in turn is scored by a model of the other half,
+    and the model is that of all. A language with a single text rejects nothing.
+    """
+    if len(texts) >= 10:
+        train, parts = [t for i, t in enumerate(texts) if i % 5], [texts[::5]]
+        model = estimate(lang, train, max_ngrams)
+        scorers = [Scorer([model])]
+    else:
+        parts = [texts[::2], texts[1::2]]
+        model = estimate(lang, texts, max_ngrams)
+        scorers = [Scorer([estimate(lang, part, max_ngrams)]) for part in reversed(parts)] if len(texts) > 1 else []
     per_text, sizes, spread = [], [], []
-    scorer = Scorer([model])
-    for text in held:
-        logp = scorer.per_char([text])
-        if len(logp):
-            per_text.append(-float(logp.mean()))
-            sizes.append(len(logp))
-            spread.append(float(logp.var()))
+    for scorer, part in zip(scorers, parts, strict=False):
+        for text in part:
+            logp = scorer.per_char([text])
+            if len(logp):
+                per_text.append(-float(logp.mean()))
+                sizes.append(len(logp))
+                spread.append(float(logp.var()))
+    model.mean = float("inf")
     if per_text:
         h, w = np.array(per_text), np.array(sizes, dtype=float)
         model.mean = float(np.average(h, weights=w))
         model.within = float(np.average(spread, weights=w))
         model.between = float(max(0.01, np.average((h - model.mean) ** 2, weights=w)))
+        model.z = float(((h - model.mean) / np.sqrt(model.between + model.within / w)).max())
     return model
 
 
@@ -248,7 +290,8 @@ class Scorer:
 def judge(scorer: Scorer, texts: list[str], z: float) -> list[tuple[str, float, bool, float]]:
     """(language, score, rejected, cross-entropy) of each text.
 
-    score is the winner's share of 2 ** (-H * 12) over the languages: twelve characters' worth of evidence.
+    score is the winner's share of 2 ** (-H * 12) over the languages: twelve characters' worth of evidence. The limit
+    of the rejection is z standard deviations, or what a quarter more than the farthest held-out text needs.
     """
     sums, sizes = scorer.totals(texts)
     out = []
@@ -260,7 +303,7 @@ def judge(scorer: Scorer, texts: list[str], z: float) -> list[tuple[str, float,
         best = int(np.argmin(h))
         model = scorer.models[best]
         share = 1.0 / float(np.exp2(-12.0 * (h - h[best])).sum())
-        limit = model.mean + z * float(np.sqrt(model.between + model.within / n))
+        limit = model.mean + max(z, 1.25 * model.z) * float(np.sqrt(model.between + model.within / n))
         out.append((model.lang, share, bool(h[best] > limit), float(h[best])))
     return out
 
@@ -270,40 +313,39 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, bounds: TrainingBounds = TrainingBounds()) -> list[Model]:
-    """Models of all languages in ``docs`` (doc_id, text, lang), each fitted in one task on its bounded sample.
+    """Models of the languages in ``docs`` (doc_id, text, lang), each fitted in one task on its bounded sample.
 
-    The sample: per language the docs_per_lang texts of at most max_chars characters with the
-    smallest hash of doc_id. Ids are chosen first, among hashes below a limit that follows from the
-    language's number of texts, so that a task ranks few at any corpus size; the texts of the chosen
-    are then picked in a second scan.
+    The sample: per language the docs_per_lang rows with the smallest hash of doc_id and text, repeated rows once.
+    Hashes are chosen first, among those below a limit that follows from the language's number of different rows, so that
+    a task ranks few at any corpus size; the texts of the chosen are then picked in a second scan.
     """
-    usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= bounds.max_chars))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).limit(bounds.max_langs + 1).collect()
-    if len(counts) > bounds.max_langs:
-        raise ValueError(f"more than {bounds.max_langs} languages")
+    prepare(docs.sparkSession)
+    mark = F.pmod(F.xxhash64("doc_id", "text"), F.lit(HASHES))
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", mark.alias("mark"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("mark").alias("n")).orderBy(F.col("rows").desc(), "lang").limit(bounds.max_langs).collect()
     if not counts:
         return []
     spark = docs.sparkSession
-    # Hashes below a limit are four times what is wanted; of these the smallest are taken.
-    limits = spark.createDataFrame([(r["lang"], min(HASHES, 4 * bounds.docs_per_lang * HASHES // r["n"])) for r in counts], "lang string, below long")
-    mark = F.pmod(F.xxhash64("doc_id"), F.lit(HASHES))
-    few = usable.select("lang", "doc_id", mark.alias("mark")).join(F.broadcast(limits), "lang").where(F.col("mark") < F.col("below"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_id"))
-    ids = few.withColumn("r", rank).where(F.col("r") <= bounds.docs_per_lang).select("lang", "doc_id").distinct()
-    sample = usable.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi")
+    # Hashes below a limit are four times what is wanted; of these the smallest are taken. A language with few texts has no limit.
+    limits = spark.createDataFrame([(r["lang"], min(HASHES, 4 * bounds.docs_per_lang * HASHES // max(1, r["n"]))) for r in counts], "lang string, below long")
+    few = usable.select("lang", "mark").join(F.broadcast(limits), "lang").where(F.col("mark") < F.col("below")).select("lang", "mark").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    chosen = few.withColumn("r", rank).where(F.col("r") <= bounds.docs_per_lang).select("lang", "mark")
+    # At most max_langs x docs_per_lang marks. Repeated rows fold before the shuffle.
+    sample = usable.join(F.broadcast(chosen), ["lang", "mark"], "left_semi").groupBy("lang", "mark").agg(F.min("text").alias("text"))
+    share = max(1, min(bounds.max_ngrams, bounds.all_ngrams // len(counts)))
 
     def fit_one(key, frame):
         import pandas as pd
 
-        frame = frame.sort_values(["doc_id", "text"]).head(bounds.docs_per_lang)
-        m = fit(key[0], [t for t in frame["text"] if t], bounds)
-        row = [m.lang, m.gram_keys.tobytes(), m.gram_logp.tobytes(), m.ctx_keys.tobytes(), m.ctx_logb.tobytes(), m.mean, m.between, m.within]
-        return pd.DataFrame([row], columns=["lang", "gk", "gp", "ck", "cb", "mean", "between", "within"])
+        m = fit(key[0], list(frame.sort_values("mark")["text"]), share)
+        row = [m.lang, m.gram_keys.tobytes(), m.gram_logp.tobytes(), m.ctx_keys.tobytes(), m.ctx_logb.tobytes(), m.mean, m.between, m.within, m.z]
+        return pd.DataFrame([row], columns=["lang", "gk", "gp", "ck", "cb", "mean", "between", "within", "z"])
 
-    schema = "lang string, gk binary, gp binary, ck binary, cb binary, mean double, between double, within double"
-    rows = sample.groupBy("lang").applyInPandas(fit_one, schema).collect()  # at most max_langs models of bounded size
+    schema = "lang string, gk binary, gp binary, ck binary, cb binary, mean double, between double, within double, z double"
+    rows = sample.groupBy("lang").applyInPandas(fit_one, schema).collect()  # at most all_ngrams n-grams of each order
     models = [
-        Model(r["lang"], np.frombuffer(r["gk"], np.uint64), np.frombuffer(r["gp"], np.float32), np.frombuffer(r["ck"], np.uint64), np.frombuffer(r["cb"], np.float32), r["mean"], r["between"], r["within"])
+        Model(r["lang"], np.frombuffer(r["gk"], np.uint64), np.frombuffer(r["gp"], np.float32), np.frombuffer(r["ck"], np.uint64), np.frombuffer(r["cb"], np.float32), r["mean"], r["between"], r["within"], r["z"])
         for r in rows
     ]
     return sorted((m for m in models if len(m.gram_keys)), key=lambda m: m.lang)
@@ -312,13 +354,13 @@ def train(docs: DataFrame, bounds: TrainingBounds = TrainingBounds()) -> list[Mo
 CHUNK_CHARS = 400_000
 
 
-def _chunks(texts) -> Iterator[list[str]]:
-    """Runs of the texts of an Arrow column, of about CHUNK_CHARS characters."""
+def _runs(texts, chars: int) -> Iterator[list[str]]:
+    """Runs of the texts of about so many characters."""
     run, size = [], 0
     for text in texts:
-        run.append(text.as_py() or "")
-        size += len(run[-1])
-        if size >= CHUNK_CHARS:
+        run.append(text)
+        size += len(text)
+        if size >= chars:
             yield run
             run, size = [], 0
     if run:
@@ -328,6 +370,7 @@ def _chunks(texts) -> Iterator[list[str]]:
 def identify(docs: DataFrame, models: list[Model], keep: list[str], z: float = 8.0) -> DataFrame:
     """The columns ``keep`` of docs, then lang_pred, score, rejected, cross_entropy."""
     spark = docs.sparkSession
+    prepare(spark)
     packed = spark.sparkContext.broadcast(models)
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean").add("cross_entropy", "double")
 
@@ -335,7 +378,7 @@ def identify(docs: DataFrame, models: list[Model], keep: list[str], z: float = 8
         scorer = Scorer(packed.value)
         for batch in batches:
             found: list = []
-            for part in _chunks(batch.column("text")):
+            for part in _runs((t.as_py() or "" for t in batch.column("text")), CHUNK_CHARS):
                 found += judge(scorer, part, z)
             cols = [batch.column(name) for name in keep] + [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "rejected", "cross_entropy"])

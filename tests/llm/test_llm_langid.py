@@ -1,6 +1,8 @@
 """op10: probabilities that add up, accuracy on what wasn't learned, rejection, awkward rows."""
 
+import math
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -12,7 +14,7 @@ DIR = "/root/testdata/sf0.01"
 
 
 def test_probabilities_add_up():
-    model = langid.fit("x", ["abab ba cab", "abc cab bab"] * 6, langid.TrainingBounds())
+    model = langid.fit("x", ["abab ba cab", "abc cab bab"] * 6, 10**6)
     scorer = langid.Scorer([model])
     for context in ("    ", "abab", "zzzz", " cab"):
         windows = np.array([[ord(c) for c in context] + [x] for x in {ord(c) for c in "abc z"}], dtype=np.uint32)
@@ -24,8 +26,83 @@ def test_probabilities_add_up():
     assert mass + unseen == pytest.approx(1.0, abs=1e-3)
 
 
+def plain_kneser_ney(texts):
+    """P(character | the four before it) by the textbook, in dictionaries."""
+    padded = ["    " + t for t in texts]
+    counts = {5: Counter(t[i - 4 : i + 1] for t in padded for i in range(4, len(t)))}
+    for n in range(4, 0, -1):
+        counts[n] = Counter(gram[1:] for gram in counts[n + 1])  # one for each different character on the left
+    discounts = {}
+    for n, own in counts.items():
+        once, twice = (sum(c == k for c in own.values()) for k in (1, 2))
+        discounts[n] = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
+
+    def p(gram):
+        if not gram:
+            return 1 / langid.ALPHABET
+        n = len(gram)
+        after = {g: c for g, c in counts[n].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return p(gram[1:])
+        total, d = sum(after.values()), discounts[n]
+        return max(0, after.get(gram, 0) - d) / total + d * len(after) / total * p(gram[1:])
+
+    return p
+
+
+def test_against_a_plain_kneser_ney():
+    texts = ["the cat sat on the mat", "a cat and a hat", "that hat sat", "on and on the cat", "hätte", "the"]
+    model = langid.estimate("x", texts, 10**6)
+    p = plain_kneser_ney(texts)
+    for text in ["the hat on the cat", "zebra cat", "ab", "a", "häta the"]:
+        padded = "    " + text
+        want = [math.log2(p(padded[i - 4 : i + 1])) for i in range(4, len(padded))]
+        assert langid.Scorer([model]).per_char([text]) == pytest.approx(want, abs=1e-4)
+
+
+def test_cut_models_still_add_up():
+    """The rarest n-grams of an order give what they had to the back-off."""
+    texts = ["abab ba cab cc", "abc cab bab aab", "ccb"]
+    for most in (1, 3, 8):
+        model = langid.estimate("x", texts, most)
+        scorer = langid.Scorer([model])
+        assert len(model.gram_keys) <= 5 * most
+        for context in ("    ", "abab", " cab", "zzzz"):
+            rows = [[ord(c) for c in context] + [ord(x)] for x in "abc "] + [[ord(c) for c in context] + [0x1234]]
+            prob = np.exp2(scorer._look_up(np.array(rows, dtype=np.uint32))[:, 0].astype(float))
+            assert prob[:4].sum() + prob[4] * (langid.ALPHABET - 4) == pytest.approx(1.0, abs=1e-3)
+
+
+def test_texts_are_counted_in_runs(monkeypatch):
+    texts = ["the cat sat on the mat", "a cat", "", "on the mat a cat sat"] * 3
+    whole = langid.estimate("x", texts, 10**6)
+    monkeypatch.setattr(langid, "FIT_CHARS", 7)
+    parts = langid.estimate("x", texts, 10**6)
+    assert (whole.gram_keys == parts.gram_keys).all() and whole.gram_logp == pytest.approx(parts.gram_logp)
+
+
+def test_no_language_is_lost(spark):
+    """Rows without an id, long texts, and copies without number hide no language; too many labels are no crash."""
+    schema = "doc_id long, text string, lang string"
+    rows = [(None, f"the cat {i}", "en") for i in range(500)] + [(i, f"le chat {'abcdefgh'[i % 8]}", "fr") for i in range(300)]
+    assert [m.lang for m in langid.train(spark.createDataFrame(rows, schema))] == ["en", "fr"]
+    rows = [(i, "xyz zyx " * 4000, "xx") for i in range(20)] + [(i, f"le chat {'abcdefgh'[i % 8]}", "fr") for i in range(300)]
+    assert [m.lang for m in langid.train(spark.createDataFrame(rows, schema))] == ["fr", "xx"]
+    bounds = langid.TrainingBounds(docs_per_lang=2, max_langs=3)
+    rows = [(1, "der hund", "de")] * 5000 + [(i, f"der hund {'abc'[i % 3]}", "de") for i in range(2, 5)] + [(i, "ab", f"l{i % 9}") for i in range(40)]
+    learned = Counter(lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2)
+    most = sorted(learned, key=lambda x: (-learned[x], x))[:3]
+    assert "de" in most and [m.lang for m in langid.train(spark.createDataFrame(rows, schema), bounds)] == sorted(most)
+
+
+def test_one_text_calibrates_no_rejection():
+    alone, two = langid.fit("x", ["abc abc"], 100), langid.fit("y", ["abc abc", "abd abd"], 100)
+    assert alone.mean == float("inf") and 0 < two.mean < 20
+    assert not langid.judge(langid.Scorer([alone]), ["qqq"], 8.0)[0][2]
+
+
 def test_totals_do_not_depend_on_the_batch():
-    model = langid.fit("x", ["the cat sat on the mat", "a dog and the cat"] * 8, langid.TrainingBounds())
+    model = langid.fit("x", ["the cat sat on the mat", "a dog and the cat"] * 8, 10**6)
     texts = ["The cat!", "", "123", "zebra the", "the  cat\nsat"]
     together, sizes = langid.Scorer([model]).totals(texts)
     alone = [langid.Scorer([model]).totals([t])[0][0, 0] for t in texts]
