@@ -21,6 +21,7 @@ no rows give no rows; other columns never matter.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import cut
+from linkloom.llm.common import cut, prepare
 
 CAPACITY = 1024
 END = 2
 VOCABULARY = "byte_bpe_50k"
+GROUPS = 512  # fewer than the lengths there can be: one length of three gets rounded up
+MAX_PLAN = 1_000_000  # rows of a plan; what lengths a capacity allows bounds them, whatever the corpus
 
 
 @dataclass(frozen=True)
@@ -129,7 +132,7 @@ def _place(runs: dict[int, list[Run]], length: int, count: int, rank: int, capac
         count, rank = count - run.times, rank + run.times
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, n_groups: int = 1024, small: int | None = None) -> list[Run]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, n_groups: int = GROUPS, small: int | None = None) -> list[Run]:
     """Runs that hold every piece once. ``small``: lengths up to it are best-fitted at the end (a quarter of the capacity)."""
     small = capacity // 4 if small is None else small
     ranks = dict.fromkeys(histogram, 0)
@@ -200,19 +203,22 @@ def lookup(runs: list[Run]) -> dict[str, np.ndarray]:
 
 
 class Encoder:
-    """Ids of byte_bpe_50k.json. Its ranks in tiktoken's form give the same ids (a test holds them to
-    the tokenizers library) at several times the speed; strings of special tokens are ordinary text."""
+    """Ids of the tokenizers file ``name``.json, its added tokens included. Its ranks in tiktoken's form give the
+    same ids (a test holds them to the tokenizers library) at several times the speed."""
 
     def __init__(self, name: str = VOCABULARY):
         import public_tokenizers
         import tiktoken
 
+        with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f)}
-        self.encoding = tiktoken.Encoding("linkloom", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranks = {token: rank for token, rank in ranks.items() if rank not in added.values()}
+        self.encoding = tiktoken.Encoding("linkloom", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def ids(self, text: str | None) -> np.ndarray:
-        return np.append(np.array(self.encoding.encode_ordinary(text or ""), dtype=np.uint32), np.uint32(END))
+        return np.append(np.array(self.encoding.encode(text or "", allowed_special="all"), dtype=np.uint32), np.uint32(END))
 
 
 def cut_up(n: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -250,12 +256,16 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) ->
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, n_groups: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, n_groups: int = GROUPS) -> DataFrame:
     """The pieces with sequence_id and offset."""
+    prepare(docs.sparkSession)
     cutted = cut(pieces(docs, capacity, with_ids)).withColumn("_part", F.spark_partition_id())
     counts = cut(cutted.groupBy("_part", "length").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    runs = cutted.sparkSession.sparkContext.broadcast(lookup(plan(histogram, capacity, n_groups)))
+    table = lookup(plan(histogram, capacity, n_groups))
+    if len(table["key"]) > MAX_PLAN:
+        raise RuntimeError(f"a plan of {len(table['key'])} rows for capacity {capacity}")
+    runs = cutted.sparkSession.sparkContext.broadcast(table)
     # Rank among the pieces of a length: those of earlier partitions, then those before it in its own. The
     # partitions are files by now, so neither number changes if a task runs again.
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

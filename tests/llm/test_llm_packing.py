@@ -13,19 +13,22 @@ from linkloom.llm import packing
 
 def reference_ids(text):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, packing.END]
 
 
 def test_ids_are_those_of_the_tokenizers_file():
     encoder = packing.Encoder()
     rng = random.Random(4)
-    texts = ["", None, "Hello  world\n\n\tx", "naïve café ümlaut 漢字 𝄞 \x00\x7f", "it's we'll 12345 67", "<|endoftext|> x", "a" * 3000, "= = =   " * 40]
+    texts = ["", None, "Hello  world\n\n\tx", "naïve café ümlaut 漢字 𝄞 \x00\x7f", "it's we'll 12345 67", "<|endoftext|> x", "a <|endoftext|><|endoftext|>b <|endoftext|", "a" * 3000, "= = =   " * 40]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x2FFF), 10, 32])) for _ in range(200)) for _ in range(40)]
     for text in texts:
         assert encoder.ids(text).tolist() == reference_ids(text)
 
 
+def test_added_tokens():
+    assert packing.Encoder().ids("<|endoftext|> x").tolist() == [50256, 2124, 2]
+
+
 def test_pieces():
     assert list(packing.cut_up(1, 4)) == [(0, 1)] and list(packing.cut_up(4, 4)) == [(0, 4)]
     assert list(packing.cut_up(9, 4)) == [(0, 1), (1, 4), (5, 4)]
