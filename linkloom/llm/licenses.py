@@ -58,11 +58,28 @@ def _rule_table(rules: list[Rule]) -> str:
     return f"from_json({_quoted(json.dumps(rows))}, 'array<struct<o:int,p:int,l:string,k:string,r:string>>')"
 
 
+def _base_places(regex: str) -> str:
+    """n, first and last: how often a regex matches in ``norm``, and the words at which the first and last match begin."""
+    found, parts = f"regexp_extract_all(norm, {regex}, 0)", f"split(norm, {regex}, -1)"
+    last = f"{_spaces('norm')} - {_spaces('element_at(b.parts, -1)')} - {_spaces('element_at(b.found, -1)')}"
+    return f"transform(array(struct({found} AS found, {parts} AS parts)), b -> struct(size(b.found) AS n, {_spaces('b.parts[0]')} AS first, {last} AS last))[0]"
+
+
+def _running(numbers: str) -> str:
+    """Running sums of an array, by doubling: each round adds what stands 1, 2, 4, ... places before."""
+    rounds = f"sequence(0, greatest(0, cast(ceil(log2(size({numbers}) + 1)) AS int)))"
+    return f"aggregate({rounds}, {numbers}, (acc, k) -> transform(acc, (v, i) -> v + if(i >= shiftleft(1, k), acc[i - shiftleft(1, k)], 0)))"
+
+
 def _places(regex: str) -> str:
     """Array of (s, e): the intervals of words that a regex matches in ``norm``."""
     found, parts = f"regexp_extract_all(norm, {regex}, 0)", f"split(norm, {regex}, -1)"
-    step = f"(acc, m) -> struct(acc.i + 1 AS i, acc.at + {_spaces('acc.parts[acc.i]')} + {_spaces('m')} AS at, acc.parts AS parts, concat(acc.own, array(struct(acc.at + {_spaces('acc.parts[acc.i]')} AS s, acc.at + {_spaces('acc.parts[acc.i]')} + {_spaces('m')} AS e))) AS own)"
-    return f"aggregate({found}, struct(0 AS i, 0 AS at, {parts} AS parts, cast(array() AS array<struct<s:int,e:int>>) AS own), {step}, acc -> acc.own)"
+    # A match begins after the words of all parts and matches before it.
+    steps = f"transform(x.found, (m, i) -> struct({_spaces('x.parts[i]')} + if(i > 0, {_spaces('x.found[i - 1]')}, 0) AS step, {_spaces('m')} AS own))"
+    ends = "transform(y.steps, (z, i) -> struct(y.begins[i] AS s, y.begins[i] + z.own AS e))"
+    with_steps = f"transform(array(struct({found} AS found, {parts} AS parts)), x -> {steps})"
+    with_begins = f"transform({with_steps}, w -> struct(w AS steps, {_running('transform(w, z -> z.step)')} AS begins))"
+    return f"flatten(transform({with_begins}, y -> {ends}))"
 
 
 def _kept(matches: str) -> str:
@@ -90,7 +107,7 @@ def scan(docs: DataFrame, keep: list[str] = ["doc_id"], rules: list[Rule] = RULE
     rows = docs.select(*keep, F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.explode(F.array(norm)).alias("norm"))
     base = _quoted(BASE_PATTERN)
     one = lambda name, value: F.explode(F.array(F.expr(value))).alias(name)
-    rows = rows.select("*", one("_base", f"CASE WHEN norm IS NOT NULL AND norm RLIKE {base} THEN {_places(base)} END"))
+    rows = rows.select("*", one("_base", f"CASE WHEN norm IS NOT NULL AND norm RLIKE {base} THEN {_base_places(base)} END"))
     active = f"filter({_rule_table(rules)}, r -> contains(norm, concat(' ', r.k)))"
     matches = f"flatten(transform({active}, r -> transform({_places('r.r')}, y -> struct(y.s AS s, -y.e AS ne, -r.p AS np, r.o AS o, r.l AS l))))"
     rows = rows.select("*", one("_rules", f"CASE WHEN norm IS NOT NULL THEN {_kept(matches)} END"))
@@ -100,9 +117,9 @@ def scan(docs: DataFrame, keep: list[str] = ["doc_id"], rules: list[Rule] = RULE
     return rows.select(
         *keep,
         "n_words",
-        F.when(F.col("_base").isNull(), 0).otherwise(F.size("_base")).cast("long").alias("n_base"),
-        F.try_element_at("_base", F.lit(1))["s"].cast("long").alias("first_word"),
-        F.try_element_at("_base", F.lit(-1))["s"].cast("long").alias("last_word"),
+        F.coalesce("_base.n", F.lit(0)).cast("long").alias("n_base"),
+        F.col("_base.first").cast("long").alias("first_word"),
+        F.col("_base.last").cast("long").alias("last_word"),
         F.array_join(F.array_sort(own), ",").alias("base_labels"),
         F.array_join(all_labels, ",").alias("labels"),
         F.greatest(F.coalesce(F.col("_rules.score"), F.lit(0.0)), F.when(F.col("_base").isNotNull(), F.lit(SCORES[1])).otherwise(F.lit(0.0))).alias("score"),

@@ -1,6 +1,8 @@
 """op4 against a plain reading, and its rules against each other."""
 
 import re
+import time
+from itertools import accumulate
 
 from linkloom.llm import licenses
 from linkloom.llm.license_rules import RULES, Rule
@@ -46,6 +48,22 @@ def test_texts_match_brute_force(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_many_places_take_time_in_proportion(spark):
+    n = 200_000
+    df = spark.createDataFrame([(1, "mit license and " * n), (2, "gnu general public license, " * n)], "doc_id long, text string")
+    begin = time.monotonic()
+    one, two = sorted(licenses.scan(df).collect())
+    assert time.monotonic() - begin < 60
+    assert (one["n_base"], one["first_word"], one["last_word"], one["base_labels"]) == (n, 0, 3 * n - 3, "mit")
+    assert (two["n_base"], two["first_word"], two["last_word"], two["base_labels"]) == (n, 0, 4 * n - 4, "gpl")
+
+
+def test_running_sums(spark):
+    rows = [([],), ([5],), (list(range(1, 38)),), ([1] * 1000,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "v array<int>").selectExpr(licenses._running("v")).collect()]
+    assert got == [list(accumulate(v)) for (v,) in rows]
+
+
 def test_rules_are_many_and_gated():
     assert len(RULES) > 200
     gate = re.compile(licenses.prefilter(RULES))
