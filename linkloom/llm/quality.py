@@ -1,8 +1,9 @@
 """Quality rules: a base of word counts, and zstandard compression bands over whole texts and fixed chunks.
 
 A text passes the bands if its compression ratio (UTF-8 bytes over compressed bytes) lies
-within the limits for its length, and at most ``bad_share`` of its fixed chunks leave the
-chunk limits. A high ratio means repetition; a low one means encoded or random data.
+within the limits for its length, and at most ``bad_share`` of its bytes are in fixed chunks that
+leave theirs. What is left after the last full chunk is a chunk too, under the limits for its
+length. A high ratio means repetition; a low one means encoded or random data.
 
 Defined results: null text has no words and fails the base; empty text likewise; texts of
 any length are taken whole; repeated rows are judged alike; other columns never matter.
@@ -93,14 +94,20 @@ class Compressor:
     def ratio(self, data: bytes) -> float:
         return len(data) / len(self.zstd.compress(data)) if data else 1.0
 
+    def limits(self, n: int) -> tuple[float, float]:
+        return next((low, high) for below, low, high in self.bands.whole if n < below)
+
     def judge(self, data: bytes) -> tuple[float, float, bool]:
-        """Ratio of the whole, share of chunks outside the chunk limits, and whether the text passes."""
+        """Ratio of the whole, share of the bytes in chunks outside their limits, and whether the text passes."""
         whole = self.ratio(data)
-        low, high = next((lo, hi) for below, lo, hi in self.bands.whole if len(data) < below)
+        low, high = self.limits(len(data))
         step = self.bands.chunk_bytes
-        full = len(data) // step
-        bad = sum(not self.bands.chunk[0] <= self.ratio(data[i * step : (i + 1) * step]) <= self.bands.chunk[1] for i in range(full)) if full > 1 else 0
-        share = bad / full if full else 0.0
+        bad = 0
+        for at in range(0, len(data), step):
+            chunk = data[at : at + step]
+            least, most = self.bands.chunk if len(chunk) == step else self.limits(len(chunk))
+            bad += 0 if least <= self.ratio(chunk) <= most else len(chunk)
+        share = bad / len(data) if data else 0.0
         return whole, share, low <= whole <= high and share <= self.bands.bad_share
 
 

@@ -62,3 +62,44 @@ def test_chunks_reject_a_repetitive_half():
     prose = " ".join(f"{w}{i}" for i in range(1200) for w in ("alpha", "of", "beta"))
     assert judge(b"")[0] == 1.0
     assert not judge((prose[:6000] + "na " * 4000).encode())[2]
+
+
+def test_no_byte_escapes_the_chunks():
+    """The tail counts like any chunk, and short texts have chunks too."""
+    bands = quality.Bands()
+    judge = quality.Compressor(bands).judge
+    noise = os.urandom(40_000).hex().encode()
+    prose = open(__file__, "rb").read()
+    for good, bad in ((2048, 1500), (1000, 1900), (2048 * 3, 2000)):
+        whole, share, _ = judge(prose[:good] + noise[:bad])
+        want = plain(prose[:good] + noise[:bad], bands)
+        assert (whole, share) == (want[0], want[1])
+    assert judge(prose[:2048] + b"na " * 500)[1] > 0.4 and not judge(prose[:2048] + b"na " * 500)[2]
+
+
+def plain(data, bands):
+    import zstandard
+
+    ratio = lambda b: len(b) / len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False).compress(b))
+    row = lambda n: [(lo, hi) for below, lo, hi in bands.whole if n < below][0]
+    if not data:
+        return 1.0, 0.0, True
+    parts = [data[i : i + 2048] for i in range(0, len(data), 2048)]
+    limits = [bands.chunk if len(p) == 2048 else row(len(p)) for p in parts]
+    bad = sum(len(p) for p, (lo, hi) in zip(parts, limits, strict=True) if not lo <= ratio(p) <= hi)
+    lo, hi = row(len(data))
+    return ratio(data), bad / len(data), lo <= ratio(data) <= hi and bad / len(data) <= 0.3
+
+
+def test_verdicts_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    kept = 0
+    for r in quality.assess(docs).collect():
+        text = texts[r["doc_id"]]
+        n, *_, repeated = brute(text) if len(text) < 4000 else counts(text)
+        failed = n < 20 or 100 * repeated > 30 * n
+        whole, share, good = plain(text.encode(), quality.Bands())
+        assert (r["base_failed"], r["kept"], r["ratio"], r["bad_chunks"]) == (failed, good and not failed, whole, share)
+        kept += r["kept"]
+    assert kept > 0.6 * len(texts)
