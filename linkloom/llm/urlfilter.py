@@ -2,9 +2,10 @@
 
 In DataFrame functions alone. The filter is a table of blocks of 512 bits; a URL's hash names its
 block and one bit in each of the block's eight words, so a probe is one hash join on the
-block's number. The number of blocks is a power of two, at most ``MAX_BLOCKS``, which bounds the table
-(72 bytes a row) whatever the length of the list; beyond it only more URLs pass. What passes
-goes to a hash join with the exact list, which removes false positives; the rest is done.
+block's number. The number of blocks is a power of two that follows the length of the list. Up to
+``MAX_SENT`` blocks (of 72 bytes) go to all tasks, more are joined by shuffle. What passes
+goes to a hash join with the exact list, which removes false positives; the rest is done. Rows that
+a rule decides ask neither. Rows of one URL are dealt to parts in either join.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits no rule and is
 never listed; repeated rows are judged alike; empty tables give none; other columns never matter.
@@ -15,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import cut
+from linkloom.llm.common import cut, join_split
 
 #: (rule, verdict); longest first.
 RULES = (("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), ("net/", "block"))
 TRACKING = "^(utm_[^=]*|ref|fbclid|gclid|msclkid|mc_eid)(=|$)"
-MAX_BLOCKS = 1 << 16
+MAX_SENT = 1 << 16
 URLS_PER_BLOCK = 40  # about 13 bits a URL
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,7 +54,7 @@ def canonical(url: Column) -> Column:
 
 
 def _block(url: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(url), F.lit(blocks)).cast("int")
+    return F.pmod(F.xxhash64(url), F.lit(blocks))
 
 
 def _bit(url: Column, word: int) -> Column:
@@ -65,7 +66,7 @@ def build_filter(listed: DataFrame) -> tuple[DataFrame, int]:
     """Blocks (block, w0..w7) of the URLs in ``canonical_url``, and the number of blocks."""
     n = listed.count()
     blocks = 1
-    while blocks * URLS_PER_BLOCK < n and blocks < MAX_BLOCKS:
+    while blocks * URLS_PER_BLOCK < n:
         blocks *= 2
     url = F.col("canonical_url")
     one = F.lit(1).cast("long")
@@ -86,19 +87,19 @@ def judge(pages: DataFrame, listed: DataFrame, keep: list[str] = ["page_id"]) ->
     url = F.col("url")
     rows = pages.select(*keep, host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical_url"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path")))
-    # Rows that a rule decides ask no filter.
-    asked = F.when(F.col("rule").isNull(), F.col("canonical_url"))
-    rows = rows.withColumn("canonical_url", asked).withColumn("block", F.coalesce(_block(asked, blocks), F.lit(-1)))
-    probed = rows.join(F.broadcast(table), "block", "left")  # at most MAX_BLOCKS rows
+    open_ = F.col("rule").isNull() & F.col("canonical_url").isNotNull()
+    out = [*keep, "host", "path", "rule"]
+    decided = rows.where(~open_).select(*out, F.lit(False).alias("listed"))
+    asked = rows.where(open_).withColumn("block", _block(F.col("canonical_url"), blocks))
     bits = [F.call_function("getbit", F.col(f"w{i}"), _bit(F.col("canonical_url"), i)) == 1 for i in range(8)]
     passes = bits[0]
     for b in bits[1:]:
         passes = passes & b
-    probed = probed.withColumn("passes", F.coalesce(passes & F.col("canonical_url").isNotNull(), F.lit(False)))
-    out = [*keep, "host", "path", "rule"]
-    possible = probed.where("passes").select(*out, "canonical_url").join(listed.select("canonical_url", F.lit(True).alias("listed")), "canonical_url", "left")
-    done = probed.where("NOT passes").select(*out, F.lit(False).alias("listed"))
-    both = possible.select(*out, F.coalesce("listed", F.lit(False)).alias("listed")).unionByName(done)
+    probed = asked.join(F.broadcast(table), "block", "left") if blocks <= MAX_SENT else join_split(asked, table, ["block"], keep)
+    probed = probed.select(*out, "canonical_url", F.coalesce(passes, F.lit(False)).alias("passes"))
+    exact = join_split(probed.where("passes").drop("passes"), listed.select("canonical_url", F.lit(True).alias("listed")), ["canonical_url"], keep)
+    both = exact.select(*out, F.coalesce("listed", F.lit(False)).alias("listed"))
+    both = both.unionByName(probed.where("NOT passes").select(*out, F.lit(False).alias("listed"))).unionByName(decided)
     verdict = F.when(F.col("listed"), "block").otherwise("allow")
     for rule, said in RULES:
         verdict = F.when(F.col("rule") == rule, said).otherwise(verdict)
