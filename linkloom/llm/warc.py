@@ -2,13 +2,14 @@
 
 A revisit is matched, by canonical URL, with the latest full response strictly before it (of those at one time,
 the one with the largest record_id). If the validators agree, the response's headers are merged with those that a
-304 may update. The as-of join is a window over both kinds of records in slices of time: within
-a slice a running last value, and the last response of earlier slices carried in by a join; so a URL
-with a large share of all records is spread over its slices.
+304 may update. The as-of join runs over moments, the distinct times of a URL: a running last value over the moments
+of a slice of time (at most ``slice_seconds`` of them), and over slices what the last one leaves. So no window
+grows with the records of a URL, and the revisits of one moment are dealt to parts when they get its response.
 
 Defined results: a null or unparsable URL resolves to no response; a revisit without validators is accepted and
 marked ``unchecked``; repeated records are resolved each on its own, alike; records of null time resolve to no
-response and serve none; no rows give no rows; other columns never matter.
+response and serve none; of header names that differ in case alone the one first in code point order counts; a
+null header value is an empty one; no rows give no rows; other columns never matter.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import join_split
 from linkloom.llm.urlfilter import canonical
 
 #: Header fields that a 304 response may carry to update what is stored.
@@ -28,11 +30,18 @@ def weak(etag: Column) -> Column:
     return F.regexp_replace(etag, "^W/", "")
 
 
+def lower_names(headers: Column) -> Column:
+    """Header fields with names in lower case; of names that become equal, the first in code point order stays."""
+    entries = F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))))
+    names = F.transform(entries, lambda e: F.lower(e["key"]))
+    first = F.filter(entries, lambda e, i: F.array_position(names, F.lower(e["key"])) == i + 1)
+    return F.map_from_entries(F.transform(first, lambda e: F.struct(F.lower(e["key"]), F.coalesce(e["value"], F.lit("")))))
+
+
 def merged(stored: Column, fresh: Column) -> Column:
     """Stored header fields, updated by the permitted ones of the revisit; names in lower case."""
-    lower = lambda m: F.transform_keys(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
-    update = F.map_filter(lower(fresh), lambda k, _: k.isin(*PERMITTED))
-    kept = F.map_filter(lower(stored), lambda k, _: ~F.array_contains(F.map_keys(update), k))
+    update = F.map_filter(lower_names(fresh), lambda k, _: k.isin(*PERMITTED))
+    kept = F.map_filter(lower_names(stored), lambda k, _: ~F.map_contains_key(update, k))
     return F.map_concat(kept, update)
 
 
@@ -51,16 +60,18 @@ def resolve(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame
     rows = records.where(F.col("kind").isin("response", "revisit")).select("record_id", canonical(F.col("url")).alias("canonical_url"), "ts", "kind", "etag", "last_modified", "headers")
     known = rows.where("canonical_url IS NOT NULL AND ts IS NOT NULL").withColumn("slice", F.floor(F.col("ts") / slice_seconds))
     own = F.struct("record_id", "ts", "etag", "last_modified", "headers")
-    by = ["canonical_url", "slice"]
-    latest = known.where(is_response).groupBy(*by).agg(F.max_by(own, F.struct("ts", "record_id")).alias("latest"))
-    # A slice with revisits alone needs a row too, to look back from.
-    slices = known.where(~is_response).select(*by).distinct().join(latest, by, "full")
+    moment = ["canonical_url", "slice", "ts"]
+    latest = known.where(is_response).groupBy(*moment).agg(F.max_by(own, "record_id").alias("latest"))
+    asked = known.where(~is_response).drop("kind")
+    # A moment with revisits alone needs a row too, to look back from.
+    moments = asked.select(*moment).distinct().join(latest, moment, "full")
+    before = Window.partitionBy("canonical_url", "slice").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    seen = moments.withColumn("found", F.last("latest", ignorenulls=True).over(before))
+    slices = moments.groupBy("canonical_url", "slice").agg(F.max_by("latest", F.when(F.col("latest").isNotNull(), F.col("ts"))).alias("latest"))
     earlier = Window.partitionBy("canonical_url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slices.select(*by, F.last("latest", ignorenulls=True).over(earlier).alias("carried"))
-    # At one time revisits come first, so that only strictly earlier responses are seen; the largest record_id comes last.
-    within = Window.partitionBy(*by).orderBy("ts", is_response, "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = known.withColumn("found", F.last(F.when(is_response, own), ignorenulls=True).over(within)).where(~is_response)
-    met = seen.join(carried, by, "left").withColumn("found", F.coalesce("found", "carried"))
+    carried = slices.select("canonical_url", "slice", F.last("latest", ignorenulls=True).over(earlier).alias("carried"))
+    seen = seen.join(carried, ["canonical_url", "slice"]).select(*moment, F.coalesce("found", "carried").alias("found"))
+    met = join_split(asked, seen, moment, ["record_id"])
     lost = rows.where("kind = 'revisit' AND (canonical_url IS NULL OR ts IS NULL)").withColumn("found", F.lit(None).cast(met.schema["found"].dataType))
     cols = ["record_id", "canonical_url", "ts", "etag", "last_modified", "headers", "found"]
     both = met.select(*cols).unionByName(lost.select(*cols))

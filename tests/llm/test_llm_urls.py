@@ -1,5 +1,6 @@
 """op7 and op8: rules, canonical URLs, the filter, and revisits."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from linkloom.llm import urlfilter, warc
@@ -36,16 +37,33 @@ def test_rules_and_list(spark):
     assert urlfilter.judge(pages, urlfilter.listed_urls(none)).where("listed").count() == 0
 
 
-def test_filter_has_no_false_negative(spark):
+@pytest.mark.parametrize("sent", [urlfilter.MAX_SENT, 1])
+def test_filter_has_no_false_negative(spark, monkeypatch, sent):
+    monkeypatch.setattr(urlfilter, "MAX_SENT", sent)  # blocks beyond it are joined by shuffle
     pages = spark.range(4000).selectExpr("id AS page_id", "concat('http://h', id % 50, '.example.org/p/', id % 3000) AS url")
     listed = pages.where("page_id % 3 = 0").select(urlfilter.canonical(pages.url).alias("canonical_url")).distinct()
     exact = {r[0] for r in listed.collect()}
     table, blocks = urlfilter.build_filter(listed)
-    assert table.count() <= blocks <= urlfilter.MAX_BLOCKS
+    assert table.count() <= blocks == 32
     out = urlfilter.judge(pages, listed).join(pages, "page_id").select("listed", urlfilter.canonical(F.col("url")).alias("c")).collect()
     assert len(out) == 4000 and all(r["listed"] == (r["c"] in exact) for r in out)
 
 
+def test_one_url_on_most_rows(spark):
+    hot, other = "http://hot.org/a?utm_source=x", "http://cold.org/b"
+    pages = spark.range(3000).selectExpr("id AS page_id", f"if(id % 3 = 0, '{other}', '{hot}') AS url")
+    got = urlfilter.judge(pages, urlfilter.listed_urls(pages)).groupBy("host", "verdict").count().collect()
+    assert sorted(map(tuple, got)) == [("cold.org", "allow", 1000), ("hot.org", "block", 2000)]
+
+
+def test_sql(spark, oracle_rows):
+    from linkloom.llm import queries
+
+    for name in queries.ORACLES:
+        found, wanted = oracle_rows(queries.QUERIES[name], queries.ORACLES[name])
+        assert found == wanted, name
+
+
 RECORDS = "record_id string, url string, ts long, kind string, etag string, last_modified long, headers map<string,string>, found string"
 
 
@@ -67,6 +85,14 @@ def test_revisits(spark):
     assert warc.resolve(df.limit(0)).count() == 0
 
 
+def test_headers_of_one_name(spark):
+    """Names that differ in case alone, and null values, are no crash."""
+    stored = {"ETag": '"a"', "etag": '"b"', "Server": None, "X": "1", "x": "2"}
+    rows = [("r", "http://x.org/", 1, "response", '"a"', None, stored, ""), ("v", "http://x.org/", 2, "revisit", '"a"', None, {"DATE": "d1", "Date": "d2", "vary": None}, "")]
+    out = warc.resolve(spark.createDataFrame(rows, RECORDS)).first()
+    assert out["headers"] == 'date: d1; etag: "a"; server: ; vary: ; x: 1'
+
+
 def test_a_hot_url_resolves_as_a_loop_does(spark):
     import random
 
