@@ -7,8 +7,8 @@ whole subtree, siblings take up a shortage before it reaches an ancestor. Each l
 then takes whole epochs of its documents and a prefix of one more, in an order seeded
 by epoch; the document at which the budget ends counts with the tokens that fit.
 
-Every step is an aggregation or a window. The prefix of a leaf, which may hold a third of all
-documents, is found in slices of its order: sums of slices first, then within slices.
+Every step is an aggregation or a window. A leaf may hold a third of all documents: its budget is joined to parts
+of them, and its prefix is found in slices of its order, sums of slices first, then within slices.
 
 Defined results: null and empty text has no tokens and is never selected; null lang or source
 is a leaf of its own (``null``); a repeated row (same doc_id, text, lang, source) counts
@@ -22,10 +22,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import cut
+from linkloom.llm.common import cut, join_split, spool
 
 NONE = "null"
-MAX_SENT = 20_000  # leaves whose budgets are sent to all tasks; more are joined by shuffle
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 @dataclass(frozen=True)
@@ -52,6 +52,14 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    parts = n + F.when(text.rlike("^" + SPACE), 2).otherwise(1)  # of a text that begins with blanks, the first part is empty
+    split = F.split(text, SPACE, parts.cast("int"))
+    rest = F.when(F.size(split) == parts, F.element_at(split, -1)).otherwise("")
+    return F.regexp_replace(text.substr(F.lit(1), F.length(text) - F.length(rest)), SPACE + "$", "")
+
+
 def _weight(name: Column, weights: dict[str, float], other: float) -> Column:
     out = F.lit(other)
     for key, value in sorted(weights.items()):
@@ -112,10 +120,10 @@ def mix(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:
     plan = plan.withColumn("epochs", full).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("supply"))
     # The order of the last epoch, in 4,096 slices.
     mark = F.md5(F.concat_ws("-", F.lit(targets.seed), "epochs", "doc_id"))
-    if leaves.limit(MAX_SENT + 1).count() <= MAX_SENT:
-        plan = F.broadcast(plan)
+    # Written, so that its size is known: Spark sends a small one to the rows.
+    rows = join_split(rows, spool(plan, "budgets"), LEAF, ["doc_id", "text_hash"], "inner")
     # Dealt by slice, not by leaf: what follows would otherwise keep the join's distribution, and a leaf in one task.
-    rows = rows.join(plan, LEAF).withColumn("_mark", mark).withColumn("_slice", F.substring("_mark", 1, 3)).repartition(*LEAF, "_slice")
+    rows = rows.withColumn("_mark", mark).withColumn("_slice", F.substring("_mark", 1, 3)).repartition(*LEAF, "_slice")
     sums = rows.groupBy(*LEAF, "_slice").agg(F.sum("n_tokens").alias("_sum"))
     earlier = Window.partitionBy(*LEAF).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*LEAF, "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
@@ -125,18 +133,29 @@ def mix(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:
     return rows.select("doc_id", "lang", "source", "text_hash", *LEAF, "n_tokens", "budget", "epochs", extra.cast("long").alias("extra_tokens"))
 
 
-def mixed_documents(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:
-    """The documents themselves, each as often as it is taken whole; columns as in docs."""
-    times = F.col("epochs") + (F.col("extra_tokens") == F.col("n_tokens")).cast("int")
-    chosen = mix(docs, targets).where("n_tokens > 0").select("doc_id", "lang", "source", "text_hash", times.alias("times")).where("times > 0")
+def mixed_documents(docs: DataFrame, targets: Targets = Targets(), length: str | None = None) -> DataFrame:
+    """The documents themselves, each as often as it is taken; columns as in docs.
+
+    What the prefix of the last epoch takes of the document at which it ends is a row with the text cut after so many
+    words (and their number of characters in the column ``length``, if one is named), so that the rows' tokens add
+    up to the budgets.
+    """
+    cut_off = (F.col("extra_tokens") > 0) & (F.col("extra_tokens") < F.col("n_tokens"))
+    whole = F.col("epochs") + F.when(F.col("extra_tokens") == F.col("n_tokens"), 1).otherwise(0)
+    # Of each row the number of words: null for all.
+    takes = F.concat(F.array_repeat(F.lit(None).cast("long"), whole.cast("int")), F.when(cut_off, F.array("extra_tokens")).otherwise(F.array().cast("array<bigint>")))
+    chosen = mix(docs, targets).where("n_tokens > 0").select("doc_id", "lang", "source", "text_hash", takes.alias("takes")).where(F.size("takes") > 0)
     own = F.struct(*docs.columns)  # so that no name of docs meets one of ours
     firsts = docs.select("doc_id", "lang", "source", F.xxhash64("text").alias("text_hash"), own.alias("own")).groupBy("doc_id", "lang", "source", "text_hash").agg(F.first("own").alias("own"))
     same = None
     for c in ("doc_id", "lang", "source", "text_hash"):
         here = F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}"))
         same = here if same is None else same & here
-    met = firsts.alias("d").join(chosen.alias("c"), same)
-    return met.select("own", F.explode(F.sequence(F.lit(1), "times"))).select("own.*")
+    met = firsts.alias("d").join(chosen.alias("c"), same).select("own", F.explode("takes").alias("take"))
+    text = F.when(F.col("take").isNull(), F.col("own.text")).otherwise(first_words(F.col("own.text"), F.col("take")))
+    met = met.select("own", text.alias("text"))
+    new = {"text": F.col("text")} | ({length: F.length("text").cast(docs.schema[length].dataType)} if length else {})
+    return met.select(*(new.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns))
 
 
 def report(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:

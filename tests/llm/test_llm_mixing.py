@@ -1,6 +1,9 @@
 """op6: budgets by hand and against a loop, selections as prefixes."""
 
 import hashlib
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from linkloom.llm import mixing
 
@@ -70,13 +73,26 @@ def test_mixed_documents_repeat_and_keep_columns(spark):
     df, rows = documents(spark)
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns
-    times = {(r["doc_id"], r["text"]): r["epochs"] + (r["extra_tokens"] == r["n_tokens"]) for r in mixing.mix(df).join(df.select("doc_id", "text").distinct(), "doc_id").collect() if r["n_tokens"]}
-    seen = {}
-    for r in out.collect():
-        seen[r["doc_id"], r["text"]] = seen.get((r["doc_id"], r["text"]), 0) + 1
-        assert tuple(r) in set(rows)
-    for key, n in times.items():
-        assert seen.get(key, 0) == n
+    expected = Counter()
+    text_of = {(r[0], mixing_hash): r for r, mixing_hash in ((tuple(r)[:-1], r["h"]) for r in df.withColumn("h", F.xxhash64("text")).collect())}
+    for r in mixing.mix(df).where("n_tokens > 0").collect():
+        own = text_of[r["doc_id"], r["text_hash"]]
+        expected[own] += r["epochs"] + (r["extra_tokens"] == r["n_tokens"])
+        if 0 < r["extra_tokens"] < r["n_tokens"]:
+            expected[own[0], " ".join(own[1].split()[: r["extra_tokens"]]), *own[2:]] += 1
+    got = Counter(map(tuple, out.collect()))
+    assert got == +expected
+    assert sum(len(r[1].split()) * n for r, n in got.items()) == sum(r["budget"] for r in mixing.mix(df).select(*mixing.LEAF, "budget").distinct().collect())
+    sized = mixing.mixed_documents(df, length="epochs").collect()
+    assert all(r["epochs"] == len(r["text"]) for r in sized)
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
     nothing = mixing.mix(df, mixing.Targets(domains={}, languages={}, other=0.0))
     assert nothing.where("epochs > 0 OR extra_tokens > 0").count() == 0
+
+
+def test_first_words(spark):
+    texts = ["a b  c\td", "  a b c ", "a", " \n a\x0bb ", "é 𝄞x  y"]
+    rows = [(t, n) for t in texts for n in range(1, len(t.split()) + 1)]
+    for t, n, got in spark.createDataFrame(rows, "t string, n long").select("t", "n", mixing.first_words(F.col("t"), F.col("n"))).collect():
+        words = t.split()
+        assert t.startswith(got) and got.split() == words[:n] and not got[-1].isspace()
