@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import cut
+from linkloom.llm.common import cut, join_split, prepare
 from linkloom.llm.components import components
 
 SEED = 42
@@ -94,19 +94,27 @@ def words_of(text: str | None) -> list[bytes]:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Signed 64-bit SimHash of the text's word shingles, repeats included."""
+    return majority(digests(text, shingle))
+
+
+def digests(text: str | None, shingle: int) -> list[bytes]:
+    """XXH64 of the text's word shingles, repeats included, as eight bytes each."""
     words = words_of(text)
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     digest = xxhash.xxh64_digest
     if len(words) < shingle:
-        hashes = [digest(joined, SEED)]
-    else:
-        starts = np.zeros(len(words) + 1, dtype=np.int64)
-        np.cumsum([len(w) + 1 for w in words], out=starts[1:])
-        begin = starts[: len(words) - shingle + 1].tolist()
-        end = (starts[shingle:] - 1).tolist()
-        hashes = [digest(joined[b:e], SEED) for b, e in zip(begin, end, strict=True)]
+        return [digest(joined, SEED)]
+    starts = np.zeros(len(words) + 1, dtype=np.int64)
+    np.cumsum([len(w) + 1 for w in words], out=starts[1:])
+    begin = starts[: len(words) - shingle + 1].tolist()
+    end = (starts[shingle:] - 1).tolist()
+    return [digest(joined[b:e], SEED) for b, e in zip(begin, end, strict=True)]
+
+
+def majority(hashes: list[bytes]) -> int:
+    """Each bit that over half of the hashes have, as a signed number."""
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         block = np.frombuffer(b"".join(hashes[at : at + 65536]), dtype=np.uint8).reshape(-1, 8)
@@ -143,10 +151,11 @@ def links(nodes: DataFrame, bucket_cap: int = 64) -> DataFrame:
     """Links (a, b) among distinct fingerprints that connect exactly what lies within MAX_BITS bits."""
     keys = golay_keys(nodes)
     shared = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    near = keys.join(shared.where(F.col("n") <= bucket_cap).select("key"), "key")
+    met = cut(join_split(keys, shared, ["key"], ["fp"], "inner"))
+    near = met.where(F.col("n") <= bucket_cap)
     left, right = near.select("key", F.col("fp").alias("a")), near.select("key", F.col("fp").alias("b"))
     small = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
-    crowded = keys.join(shared.where(F.col("n") > bucket_cap).select("key"), "key").select("fp").distinct()
+    crowded = met.where(F.col("n") > bucket_cap).select("fp").distinct()
     return small.union(meeting_links(crowded)).distinct()
 
 
@@ -160,13 +169,16 @@ def meeting_links(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, bucket_cap: int = 64) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id that links reach) of each row of docs (doc_id, text)."""
+    prepare(docs.sparkSession)
     fps = cut(fingerprints(docs))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes, bucket_cap)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    # Fingerprints without a link are their own component; only the others meet by their root.
+    linked = cut(roots.join(nodes, "fp"))
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = nodes.join(join_split(linked.select("fp", "root"), least, ["root"], ["fp"]).select("fp", "component_id"), "fp", "left")
+    named = named.select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return join_split(fps, named, ["fp"], ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
