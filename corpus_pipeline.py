@@ -18,7 +18,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found go on, with that language; rejected ones go.
 
-    The models learn from docs as they come in.
+    The models learn from docs as they come in. Null and empty texts, and texts without a letter, are rejected; null
+    ids, null sources and repeated rows go on as they are.
     """
     prepare(spark)
     found = langid.identify(docs.select(*COLUMNS), langid.train(docs), COLUMNS)
@@ -26,34 +27,43 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest doc_id stays.
+    """Of each component of near-duplicates one document stays: the one with the smallest doc_id.
 
-    Near-duplicates have at least 0.8 of their shingles of five words in common (op9 has a rule of its own). Repeated rows are one document. Of a component in which no document has a doc_id, one of each text stays.
+    Near-duplicates have at least 0.8 of their shingles of five words in common (op9 has a rule of its own). Repeated
+    rows are one document. A null doc_id comes after all others; ties go to the smallest hash of the text. Null
+    texts and texts without words are one component.
     """
     prepare(spark)
     found = similar.near_duplicates(docs)
-    keepers = found.where("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.select(*COLUMNS).join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    lone = found.where("doc_id IS NULL AND component_id IS NULL").select("text_hash").distinct()
-    unnamed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash")).where("doc_id IS NULL").join(lone, "text_hash", "left_semi").dropDuplicates(["text"])
-    return kept.select(*COLUMNS).unionByName(unnamed.select(*COLUMNS))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
+    keepers = found.groupBy("root").agg(first).select(F.struct("first.doc_id", "first.text_hash").alias("row"))
+    rows = docs.select(*COLUMNS, F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("row"))
+    return rows.join(keepers, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document goes on, its personal data replaced by surrogates."""
+    """Every document goes on, its personal data replaced by surrogates, n_chars brought up to date.
+
+    Null texts stay null with null n_chars; empty texts and texts without personal data stay as they are; repeated
+    rows stay alike.
+    """
     prepare(spark)
     done = pii.pseudonymise(docs.select(*COLUMNS))
     return done.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mixture takes it whole."""
+    """Each document as many times as the mixture takes it, the last of a leaf cut where its budget ends.
+
+    Null lang and source are leaves of their own; texts without words have no tokens and are never taken; repeated
+    rows are one document.
+    """
     prepare(spark)
-    return mixing.mixed_documents(docs.select(*COLUMNS))
+    return mixing.mixed_documents(docs.select(*COLUMNS), length="n_chars")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 ids with their sequence and place."""
+    """Pieces of at most 1024 ids with their sequence and place; null and empty texts are the end id alone."""
     prepare(spark)
     return packing.pack(docs)
 

@@ -1,14 +1,21 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles, with MinHash bands as the candidate search.
+"""Operator 9 held to a similarity: near-duplicates by the exact Jaccard similarity of word shingles.
 
 A text is the set of its shingles of ``shingle`` words (ASCII letters in lower case; a shorter text is one shingle).
-Two texts are linked if the similarity of their sets is at least ``least``; texts of equal sets are one node. Each
-set has BANDS keys of ROWS minima; sets that share a key are compared exactly, so no link is wrong. A pair of
-similarity s shares no key with probability (1 - s^ROWS)^BANDS: 3 in a million at 0.8, less above.
+Two texts are linked if the similarity of their sets is at least ``least``; texts of equal sets are one node.
+Candidates come from two sources, and each is compared exactly, so no link is wrong:
+
+* The SimHash fingerprints of these shingles, by op9's Golay keys. Alone they can't do it: at a similarity of 0.8
+  about ten of 64 bits differ, where the keys vouch for two.
+* BANDS keys of ROWS minima. A pair of similarity s shares none with probability (1 - s^ROWS)^BANDS: 3 in a million
+  at 0.8, less above.
 
 Keys of at most ``bucket_cap`` sets give pairs of ids, which are distinct before the sets are joined to them. The
-sets of a key with more are dealt into blocks of at most about BLOCK, and every two blocks are compared in one go;
-of what is linked there, a star for each component is returned. So nothing is left out, no row is made for each
-pair of a large group, and no task has to hold a whole group.
+sets of a key with more are compared with one of them, the pivot. Those that it links need no more comparison with
+each other, and as 1 - similarity is a metric, none with a set that is much farther from the pivot than they are. What
+is left takes another pivot, PIVOTS times; of tight groups, whatever their size, nothing is left after the first.
+The rest is dealt into blocks of at most about BLOCK, and every two blocks are compared in one go; of what is linked
+there, a star for each component is returned. So nothing is left out, no row is made for each pair of a large
+group, and no task has to hold a whole group.
 
 Defined results: null text and text without words are one node without keys; a null doc_id gets the component of
 its text; no rows give no rows; other columns never matter.
@@ -25,26 +32,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from linkloom.llm.common import cut
+from linkloom.llm.common import cut, join_split, prepare
 from linkloom.llm.components import components
-from linkloom.llm.simhash import SEED, words_of
+from linkloom.llm import simhash
+from linkloom.llm.simhash import SEED
 
 SHINGLE = 5
 LEAST = 0.8
 BANDS = 32
 ROWS = 5
 BLOCK = 1024
+PIVOTS = 4
 TILE = 4096
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles."""
-    words = words_of(text)
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    digest = xxhash.xxh64_digest
-    found = {digest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))}
-    return np.sort(np.frombuffer(b"".join(found), dtype=np.uint64))
+    return distinct(simhash.digests(text, shingle))
+
+
+def distinct(digests: list[bytes]) -> np.ndarray:
+    return np.unique(np.frombuffer(b"".join(digests), dtype=np.uint64))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -72,14 +80,15 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_hash, node (hash of the set), n (its size) and keys of every row."""
-    schema = docs.select("doc_id").schema.add("text_hash", "long").add("node", "long").add("n", "integer").add("keys", ArrayType(LongType()))
+    """doc_id, text_hash, node (hash of the set), n (its size), fp (SimHash) and keys of every row."""
+    schema = docs.select("doc_id").schema.add("text_hash", "long").add("node", "long").add("n", "integer").add("fp", "long").add("keys", ArrayType(LongType()))
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t.as_py(), shingle) for t in batch.column("text")]
+            all_ = [simhash.digests(t.as_py(), shingle) for t in batch.column("text")]
+            sets = [distinct(d) for d in all_]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-            cols = [batch.column("doc_id"), batch.column("text_hash"), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+            cols = [batch.column("doc_id"), batch.column("text_hash"), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array([simhash.majority(d) for d in all_], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
@@ -125,21 +134,55 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, least: float) -> np.nd
     return root
 
 
-def _pair_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of pairs (a, b) that are linked."""
+def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with ``s``, their similarity. A node may be in any number of pairs."""
 
     def run(batches):
         for batch in batches:
             own = [[np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(c)] for c in ("own_a", "own_b")]
-            good = pa.array([jaccard(a, b) >= least for a, b in zip(*own, strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(good)
+            s = pa.array([jaccard(a, b) for a, b in zip(*own, strict=True)], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), s], names=["a", "b", "s"])
 
     left, right = (sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long")
-
-
-def _crowd_links(crowd: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links within the keys of crowd (key, node, count)."""
+    met = join_split(join_split(pairs, left, ["a"], ["b"], "inner"), right, ["b"], ["a"], "inner")
+    return met.select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long, s double")
+
+
+def _crowd_links(crowd: DataFrame, sets: DataFrame, least: float) -> list[DataFrame]:
+    """Links (a, b) within the keys of crowd (key, node): stars around pivots, then whatever these leave, in blocks."""
+    found, rest = [], []
+    loose = F.when(F.col("s") < least, F.col("s"))
+    for _ in range(PIVOTS):
+        if crowd.isEmpty():
+            break
+        # The smallest node that no pivot before has linked. Keys of one group have one pivot, so its stars are one too.
+        free = F.when(F.col("free"), F.col("node"))
+        pivots = crowd.groupBy("key").agg(F.min(free).alias("pivot"))
+        held = cut(join_split(crowd, pivots, ["key"], ["node"], "inner"))
+        pairs = held.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        near = cut(_similarities(pairs, sets))
+        found.append(near.where(F.col("s") >= least).select("a", "b"))
+        held = held.join(near.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "s"), ["pivot", "node"])
+        far = held.groupBy("key").agg(F.max(loose).alias("most"), F.max(loose.isNotNull() & F.col("free")).alias("more"))
+        # A set at 1 - s from the pivot may be within 1 - least only of what is at most that much farther away.
+        left = join_split(held, far.where("most IS NOT NULL"), ["key"], ["node"], "inner").where(F.col("s") <= F.col("most") + (1 - least) + 1e-9)
+        left = cut(left.select("key", "node", (F.col("free") & (F.col("s") < least)).alias("free"), "more"))
+        # Where all are linked to some pivot, members of different pivots' stars may still be linked.
+        rest.append(left.where("NOT more").select("key", "node"))
+        crowd = left.where("more").select("key", "node", "free")
+    else:
+        rest.append(crowd.select("key", "node"))
+    if not rest:
+        return found
+    crowd = rest[0]
+    for more in rest[1:]:
+        crowd = crowd.union(more)
+    counts = crowd.groupBy("key").agg(F.count("*").alias("count")).where("count > 1")
+    return [*found, _block_links(join_split(crowd, counts, ["key"], ["node"], "inner"), sets, least)]
+
+
+def _block_links(crowd: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links within the keys of crowd (key, node, count), by blocks."""
     parts = F.ceil(F.col("count") / BLOCK).cast("int")
     placed = crowd.withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("node", "key"), F.col("_parts")).cast("int"))
     placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
@@ -156,25 +199,44 @@ def _crowd_links(crowd: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return held.groupBy("key", "_i", "_j").applyInArrow(run, "a long, b long")
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates (a, b) by op9's keys: stars of the nodes of a fingerprint, and one pair for each two linked fingerprints."""
+    fps = cut(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("size")))
+    # A node that is alone with its fingerprint makes no star.
+    stars = join_split(nodes.select("fp", "node"), fps.where("size > 1"), ["fp"], ["node"], "inner").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    left, right = (fps.select(F.col("fp").alias(f"fp_{c}"), F.col("first").alias(c)) for c in "ab")
+    links = simhash.links(fps).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    linked = join_split(join_split(links, left, ["fp_a"], ["fp_b"], "inner"), right, ["fp_b"], ["fp_a"], "inner")
+    return stars.union(linked.select("a", "b")).where("a <> b")
+
+
 def links(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, bucket_cap: int = 64) -> DataFrame:
-    """Links (a, b) that connect nodes (node, text_hash, n, keys) as their similarities do."""
+    """Links (a, b) that connect nodes (node, text_hash, n, fp, keys) as their similarities do."""
     keys = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = cut(keys.groupBy("key").count().where("count > 1"))
-    near = cut(keys.join(shared, "key"))
-    sets = cut(sets_of(docs, nodes.join(near.select("node").distinct(), "node", "left_semi").select("node", "text_hash"), shingle))
+    near = cut(join_split(keys, shared, ["key"], ["node"], "inner"))
+    by_fingerprint = cut(_fingerprint_pairs(nodes))
+    wanted = near.select("node").union(by_fingerprint.select("a")).union(by_fingerprint.select("b")).distinct()
+    sets = cut(sets_of(docs, nodes.join(wanted, "node", "left_semi").select("node", "text_hash"), shingle))
     few = near.where(F.col("count") <= bucket_cap)
     left, right = (few.select("key", F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
     # A similarity is at most the ratio of the sizes.
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least - 1e-9))).select("a", "b").distinct()
-    crowd = near.where(F.col("count") > bucket_cap).select("key", "node", "count")
-    return _pair_links(pairs, sets, least).union(_crowd_links(crowd, sets, least)).distinct()
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least - 1e-9)))
+    pairs = pairs.select("a", "b").union(by_fingerprint.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    found = _similarities(pairs, sets).where(F.col("s") >= least).select("a", "b")
+    crowd = near.where(F.col("count") > bucket_cap).select("key", "node", F.lit(True).alias("free"))
+    for more in _crowd_links(crowd, sets, least):
+        found = found.union(more)
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, bucket_cap: int = 64) -> DataFrame:
-    """doc_id, text_hash, component_id (smallest doc_id that links reach) of each row of docs (doc_id, text)."""
+    """doc_id, text_hash, component_id (smallest doc_id that links reach) and root (the component's own number) of each row of docs (doc_id, text)."""
+    prepare(docs.sparkSession)
     rows = cut(signatures(docs, shingle))
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    roots = components(links(nodes, docs, shingle, least, bucket_cap)).withColumnRenamed("node", "_node")
-    rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return rows.select("doc_id", "text_hash", "node").join(named, "node", "left").select("doc_id", "text_hash", "component_id")
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    roots = components(links(nodes, docs, shingle, least, bucket_cap))
+    linked = cut(nodes.select("node", "least").join(roots, "node"))
+    named = join_split(linked.select("node", "root"), linked.groupBy("root").agg(F.min("least").alias("component_id")), ["root"], ["node"])
+    named = nodes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return join_split(rows.select("doc_id", "text_hash", "node"), named, ["node"], ["doc_id"]).select("doc_id", "text_hash", "component_id", "root")

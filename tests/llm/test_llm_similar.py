@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linkloom.llm import similar
@@ -73,6 +74,46 @@ def test_components_are_those_of_brute_force(spark, monkeypatch):
     assert similar.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_large_tight_groups_need_no_blocks(spark, monkeypatch):
+    """Copies with an edit each, and two such groups under one key, are settled by pivots."""
+    rng = random.Random(8)
+    base = made(rng, 300)
+    texts = [" ".join(edited(rng, base, 2)) for _ in range(300)]
+    monkeypatch.setattr(similar, "_block_links", lambda crowd, sets, least: crowd.where(F.raise_error(F.concat(F.lit("block of "), F.col("key").cast("string"))).isNull()).select(F.col("node").alias("a"), F.col("node").alias("b")))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["component_id"] for r in similar.near_duplicates(df).collect()} == {0}
+
+
+def test_crowds_by_pivots_and_blocks(spark, monkeypatch):
+    """Sets that drift away from the pivot step by step: links run between members of different stars."""
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    rng = random.Random(9)
+    sets, ids = {}, 0
+    for _ in range(3):
+        words = [rng.randrange(1 << 60) for _ in range(60)]
+        for step in range(25):
+            for w in rng.sample(range(60), rng.choice([1, 2, 4, 4, 12])):
+                words[w] = rng.randrange(1 << 60)
+            sets[ids] = np.sort(np.array(words, dtype=np.uint64))
+            ids += 1
+    order = list(sets)
+    rng.shuffle(order)
+    sets = {new: sets[old] for new, old in enumerate(order)}
+    rows = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in sets.items()], "node long, own binary")
+    crowd = spark.createDataFrame([(5, k, True) for k in sets], "key long, node long, free boolean")
+    pairs = [(r["a"], r["b"]) for df in similar._crowd_links(crowd, rows, 0.8) for r in df.collect()]
+    true = [(a, b) for a, b in combinations(sets, 2) if similar.jaccard(sets[a], sets[b]) >= 0.8]
+    assert parts(sets, pairs) == parts(sets, true) and len({*parts(sets, true).values()}) > 6
+
+
+def parts(nodes, pairs):
+    root = {n: n for n in nodes}
+    while any(root[a] != root[b] for a, b in pairs):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
 def test_blocks_compare_across_sides():
     a = np.arange(10, dtype=np.uint64)
     sets = [a, a[:9], np.arange(50, 60, dtype=np.uint64), a[1:]]
