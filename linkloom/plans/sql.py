@@ -199,13 +199,9 @@ risk AS (SELECT *, CASE WHEN heuristic_score >= 0.8 THEN 'CRITICAL' WHEN heurist
 
 def reputations() -> str:
     """``rep``: tok with reputation and category."""
-    known = {}
-    for category, said in url.REGISTRY.items():
-        own = said.split()
-        known |= {d: (category, int(s)) for d, s in zip(own[::2], own[1::2], strict=True)}
-    score = "CASE full_domain " + " ".join(f"WHEN '{d}' THEN {s}" for d, (_, s) in known.items()) + " END"
-    cat = "CASE full_domain " + " ".join(f"WHEN '{d}' THEN '{c}'" for d, (c, _) in known.items()) + " END"
-    guess = " ".join(f"WHEN regexp_matches(full_domain, '{'|'.join(w.split())}') OR list_has_any(all_tokens, [{quoted(w.split())}]) THEN '{c}'" for c, w in url.CATEGORY_KEYWORDS.items())
+    score = "CASE full_domain " + " ".join(f"WHEN '{d}' THEN {s}" for d, (_, s) in url.REGISTRY.items()) + " END"
+    cat = "CASE full_domain " + " ".join(f"WHEN '{d}' THEN '{c}'" for d, (c, _) in url.REGISTRY.items()) + " END"
+    guess = " ".join(f"WHEN regexp_matches(full_domain, '{'|'.join(w)}') OR list_has_any(all_tokens, [{quoted(w)}]) THEN '{c}'" for c, w in url.CATEGORY_KEYWORDS.items())
     gov = r"regexp_matches(full_domain, '\.(gov|edu)$|\.ac\.uk$')"
     hyphens = "(length(full_domain) - length(replace(full_domain, '-', '')))"
     return f"""
