@@ -1,8 +1,8 @@
 """Folding of accents and scripts to plain letters.
 
-``fold_accents`` is native: a translation built from Unicode's own decompositions covers Latin letters.
-``fold_unicode`` is exact for all of Unicode by an Arrow UDF. ``ascii_fold`` also spells out letters of
-other scripts, by tables and by the names of the characters.
+``fold_accents`` is the whole of Unicode's compatibility decomposition without combining marks, on the JVM: plain
+ASCII stays as it is, other text goes through ICU, which Spark brings along. ``ascii_fold`` also spells out letters
+of other scripts, by tables and by the names of the characters, in an Arrow UDF.
 """
 
 from __future__ import annotations
@@ -18,32 +18,25 @@ from pyspark.sql.types import StringType
 
 
 @lru_cache(maxsize=1)
-def _latin() -> tuple[str, str]:
-    """Letters up to U+024F and U+1E00..1EFF that decompose into one letter and marks, and that letter."""
-    source, target = [], []
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(code):
-            source.append(chr(code))
-            target.append(base)
-    return "".join(source), "".join(target)
+def combining_class() -> str:
+    """A regex of one or more characters with a combining class, as ranges of code points."""
+    marks = [c for c in range(0x110000) if unicodedata.combining(chr(c))]
+    first = [c for c, before in zip(marks, [-2, *marks], strict=False) if c != before + 1]
+    last = [c for c, after in zip(marks, [*marks[1:], -2], strict=True) if c + 1 != after]
+    return "[" + "".join(f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in zip(first, last, strict=True)) + "]+"
 
 
 def fold_accents(text: Column) -> Column:
-    """Latin letters without their marks; combining marks go."""
-    source, target = _latin()
-    return F.regexp_replace(F.translate(text, source, target), r"\p{M}+", "")
+    """Text in compatibility decomposition (NFKD) without combining marks; null stays null."""
+    apart = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.coalesce(text, F.lit("")), F.lit(True))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(apart, combining_class(), "")).otherwise(text)
 
 
 def fold_text(text: str) -> str:
+    """The same of a Python string."""
     return "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c))
 
 
-@pandas_udf(StringType())
-def fold_unicode(text: pd.Series) -> pd.Series:
-    return text.fillna("").map(fold_text)
-
-
 #: Letters that don't decompose.
 SPELLED = dict(zip("ßẞæÆœŒøØđĐłŁþÞðÐħĦıŋŊĸſ", "ss SS ae AE oe OE o O d D l L th Th d D h H i n N k s".split(), strict=True))
 PUNCTUATION = dict(zip("‘’‚“”„–—―…·।€£", "' ' , \" \" , - -- -- ... * | EUR PS".split(), strict=True))

@@ -1,18 +1,20 @@
 """Similarities of pairs: native Column functions where Spark has the parts, Arrow UDFs for the rest.
 
 The fuzzy ratios follow their public definitions: a ratio is 100 times one less the insert-and-delete
-distance over both lengths, found by the longest common subsequence.
+distance over both lengths, found by the longest common subsequence. They are computed for all pairs of a batch
+in step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from linkloom.functions.text import char_ngrams, words_of
 
@@ -87,13 +89,42 @@ def jaccard100(a: Column, b: Column) -> Column:
     return F.when(F.size(words_of(a)) == 0, F.lit(-1.0)).otherwise(100 * jaccard(words_of(a), words_of(b)))
 
 
-# Python definitions behind the Arrow UDFs.
+# Definitions behind the Arrow UDFs, over lists of pairs at once.
 
+WORD = 63  # characters of the shorter text that fit into the bits of one row
+BATCH = 8192
 
-def lcs_length(a: str, b: str) -> int:
-    """Longest common subsequence, by bits of one whole number for each row."""
-    if not a or not b:
-        return 0
+
+def _codes(texts: list[str], width: int, fill: int) -> np.ndarray:
+    """Code points of texts as rows of one matrix."""
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    out = np.full((len(texts), width), fill, dtype=np.uint32)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    out[np.arange(width)[None, :] < sizes[:, None]] = flat
+    return out
+
+
+def _lcs_block(short: list[str], long: list[str]) -> np.ndarray:
+    """Longest common subsequences, all pairs in step: a row of the table of prefixes is the bits of one number."""
+    order = np.argsort([-len(x) for x in long], kind="stable")
+    long_sizes = np.array([len(long[i]) for i in order])
+    sizes = np.array([len(short[i]) for i in order])
+    a = _codes([short[i] for i in order], WORD + 1, 0x110000)
+    b = _codes([long[i] for i in order], int(long_sizes.max(initial=0)), 0x110001)
+    full = (np.uint64(1) << sizes.astype(np.uint64)) - np.uint64(1)
+    row = full.copy()
+    for t in range(b.shape[1]):
+        n = int(np.searchsorted(-long_sizes, -t, "left"))  # pairs whose longer text goes on
+        same = np.packbits(a[:n] == b[:n, t, None], axis=1, bitorder="little").view("<u8").ravel()
+        hit = row[:n] & same
+        row[:n] = ((row[:n] + hit) | (row[:n] - hit)) & full[:n]
+    out = np.empty(len(short), dtype=np.int64)
+    out[order] = sizes - np.bitwise_count(row).astype(np.int64)
+    return out
+
+
+def _lcs_long(a: str, b: str) -> int:
+    """The same of one pair of any length, by bits of one whole number."""
     masks: dict[str, int] = {}
     for i, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << i
@@ -105,128 +136,171 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def indel_ratio(a: str, b: str) -> float:
-    both = len(a) + len(b)
-    return 200.0 * lcs_length(a, b) / both if both else 100.0
+def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    short, long = zip(*((x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)), strict=True) if a else ((), ())
+    out = np.zeros(len(a), dtype=np.int64)
+    fits = [i for i, x in enumerate(short) if 0 < len(x) <= WORD]
+    for at in range(0, len(fits), BATCH):
+        part = fits[at : at + BATCH]
+        out[part] = _lcs_block([short[i] for i in part], [long[i] for i in part])
+    for i, x in enumerate(short):
+        if len(x) > WORD:
+            out[i] = _lcs_long(x, long[i])
+    return out
 
 
-def jaro_winkler(a: str, b: str, weight: float = 0.1, most: int = 4) -> float:
-    """The prefix counts at any similarity; transpositions are halved without rounding."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken = [False] * len(b)
-    left = []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                left.append(c)
-                break
-    if not left:
-        return 0.0
-    right = [c for c, t in zip(b, taken, strict=True) if t]
-    moved = sum(x != y for x, y in zip(left, right, strict=True)) / 2
-    m = len(left)
-    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
-    prefix = 0
-    for x, y in zip(a[:most], b[:most], strict=False):
-        if x != y:
-            break
-        prefix += 1
-    return jaro + prefix * weight * (1 - jaro)
+Scores = Callable[[list[str], list[str]], np.ndarray]
+
+
+def indel_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    both = np.fromiter((len(x) + len(y) for x, y in zip(a, b, strict=True)), dtype=np.float64, count=len(a))
+    return np.where(both > 0, 200.0 * lcs_lengths(a, b) / np.maximum(both, 1), 100.0)
 
 
 def _sorted_words(text: str) -> str:
     return " ".join(sorted(text.split()))
 
 
-def token_sort_ratio(a: str, b: str) -> float:
-    return indel_ratio(_sorted_words(a), _sorted_words(b))
+def token_sort_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    return indel_ratios(list(map(_sorted_words, a)), list(map(_sorted_words, b)))
 
 
-def token_set_ratio(a: str, b: str) -> float:
+def token_set_ratios(a: list[str], b: list[str]) -> np.ndarray:
     """Best of: shared words against each side's, and the sides against each other; 0 if a side has no words."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    shared = x & y
-    if shared and (x <= y or y <= x):
-        return 100.0
-    core = " ".join(sorted(shared))
-    left, right = " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    whole = lambda rest: f"{core} {rest}" if core else rest
-    best = indel_ratio(whole(left), whole(right))
-    if core:
-        best = max(best, indel_ratio(core, whole(left)), indel_ratio(core, whole(right)))
-    return best
-
-
-def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter text with a window of the longer, windows over its edges included."""
-    if not a and not b:
-        return 100.0
-    if not a or not b:
-        return 0.0
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    n, best = len(short), 0.0
-    for start in range(1 - n, len(long)):
-        best = max(best, indel_ratio(short, long[max(start, 0) : start + n]))
-        if best == 100.0:
-            break
-    if len(a) == len(b):  # either may be the window
-        for start in range(1 - n, n):
-            best = max(best, indel_ratio(long, short[max(start, 0) : start + n]))
-    return best
-
-
-def partial_token_set_ratio(a: str, b: str) -> float:
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    if x & y:
-        return 100.0
-    return partial_ratio(" ".join(sorted(x - y)), " ".join(sorted(y - x)))
-
-
-def partial_token_ratio(a: str, b: str) -> float:
-    return max(partial_ratio(_sorted_words(a), _sorted_words(b)), partial_token_set_ratio(a, b))
-
-
-def weighted_ratio(a: str, b: str) -> float:
+    out = np.zeros(len(a))
+    place, left, right = [], [], []
+    for i, (x, y) in enumerate(zip(map(set, map(str.split, a)), map(set, map(str.split, b)), strict=True)):
+        shared = x & y
+        if not x or not y:
+            continue
+        if shared and (x <= y or y <= x):
+            out[i] = 100.0
+            continue
+        core = " ".join(sorted(shared))
+        one, two = (" ".join([*([core] if core else []), *sorted(rest)]) for rest in (x - y, y - x))
+        sides = [(one, two), (core, one), (core, two)] if core else [(one, two)]
+        place += [i] * len(sides)
+        left += [s[0] for s in sides]
+        right += [s[1] for s in sides]
+    np.maximum.at(out, np.array(place, dtype=np.int64), indel_ratios(left, right))
+    return out
+
+
+def _windows(short: str, long: str) -> set[str]:
+    """Parts of the longer text that the shorter one is held against: all of its length, and shorter ones at the edges."""
+    n = len(short)
+    return {long[max(start, 0) : start + n] for start in range(1 - n, len(long))}
+
+
+def partial_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """Best ratio of the shorter text with a window of the longer; of texts of one length either may be the window."""
+    out = np.zeros(len(a))
+    place, left, right = [], [], []
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        if not x or not y:
+            out[i] = 100.0 * (x == y)
+            continue
+        short, long = (x, y) if len(x) <= len(y) else (y, x)
+        if short in long:
+            out[i] = 100.0
+            continue
+        sides = [(short, w) for w in _windows(short, long)] + ([(long, w) for w in _windows(long, short)] if len(x) == len(y) else [])
+        place += [i] * len(sides)
+        left += [s[0] for s in sides]
+        right += [s[1] for s in sides]
+    np.maximum.at(out, np.array(place, dtype=np.int64), indel_ratios(left, right))
+    return out
+
+
+def partial_token_set_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    sets = [(set(x.split()), set(y.split())) for x, y in zip(a, b, strict=True)]
+    rest = partial_ratios([" ".join(sorted(x - y)) for x, y in sets], [" ".join(sorted(y - x)) for x, y in sets])
+    return np.array([0.0 if not x or not y else 100.0 if x & y else r for (x, y), r in zip(sets, rest, strict=True)])
+
+
+def weighted_ratios(a: list[str], b: list[str]) -> np.ndarray:
     """Whole ratios for texts of like length, partial ones with a lower weight otherwise."""
-    if not a or not b:
-        return 0.0
-    longer = max(len(a), len(b)) / min(len(a), len(b))
-    best = indel_ratio(a, b)
-    if longer < 1.5:
-        return max(best, 0.95 * max(token_sort_ratio(a, b), token_set_ratio(a, b)))
-    scale = 0.9 if longer <= 8 else 0.6
-    return max(best, scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
-
-
-def pair_udf(score: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
-    """An Arrow UDF of two text columns; equal pairs of a batch are scored once."""
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], dtype=np.float64).reshape(-1, 2)
+    empty = sizes.min(axis=1) == 0
+    longer = sizes.max(axis=1) / np.maximum(sizes.min(axis=1), 1)
+    best = indel_ratios(a, b)
+    like, far = np.flatnonzero(longer < 1.5), np.flatnonzero((longer >= 1.5) & ~empty)
+    pick = lambda texts, at: [texts[i] for i in at]
+    x, y = pick(a, like), pick(b, like)
+    best[like] = np.maximum(best[like], 0.95 * np.maximum(token_sort_ratios(x, y), token_set_ratios(x, y)))
+    x, y = pick(a, far), pick(b, far)
+    scale = np.where(longer[far] <= 8, 0.9, 0.6)
+    words = np.maximum(partial_ratios(list(map(_sorted_words, x)), list(map(_sorted_words, y))), partial_token_set_ratios(x, y))
+    best[far] = np.maximum(best[far], np.maximum(scale * partial_ratios(x, y), 0.95 * scale * words))
+    return np.where(empty, 0.0, best)
+
+
+def jaro_winklers(a: list[str], b: list[str], weight: float = 0.1, most: int = 4) -> np.ndarray:
+    """The prefix counts at any similarity; transpositions are halved without rounding."""
+    out = np.fromiter((1.0 if x == y else 0.0 for x, y in zip(a, b, strict=True)), dtype=np.float64, count=len(a))
+    todo = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x and y and x != y]
+    todo.sort(key=lambda i: max(len(a[i]), len(b[i])))  # so that a block's matrices are as wide as its texts
+    for at in range(0, len(todo), 1024):
+        part = todo[at : at + 1024]
+        out[part] = _jaro_winkler_block([a[i] for i in part], [b[i] for i in part], weight, most)
+    return out
+
+
+def _jaro_winkler_block(a: list[str], b: list[str], weight: float, most: int) -> np.ndarray:
+    """Letter by letter of the first texts: the first free equal letter of the second within reach is taken."""
+    m, n = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    x, y = _codes(a, int(m.max()), 0x110000), _codes(b, int(n.max()), 0x110001)
+    reach = np.maximum(np.maximum(m, n) // 2 - 1, 0)
+    places, every = np.arange(y.shape[1])[None, :], np.arange(len(a))
+    met, taken = np.zeros(x.shape, dtype=bool), np.zeros(y.shape, dtype=bool)
+    for i in range(x.shape[1]):
+        free = (y == x[:, i, None]) & ~taken & (np.abs(places - i) <= reach[:, None])
+        met[:, i] = free.any(axis=1)
+        taken[every[met[:, i]], free.argmax(axis=1)[met[:, i]]] = True
+    count = met.sum(axis=1)
+    # Both sides' taken letters in their order; where the k-th differ, a transposition.
+    flat_x, flat_y = x[met], y[taken]
+    moved = np.bincount(np.repeat(every, count), weights=flat_x != flat_y, minlength=len(a)) / 2
+    full = np.maximum(count, 1)
+    jaro = np.where(count > 0, (count / m + count / n + (count - moved) / full) / 3, 0.0)
+    wide = min(most, x.shape[1], y.shape[1])
+    prefix = np.cumprod(x[:, :wide] == y[:, :wide], axis=1).sum(axis=1)
+    return np.where(count > 0, jaro + prefix * weight * (1 - jaro), 0.0)
+
+
+def scored(score: Scores, a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Scores of two columns; equal pairs are scored once."""
+    place: dict[tuple[str, str], int] = {}
+    at = [place.setdefault(pair, len(place)) for pair in zip(a.fillna(""), b.fillna(""), strict=True)]
+    return score([p[0] for p in place], [p[1] for p in place])[np.array(at, dtype=np.int64)]
+
+
+def pair_udf(score: Scores) -> Callable[[Column, Column], Column]:
+    """An Arrow UDF of two text columns."""
 
     @pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        seen: dict[tuple[str, str], float] = {}
-        out = []
-        for pair in zip(a.fillna(""), b.fillna(""), strict=True):
-            if pair not in seen:
-                seen[pair] = score(*pair)
-            out.append(seen[pair])
-        return pd.Series(out, dtype="float64")
+        return pd.Series(scored(score, a, b), dtype="float64")
 
     return run
 
 
-jaro_winkler_similarity = pair_udf(jaro_winkler)
-fuzz_ratio = pair_udf(indel_ratio)
-fuzz_token_set_ratio = pair_udf(token_set_ratio)
-fuzz_token_sort_ratio = pair_udf(token_sort_ratio)
-fuzz_partial_ratio = pair_udf(partial_ratio)
-fuzz_partial_token_set_ratio = pair_udf(partial_token_set_ratio)
-fuzz_weighted_ratio = pair_udf(weighted_ratio)
+jaro_winkler_similarity = pair_udf(jaro_winklers)
+fuzz_ratio = pair_udf(indel_ratios)
+fuzz_token_set_ratio = pair_udf(token_set_ratios)
+fuzz_token_sort_ratio = pair_udf(token_sort_ratios)
+fuzz_partial_ratio = pair_udf(partial_ratios)
+fuzz_partial_token_set_ratio = pair_udf(partial_token_set_ratios)
+fuzz_weighted_ratio = pair_udf(weighted_ratios)
+
+
+def scored_together(parts: dict[str, tuple[Scores, str, str]]) -> Column:
+    """A struct of several scores of named columns, by one UDF that gets each column once."""
+    columns = sorted({c for _, left, right in parts.values() for c in (left, right)})
+
+    @pandas_udf(StructType([StructField(name, DoubleType()) for name in parts]))
+    def run(*given: pd.Series) -> pd.DataFrame:
+        own = dict(zip(columns, given, strict=True))
+        return pd.DataFrame({name: scored(score, own[left], own[right]) for name, (score, left, right) in parts.items()})
+
+    return run(*columns)

@@ -17,7 +17,8 @@ SIDE = ["business_name", "business_address", "name_stripped", "addr_norm", "coun
 def with_sides(pairs: DataFrame, left: DataFrame, right: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
     """pairs (s1_id, cand_id, ...) with columns of both records: l_* by s1_id, r_* by cand_id."""
     side = lambda df, key, p: df.select(F.col("entity_id").alias(key), *(F.col(c).alias(p + c) for c in columns))
-    out = pairs.join(side(left, "s1_id", "l_"), "s1_id").join(side(right, "cand_id", "r_"), "cand_id")
+    # s1_id comes last: what ranks a record's candidates finds them in place.
+    out = pairs.join(side(right, "cand_id", "r_"), "cand_id").join(side(left, "s1_id", "l_"), "s1_id")
     return out.select(*(keep or pairs.columns), *(p + c for p in ("l_", "r_") for c in columns))
 
 
@@ -96,10 +97,25 @@ def _fast_jaccard(name: str) -> Column:
     return sim.jaccard(F.col(f"l_{name}"), F.col(f"r_{name}"), empty=0.0)
 
 
+CODES = ["name_code", "addr_code", "word_codes", "gram_codes", "addr_codes", "postal", "country_code"]
+
+
+def fast_codes(records: DataFrame) -> DataFrame:
+    """Adds what the cheap score reads: texts and the sets of words and n-grams as 64-bit hashes, 0 for ''."""
+    code = lambda name: F.when(F.col(name) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(name))
+    codes = lambda name: F.transform(F.array_distinct(name), lambda t: F.xxhash64(t))
+    return records.withColumns({"name_code": code("fast_name"), "addr_code": code("fast_addr"), "word_codes": codes("name_words"), "gram_codes": codes("name_grams"), "addr_codes": codes("addr_words")})
+
+
 def cheap_score() -> Column:
-    """A quick score to rank a record's candidates by, on exact words and n-grams."""
-    postal = flag((F.col("l_postal") != 0) & (F.col("l_postal") == F.col("r_postal")))
-    return _same("fast_name") + _fast_jaccard("name_words") + _fast_jaccard("name_grams") + _same("fast_addr") + 0.5 * _fast_jaccard("addr_words") + 0.3 * postal + 0.2 * _same("country_code")
+    """A quick score to rank a record's candidates by, on the codes of words and n-grams (see fast_codes)."""
+    def jaccard(name: str) -> Column:
+        left, right = F.col(f"l_{name}"), F.col(f"r_{name}")
+        both = F.size(F.array_intersect(left, right))
+        return sim.ratio_or(both, F.size(left) + F.size(right) - both, 0.0)
+
+    equal = lambda name, none: flag((F.col(f"l_{name}") == F.col(f"r_{name}")) & (F.col(f"l_{name}") != none))
+    return equal("name_code", 0) + jaccard("word_codes") + jaccard("gram_codes") + equal("addr_code", 0) + 0.5 * jaccard("addr_codes") + 0.3 * equal("postal", 0) + 0.2 * equal("country_code", "")
 
 
 def fast_features(pairs: DataFrame) -> DataFrame:
@@ -135,28 +151,31 @@ def fuzzy_features(pairs: DataFrame) -> DataFrame:
     first = lambda p: F.regexp_extract(c(f"{p}_n_core"), "^([^ ]*)", 1)
     r_extra, l_extra, num_jacc = sim.number_sets(*both("a_nums"))
     count = lambda p: (F.length(c(f"{p}_n_core")) - F.length(F.replace(c(f"{p}_n_core"), F.lit(" "), F.lit(""))) + 1).cast("double")
-    names = {
-        "n_ratio": sim.fuzz_ratio(*both("n_norm")), "n_tset": sim.fuzz_token_set_ratio(*both("n_norm")), "n_tsort": sim.fuzz_token_sort_ratio(*both("n_norm")),
-        "c_ratio": sim.fuzz_ratio(*both("n_core")), "c_tset": sim.fuzz_token_set_ratio(*both("n_core")), "c_tsort": sim.fuzz_token_sort_ratio(*both("n_core")),
-        "c_partial": sim.fuzz_partial_ratio(*both("n_core")), "c_wratio": sim.fuzz_weighted_ratio(*both("n_core")),
-        "cp_jw": sim.jaro_winkler_similarity(*both("n_compact")), "cp_lev": F.levenshtein(*both("n_compact")).cast("double"),
-        "sk_tset": sim.fuzz_token_set_ratio(*both("n_skel")), "sk_ratio": sim.fuzz_ratio(*both("n_skel")),
-        "dom_ratio": given("n_domain", sim.fuzz_ratio(c("l_n_compact"), c("r_n_domain"))), "dom_partial": given("n_domain", sim.fuzz_partial_ratio(c("l_n_compact"), c("r_n_domain"))),
-        "alt_tset": given("n_alt", sim.fuzz_token_set_ratio(c("l_n_core"), c("r_n_alt"))),
-        "c_overlap": sim.overlap(*both("n_core")), "c_inter": sim.shared_words(*both("n_core")), "l_ntok": count("l"), "r_ntok": count("r"), "r_nonlatin": c("r_n_nonlatin"),
-        "first_tok_ratio": sim.fuzz_ratio(first("l"), first("r")), "name_num": sim.number_agreement(*both("n_norm")),
+    ratios = {
+        "n_ratio": (sim.indel_ratios, "n_norm"), "n_tset": (sim.token_set_ratios, "n_norm"), "n_tsort": (sim.token_sort_ratios, "n_norm"),
+        "c_ratio": (sim.indel_ratios, "n_core"), "c_tset": (sim.token_set_ratios, "n_core"), "c_tsort": (sim.token_sort_ratios, "n_core"),
+        "c_partial": (sim.partial_ratios, "n_core"), "c_wratio": (sim.weighted_ratios, "n_core"), "cp_jw": (sim.jaro_winklers, "n_compact"),
+        "sk_tset": (sim.token_set_ratios, "n_skel"), "sk_ratio": (sim.indel_ratios, "n_skel"), "first_tok_ratio": (sim.indel_ratios, "_first"),
+        "a_tset": (sim.token_set_ratios, "a_norm"), "a_tsort": (sim.token_sort_ratios, "a_norm"), "a_ratio": (sim.indel_ratios, "a_norm"), "a_partial": (sim.partial_token_set_ratios, "a_norm"), "aw_tset": (sim.token_set_ratios, "a_words"),
+    }
+    ratios = {name: (score, f"l_{form}", f"r_{form}") for name, (score, form) in ratios.items()}
+    ratios |= {"dom_ratio": (sim.indel_ratios, "l_n_compact", "r_n_domain"), "dom_partial": (sim.partial_ratios, "l_n_compact", "r_n_domain"), "alt_tset": (sim.token_set_ratios, "l_n_core", "r_n_alt")}
+    pairs = pairs.withColumns({"l__first": first("l"), "r__first": first("r")}).withColumn("_ratios", sim.scored_together(ratios))
+    ratio = lambda name: c(f"_ratios.{name}")
+    plain = ["n_ratio", "n_tset", "n_tsort", "c_ratio", "c_tset", "c_tsort", "c_partial", "c_wratio", "cp_jw", "sk_tset", "sk_ratio", "first_tok_ratio"]
+    names = {name: ratio(name) for name in plain} | {
+        "cp_lev": F.levenshtein(*both("n_compact")).cast("double"), "dom_ratio": given("n_domain", ratio("dom_ratio")), "dom_partial": given("n_domain", ratio("dom_partial")), "alt_tset": given("n_alt", ratio("alt_tset")),
+        "c_overlap": sim.overlap(*both("n_core")), "c_inter": sim.shared_words(*both("n_core")), "l_ntok": count("l"), "r_ntok": count("r"), "r_nonlatin": c("r_n_nonlatin"), "name_num": sim.number_agreement(*both("n_norm")),
     }
-    addresses = {
-        "r_addr_empty": c("r_a_empty"), "a_tset": masked(sim.fuzz_token_set_ratio(*both("a_norm"))), "a_tsort": masked(sim.fuzz_token_sort_ratio(*both("a_norm"))),
-        "a_ratio": masked(sim.fuzz_ratio(*both("a_norm"))), "a_partial": masked(sim.fuzz_partial_token_set_ratio(*both("a_norm"))), "aw_tset": masked(sim.fuzz_token_set_ratio(*both("a_words"))),
-        "aw_overlap": masked(sim.overlap(*both("a_words"))), "aw_inter": masked(sim.shared_words(*both("a_words"))),
+    addresses = {name: masked(ratio(name)) for name in ("a_tset", "a_tsort", "a_ratio", "a_partial", "aw_tset")} | {
+        "r_addr_empty": c("r_a_empty"), "aw_overlap": masked(sim.overlap(*both("a_words"))), "aw_inter": masked(sim.shared_words(*both("a_words"))),
         "num_overlap": given("a_nums", sim.overlap(*both("a_nums"))), "num_inter": sim.shared_words(*both("a_nums")), "num_r_extra": r_extra, "num_l_extra": l_extra, "num_jacc": num_jacc,
         "first_num_eq": F.when(c("r_a_first_num") == "", -1).otherwise((c("l_a_first_num") == c("r_a_first_num")).cast("int")),
         "first_num_lev": given("a_first_num", F.levenshtein(*both("a_first_num")).cast("double")),
         "first_num_in": ((c("r_a_first_num") != "") & F.array_contains(words_of(c("l_a_nums")), c("r_a_first_num"))).cast("int"),
         "postal_eq": either("a_postal"), "state_eq": either("a_state"),
     }
-    return pairs.withColumns(names | addresses)
+    return pairs.withColumns(names | addresses).drop("_ratios", "l__first", "r__first")
 
 
 # Competition among candidates.

@@ -1,5 +1,6 @@
 """Normalisation on literal cases and against Python's own Unicode."""
 
+import unicodedata
 import zlib
 
 import pytest
@@ -27,12 +28,15 @@ def test_normalisation(spark, f, value, expected):
     assert col(spark, value, f) == expected
 
 
-def test_native_folding_equals_unicode_for_latin(spark):
-    letters = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
-    df = spark.createDataFrame([(c,) for c in letters], "x string").select("x", text.fold_accents(F.col("x")).alias("a"), folding.fold_unicode("x").alias("b"))
-    for r in df.collect():
-        if len(r["b"]) == 1:
-            assert r["a"] == r["b"], r
+def test_folding_is_that_of_unicode(spark):
+    """Every assigned character between two letters: Greek, Cyrillic, Hangul, full width, ligatures and all."""
+    texts = [f"a{chr(c)}z" for c in (*range(0x20, 0xD800), *range(0xE000, 0x30000)) if unicodedata.category(chr(c)) != "Cn"]
+    texts = ["".join(texts[i : i + 50]) for i in range(0, len(texts), 50)] + ["Ά έ Й ё 한국 ＡＢＣ ﬁn ½ Ǆ Æ ß नमस्ते", "", "plain"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string").select("x", text.fold_accents(F.col("x")).alias("a"))
+    assert [r for r in df.collect() if r["a"] != folding.fold_text(r["x"])] == []
+    assert spark.range(1).select(text.fold_accents(F.lit(None).cast("string"))).first()[0] is None
+    got = spark.createDataFrame([("Ｃａｆé ﬁne Ёлка ΆΛΦΑ",)], "x string").select(text.normalize_text(F.col("x"))).first()[0]
+    assert got == "cafe fine елка αλφα"
 
 
 def test_ngrams_crc_and_bits(spark):
