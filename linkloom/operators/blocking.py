@@ -1,7 +1,8 @@
 """Blocking keys, index pruning and candidate generation as equi-joins.
 
 Keys are long tables (key, entity_id, blocker). Keys with many postings are pruned before anything is
-joined, which bounds the pairs a key can make; the join carries ids alone.
+joined, which bounds the pairs a key can make; the join carries ids alone. The crowded keys are written, so that
+Spark knows their size: few go to all rows, which then move nowhere to be dropped.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import char_ngrams, words_of
+from linkloom.sources.shared import spool
 
 Keys = Callable[[], Column]
 
@@ -113,12 +115,9 @@ def key_postings(keys: DataFrame) -> DataFrame:
 
 
 def pruned_keys(keys: DataFrame, max_postings: int = 500) -> DataFrame:
-    """Rows of keys with at most so many postings.
-
-    Counted by a partial aggregation and joined back: rows of a crowded key meet in no window, and only its count moves.
-    """
-    kept = key_postings(keys).where(F.col("postings") <= max_postings).select("key")
-    return keys.join(kept, "key", "left_semi")
+    """Rows of keys with at most so many postings, counted by a partial aggregation."""
+    crowded = spool(key_postings(keys).where(F.col("postings") > max_postings).select("key"), "crowded")
+    return keys.join(crowded, "key", "left_anti")
 
 
 def candidates(source_keys: DataFrame, target_keys: DataFrame, max_postings: int = 500, names: list[str] | None = None) -> DataFrame:
@@ -181,8 +180,8 @@ def fast_keys(records: DataFrame) -> DataFrame:
 def fast_candidates(source_keys: DataFrame, target_keys: DataFrame) -> DataFrame:
     """Distinct pairs (s1_id, cand_id) that share a key whose postings among the targets stay within its class's cap."""
     cap = F.element_at(F.create_map(*(F.lit(x) for pair in CLASS_CAPS.items() for x in pair)), F.col("class"))
-    kept = target_keys.groupBy("class", "key").agg(F.count("*").alias("n")).where(F.col("n") <= cap).select("class", "key")
-    right = target_keys.join(kept, ["class", "key"], "left_semi").select(F.col("entity_id").alias("cand_id"), "class", "key")
+    crowded = spool(target_keys.groupBy("class", "key").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("class", "key"), "crowded")
+    right = target_keys.join(crowded, ["class", "key"], "left_anti").select(F.col("entity_id").alias("cand_id"), "class", "key")
     return source_keys.withColumnRenamed("entity_id", "s1_id").join(right, ["class", "key"]).select("s1_id", "cand_id").distinct()
 
 

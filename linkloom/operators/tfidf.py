@@ -1,18 +1,26 @@
-"""Top-K similarity join on TF-IDF terms as an inverted-index join.
+"""Top-K similarity join on TF-IDF terms by tiles of sparse products.
 
 Terms are a long table; the records of the first source give document frequencies per country, and queries
-keep only their terms. Terms of too many records are dropped before anything is joined, which bounds the pairs
-a term can make.
+keep only their terms. Each record becomes one row with its terms' numbers and weights. Within a country a block of
+queries meets a shard of records in one tile, which multiplies them in Arrow and returns what its caller wants of
+the products: for each query its best, or sums. No row is made for a pair that is in neither.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from linkloom.functions.text import char_ngrams, words_of
 from linkloom.functions.translit import skeleton
 from linkloom.operators.selection import top_k
+from linkloom.sources.shared import spool
 
 
 def _bigrams(words: Column, tag: str) -> Column:
@@ -62,14 +70,106 @@ def weighted(term_rows: DataFrame, idf: DataFrame, ids: list[str]) -> DataFrame:
     return met.join(norms, [*ids, "country", "channel"]).select(*ids, "country", "channel", "term", (F.col("idf") / F.col("norm")).alias("w"))
 
 
-def cosines(queries: DataFrame, index: DataFrame, q_ids: list[str]) -> DataFrame:
-    """(q_ids, s1_id, ncos, acos, score) of every query and record that share a term."""
-    right = index.select("s1_id", "country", "channel", "term", F.col("w").alias("w1"))
-    part = queries.join(right, ["country", "channel", "term"]).groupBy(*q_ids, "s1_id").agg(
-        F.sum(F.when(F.col("channel") == "n", F.col("w") * F.col("w1")).otherwise(0.0)).alias("ncos"),
-        F.sum(F.when(F.col("channel") == "a", F.col("w") * F.col("w1")).otherwise(0.0)).alias("acos"),
-    )
-    return part.withColumn("score", 0.5 * (F.col("ncos") + F.col("acos")))
+def sparse(term_rows: DataFrame, idf: DataFrame, ids: list[str]) -> DataFrame:
+    """One row for each record: ids, country, and per channel the numbers of its terms and their weights (n_terms, n_w, a_terms, a_w)."""
+    met = term_rows.join(idf, ["country", "channel", "term"])
+    rows = met.groupBy(*ids, "country").agg(F.collect_list(F.struct("channel", "number", "idf")).alias("own"))
+    columns = [c for channel in ("n", "a") for c in _weights(channel)]
+    return rows.select(*ids, "country", *columns)
+
+
+def _weights(channel: str) -> list[Column]:
+    own = F.filter("own", lambda t: t["channel"] == channel)
+    norm = F.sqrt(F.aggregate(own, F.lit(0.0), lambda acc, t: acc + t["idf"] * t["idf"]))
+    return [F.transform(own, lambda t: t["number"]).alias(f"{channel}_terms"), F.transform(own, lambda t: t["idf"] / norm).alias(f"{channel}_w")]
+
+
+def sparse_sides(queries: DataFrame, s1: DataFrame, q_ids: list[str], max_df: int) -> tuple[DataFrame, DataFrame]:
+    """The sparse rows of queries and of s1 (s1_id), written once; terms have the numbers of the written idf table."""
+    s1_terms = spool(terms(s1, ["s1_id"]), "terms")
+    idf = spool(idf_table(s1_terms, s1, max_df).withColumn("number", F.monotonically_increasing_id()), "idf")
+    return spool(sparse(terms(queries, q_ids), idf, q_ids), "sparse-queries"), spool(sparse(s1_terms, idf, ["s1_id"]), "sparse-records")
+
+
+QUERY_BLOCK, SHARD = 4096, 8192  # records that meet in a tile
+STRIP_ROWS, STRIP_TERMS = 512, 4_000_000  # queries multiplied at once, and matching terms
+
+
+class _Channel:
+    """Terms and weights of a table's rows, flat."""
+
+    def __init__(self, table: pa.Table, channel: str):
+        column = table.column(f"{channel}_terms").combine_chunks()
+        sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.term = column.flatten().to_numpy(zero_copy_only=False)
+        self.weight = table.column(f"{channel}_w").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.start = np.concatenate([[0], np.cumsum(sizes)])
+
+
+def strips(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ncos, acos) of runs of left's rows against all of right's, as dense matrices of at most STRIP_ROWS rows."""
+    n = right.num_rows
+    channels = []
+    counts = np.zeros(left.num_rows, dtype=np.int64)
+    for name in ("n", "a"):
+        q, s = _Channel(left, name), _Channel(right, name)
+        order = np.argsort(s.term, kind="stable")
+        held = s.term[order]
+        low, high = np.searchsorted(held, q.term, "left"), np.searchsorted(held, q.term, "right")
+        counts += np.bincount(q.row, weights=high - low, minlength=left.num_rows).astype(np.int64)
+        channels.append((q, low, high - low, s.row[order], s.weight[order]))
+    ends = np.cumsum(counts)
+    at = 0
+    while at < left.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, min(at + STRIP_ROWS, int(np.searchsorted(ends, before + STRIP_TERMS, "right"))))
+        dense = []
+        for q, low, size, row, weight in channels:
+            part = slice(q.start[at], q.start[stop])
+            size = size[part]
+            begin = np.cumsum(size) - size
+            place = np.repeat(low[part] - begin, size) + np.arange(int(size.sum()))
+            flat = np.repeat(q.row[part] - at, size) * n + row[place]
+            dense.append(np.bincount(flat, weights=np.repeat(q.weight[part], size) * weight[place], minlength=(stop - at) * n).reshape(stop - at, n))
+        yield at, dense[0], dense[1]
+        at = stop
+
+
+def tiles(queries: DataFrame, records: DataFrame, q_ids: list[str], run: Callable[[pa.Table, pa.Table], pa.Table], schema: StructType) -> DataFrame:
+    """What ``run`` returns of each block of sparse queries with each shard of sparse records of the same country."""
+    blocks, shards = -(-max(1, queries.count()) // QUERY_BLOCK), -(-max(1, records.count()) // SHARD)
+    deal = lambda ids, m: F.pmod(F.xxhash64(*ids), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = queries.withColumn("_block", deal(q_ids, blocks)).withColumn("_shard", every(shards))
+    right = records.withColumn("_shard", deal(["s1_id"], shards)).withColumn("_block", every(blocks))
+    key = ["country", "_block", "_shard"]
+    empty = pa.Table.from_pylist([], schema=_arrow(schema))
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        return run(left, right) if left.num_rows and right.num_rows else empty
+
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(tile, schema)
+
+
+def _arrow(schema: StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)
+
+
+def cosine_report(queries: DataFrame, s1: DataFrame, q_ids: list[str], max_df: int = 5000) -> DataFrame:
+    """Of each query the number of records that share a term, best_score, best_acos and total_ncos over them."""
+    left, right = sparse_sides(queries, s1, q_ids, max_df)
+    schema = left.select(*q_ids).schema.add("n_pairs", "long").add("best_score", "double").add("best_acos", "double").add("total_ncos", "double")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = [(((ncos > 0) | (acos > 0)).sum(axis=1), (0.5 * (ncos + acos)).max(axis=1), acos.max(axis=1), ncos.sum(axis=1)) for _, ncos, acos in strips(left, right)]
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        return pa.table([*(left.column(c) for c in q_ids), *map(pa.array, columns)], names=schema.names)
+
+    found = tiles(left, right, q_ids, run, schema).where("n_pairs > 0")
+    return found.groupBy(*q_ids).agg(F.sum("n_pairs").alias("n_pairs"), F.max("best_score").alias("best_score"), F.max("best_acos").alias("best_acos"), F.sum("total_ncos").alias("total_ncos"))
 
 
 def channel_top(pairs: DataFrame, score: str, k: int, q_ids: list[str], least: float = 0.05, relative: float = 0.4) -> DataFrame:
@@ -79,17 +179,46 @@ def channel_top(pairs: DataFrame, score: str, k: int, q_ids: list[str], least: f
     return good.withColumn("_best", best).where(F.col(score) >= relative * F.col("_best")).drop("_best")
 
 
+DIGITS = 9  # scores are rounded before they are ranked, so that the order of sums decides no tie
+LEAST = 0.05
+
+
+def best_places(scores: np.ndarray, k: int, least: float) -> np.ndarray:
+    """Places of the k largest that reach ``least``, the largest first, ties by place."""
+    good = np.flatnonzero(scores >= least)
+    if len(good) > k:
+        good = good[scores[good] >= np.partition(scores[good], len(good) - k)[len(good) - k]]
+    return good[np.lexsort((good, -scores[good]))][:k]
+
+
 def similarity_join(queries: DataFrame, s1: DataFrame, q_ids: list[str], k: int = 12, address_k: int = 6, max_df: int = 5000) -> DataFrame:
     """Candidates (q_ids, s1_id, score, ncos, acos): the k best by both channels and the address_k best by address.
 
     queries, s1: prepared records with country; s1 has s1_id.
     """
-    s1_terms = terms(s1, ["s1_id"])
-    idf = idf_table(s1_terms, s1, max_df)
-    pairs = cosines(weighted(terms(queries, q_ids), idf, q_ids), weighted(s1_terms, idf, ["s1_id"]), q_ids)
+    left, right = sparse_sides(queries, s1, q_ids, max_df)
     columns = [*q_ids, "s1_id", "score", "ncos", "acos"]
-    both = channel_top(pairs, "score", k, q_ids).select(*columns).unionByName(channel_top(pairs, "acos", address_k, q_ids).select(*columns))
-    return both.dropDuplicates([*q_ids, "s1_id"])
+    schema = left.select(*q_ids).schema.add("s1_id", right.schema["s1_id"].dataType)
+    for name in ("score", "ncos", "acos"):
+        schema = schema.add(name, "double")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("s1_id")  # so that ties by place are ties by id
+        rows, places, found = [], [], []
+        for at, ncos, acos in strips(left, right):
+            score, address = np.round(0.5 * (ncos + acos), DIGITS), np.round(acos, DIGITS)
+            for i in range(len(score)):
+                own = np.union1d(best_places(score[i], k, LEAST), best_places(address[i], address_k, LEAST))
+                rows.append(np.full(len(own), at + i))
+                places.append(own)
+                found.append(np.stack([score[i, own], np.round(ncos[i, own], DIGITS), address[i, own]]))
+        row, place = np.concatenate(rows).astype(np.int64), np.concatenate(places).astype(np.int64)
+        values = np.concatenate(found, axis=1)
+        return pa.table([*(left.column(c).take(pa.array(row)) for c in q_ids), right.column("s1_id").take(pa.array(place)), *(pa.array(v) for v in values)], names=columns)
+
+    pairs = tiles(left, right, q_ids, run, schema)
+    both = channel_top(pairs, "score", k, q_ids, LEAST).unionByName(channel_top(pairs, "acos", address_k, q_ids, LEAST))
+    return both.dropDuplicates([*q_ids, "s1_id"]).select(*columns)
 
 
 def pair_cosines(pairs: DataFrame, queries: DataFrame, s1: DataFrame, q_ids: list[str], max_df: int = 5000) -> DataFrame:
@@ -102,5 +231,5 @@ def pair_cosines(pairs: DataFrame, queries: DataFrame, s1: DataFrame, q_ids: lis
     dots = left.join(right, ["s1_id", "channel", "term"]).groupBy(*q_ids, "s1_id").agg(
         F.sum(F.when(F.col("channel") == "n", F.col("w") * F.col("w1")).otherwise(0.0)).alias("ncos"), F.sum(F.when(F.col("channel") == "a", F.col("w") * F.col("w1")).otherwise(0.0)).alias("acos"),
     )
-    zero = {"ncos": 0.0, "acos": 0.0}
-    return pairs.join(dots, [*q_ids, "s1_id"], "left").fillna(zero).withColumn("score", 0.5 * (F.col("ncos") + F.col("acos")))
+    met = pairs.join(dots, [*q_ids, "s1_id"], "left").fillna({"ncos": 0.0, "acos": 0.0}).withColumn("score", F.round(0.5 * (F.col("ncos") + F.col("acos")), DIGITS))
+    return met.withColumns({c: F.round(c, DIGITS) for c in ("ncos", "acos")})
