@@ -1,7 +1,7 @@
 """Pair models: boosted stumps and logistic regression with native scoring, and the two-stage tree model.
 
-Stumps and the logistic model are fitted on a bounded sample that comes to the driver (``MAX_SAMPLE`` rows of the
-smallest hash); scoring is a Column expression over the whole table.
+Stumps are fitted on a bounded sample that comes to the driver (``MAX_SAMPLE`` rows of the smallest hash), the other
+models on all rows; scoring by stumps and by the logistic model is a Column expression.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from typing import Protocol
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,36 +85,38 @@ def cut_points(values: np.ndarray, most: int = 15) -> np.ndarray:
 
 
 def fit_stumps(x: np.ndarray, y: np.ndarray, features: list[str], rounds: int = 50, rate: float = 0.1) -> StumpModel:
-    """Gradient boosting with one split a round: the split whose two means explain most of the residuals' squares."""
+    """Gradient boosting with one split a round: the split whose two means explain most of the residuals' squares.
+
+    Each feature is held as the number of the bin between its cut points, one byte a row; a round needs the bins' sums.
+    """
     p = float(np.clip(y.mean(), 1e-4, 1 - 1e-4))
     start = float(np.log(p / (1 - p)))
     total = np.full(len(y), start)
-    sides = [(j, c, x[:, j] <= c) for j in range(x.shape[1]) for c in cut_points(x[:, j])]
-    sides = [(j, c, m, m.sum()) for j, c, m in sides if 0 < m.sum() < len(y)]
-    if not sides:
-        return StumpModel(start, rate, ())
-    masks = np.stack([m for *_, m, _ in sides]).astype(float)
-    low_n = np.array([n for *_, n in sides], dtype=float)
-    found = []
+    cuts = [cut_points(x[:, j]) for j in range(x.shape[1])]
+    bins = [np.searchsorted(c, x[:, j], side="left").astype(np.uint8) for j, c in enumerate(cuts)]
+    low_counts = [np.cumsum(np.bincount(b, minlength=len(c) + 1))[:-1] for b, c in zip(bins, cuts, strict=True)]
+    found: list[Stump] = []
     for _ in range(rounds):
         residual = y - 1 / (1 + np.exp(-np.clip(total, -20, 20)))
-        low = masks @ residual
-        high = residual.sum() - low
-        best = int(np.argmax(low**2 / low_n + high**2 / (len(y) - low_n)))
-        j, c, mask, n = sides[best]
-        stump = Stump(features[j], float(c), float(low[best] / n), float(high[best] / (len(y) - n)))
-        total += rate * np.where(mask, stump.low, stump.high)
-        found.append(stump)
+        whole, best = residual.sum(), (-1.0, 0, 0, 0.0, 0.0)
+        for j, (b, c, low_n) in enumerate(zip(bins, cuts, low_counts, strict=True)):
+            usable = np.flatnonzero((low_n > 0) & (low_n < len(y)))
+            if not len(usable):
+                continue
+            low = np.cumsum(np.bincount(b, weights=residual, minlength=len(c) + 1))[usable]
+            n = low_n[usable]
+            gain = low**2 / n + (whole - low) ** 2 / (len(y) - n)
+            i = int(np.argmax(gain))
+            if gain[i] > best[0]:
+                best = (float(gain[i]), j, int(usable[i]), float(low[i] / n[i]), float((whole - low[i]) / (len(y) - n[i])))
+        if best[0] < 0:
+            break
+        _, j, at, low_mean, high_mean = best
+        found.append(Stump(features[j], float(cuts[j][at]), low_mean, high_mean))
+        total += rate * np.where(bins[j] <= at, low_mean, high_mean)
     return StumpModel(start, rate, tuple(found))
 
 
-def class_weights(y: np.ndarray) -> np.ndarray:
-    """Weights that give both classes the same sum."""
-    ones = max(1.0, float((y == 1).sum()))
-    zeros = max(1.0, float((y == 0).sum()))
-    return np.where(y == 1, len(y) / (2 * ones), len(y) / (2 * zeros))
-
-
 @dataclass(frozen=True)
 class LogisticModel:
     features: tuple[str, ...]
@@ -130,20 +132,27 @@ class LogisticModel:
     def score(self, pairs: DataFrame) -> DataFrame:
         return pairs.withColumn("score", F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), self.probability())))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([(json.dumps(asdict(self)),)], "model string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LogisticModel:
+        d = json.loads(spark.read.text(path, wholetext=True).first()[0])
+        return cls(tuple(d["features"]), tuple(d["weights"]), d["bias"])
+
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, features: list[str], rate: float = 0.05, epochs: int = 30, l2: float = 1e-4, batch: int = 256, seed: int = 42) -> LogisticModel:
-    """Mini-batch gradient descent with balanced classes and a falling rate."""
-    rng = np.random.default_rng(seed)
-    w, b, weight = np.zeros(x.shape[1]), 0.0, class_weights(y)
-    for epoch in range(epochs):
-        step = rate / (1 + 0.05 * epoch)
-        order = rng.permutation(len(y))
-        for at in range(0, len(y), batch):
-            i = order[at : at + batch]
-            error = (1 / (1 + np.exp(-np.clip(x[i] @ w + b, -25, 25))) - y[i]) * weight[i]
-            w = w - step * (x[i].T @ error / len(i) + l2 * w)
-            b -= step * float(error.mean())
-    return LogisticModel(tuple(features), tuple(map(float, w)), float(b))
+def balanced(pairs: DataFrame, label: str, name: str) -> DataFrame:
+    """Adds weights that give both classes the same sum."""
+    n, ones = pairs.agg(F.count("*"), F.sum(F.col(label).cast("long"))).first()
+    ones = ones or 0
+    return pairs.withColumn(name, F.when(F.col(label) == 1, n / (2 * max(1, ones))).otherwise(n / (2 * max(1, n - ones))))
+
+
+def fit_logistic(pairs: DataFrame, features: list[str], label: str = "label", l2: float = 1e-4, rounds: int = 100) -> LogisticModel:
+    """Logistic regression on all labelled pairs, both classes with the same weight."""
+    rows = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep").transform(balanced(pairs, label, "_weight"))
+    model = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="_weight", regParam=l2, maxIter=rounds).fit(rows.select("_features", label, "_weight"))
+    return LogisticModel(tuple(features), tuple(map(float, model.coefficients.toArray())), float(model.intercept))
 
 
 class FallbackMatcher:
@@ -165,9 +174,21 @@ class RuleMatcher:
 # Trees.
 
 
-def tree_pipeline(features: list[str], label: str = "label", rounds: int = 40, depth: int = 5, rate: float = 0.15, seed: int = 7) -> Pipeline:
+ROUNDS = 100
+
+
+def tree_pipeline(features: list[str], label: str = "label", rounds: int = ROUNDS, depth: int = 5, rate: float = 0.15, seed: int = 7, held: str | None = None) -> Pipeline:
+    """Boosted trees; with ``held``, a column that marks rows to validate on, boosting stops when they gain no more."""
     assembler = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep")
-    return Pipeline(stages=[assembler, GBTClassifier(featuresCol="_features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, subsamplingRate=0.8)])
+    trees = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, subsamplingRate=0.8, validationTol=0.01)
+    return Pipeline(stages=[assembler, trees.setValidationIndicatorCol(held) if held else trees])
+
+
+def fit_trees(pairs: DataFrame, features: list[str], train: Column, rounds: int = ROUNDS, rate: float = 0.15) -> object:
+    """Trees of the rows that ``train`` marks and is_val doesn't; is_val rows stop them, if there are any."""
+    rows = pairs.where(train | F.col("is_val"))
+    held = "is_val" if not pairs.where("is_val").isEmpty() else None
+    return tree_pipeline(features, rounds=rounds, rate=rate, held=held).fit(rows)
 
 
 def with_probability(model, pairs: DataFrame, name: str) -> DataFrame:
@@ -175,9 +196,9 @@ def with_probability(model, pairs: DataFrame, name: str) -> DataFrame:
     return scored.drop("_features", "rawPrediction", "probability", "prediction")
 
 
-def stage1(pairs: DataFrame, features: list[str], rounds: int = 40) -> tuple[object, object]:
+def stage1(pairs: DataFrame, features: list[str], rounds: int = ROUNDS) -> tuple[object, object]:
     """Two models, one for each half of the training queries (qhash below 500, and above)."""
-    return tuple(tree_pipeline(features, rounds=rounds).fit(pairs.where(~F.col("is_val") & when)) for when in (F.col("qhash") < 500, F.col("qhash") >= 500))
+    return tuple(fit_trees(pairs, features, when, rounds) for when in (F.col("qhash") < 500, F.col("qhash") >= 500))
 
 
 def stage1_probability(models, pairs: DataFrame) -> DataFrame:
@@ -207,11 +228,18 @@ def tune_threshold(best: DataFrame, truth: DataFrame, grid: list[float], p: str
     return [(r["thr"], r["f"]) for r in parents.groupBy("thr").agg(F.avg(f).alias("f")).orderBy("thr").collect()]
 
 
+def search_threshold(best: DataFrame, truth: DataFrame, p: str = "p") -> tuple[float, float]:
+    """The threshold with the best macro F0.5, sought by twentieths, then by hundredths around the best of these."""
+    pick = lambda grid: max(tune_threshold(best, truth, grid, p), key=lambda x: (x[1], -x[0]))
+    coarse, _ = pick([i / 20 for i in range(1, 20)])
+    return pick([round(coarse + i / 100, 2) for i in range(-4, 5) if 0 < coarse + i / 100 < 1])
+
+
 # URL model.
 
 def training_urls() -> list[tuple[str, int]]:
     """Made-up addresses for the default model: pages of registered domains, and traps that pair brands with bad hosts."""
-    registered = [w for text in url_functions.REGISTRY.values() for w in text.split()[::2]]
+    registered = list(url_functions.REGISTRY)
     pages = ("", "about", "docs/intro.html", "search?q=weather+today", "2024/05/article-17")
     benign = [f"https://{domain}/{pages[i % len(pages)]}" for i, domain in enumerate(registered)]
     words, tlds = url_functions.SUSPICIOUS_TOKENS, url_functions.SUSPICIOUS_TLDS

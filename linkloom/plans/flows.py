@@ -31,24 +31,34 @@ class LinkConfig:
 
 def rule_candidates(s1: DataFrame, targets: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
     """(s1_id, cand_id, reasons) of normalised records."""
-    return blocking.capped(blocking.candidates(blocking.blocking_keys(s1), blocking.blocking_keys(targets), config.max_postings), config.max_candidates)
+    keys = spool(blocking.blocking_keys(targets), "keys")
+    return blocking.capped(blocking.candidates(blocking.blocking_keys(s1), keys, config.max_postings), config.max_candidates)
 
 
 def rule_flow(s1: DataFrame, targets: DataFrame, config: LinkConfig = LinkConfig(), matcher: models.Matcher | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates, matches) of raw records: block, compare, score, select."""
-    left, right = normalized_records(s1), normalized_records(targets)
-    cands = rule_candidates(left, right, config)
+    left, right = spool(normalized_records(s1), "left"), spool(normalized_records(targets), "right")
+    cands = spool(rule_candidates(left, right, config), "pairs")
     compared = pairs.pair_features(pairs.with_sides(cands.select("s1_id", "cand_id"), left, right, pairs.SIDE))
     scored = (matcher or models.RuleMatcher()).score(compared).select("s1_id", "cand_id", "score")
     return cands, selection.select_matches(scored, config.threshold, config.gap, config.max_matches)
 
 
 def fast_pairs(s1: DataFrame, targets: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
-    """Compared pairs of raw records by the fast set: candidates by capped keys, the best by the cheap score, their features."""
-    left, right = fast_records(s1), fast_records(targets)
-    cands = blocking.fast_candidates(blocking.fast_keys(left), blocking.fast_keys(right))
-    sided = pairs.with_sides(cands, left, right, pairs.FAST_SIDE).withColumn("cheap", F.round(pairs.cheap_score(), 9))
-    return pairs.fast_features(selection.top_k(sided, config.fast_candidates, ["s1_id"], "cheap", ["cand_id"]))
+    """Compared pairs of raw records by the fast set: candidates by capped keys, the best by the cheap score, their features.
+
+    Records are normalised once and written with a number each; all raw pairs are pairs of numbers, and only the best get the
+    columns that features read.
+    """
+    number = lambda df: spool(pairs.fast_codes(fast_records(df)).withColumn("number", F.monotonically_increasing_id()), "fast")
+    left, right = number(s1), number(targets)
+    keys = lambda df: blocking.fast_keys(df.withColumn("entity_id", F.col("number")))
+    cands = blocking.fast_candidates(keys(left), spool(keys(right), "fast-keys"))
+    coded = lambda df: df.select(F.col("number").alias("entity_id"), F.col("entity_id").alias("id"), *pairs.CODES)
+    sided = pairs.with_sides(cands, coded(left), coded(right), ["id", *pairs.CODES])
+    cheap = sided.select("s1_id", F.col("l_id").alias("_s1"), F.col("r_id").alias("_cand"), F.round(pairs.cheap_score(), 9).alias("cheap"))
+    best = selection.top_k(cheap, config.fast_candidates, ["s1_id"], "cheap", ["_cand"]).select(F.col("_s1").alias("s1_id"), F.col("_cand").alias("cand_id"), "cheap")
+    return pairs.fast_features(pairs.with_sides(best, left, right, pairs.FAST_SIDE))
 
 
 def fast_flow(s1: DataFrame, targets: DataFrame, model: models.Matcher, config: LinkConfig = LinkConfig()) -> DataFrame:
@@ -103,7 +113,7 @@ def expanded(p1: DataFrame, cands: DataFrame, queries: DataFrame, s1: DataFrame)
     return featured(both.join(new.select("src", "q_id", "s1_id", "n_keys"), ["src", "q_id", "s1_id"]), queries, s1)
 
 
-def two_stage(s1: DataFrame, s2: DataFrame, s3: DataFrame, truth_pairs: DataFrame, rounds: int = 20) -> DataFrame:
+def two_stage(s1: DataFrame, s2: DataFrame, s3: DataFrame, truth_pairs: DataFrame, rounds: int = models.ROUNDS) -> DataFrame:
     """All candidates (src, q_id, s1_id, p1, p2), trained and scored on the given records.
 
     Tables that later steps read again are written to the shared folder; trees fit on training queries, out of fold for p1.
@@ -127,7 +137,7 @@ def two_stage(s1: DataFrame, s2: DataFrame, s3: DataFrame, truth_pairs: DataFram
     everything = spool(pairs.probability_context(everything), "everything")
     second = spool(siblings.sibling_features(everything, queries), "stage2")
     names = list(dict.fromkeys([*first, *STAGE2]))
-    model = models.tree_pipeline(names, rounds=rounds, rate=0.08).fit(second.where(~F.col("is_val")))
+    model = models.fit_trees(second, names, F.lit(True), rounds, rate=0.08)
     return models.with_probability(model, second, "p2").select("src", "q_id", "s1_id", "p1", "p2", "label", "is_val")
 
 

@@ -182,7 +182,7 @@ _FOLD = "trim(regexp_replace(lower(regexp_replace({0}, '[''`]', '', 'g')), '[^a-
 
 def _skeleton_sql(w: str) -> str:
     x = w
-    for a, b in zip(translit.SKELETON_FOLDS[::2], translit.SKELETON_FOLDS[1::2], strict=True):
+    for a, b in translit.SKELETON_FOLDS:
         x = f"replace({x}, '{a}', '{b}')"
     single = f"array_to_string(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN i > 1 AND substr({x}, i, 1) = substr({x}, i - 1, 1) THEN '' ELSE substr({x}, i, 1) END), '')"
     return f"CASE WHEN regexp_full_match({w}, '[0-9]+') OR length({w}) < 2 THEN {w} ELSE concat(substr({single}, 1, 1), regexp_replace(substr({single}, 2), '[aeiouy]', '', 'g')) END"
@@ -191,7 +191,7 @@ def _skeleton_sql(w: str) -> str:
 def _numbers_sql(x: str) -> str:
     bare = rf"regexp_replace({x}, '\b(\d+)(st|nd|rd|th|er|e|eme|ieme)\b', '\1', 'g')"
     apart = rf"regexp_replace(regexp_replace({bare}, '([0-9])([a-z])', '\1 \2', 'g'), '([a-z])([0-9])', '\1 \2', 'g')"
-    return f"list_transform(list_filter(string_split({apart}, ' '), lambda w: w <> ''), lambda w: CASE WHEN regexp_full_match(w, '[0-9]+') THEN coalesce(nullif(ltrim(w, '0'), ''), '0') ELSE {sql.case('w', translit.ORDINAL_WORDS)} END)"
+    return f"list_transform(list_filter(string_split({apart}, ' '), lambda w: w <> ''), lambda w: CASE WHEN regexp_full_match(w, '[0-9]+') THEN coalesce(nullif(ltrim(w, '0'), ''), '0') ELSE {sql.case('w', translit.ORDINALS)} END)"
 
 
 def _forms_sql() -> str:
@@ -253,7 +253,7 @@ def pruned_keys(spark, d):
 
 def _sides(spark, d):
     s1, s2, s3 = entities.sources(spark, d)
-    return text.normalized_records(s1), text.normalized_records(s2.unionByName(s3))
+    return spool(text.normalized_records(s1), "left"), spool(text.normalized_records(s2.unionByName(s3)), "right")
 
 
 @query(f"WITH {SOURCES_SQL},{sql.candidates()} SELECT s1_id, cand_id, array_to_string(reasons, ',') AS reasons FROM cands")
@@ -267,10 +267,10 @@ def candidates_capped(spark, d):
     return flows.rule_candidates(*_sides(spark, d)).select("s1_id", "cand_id")
 
 
-@query(f"WITH {SOURCES_SQL},{sql.candidates(50, 100)} SELECT entity_id AS s1_id, coalesce((SELECT string_agg(cand_id, ',' ORDER BY cand_id) FROM capped c WHERE c.s1_id = s1.entity_id), '') AS candidates FROM s1")
+@query(f"WITH {SOURCES_SQL},{sql.candidates()} SELECT entity_id AS s1_id, coalesce((SELECT string_agg(cand_id, ',' ORDER BY cand_id) FROM capped c WHERE c.s1_id = s1.entity_id), '') AS candidates FROM s1")
 def candidate_lists(spark, d):
     s1, s2, s3 = map(text.normalized_records, entities.sources(spark, d))
-    return blocking.generate_candidates(s1, s2, s3, most=50, max_postings=100).select("s1_id", *joined("candidates"))
+    return blocking.generate_candidates(s1, s2, s3).select("s1_id", *joined("candidates"))
 
 
 # Pairs, scores, matches.
@@ -346,10 +346,10 @@ def eval_blocking(spark, d):
     return df.select(*(F.round(c, 6).alias(c) if c in ("recall", "mean_candidates", "reduction_ratio") else F.col(c) for c in df.columns))
 
 
-@query(f"WITH {SOURCES_SQL},{TRUTH_SQL},{sql.candidates(20, 60)} SELECT s1_id, cand_id FROM truth_pairs ANTI JOIN capped USING (s1_id, cand_id)")
+@query(f"WITH {SOURCES_SQL},{TRUTH_SQL},{sql.candidates()} SELECT s1_id, cand_id FROM truth_pairs ANTI JOIN capped USING (s1_id, cand_id)")
 def missed_pairs(spark, d):
     left, right = _sides(spark, d)
-    cands = flows.rule_candidates(left, right, flows.LinkConfig(max_postings=60, max_candidates=20))
+    cands = flows.rule_candidates(left, right)
     return evaluation.missed_pairs(io.truth_pairs(entities.truth(spark, d)), cands)
 
 
@@ -362,8 +362,7 @@ def pair_features(spark, d):
 
 @query()
 def jaro_winkler_pairs(spark, d):
-    s1, s2, s3 = entities.sources(spark, d)
-    left, right = text.normalized_records(s1), text.normalized_records(s2.unionByName(s3))
+    left, right = _sides(spark, d)
     met = pairs.with_sides(flows.rule_candidates(left, right).select("s1_id", "cand_id"), left, right, ["name_stripped"])
     return met.select("s1_id", "cand_id", sim.jaro_winkler_similarity(F.col("l_name_stripped"), F.col("r_name_stripped")).alias("jaro_winkler"))
 
@@ -468,8 +467,7 @@ def logistic_scores(spark, d):
     s1, s2, s3 = entities.sources(spark, d)
     compared = spool(flows.fast_pairs(s1, s2.unionByName(s3)), "compared")
     labelled = compared.join(io.truth_pairs(entities.truth(spark, d)).withColumn("label", F.lit(1)), ["s1_id", "cand_id"], "left").fillna({"label": 0})
-    x, y = models.bounded_sample(labelled, pairs.FAST_FEATURES, "label", ["s1_id", "cand_id"])
-    return models.fit_logistic(x, y, pairs.FAST_FEATURES).score(compared).select("s1_id", "cand_id", "score")
+    return models.fit_logistic(labelled, pairs.FAST_FEATURES).score(compared).select("s1_id", "cand_id", "score")
 
 
 # TF-IDF.
@@ -504,17 +502,22 @@ def _prepared(spark, d):
 @query(f"{_COSINES} SELECT q_id, count(*) AS n_pairs, round(max(0.5 * (ncos + acos)), 6) AS best_score, round(max(acos), 6) AS best_acos, round(sum(ncos), 4) AS total_ncos FROM cos0 GROUP BY q_id")
 def tfidf_cosines(spark, d):
     queries, s1 = _prepared(spark, d)
-    s1_terms = tfidf.terms(s1, ["s1_id"])
-    idf = tfidf.idf_table(s1_terms, s1)
-    met = tfidf.cosines(tfidf.weighted(tfidf.terms(queries, ["q_id"]), idf, ["q_id"]), tfidf.weighted(s1_terms, idf, ["s1_id"]), ["q_id"])
-    return met.groupBy("q_id").agg(F.count("*").alias("n_pairs"), F.round(F.max("score"), 6).alias("best_score"), F.round(F.max("acos"), 6).alias("best_acos"), F.round(F.sum("ncos"), 4).alias("total_ncos"))
+    met = tfidf.cosine_report(queries, s1, ["q_id"])
+    return met.select("q_id", "n_pairs", F.round("best_score", 6).alias("best_score"), F.round("best_acos", 6).alias("best_acos"), F.round("total_ncos", 4).alias("total_ncos"))
 
 
-@query()
+def _topk_sql() -> str:
+    top = lambda score, k: f"SELECT * FROM (SELECT *, max({score}) OVER (PARTITION BY q_id) AS best FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY {score} DESC, s1_id) AS n FROM cos1 WHERE {score} >= 0.05) WHERE n <= {k}) WHERE {score} >= CAST(0.4 AS DOUBLE) * best"
+    return f"""
+cos1 AS MATERIALIZED (SELECT q_id, s1_id, round(0.5 * (ncos + acos), 9) AS score, round(ncos, 9) AS ncos, round(acos, 9) AS acos FROM cos0),
+topk AS MATERIALIZED (SELECT DISTINCT CASE WHEN q_id LIKE 'S2-%' THEN 2 ELSE 3 END AS src, q_id, s1_id, score, ncos, acos FROM ({top('score', 12)} UNION ALL {top('acos', 6)}))"""
+
+
+@query(f"{_COSINES},{_topk_sql()} SELECT src, q_id, s1_id, round(score, 6) AS score, round(ncos, 6) AS ncos, round(acos, 6) AS acos FROM topk")
 def tfidf_topk(spark, d):
-    """Candidates of every query by both channels; near ties at the cut depend on the last bits, so SQL can't hold them."""
+    """Candidates of every query by both channels."""
     queries, s1 = _prepared(spark, d)
-    return tfidf.similarity_join(queries, s1, ["src", "q_id"])
+    return tfidf.similarity_join(queries, s1, ["src", "q_id"]).select("src", "q_id", "s1_id", *_rounded(["score", "ncos", "acos"]))
 
 
 @query()
@@ -568,10 +571,10 @@ def expected_f_select(spark, d):
 
 
 @query(f"""WITH {SCORED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY src, q_id ORDER BY score DESC, s1_id) AS rq, max(score) OVER (PARTITION BY src, q_id) AS tq, row_number() OVER (PARTITION BY src, q_id ORDER BY acos DESC, s1_id) AS ra FROM scored)
-SELECT src, q_id, s1_id, round(score, 6) AS score FROM r WHERE (rq <= 2 AND score >= 0.6 * (score + (tq - score))) OR (ra <= 1 AND acos >= 0.4)""")
+SELECT src, q_id, s1_id, round(score, 6) AS score FROM r WHERE (rq <= 8 AND score >= 0.6 * (score + (tq - score))) OR (ra <= 4 AND acos >= 0.4)""")
 def prune_candidates(spark, d):
     cands = pairs.competition(entities.scored_pairs(spark, d))
-    return selection.prune_candidates(cands, final_k=2, address_k=1).select("src", "q_id", "s1_id", F.round("score", 6).alias("score"))
+    return selection.prune_candidates(cands).select("src", "q_id", "s1_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {SCORED_SQL}, g AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, src, q_id) AS n FROM scored) SELECT src, q_id, s1_id FROM g WHERE n <= 5")
@@ -594,9 +597,9 @@ _CONF = "conf AS (SELECT src, q_id, s1_id, p FROM (SELECT *, row_number() OVER (
 
 
 @query(f"""WITH {SCORED_SQL}, {_CONF}, cap AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, src, q_id) AS n FROM conf)
-SELECT s.src, s.q_id, s.s1_id, count(*) AS n_sib, round(max(c.p), 6) AS best FROM scored s JOIN cap c ON c.s1_id = s.s1_id AND c.n <= 8 AND (c.src <> s.src OR c.q_id <> s.q_id) GROUP BY ALL""")
+SELECT s.src, s.q_id, s.s1_id, count(*) AS n_sib, round(max(c.p), 6) AS best FROM scored s JOIN cap c ON c.s1_id = s.s1_id AND c.n <= 64 AND (c.src <> s.src OR c.q_id <> s.q_id) GROUP BY ALL""")
 def sibling_pairs(spark, d):
-    df = siblings.sibling_pairs(entities.scored_pairs(spark, d).withColumnRenamed("p", "p1"), cap=8)
+    df = siblings.sibling_pairs(entities.scored_pairs(spark, d).withColumnRenamed("p", "p1"))
     return df.groupBy("src", "q_id", "s1_id").agg(F.count("*").alias("n_sib"), F.round(F.max("sib_p"), 6).alias("best"))
 
 
@@ -645,7 +648,7 @@ def collision_resolution(spark, d):
 def two_stage_matches(spark, d):
     """Both stages of trees, expansion by siblings, and the sets of most expected F0.5."""
     s1, s2, s3 = (df.withColumn("country", text.normalize_country(F.col("country"))) for df in entities.sources(spark, d))
-    return flows.final_matches(flows.two_stage(s1, s2, s3, io.truth_pairs(entities.truth(spark, d)), rounds=4))
+    return flows.final_matches(flows.two_stage(s1, s2, s3, io.truth_pairs(entities.truth(spark, d))))
 
 
 # Profiles and checks.

@@ -162,9 +162,28 @@ def test_stumps_and_logistic(spark, tmp_path):
     assert np.mean((np.array(scores) > 0.5) == y) > 0.85
     model.save(spark, f"{tmp_path}/m")
     assert models.StumpModel.load(spark, f"{tmp_path}/m") == model
-    logistic = models.fit_logistic(x, y, names, epochs=600)
+    logistic = models.fit_logistic(df, names)
     assert np.mean((np.array([r["score"] for r in logistic.score(df).collect()]) > 0.5) == y) > 0.75
-    assert models.class_weights(np.array([1, 0, 0, 0.0])).tolist() == [2.0, 2 / 3, 2 / 3, 2 / 3]
+    logistic.save(spark, f"{tmp_path}/l")
+    assert models.LogisticModel.load(spark, f"{tmp_path}/l") == logistic
+    few = spark.createDataFrame([(1,), (0,), (0,), (0,)], "label int")
+    assert sorted(r["w"] for r in models.balanced(few, "label", "w").collect()) == pytest.approx([2 / 3, 2 / 3, 2 / 3, 2.0])
+
+
+def test_trees_stop_early_and_tell_what_they_use(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(a), float(b), int(a > 0.5), bool(i % 4 == 0), i) for i, (a, b) in enumerate(rng.random((400, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, label int, is_val boolean, qhash int")
+    model = models.fit_trees(df, ["a", "b"], F.lit(True), rounds=60)
+    assert model.stages[-1].getNumTrees < 60
+    used = models.feature_importance(model, ["a", "b"])
+    assert used[0][0] == "a" and used[0][1] > 0.9
+    assert models.with_probability(model, df, "p").where((F.col("p") > 0.5) == (F.col("label") == 1)).count() > 390
+
+
+def test_unfitted_matcher(spark):
+    df = spark.createDataFrame([(0.3,)], "combined_geom_sim double")
+    assert models.FallbackMatcher().score(df).first()["score"] == 0.3
 
 
 def test_threshold_tuning(spark):
@@ -172,6 +191,8 @@ def test_threshold_tuning(spark):
     truth = spark.createDataFrame([("a", ["1"]), ("b", [])], "s1_id string, ids array<string>")
     got = dict(models.tune_threshold(best, truth, [0.2, 0.35, 0.5]))
     assert got[0.5] == 1.0 and got[0.2] < got[0.35] < 1.0
+    threshold, f = models.search_threshold(best, truth)
+    assert 0.4 < threshold <= 0.9 and f == 1.0
 
 
 def test_sampling(spark):
