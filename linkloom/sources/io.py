@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from linkloom.sources.shared import shared_dir
+
 RECORD_COLUMNS = ["entity_id", "business_name", "business_address", "country"]
 TRUTH_COLUMNS = ["source1_entity_id", "matched_entity_ids"]
 MATCH_HEADER = ["source1_entity_id", "matched_entity_ids"]
@@ -138,20 +141,24 @@ def write_resumable(df: DataFrame, path: str, key: str, buckets: int = 16) -> li
     """Writes hash buckets of the key that aren't there yet, each as a partition of its own; returns those written.
 
     A bucket counts as written once its mark is: a mark is written after its bucket, which is overwritten on the next try until then.
+    The plan of df runs once: what is missing of it is written by bucket first, and each bucket's files are read from there.
     """
     spark = df.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = []
+    marks = {b: hadoop(f"{path}/_marks/{b}") for b in range(buckets)}
+    missing = [b for b, mark in marks.items() if not fs.exists(mark)]
+    if not missing:
+        return []
+    staged = f"{shared_dir(spark).rstrip('/')}/resumable-{uuid.uuid4().hex}"
     marked = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    for b in range(buckets):
-        mark = hadoop(f"{path}/_marks/{b}")
-        if fs.exists(mark):
-            continue
-        marked.where(F.col("_bucket") == b).drop("_bucket").write.mode("overwrite").parquet(f"{path}/bucket={b}")
-        fs.create(mark).close()
-        done.append(b)
-    return done
+    marked.where(F.col("_bucket").isin(missing)).write.partitionBy("_bucket").parquet(staged)
+    held = spark.read.schema(marked.schema).parquet(staged)
+    for b in missing:
+        held.where(F.col("_bucket") == b).drop("_bucket").write.mode("overwrite").parquet(f"{path}/bucket={b}")
+        fs.create(marks[b]).close()
+    fs.delete(hadoop(staged), True)
+    return missing
 
 
 # Fetching pages.

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a folder of our own only where that is unset (tests)."""
+    """spark.checkpoint.dir as the session has it; where that is unset, a folder of our own in local mode, else an error."""
     context = spark.sparkContext
     own = context._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and own.isDefined():
         return own.get()
+    if named is None and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = named or tempfile.mkdtemp(prefix="linkloom-")
     if not own.isDefined():
         context.setCheckpointDir(folder)
@@ -25,4 +27,18 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage of what several later steps read."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+_written: list[str] = []
+
+
+def remove_spooled(spark: SparkSession) -> int:
+    """Deletes the tables that ``spool`` wrote in this process, once no DataFrame needs them; returns how many."""
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    paths, _written[:] = list(_written), []
+    for path in paths:
+        at = Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
