@@ -95,6 +95,22 @@ def recall_curve(cands: DataFrame, truth_pairs: DataFrame, ranks: tuple[int, ...
     return sums.select(F.explode(rows).alias("r")).select("r.k", "r.pairs", "r.hits", F.round(F.col("r.hits") / F.lit(max(1, total)), 6).alias("recall"))
 
 
+def relative_recall(cands: DataFrame, truth_pairs: DataFrame, grid: tuple[float, ...] = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)) -> DataFrame:
+    """For each cut: pairs whose score reaches so much of their query's best, true pairs among them, recall. cands: (s1_id, cand_id, score, gap_top)."""
+    total = truth_pairs.count()
+    marked = cands.join(truth_pairs.withColumn("_true", F.lit(1)), ["s1_id", "cand_id"], "left")
+    reach = lambda cut: F.col("score") >= F.lit(cut) * (F.col("score") + F.col("gap_top"))
+    sums = marked.agg(*(f for i, cut in enumerate(grid) for f in (F.count_if(reach(cut)).alias(f"n{i}"), F.count_if(reach(cut) & F.col("_true").isNotNull()).alias(f"h{i}"))))
+    rows = F.array(*(F.struct(F.lit(cut).alias("cut"), F.col(f"n{i}").alias("pairs"), F.col(f"h{i}").alias("hits")) for i, cut in enumerate(grid)))
+    return sums.select(F.explode(rows).alias("r")).select("r.cut", "r.pairs", "r.hits", F.round(F.col("r.hits") / F.lit(max(1, total)), 6).alias("recall"))
+
+
+def label_means(cands: DataFrame, truth_pairs: DataFrame, columns: tuple[str, ...] = ("ncos", "acos")) -> DataFrame:
+    """(label, n, mean of each column) of true and other pairs."""
+    marked = cands.join(truth_pairs.withColumn("label", F.lit(1)), ["s1_id", "cand_id"], "left").fillna({"label": 0})
+    return marked.groupBy("label").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in columns))
+
+
 # Profiles and checks.
 
 

@@ -213,8 +213,8 @@ def feature_importance(model, features: list[str], most: int = 25) -> list[tuple
     return sorted(zip(features, map(float, values), strict=True), key=lambda x: (-x[1], x[0]))[:most]
 
 
-def tune_threshold(best: DataFrame, truth: DataFrame, grid: list[float], p: str = "p") -> list[tuple[float, float]]:
-    """(threshold, macro F0.5) of each threshold, in one job over a small table of thresholds.
+def threshold_scores(best: DataFrame, truth: DataFrame, grid: list[float], p: str = "p") -> DataFrame:
+    """(thr, f): macro F0.5 at each threshold of a grid.
 
     best: (s1_id, cand_id, p), one parent for each record; truth: (s1_id, ids) of all parents.
     """
@@ -225,7 +225,12 @@ def tune_threshold(best: DataFrame, truth: DataFrame, grid: list[float], p: str
     parents = truth.select("s1_id", F.size("ids").alias("n_true"), F.explode(steps).alias("thr")).join(per, ["s1_id", "thr"], "left").fillna({"n": 0, "tp": 0})
     precision, recall = c("tp") / F.nullif(c("n"), F.lit(0)), c("tp") / F.nullif(c("n_true"), F.lit(0))
     f = F.when((c("n") == 0) & (c("n_true") == 0), 1.0).when(c("tp") == 0, 0.0).otherwise(1.25 * precision * recall / (0.25 * precision + recall))
-    return [(r["thr"], r["f"]) for r in parents.groupBy("thr").agg(F.avg(f).alias("f")).orderBy("thr").collect()]
+    return parents.groupBy("thr").agg(F.avg(f).alias("f"))
+
+
+def tune_threshold(best: DataFrame, truth: DataFrame, grid: list[float], p: str = "p") -> list[tuple[float, float]]:
+    """The rows of threshold_scores, one for each threshold."""
+    return [(r["thr"], r["f"]) for r in threshold_scores(best, truth, grid, p).orderBy("thr").collect()]
 
 
 def search_threshold(best: DataFrame, truth: DataFrame, p: str = "p") -> tuple[float, float]:

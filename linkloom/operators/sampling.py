@@ -52,10 +52,14 @@ def negative_sample(pairs: DataFrame, seed: int = 42) -> DataFrame:
     return df.where((F.col("label") == 1) | (F.col("_r") <= F.greatest(F.lit(2), 3 * F.col("_p")))).drop("_p", "_r")
 
 
+def labelled(candidates: DataFrame, truth_pairs: DataFrame) -> DataFrame:
+    """candidates with ``label``: 1 for true pairs (s1_id, cand_id), 0 for others."""
+    return candidates.join(truth_pairs.select("s1_id", "cand_id", F.lit(1).alias("label")), ["s1_id", "cand_id"], "left").fillna({"label": 0})
+
+
 def training_pairs(candidates: DataFrame, truth_pairs: DataFrame, seed: int = 42) -> DataFrame:
     """Labelled candidates with sampled negatives, and every true pair once more, as the models expect."""
-    labelled = candidates.select("s1_id", "cand_id").join(truth_pairs.select("s1_id", "cand_id", F.lit(1).alias("label")), ["s1_id", "cand_id"], "left").fillna({"label": 0})
-    return negative_sample(labelled, seed).unionAll(truth_pairs.select("s1_id", "cand_id", F.lit(1).alias("label")))
+    return negative_sample(labelled(candidates.select("s1_id", "cand_id"), truth_pairs), seed).unionAll(truth_pairs.select("s1_id", "cand_id", F.lit(1).alias("label")))
 
 
 def stratified_sample(parents: DataFrame, n: int, matched: Column, share: float = 0.8, seed: int = 42) -> DataFrame:

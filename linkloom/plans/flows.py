@@ -69,7 +69,7 @@ def fast_flow(s1: DataFrame, targets: DataFrame, model: models.Matcher, config:
 
 def fit_fast_model(compared: DataFrame, truth_pairs: DataFrame) -> models.StumpModel:
     """Boosted stumps from labelled, sampled pairs."""
-    labelled = compared.join(truth_pairs.select("s1_id", "cand_id", F.lit(1).alias("label")), ["s1_id", "cand_id"], "left").fillna({"label": 0})
+    labelled = sampling.labelled(compared, truth_pairs)
     x, y = models.bounded_sample(sampling.negative_sample(labelled.select("s1_id", "cand_id", "label", *pairs.FAST_FEATURES)), pairs.FAST_FEATURES, "label", ["s1_id", "cand_id"])
     return models.fit_stumps(x, y, pairs.FAST_FEATURES)
 

@@ -24,10 +24,11 @@ def text_schema(columns: Iterable[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
 
 
-def read_tsv(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
+def read_tsv(spark: SparkSession, paths: str | list[str], columns: list[str], place: bool = False) -> DataFrame:
     """Tab-separated text with a header in any order and case; quotes doubled; fields trimmed, '' for what is missing.
 
-    Blank rows are skipped. A missing required column raises ValueError.
+    Blank rows are skipped. A missing required column raises ValueError. With ``place`` the columns _file and _row give
+    the rows' order: by the files' paths, then as they stand there.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     options = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": True, "mode": "PERMISSIVE"}
@@ -37,14 +38,36 @@ def read_tsv(spark: SparkSession, paths: str | list[str], columns: list[str]) ->
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     df = spark.read.options(**options).schema(text_schema(f"_c{i}" for i in range(len(head)))).option("enforceSchema", True).csv(paths)
-    df = df.select(*(F.trim(F.coalesce(F.col(f"_c{known[c]}"), F.lit(""))).alias(c) for c in columns))
+    order = [F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row")] if place else []
+    df = df.select(*(F.trim(F.coalesce(F.col(f"_c{known[c]}"), F.lit(""))).alias(c) for c in columns), *order)
     return df.where(F.concat(*map(F.col, columns)) != "")
 
 
 def read_records(spark: SparkSession, paths: str | list[str], max_rows: int | None = None) -> DataFrame:
-    """Entity records of one or several files; with max_rows only so many rows."""
-    df = read_tsv(spark, paths, RECORD_COLUMNS)
-    return df if max_rows is None else df.limit(max_rows)
+    """Entity records of one or several files; with max_rows only the first rows in their order."""
+    if max_rows is None:
+        return read_tsv(spark, paths, RECORD_COLUMNS)
+    return read_tsv(spark, paths, RECORD_COLUMNS, place=True).orderBy("_file", "_row").limit(max_rows).drop("_file", "_row")
+
+
+def row_counts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(source, n): lines of each source's files but their headers."""
+    out = None
+    for name, path in paths.items():
+        per = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("lines"))
+        one = per.agg(F.coalesce(F.sum(F.col("lines") - 1), F.lit(0)).alias("n")).select(F.lit(name).alias("source"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def write_strings(records: DataFrame, path: str) -> None:
+    """Lower-cased names and addresses by entity_id, beside the prepared records."""
+    records.select("entity_id", F.lower("business_name").alias("name"), F.lower("business_address").alias("address")).write.mode("overwrite").parquet(path)
+
+
+def strings_of(rows: DataFrame, store: DataFrame, key: str, prefix: str) -> DataFrame:
+    """rows with the store's name and address of the entity in ``key``, under names with a prefix."""
+    return rows.join(store.select(F.col("entity_id").alias(key), F.col("name").alias(f"{prefix}name"), F.col("address").alias(f"{prefix}address")), key, "left")
 
 
 def source_of(entity_id) -> F.Column:
@@ -127,14 +150,22 @@ def write_prepared(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("country").parquet(path)
 
 
-def write_bundle(keys: DataFrame, payload: DataFrame, path: str) -> None:
-    """The encoded targets: keys and payload side by side, to be built once and read often."""
+def _bundle_bucket(key) -> F.Column:
+    return F.pmod(F.xxhash64(key), F.lit(64)).cast("int")
+
+
+def write_bundle(keys: DataFrame, payload: DataFrame, path: str, key: str = "entity_id") -> None:
+    """The encoded targets, to be built once and read often: keys, and payload in buckets of the entity's hash."""
     keys.write.mode("overwrite").parquet(f"{path}/keys")
-    payload.write.mode("overwrite").parquet(f"{path}/payload")
+    payload.withColumn("bucket", _bundle_bucket(F.col(key))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/payload")
 
 
-def read_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/keys"), spark.read.parquet(f"{path}/payload")
+def read_bundle(spark: SparkSession, path: str, entity: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Keys and payload; of one entity only its bucket of the payload is read."""
+    payload = spark.read.parquet(f"{path}/payload")
+    if entity is not None:
+        payload = payload.where((F.col("bucket") == _bundle_bucket(F.lit(entity))) & (F.col("entity_id") == entity))
+    return spark.read.parquet(f"{path}/keys"), payload.drop("bucket")
 
 
 def write_resumable(df: DataFrame, path: str, key: str, buckets: int = 16) -> list[int]:
