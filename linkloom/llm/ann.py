@@ -23,9 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import prepare
+
 
 @dataclass(frozen=True)
 class Tiling:
@@ -159,8 +161,7 @@ def nearest(rows: DataFrame, is_query, k: int = 20, vec: str = "embedding", tili
 
     rows: vec_id and ``vec``, an array of numbers. is_query: a condition on vec_id.
     """
-    from pyspark.sql import Window
-
+    prepare(rows.sparkSession)
     vectors = valid_vectors(rows, vec)
     n = rows.count()
     n_queries = rows.where(is_query).count()
