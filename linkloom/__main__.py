@@ -5,7 +5,12 @@ candidates S1 S2 S3 OUT                    candidate lists of the rule flow
 match S1 S2 S3 OUT_DIR [--threshold --gap --max-matches]   matching_results and candidate_pairs
 evaluate TRUTH MATCHES [--scope]           macro precision, recall, F0.5
 validate MATCHES S1 [--candidates FILE] [--records FILE...]   one line for each rule that finds something
-urls URLS                                  a line of JSON for each URL of a text file
+train S1 S2 S3 TRUTH MODEL                 fits the fast flow's model and tells its best threshold
+submit S1 S2 S3 MODEL OUT_DIR [--threshold --gap --max-matches]   the fast flow by a saved model; a run that broke off goes on where it was
+sweep S1 S2 S3 MODEL TRUTH                 macro F0.5 of the fast flow's best candidates by threshold
+predict S1 S2 S3 TRUTH OUT_DIR             the two-stage flow, trained on the truth
+urls URLS OUT_DIR [--model DIR]            a line of JSON for each URL of a text file
+serve [--host --port]                      the URL analysis as a JSON service
 """
 
 from __future__ import annotations
@@ -18,11 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.shipping import ship
-from linkloom.functions.text import normalized_records
+from linkloom.functions.text import normalize_country, normalized_records
 from linkloom.functions.url import analyze
-from linkloom.operators import evaluation
+from linkloom.operators import evaluation, models, selection
 from linkloom.plans import flows
 from linkloom.sources import io
+from linkloom.sources.shared import spool
 
 WARNINGS = {"matched_outside_candidates"}
 
@@ -81,11 +87,73 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> int:
     return int(any(row["rule"] not in WARNINGS for row in bad))
 
 
+def _sides(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
+    return io.read_records(spark, a.s1), io.read_records(spark, [a.s2, a.s3])
+
+
+def train(spark: SparkSession, a: argparse.Namespace) -> int:
+    s1, targets = _sides(spark, a)
+    truth = io.read_truth(spark, a.truth)
+    compared = spool(flows.fast_pairs(s1, targets), "compared")
+    model = flows.fit_fast_model(compared, io.truth_pairs(truth))
+    model.save(spark, a.model)
+    threshold, f = models.search_threshold(_best(model.score(compared)), truth)
+    print(json.dumps({"threshold": threshold, "f05": round(f, 6), "stumps": len(model.stumps)}))
+    return 0
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    return selection.top_k(scored.select("s1_id", "cand_id", F.col("score").alias("p")), 1, ["cand_id"], "p", ["s1_id"])
+
+
+def submit(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Matches and candidates of every S1 by buckets, which a second run of the same command doesn't write again; then the two lists."""
+    s1, targets = _sides(spark, a)
+    model = models.StumpModel.load(spark, a.model)
+    config = flows.LinkConfig(fast_threshold=a.threshold, fast_gap=a.gap, fast_matches=a.max_matches)
+    compared = spool(flows.fast_pairs(s1, targets, config), "compared")
+    scored = model.score(compared).select("s1_id", "cand_id", "score")
+    found = selection.select_matches(scored, config.fast_threshold, config.fast_gap, config.fast_matches)
+    matches, lists = flows.outputs(found, compared, s1)
+    both = matches.withColumnRenamed("source1_entity_id", "s1_id").join(lists.withColumnRenamed("source1_entity_id", "s1_id"), "s1_id")
+    written = io.write_resumable(both, f"{a.out}/buckets", "s1_id")
+    held = spark.read.parquet(f"{a.out}/buckets").withColumnRenamed("s1_id", "source1_entity_id")
+    io.write_tsv(held.select(*io.MATCH_HEADER), f"{a.out}/matching_results")
+    io.write_tsv(held.select(*io.CANDIDATE_HEADER), f"{a.out}/candidate_pairs")
+    print(json.dumps({"buckets_written": len(written)}))
+    return 0
+
+
+def sweep(spark: SparkSession, a: argparse.Namespace) -> int:
+    s1, targets = _sides(spark, a)
+    scored = models.StumpModel.load(spark, a.model).score(flows.fast_pairs(s1, targets))
+    for threshold, f in models.tune_threshold(_best(scored), io.read_truth(spark, a.truth), [i / 20 for i in range(1, 20)]):
+        print(json.dumps({"threshold": threshold, "f05": round(f, 6)}))
+    return 0
+
+
+def predict(spark: SparkSession, a: argparse.Namespace) -> int:
+    known = lambda path: io.read_records(spark, path).withColumn("country", normalize_country(F.col("country")))
+    s1 = known(a.s1)
+    scored = flows.two_stage(s1, known(a.s2), known(a.s3), io.truth_pairs(io.read_truth(spark, a.truth)))
+    cands = scored.select("s1_id", F.col("q_id").alias("cand_id"))
+    matches, lists = flows.outputs(flows.final_matches(scored), cands, s1)
+    io.write_tsv(matches, f"{a.out}/matching_results")
+    io.write_tsv(lists, f"{a.out}/candidate_pairs")
+    return 0
+
+
 def urls(spark: SparkSession, a: argparse.Namespace) -> int:
     lines = spark.read.text(a.urls).withColumnRenamed("value", "url")
-    out = analyze(lines).select(F.to_json(F.struct("*")))
-    for (line,) in out.toLocalIterator():
-        print(line)
+    out = analyze(lines, score=models.url_scorer(models.url_model(spark, path=a.model)) if a.model else None)
+    out.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(a.out)
+    return 0
+
+
+def serve(spark: SparkSession, a: argparse.Namespace) -> int:
+    from linkloom.service import server
+
+    server(spark, a.host, a.port).serve_forever()
     return 0
 
 
@@ -110,7 +178,17 @@ def main(args: list[str] | None = None) -> int:
     p = command(validate, "matches", "s1")
     p.add_argument("--candidates")
     p.add_argument("--records", nargs="*")
-    command(urls, "urls")
+    command(train, "s1", "s2", "s3", "truth", "model")
+    p = command(submit, "s1", "s2", "s3", "model", "out")
+    p.add_argument("--threshold", type=float, default=flows.LinkConfig.fast_threshold)
+    p.add_argument("--gap", type=float, default=flows.LinkConfig.fast_gap)
+    p.add_argument("--max-matches", type=int, default=flows.LinkConfig.fast_matches)
+    command(sweep, "s1", "s2", "s3", "model", "truth")
+    command(predict, "s1", "s2", "s3", "truth", "out")
+    command(urls, "urls", "out").add_argument("--model")
+    p = command(serve)
+    p.add_argument("--host", default="127.0.0.1")
+    p.add_argument("--port", type=int, default=8000)
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("linkloom").getOrCreate()
     ship(spark)

@@ -27,7 +27,11 @@ def combining_class() -> str:
 
 
 def fold_accents(text: Column) -> Column:
-    """Text in compatibility decomposition (NFKD) without combining marks; null stays null."""
+    """Text in compatibility decomposition (NFKD) without combining marks; null stays null.
+
+    Spark takes a call by reflection for one that may change: it is computed once, in a projection of its own, and
+    filters stay above it. So rows are best filtered before they are normalised, and aggregates read a column of it.
+    """
     apart = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.coalesce(text, F.lit("")), F.lit(True))
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(apart, combining_class(), "")).otherwise(text)
 

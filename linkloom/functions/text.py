@@ -92,12 +92,11 @@ def normalized_records(records: DataFrame) -> DataFrame:
     """records (entity_id, business_name, business_address, country) with the normalised forms added."""
     df = records.withColumns({
         "name_norm": normalize_name(F.col("business_name")),
-        "name_stripped": normalize_name(F.col("business_name"), strip_legal=True),
         "addr_norm": normalize_address(F.col("business_address")),
         "country_norm": normalize_country(F.col("country")),
     })
     return df.withColumns({
-        "name_compact": compact(F.col("name_norm")), "name_tokens": name_tokens(F.col("name_norm")),
+        "name_stripped": strip_suffixes(F.col("name_norm")), "name_compact": compact(F.col("name_norm")), "name_tokens": name_tokens(F.col("name_norm")),
         "addr_compact": compact(F.col("addr_norm")), "addr_tokens": words_of(F.col("addr_norm")),
     })
 

@@ -118,8 +118,9 @@ def source_profile(records: DataFrame) -> DataFrame:
     """One row of counts: records, empty fields, distinct names and addresses, mean words."""
     blank = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) == "")
     low = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.lower(F.trim(F.col(c))))
-    words = lambda c: F.sum(F.size(words_of(normalize_text(F.col(c))))) / F.count("*")
-    return records.agg(
+    words = lambda c: F.sum(f"_{c}") / F.count("*")
+    counted = records.withColumns({f"_{c}": F.size(words_of(normalize_text(F.col(c)))) for c in ("business_name", "business_address")})
+    return counted.agg(
         F.count("*").alias("total"), blank("business_name").alias("empty_names"), blank("business_address").alias("empty_addresses"), blank("country").alias("empty_countries"),
         F.countDistinct(low("business_name")).alias("distinct_names"), F.countDistinct(low("business_address")).alias("distinct_addresses"),
         F.round(words("business_name"), 6).alias("mean_name_words"), F.round(words("business_address"), 6).alias("mean_address_words"),
@@ -127,7 +128,7 @@ def source_profile(records: DataFrame) -> DataFrame:
 
 
 def country_histogram(records: DataFrame) -> DataFrame:
-    return records.groupBy(normalize_country(F.col("country")).alias("country")).agg(F.count("*").alias("n"))
+    return records.select(normalize_country(F.col("country")).alias("country")).groupBy("country").agg(F.count("*").alias("n"))
 
 
 def truth_profile(truth: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ models on all rows; scoring by stumps and by the logistic model is a Column expr
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from typing import Protocol
 
 import numpy as np
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -234,8 +235,8 @@ def tune_threshold(best: DataFrame, truth: DataFrame, grid: list[float], p: str
 
 
 def search_threshold(best: DataFrame, truth: DataFrame, p: str = "p") -> tuple[float, float]:
-    """The threshold with the best macro F0.5, sought by twentieths, then by hundredths around the best of these."""
-    pick = lambda grid: max(tune_threshold(best, truth, grid, p), key=lambda x: (x[1], -x[0]))
+    """The threshold with the best macro F0.5, sought by twentieths, then by hundredths around the best of these; the higher of equals."""
+    pick = lambda grid: max(tune_threshold(best, truth, grid, p), key=lambda x: (x[1], x[0]))
     coarse, _ = pick([i / 20 for i in range(1, 20)])
     return pick([round(coarse + i / 100, 2) for i in range(-4, 5) if 0 < coarse + i / 100 < 1])
 
@@ -255,11 +256,35 @@ def training_urls() -> list[tuple[str, int]]:
     return [(u, 0) for u in benign] + [(u, 1) for u in traps]
 
 
-def url_model(spark: SparkSession, seed: int = 42):
-    """Scaled features into a forest of 30 trees, fitted on training_urls()."""
-    data = url_vectors(spark.createDataFrame(training_urls(), "url string, label int"))
-    stages = [VectorAssembler(inputCols=url_functions.VECTOR, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_features", withMean=True), RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=30, maxDepth=6, seed=seed)]
-    return Pipeline(stages=stages).fit(data)
+_url_models: dict[tuple[str, int], object] = {}
+
+
+def url_model(spark: SparkSession, seed: int = 42, path: str | None = None):
+    """Scaled features into a forest of 30 trees, fitted on training_urls(): once for each application, or read from ``path`` if it is there."""
+    known = (spark.sparkContext.applicationId, seed)
+    if path is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return PipelineModel.load(path)
+    if known not in _url_models:
+        data = url_vectors(spark.createDataFrame(training_urls(), "url string, label int"))
+        stages = [VectorAssembler(inputCols=url_functions.VECTOR, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_features", withMean=True), RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=30, maxDepth=6, seed=seed)]
+        _url_models[known] = Pipeline(stages=stages).fit(data)
+    if path is not None:
+        _url_models[known].save(path)
+    return _url_models[known]
+
+
+def url_scorer(model) -> Callable[[DataFrame], DataFrame]:
+    """Adds model_score to URLs with their features."""
+
+    def run(featured: DataFrame) -> DataFrame:
+        flags = [f for f, t in featured.select(*url_functions.VECTOR).dtypes if t == "boolean"]
+        numbers = featured.withColumns({f: F.col(f).cast("int") for f in flags})
+        scored = with_probability(model, numbers, "model_score").drop("_raw").withColumn("model_score", F.round("model_score", 4))
+        return scored.withColumns({f: F.col(f) == 1 for f in flags})
+
+    return run
 
 
 def url_vectors(df: DataFrame) -> DataFrame:

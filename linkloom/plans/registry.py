@@ -91,10 +91,19 @@ def url_batch_summary(spark, d):
     return url.batch_summary(url.analyze(table(spark, d, "pages").select("page_id", "url")))
 
 
-@query()
+_ANALYSED = {
+    "features": ["url_length", "url_entropy", "subdomain_count", "is_ip", "suspicious_token_count"],
+    "threat": ["threat_score", "is_malicious", "risk_level", "confidence"],
+    "reputation": ["full_domain", "reputation_score", "reputation_tier", "category"],
+}
+
+
+@query(f"""WITH {sql.tokenized()},{sql.featured()},{sql.threats()},{sql.reputations()}, a AS (SELECT r.*, heuristic_score AS threat_score, heuristic_score >= 0.5 AS is_malicious, greatest(0.5, round(abs(heuristic_score - 0.5) * 2, 4)) AS confidence, reputation_score, reputation_tier, category, length(trim(coalesce(r.url, ''))) >= 3 AS ok FROM risk r JOIN rep USING (page_id))
+SELECT page_id, ok AS is_valid, CASE WHEN NOT ok THEN 'URL is empty or too short' END AS error, {', '.join(f'CASE WHEN ok THEN {c} END AS {c}' for own in _ANALYSED.values() for c in own)} FROM a""")
 def url_analysis(spark, d):
-    """Nested results of every URL, as text."""
-    return url.analyze(table(spark, d, "pages").select("page_id", "url")).select("page_id", "is_valid", "error", *(F.to_json(c).alias(c) for c in ("features", "threat", "reputation")))
+    """The whole analysis of every URL."""
+    found = url.analyze(table(spark, d, "pages").select("page_id", "url"))
+    return found.select("page_id", "is_valid", "error", *(f"{part}.{c}" for part, own in _ANALYSED.items() for c in own))
 
 
 @query(r"SELECT page_id, nullif(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si')), '') AS title FROM pages")

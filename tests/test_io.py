@@ -59,10 +59,45 @@ def test_bundle_and_fetch(spark, tmp_path):
     def fake(url, timeout):
         return {"final_url": url, "status_code": 200 if "ok" in url else None, "content_type": "text/html", "html": "<title>x</title>", "redirect_chain": [], "error": None if "ok" in url else "Timeout"}
 
+    _, one = io.read_bundle(spark, str(tmp_path / "b"), entity="a")
+    assert [tuple(r) for r in one.collect()] == [("a", 1)] and io.read_bundle(spark, str(tmp_path / "b"), entity="z")[1].count() == 0
     got = {r["url"]: (r["status_code"], r["error"]) for r in io.fetch_pages(spark.createDataFrame([("http://ok",), ("http://no",)], "url string"), fake).collect()}
     assert got == {"http://ok": (200, None), "http://no": (None, "Timeout")}
 
 
+def test_fetching_follows_redirects(spark):
+    """Over a server of our own: two hops, an error, and a page that takes too long."""
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/slow":
+                time.sleep(2)
+            self.send_response({"/a": 302, "/b": 301, "/none": 404}.get(self.path, 200))
+            if self.path in ("/a", "/b"):
+                self.send_header("Location", "/b" if self.path == "/a" else "/c")
+            self.send_header("Content-Type", "text/html; charset=latin-1")
+            self.end_headers()
+            self.wfile.write("<title>é</title>".encode("latin-1"))
+
+        def log_message(self, *_):
+            pass
+
+    listening = ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=listening.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{listening.server_port}"
+    try:
+        urls_ = spark.createDataFrame([(f"{at}/{p}",) for p in ("a", "c", "none", "slow")] + [("http://127.0.0.1:1/",), ("file:///etc/hostname",)], "url string")
+        got = {r["url"].removeprefix(at): r for r in io.fetch_pages(urls_, timeout=1.0).collect()}
+    finally:
+        listening.shutdown()
+    assert got["/a"]["final_url"] == f"{at}/c" and got["/a"]["redirect_chain"] == [f"{at}/a", f"{at}/b"] and got["/a"]["html"] == "<title>é</title>"
+    assert got["/c"]["redirect_chain"] == [] and got["/none"]["status_code"] == 404
+    assert "Timeout" in got["/slow"]["error"] and "Connection error" in got["http://127.0.0.1:1/"]["error"] and got["file:///etc/hostname"]["error"] == "Unsupported scheme: file" and got["file:///etc/hostname"]["html"] is None
+
+
 def test_streams_equal_batch_and_resume(spark, tmp_path):
     source, sink = tmp_path / "in", tmp_path / "out"
     batch = spark.createDataFrame([(i, f"http://h{i}.example.com/login") for i in range(6)], "page_id long, url string")
