@@ -10,7 +10,7 @@ from linkloom.functions.text import words_of
 from linkloom.operators import evaluation, models, pairs, sampling, selection, tfidf, translearn
 from linkloom.plans import entities, flows, sql
 from linkloom.plans.entities import SCORED_SQL, SOURCES_SQL, TRUTH_SQL, table
-from linkloom.plans.registry import _COSINES, _fast_sql, _forms_sql, _prepared, _rounded, _round_sql, query
+from linkloom.plans.registry import _COSINES, _fast_sql, _forms_sql, _prepared, _round_sql, _rounded, _sides, query
 from linkloom.sources import io
 
 # Ratios over all true pairs.
@@ -48,15 +48,21 @@ def _partial(a: str, b: str) -> str:
     return f"(CASE WHEN {a} = '' OR {b} = '' THEN CASE WHEN {a} = {b} THEN CAST(100 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END WHEN length({a}) < length({b}) THEN {one(a, b)} WHEN length({b}) < length({a}) THEN {one(b, a)} ELSE greatest({one(a, b)}, {one(b, a)}) END)"
 
 
+def _token_set(source: str, out: str, a: str, b: str) -> str:
+    """``out``: source with the token-set ratio of two columns in the column named after it."""
+    steps = f"""
+{out}_0 AS (SELECT *, list_distinct({_WORDS(a)}) AS x, list_distinct({_WORDS(b)}) AS y FROM {source}),
+{out}_1 AS (SELECT *, {_sorted('list_intersect(x, y)')} AS core, {_sorted('list_filter(x, lambda w: NOT list_contains(y, w))')} AS l, {_sorted('list_filter(y, lambda w: NOT list_contains(x, w))')} AS r FROM {out}_0),
+{out}_2 AS MATERIALIZED (SELECT *, trim(concat(core, ' ', l)) AS one, trim(concat(core, ' ', r)) AS two FROM {out}_1)"""
+    whole = f"CASE WHEN len(x) = 0 OR len(y) = 0 THEN CAST(0 AS DOUBLE) WHEN core <> '' AND (l = '' OR r = '') THEN CAST(100 AS DOUBLE) ELSE greatest({_ratio('one', 'two')}, CASE WHEN core = '' THEN CAST(0 AS DOUBLE) ELSE greatest({_ratio('core', 'one')}, {_ratio('core', 'two')}) END) END"
+    return f"{steps},\n{out} AS MATERIALIZED (SELECT * EXCLUDE (x, y, core, l, r, one, two), {whole} AS {out} FROM {out}_2)"
+
+
 _WORDS = lambda x: f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
 _PAIR_FORMS = f"""{SOURCES_SQL},{TRUTH_SQL},{_forms_sql()},
 tp AS MATERIALIZED (SELECT t.s1_id, t.cand_id, l.n_norm AS ln, r.n_norm AS rn, l.n_core AS lc, r.n_core AS rc, l.n_compact AS lp, r.n_compact AS rp, l.a_nums AS lx, r.a_nums AS rx, l.a_words AS lw, r.a_words AS rw,
   coalesce(({_WORDS('l.n_core')})[1], '') AS lf, coalesce(({_WORDS('r.n_core')})[1], '') AS rf FROM truth_pairs t JOIN forms l ON l.entity_id = t.s1_id JOIN forms r ON r.entity_id = t.cand_id)"""
-_TOKEN_SETS = f"""
-ts0 AS (SELECT *, list_distinct({_WORDS('ln')}) AS x, list_distinct({_WORDS('rn')}) AS y FROM tp),
-ts1 AS (SELECT *, {_sorted('list_intersect(x, y)')} AS core, {_sorted('list_filter(x, lambda w: NOT list_contains(y, w))')} AS l, {_sorted('list_filter(y, lambda w: NOT list_contains(x, w))')} AS r FROM ts0),
-ts AS MATERIALIZED (SELECT *, trim(concat(core, ' ', l)) AS one, trim(concat(core, ' ', r)) AS two, {_sorted(_WORDS('ln'))} AS ls, {_sorted(_WORDS('rn'))} AS rs FROM ts1)"""
-_TOKEN_SET = f"CASE WHEN len(x) = 0 OR len(y) = 0 THEN CAST(0 AS DOUBLE) WHEN core <> '' AND (l = '' OR r = '') THEN CAST(100 AS DOUBLE) ELSE greatest({_ratio('one', 'two')}, CASE WHEN core = '' THEN CAST(0 AS DOUBLE) ELSE greatest({_ratio('core', 'one')}, {_ratio('core', 'two')}) END) END"
+_TOKEN_SETS = f"{_token_set('tp', 'token_set', 'ln', 'rn')}, ts AS (SELECT *, {_sorted(_WORDS('ln'))} AS ls, {_sorted(_WORDS('rn'))} AS rs FROM token_set)"
 
 
 def _true_pairs(spark, d):
@@ -67,7 +73,7 @@ def _true_pairs(spark, d):
     return own.join(side(s1, "s1_id", "l_"), "s1_id").join(side(s2.unionByName(s3), "cand_id", "r_"), "cand_id")
 
 
-@query(f"""WITH {_PAIR_FORMS},{_TOKEN_SETS} SELECT s1_id, cand_id, round({_ratio('ln', 'rn')}, 6) AS ratio, round({_ratio('ls', 'rs')}, 6) AS token_sort, round({_TOKEN_SET}, 6) AS token_set,
+@query(f"""WITH {_PAIR_FORMS},{_TOKEN_SETS} SELECT s1_id, cand_id, round({_ratio('ln', 'rn')}, 6) AS ratio, round({_ratio('ls', 'rs')}, 6) AS token_sort, round(token_set, 6) AS token_set,
   round({_partial('lf', 'rf')}, 6) AS partial, round({_jaro_winkler('lp', 'rp')}, 6) AS jaro_winkler, CAST(levenshtein(lp, rp) AS INTEGER) AS lev FROM ts""")
 def fuzzy_ratios(spark, d):
     """Fuzzy ratios of every true pair."""
@@ -92,14 +98,53 @@ def word_set_features(spark, d):
     )
 
 
-_ALL = f"""{SOURCES_SQL},{TRUTH_SQL},{sql.normalized('records')}, capped AS (SELECT s1_id, cand_id FROM truth_pairs),{sql.native_features()},
+#: From ``capped`` pairs and normalised records, all features (``feats``).
+_ALL = f"""{sql.native_features()},
 names AS (SELECT p.*, l.name_stripped AS ln, r.name_stripped AS rn FROM pairs p JOIN norm l ON l.entity_id = s1_id JOIN norm r ON r.entity_id = cand_id),
 jw AS MATERIALIZED (SELECT * EXCLUDE (ln, rn), {_jaro_winkler('ln', 'rn')} AS name_jaro_winkler FROM names),
 means AS (SELECT *, (name_token_jaccard + name_levenshtein + name_char_3gram + name_jaro_winkler) / 4 AS ns, (addr_token_jaccard + addr_levenshtein + addr_char_3gram) / 3 AS asim FROM jw),
 feats AS (SELECT *, sqrt(ns * asim) AS combined_geom_sim, {sql.flag('ns > 0.85 AND asim > 0.7 AND country_match = 1')} AS strong_agreement, {sql.flag('ns < 0.25 OR country_match = 0')} AS strong_disagreement FROM means)"""
 
 
-@query(f"WITH {_ALL} SELECT s1_id, cand_id, {_round_sql(pairs.FEATURES)} FROM feats")
+_TRUE = f"{SOURCES_SQL},{TRUTH_SQL},{sql.normalized('records')}, capped AS (SELECT s1_id, cand_id FROM truth_pairs)"
+_CANDIDATES = f"{SOURCES_SQL},{sql.candidates()}"
+
+
+def _candidates(spark, d):
+    """Capped candidates, and both sides."""
+    left, right = _sides(spark, d)
+    return flows.rule_candidates(left, right).select("s1_id", "cand_id"), left, right
+
+
+@query(f"WITH {_CANDIDATES},{_ALL} SELECT s1_id, cand_id, {_round_sql(pairs.FEATURES)} FROM feats")
+def pair_features(spark, d):
+    """All 21 features of the capped candidates."""
+    cands, left, right = _candidates(spark, d)
+    return pairs.pair_features(pairs.with_sides(cands, left, right, pairs.SIDE)).select("s1_id", "cand_id", *_rounded(pairs.FEATURES))
+
+
+@query(f"WITH {_CANDIDATES}, names AS (SELECT s1_id, cand_id, l.name_stripped AS ln, r.name_stripped AS rn FROM capped JOIN norm l ON l.entity_id = s1_id JOIN norm r ON r.entity_id = cand_id) SELECT s1_id, cand_id, round({_jaro_winkler('ln', 'rn')}, 6) AS jaro_winkler FROM names")
+def jaro_winkler_pairs(spark, d):
+    cands, left, right = _candidates(spark, d)
+    met = pairs.with_sides(cands, left, right, ["name_stripped"])
+    return met.select("s1_id", "cand_id", F.round(sim.jaro_winkler_similarity(F.col("l_name_stripped"), F.col("r_name_stripped")), 6).alias("jaro_winkler"))
+
+
+_D = lambda x: f"CAST({x} AS DOUBLE)"
+_BOOSTED = f"""
+boosted AS (SELECT s1_id, cand_id, CASE WHEN country_match = 0 THEN 0.0 WHEN name_norm_exact = 1 AND addr_norm_exact = 1 THEN 1.0 ELSE least(1.0, greatest(0.0, {_D(0.55)} * (name_token_jaccard * {_D(0.4)} + name_levenshtein * {_D(0.3)} + name_char_3gram * {_D(0.3)})
+  + {_D(0.35)} * (addr_token_jaccard * {_D(0.4)} + addr_levenshtein * {_D(0.3)} + addr_num_overlap * {_D(0.3)}) + CASE WHEN strong_agreement = 1 THEN {_D(0.1)} ELSE 0 END)) END AS score FROM feats),
+won AS (SELECT s1_id, cand_id, score FROM (SELECT *, max(score) OVER (PARTITION BY s1_id) AS top FROM boosted WHERE score >= {_D(0.62)}) WHERE score >= greatest({_D(0.62)}, top - {_D(0.15)}))"""
+
+
+@query(f"WITH {_CANDIDATES},{_ALL},{_BOOSTED} SELECT s1_id, cand_id, round(score, 6) AS score FROM won")
+def rule_flow_matches(spark, d):
+    """The whole rule flow with the agreement boost."""
+    s1, s2, s3 = entities.sources(spark, d)
+    return flows.rule_flow(s1, s2.unionByName(s3))[1].select("s1_id", "cand_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_TRUE},{_ALL} SELECT s1_id, cand_id, {_round_sql(pairs.FEATURES)} FROM feats")
 def true_pair_features(spark, d):
     """All 21 features of every true pair."""
     s1, s2, s3 = entities.sources(spark, d)
@@ -115,6 +160,24 @@ def pair_cosines(spark, d):
     return tfidf.pair_cosines(own, queries, s1, ["q_id"]).select("s1_id", "q_id", *_rounded(["ncos", "acos"]))
 
 
+_LOW = lambda c: f"lower(trim(coalesce({c}, '')))"
+
+
+@query(f"""WITH {SOURCES_SQL},{TRUTH_SQL}, claims AS (SELECT DISTINCT s1_id, cand_id FROM (SELECT s1_id, cand_id FROM truth_pairs UNION ALL SELECT concat('S1-', greatest(CAST(regexp_extract(s1_id, '([0-9]+)$', 1) AS BIGINT) - 1, 0)), cand_id FROM truth_pairs)),
+counted AS (SELECT *, count(*) OVER (PARTITION BY cand_id) AS n FROM claims),
+held AS (SELECT c.s1_id, c.cand_id, {_LOW('r.business_name')} AS rn, {_LOW('l.business_name')} AS ln, {_LOW('r.business_address')} AS ra, {_LOW('l.business_address')} AS la FROM counted c JOIN records l ON l.entity_id = c.s1_id JOIN records r ON r.entity_id = c.cand_id WHERE n > 1),
+{_token_set('held', 'by_name', 'rn', 'ln')},{_token_set('by_name', 'by_address', 'ra', 'la')},
+ranked AS (SELECT s1_id, cand_id, {_D(0.6)} * by_name + {_D(0.4)} * by_address AS score FROM by_address),
+best AS (SELECT s1_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY score DESC, s1_id) AS n FROM ranked) WHERE n = 1 AND score >= 45)
+SELECT s1_id, cand_id FROM counted WHERE n = 1 UNION ALL SELECT s1_id, cand_id FROM best""")
+def collision_resolution(spark, d):
+    """Every target claimed by its parent and by the one before it; names and addresses decide."""
+    own = io.truth_pairs(entities.truth(spark, d))
+    number = F.regexp_extract("s1_id", "([0-9]+)$", 1).cast("long")
+    other = own.select(F.concat(F.lit("S1-"), F.greatest(number - 1, F.lit(0))).alias("s1_id"), "cand_id")
+    return selection.resolve_collisions(own.unionByName(other).distinct(), entities.all_records(spark, d))
+
+
 # Hashes.
 
 

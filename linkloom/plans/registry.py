@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkloom.functions import pages, text, translit, url
-from linkloom.functions import similarity as sim
 from linkloom.operators import blocking, evaluation, models, pairs, sampling, selection, siblings, tfidf
 from linkloom.plans import entities, flows, sql
 from linkloom.plans.entities import SCORED_SQL, SOURCES_SQL, TRUTH_SQL, table
@@ -348,27 +347,6 @@ def missed_pairs(spark, d):
     return evaluation.missed_pairs(io.truth_pairs(entities.truth(spark, d)), cands)
 
 
-@query()
-def pair_features(spark, d):
-    """All 21 features of the capped candidates."""
-    left, right = _sides(spark, d)
-    return pairs.pair_features(pairs.with_sides(flows.rule_candidates(left, right).select("s1_id", "cand_id"), left, right, pairs.SIDE)).select("s1_id", "cand_id", *pairs.FEATURES)
-
-
-@query()
-def jaro_winkler_pairs(spark, d):
-    left, right = _sides(spark, d)
-    met = pairs.with_sides(flows.rule_candidates(left, right).select("s1_id", "cand_id"), left, right, ["name_stripped"])
-    return met.select("s1_id", "cand_id", sim.jaro_winkler_similarity(F.col("l_name_stripped"), F.col("r_name_stripped")).alias("jaro_winkler"))
-
-
-@query()
-def rule_flow_matches(spark, d):
-    """The whole rule flow with the agreement boost."""
-    s1, s2, s3 = entities.sources(spark, d)
-    return flows.rule_flow(s1, s2.unionByName(s3))[1]
-
-
 # The fast flow.
 
 
@@ -630,15 +608,6 @@ def sibling_features(spark, d):
     return siblings.sibling_features(_claimed(spark, d), flows.prepared_queries(s2, s3))
 
 
-@query()
-def collision_resolution(spark, d):
-    """Every target claimed by its parent and by the one before it; names and addresses decide."""
-    own = io.truth_pairs(entities.truth(spark, d))
-    number = F.regexp_extract("s1_id", "([0-9]+)$", 1).cast("long")
-    other = own.select(F.concat(F.lit("S1-"), F.greatest(number - 1, F.lit(0))).alias("s1_id"), "cand_id")
-    return selection.resolve_collisions(own.unionByName(other).distinct(), entities.all_records(spark, d))
-
-
 @query()
 def two_stage_matches(spark, d):
     """Both stages of trees, expansion by siblings, and the sets of most expected F0.5."""
