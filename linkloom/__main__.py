@@ -111,10 +111,8 @@ def submit(spark: SparkSession, a: argparse.Namespace) -> int:
     s1, targets = _sides(spark, a)
     model = models.StumpModel.load(spark, a.model)
     config = flows.LinkConfig(fast_threshold=a.threshold, fast_gap=a.gap, fast_matches=a.max_matches)
-    compared = spool(flows.fast_pairs(s1, targets, config), "compared")
-    scored = model.score(compared).select("s1_id", "cand_id", "score")
-    found = selection.select_matches(scored, config.fast_threshold, config.fast_gap, config.fast_matches)
-    matches, lists = flows.outputs(found, compared, s1)
+    cands, found = flows.fast_flow(s1, targets, model, config)
+    matches, lists = flows.outputs(found, cands, s1)
     both = matches.withColumnRenamed("source1_entity_id", "s1_id").join(lists.withColumnRenamed("source1_entity_id", "s1_id"), "s1_id")
     written = io.write_resumable(both, f"{a.out}/buckets", "s1_id")
     held = spark.read.parquet(f"{a.out}/buckets").withColumnRenamed("s1_id", "source1_entity_id")

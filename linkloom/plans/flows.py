@@ -61,12 +61,18 @@ def fast_pairs(s1: DataFrame, targets: DataFrame, config: LinkConfig = LinkConfi
     return pairs.fast_features(pairs.with_sides(best, left, right, pairs.FAST_SIDE))
 
 
-def fast_flow(s1: DataFrame, targets: DataFrame, model: models.Matcher, config: LinkConfig = LinkConfig()) -> DataFrame:
-    """Matches (s1_id, cand_id, score) by a fitted model over the fast features."""
-    scored = model.score(fast_pairs(s1, targets, config)).select("s1_id", "cand_id", "score")
+def fast_matches(compared: DataFrame, model: models.Matcher, config: LinkConfig = LinkConfig()) -> DataFrame:
+    """Matches (s1_id, cand_id, score) of compared pairs by a fitted model."""
+    scored = model.score(compared).select("s1_id", "cand_id", "score")
     return selection.select_matches(scored, config.fast_threshold, config.fast_gap, config.fast_matches)
 
 
+def fast_flow(s1: DataFrame, targets: DataFrame, model: models.Matcher, config: LinkConfig = LinkConfig()) -> tuple[DataFrame, DataFrame]:
+    """(candidates, matches) of raw records by a fitted model over the fast features; pairs are compared once."""
+    compared = spool(fast_pairs(s1, targets, config), "compared")
+    return compared.select("s1_id", "cand_id"), fast_matches(compared, model, config)
+
+
 def fit_fast_model(compared: DataFrame, truth_pairs: DataFrame) -> models.StumpModel:
     """Boosted stumps from labelled, sampled pairs."""
     labelled = sampling.labelled(compared, truth_pairs)

@@ -432,7 +432,7 @@ def fast_flow_matches(spark, d):
     s1, s2, s3 = entities.sources(spark, d)
     compared = spool(flows.fast_pairs(s1, s2.unionByName(s3)), "compared")
     model = flows.fit_fast_model(compared, io.truth_pairs(entities.truth(spark, d)))
-    return selection.select_matches(model.score(compared).select("s1_id", "cand_id", "score"), 0.45, 0.3, 10)
+    return flows.fast_matches(compared, model)
 
 
 @query()

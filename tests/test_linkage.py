@@ -41,7 +41,10 @@ def test_keys(spark):
 
 def test_crowded_keys_are_pruned(spark):
     keys = spark.createDataFrame([(f"e{i}", "b", "hot") for i in range(30)] + [("e1", "b", "cold")], "entity_id string, blocker string, key string")
-    assert {r["key"] for r in blocking.pruned_keys(keys, 20).collect()} == {"cold"}
+    pruned = blocking.pruned_keys(keys, 20)
+    assert {r["key"] for r in pruned.collect()} == {"cold"}
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan  # rows of the crowded key move nowhere
 
 
 def test_pair_features(spark):
