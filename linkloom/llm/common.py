@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.shipping import ship
 from linkloom.sources.shared import shared_dir, spool
 
-__all__ = ["cut", "join_split", "prepare", "spool", "table"]
+__all__ = ["cut", "join_hot", "join_split", "prepare", "spool", "table"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,6 +39,21 @@ def join_split(rows: DataFrame, right: DataFrame, keys: list[str], by: list[str]
     return dealt.join(brought, [*keys, "_deal"], how).drop("_deal")
 
 
+MOST_HOT, LEAST_HOT = 1000, 10_000
+
+
+def join_hot(rows: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """rows joined with right, which has one row a key and in column ``n`` how many of rows have it.
+
+    The MOST_HOT keys with the most rows, of those with LEAST_HOT or more, are sent to their rows where these are; of
+    any other key there are fewer rows than LEAST_HOT or than a thousandth of all, so a task can take it. rows is read
+    twice, and only narrow columns of a right that has few of them should come along.
+    """
+    hot = right.where(F.col(n) >= LEAST_HOT).orderBy(F.col(n).desc(), *keys).limit(MOST_HOT)
+    light = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right, keys, how)
+    return light.unionByName(rows.join(F.broadcast(hot), keys).select(*light.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

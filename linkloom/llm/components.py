@@ -2,7 +2,7 @@
 
 Every round is a few aggregations and joins, written to the checkpoint folder; nothing is
 collected but counts. Links shrink towards stars whose centre is the smallest node. A centre may
-have any number of links: they are dealt to parts when they are joined to what their centre found.
+have any number of links: what the centres with the most links found is sent to these.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import cut, join_split
+from linkloom.llm.common import cut, join_hot
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -20,15 +20,15 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
     around = _both_ways(edges)
-    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return join_split(around.where("b > a"), least, ["a"], ["b"], "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    return join_hot(around.where("b > a"), least, ["a"], "n").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = join_split(down, least, ["a"], ["b"], "inner").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = join_hot(down, least, ["a"], "n").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import cut, join_split, prepare
+from linkloom.llm.common import cut, join_hot, prepare
 from linkloom.llm.components import components
 
 SEED = 42
@@ -151,7 +151,7 @@ def links(nodes: DataFrame, bucket_cap: int = 64) -> DataFrame:
     """Links (a, b) among distinct fingerprints that connect exactly what lies within MAX_BITS bits."""
     keys = golay_keys(nodes)
     shared = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    met = cut(join_split(keys, shared, ["key"], ["fp"], "inner"))
+    met = cut(join_hot(keys, shared, ["key"], "n"))
     near = met.where(F.col("n") <= bucket_cap)
     left, right = near.select("key", F.col("fp").alias("a")), near.select("key", F.col("fp").alias("b"))
     small = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
@@ -171,14 +171,14 @@ def near_duplicates(docs: DataFrame, bucket_cap: int = 64) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id that links reach) of each row of docs (doc_id, text)."""
     prepare(docs.sparkSession)
     fps = cut(fingerprints(docs))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(links(nodes, bucket_cap)).withColumnRenamed("node", "fp")
     # Fingerprints without a link are their own component; only the others meet by their root.
-    linked = cut(roots.join(nodes, "fp"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(join_split(linked.select("fp", "root"), least, ["root"], ["fp"]).select("fp", "component_id"), "fp", "left")
-    named = named.select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return join_split(fps, named, ["fp"], ["doc_id"]).select("doc_id", "fp", "component_id")
+    linked = cut(roots.join(nodes.select("fp", "least"), "fp"))
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    found = join_hot(linked.select("fp", "root"), least, ["root"], "size").select("fp", F.col("component_id").alias("found"))
+    named = cut(nodes.join(found, "fp", "left").select("fp", "n", F.coalesce("found", "least").alias("component_id")))
+    return join_hot(fps, named, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:

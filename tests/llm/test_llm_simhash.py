@@ -114,3 +114,19 @@ def test_documents(spark):
         least[r] = min(x for x in (least.get(r), i) if x is not None) if (least.get(r), i) != (None, None) else None
     assert sorted(got, key=str) == sorted([(i, f"{brute_fingerprint(t):016x}", least[ids[brute_fingerprint(t)]]) for i, t in rows], key=str)
     assert simhash.report(df.limit(0)).count() == 0
+
+
+def test_hot_keys_are_sent_to_their_rows(spark, monkeypatch):
+    """With a low bar for hot keys the results are the same."""
+    from linkloom.llm import common
+
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 100, i) for i in range(300)], "k long, x long")
+    right = rows.groupBy("k").count().withColumn("y", rows.k * 2).where("k <> 5")
+    plain = {how: sorted(map(tuple, rows.join(right, "k", how).collect()), key=str) for how in ("inner", "left")}
+    for least, most in ((10_000, 1000), (30, 1000), (1, 3)):
+        monkeypatch.setattr(common, "LEAST_HOT", least)
+        monkeypatch.setattr(common, "MOST_HOT", most)
+        for how, expected in plain.items():
+            assert sorted(map(tuple, common.join_hot(rows, right, ["k"], "count", how).collect()), key=str) == expected
+        docs = spark.createDataFrame([(i, "one two three four" if i % 2 else f"w{i} a b c d") for i in range(60)], "doc_id long, text string")
+        assert {r["component_id"] for r in simhash.report(docs).where("doc_id % 2 = 1").collect()} == {1}
