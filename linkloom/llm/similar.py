@@ -9,12 +9,12 @@ Candidates come from two sources, and each is compared exactly, so no link is wr
 * BANDS keys of ROWS minima. A pair of similarity s shares none with probability (1 - s^ROWS)^BANDS: 3 in a million
   at 0.8, less above.
 
-Keys of at most ``bucket_cap`` sets give pairs of ids, which are distinct before the sets are joined to them. The
-sets of a key with more are compared with one of them, the pivot. Those that it links need no more comparison with
-each other, and as 1 - similarity is a metric, none with a set that is much farther from the pivot than they are. What
-is left takes another pivot, PIVOTS times; of tight groups, whatever their size, nothing is left after the first.
-The rest is dealt into blocks of at most about BLOCK, and every two blocks are compared in one go; of what is linked
-there, a star for each component is returned. So nothing is left out, no row is made for each pair of a large
+First each set is compared with one other, the least that it shares a key with. A key all of whose sets are linked to
+one set is settled, whatever its size. Of the others, keys of at most ``bucket_cap`` sets give pairs, and the sets of
+larger ones are compared in one go, of which a star for each component comes back. Keys of more than BLOCK sets go by
+pivots first: those that a pivot links need no more comparison with each other, and as 1 - similarity is a metric, none
+with a set that is much farther from the pivot than they are. What that leaves is dealt into blocks of at most about
+BLOCK, and every two blocks are compared in one go. So nothing is left out, no row is made for each pair of a large
 group, and no task has to hold a whole group.
 
 Defined results: null text and text without words are one node without keys; a null doc_id gets the component of
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from linkloom.llm.common import cut, join_split, prepare
+from linkloom.llm.common import cut, join_hot, prepare
 from linkloom.llm.components import components
 from linkloom.llm import simhash
 from linkloom.llm.simhash import SEED
@@ -135,7 +135,7 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, least: float) -> np.nd
 
 
 def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with ``s``, their similarity. A node may be in any number of pairs."""
+    """Distinct pairs (a, b) with ``s``, their similarity. A node may be ``a`` in any number of pairs, and ``b`` in as many as it has keys."""
 
     def run(batches):
         for batch in batches:
@@ -143,29 +143,33 @@ def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             s = pa.array([jaccard(a, b) for a, b in zip(*own, strict=True)], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), s], names=["a", "b", "s"])
 
+    pairs = cut(pairs)
     left, right = (sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
-    met = join_split(join_split(pairs, left, ["a"], ["b"], "inner"), right, ["b"], ["a"], "inner")
+    left = pairs.groupBy("a").agg(F.count("*").alias("n_pairs")).join(left, "a")
+    # The many sides' sets meet the pairs first, while these are narrow.
+    met = join_hot(pairs.join(right, "b"), left, ["a"], "n_pairs")
     return met.select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long, s double")
 
 
 def _crowd_links(crowd: DataFrame, sets: DataFrame, least: float) -> list[DataFrame]:
     """Links (a, b) within the keys of crowd (key, node): stars around pivots, then whatever these leave, in blocks."""
     found, rest = [], []
+    crowd = cut(crowd.select("key", "node", F.lit(True).alias("free")))
     loose = F.when(F.col("s") < least, F.col("s"))
     for _ in range(PIVOTS):
         if crowd.isEmpty():
             break
         # The smallest node that no pivot before has linked. Keys of one group have one pivot, so its stars are one too.
         free = F.when(F.col("free"), F.col("node"))
-        pivots = crowd.groupBy("key").agg(F.min(free).alias("pivot"))
-        held = cut(join_split(crowd, pivots, ["key"], ["node"], "inner"))
+        pivots = crowd.groupBy("key").agg(F.min(free).alias("pivot"), F.count("*").alias("n"))
+        held = cut(join_hot(crowd, pivots, ["key"], "n").drop("n"))
         pairs = held.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
         near = cut(_similarities(pairs, sets))
         found.append(near.where(F.col("s") >= least).select("a", "b"))
-        held = held.join(near.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "s"), ["pivot", "node"])
-        far = held.groupBy("key").agg(F.max(loose).alias("most"), F.max(loose.isNotNull() & F.col("free")).alias("more"))
+        held = cut(held.join(near.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "s"), ["pivot", "node"]).select("key", "node", "free", "s"))
+        far = held.groupBy("key").agg(F.max(loose).alias("most"), F.max(loose.isNotNull() & F.col("free")).alias("more"), F.count("*").alias("n"))
         # A set at 1 - s from the pivot may be within 1 - least only of what is at most that much farther away.
-        left = join_split(held, far.where("most IS NOT NULL"), ["key"], ["node"], "inner").where(F.col("s") <= F.col("most") + (1 - least) + 1e-9)
+        left = join_hot(held, far.where("most IS NOT NULL"), ["key"], "n").where(F.col("s") <= F.col("most") + (1 - least) + 1e-9)
         left = cut(left.select("key", "node", (F.col("free") & (F.col("s") < least)).alias("free"), "more"))
         # Where all are linked to some pivot, members of different pivots' stars may still be linked.
         rest.append(left.where("NOT more").select("key", "node"))
@@ -177,8 +181,9 @@ def _crowd_links(crowd: DataFrame, sets: DataFrame, least: float) -> list[DataFr
     crowd = rest[0]
     for more in rest[1:]:
         crowd = crowd.union(more)
+    crowd = cut(crowd)
     counts = crowd.groupBy("key").agg(F.count("*").alias("count")).where("count > 1")
-    return [*found, _block_links(join_split(crowd, counts, ["key"], ["node"], "inner"), sets, least)]
+    return [*found, _block_links(join_hot(crowd, counts, ["key"], "count"), sets, least)]
 
 
 def _block_links(crowd: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -203,40 +208,59 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     """Candidates (a, b) by op9's keys: stars of the nodes of a fingerprint, and one pair for each two linked fingerprints."""
     fps = cut(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("size")))
     # A node that is alone with its fingerprint makes no star.
-    stars = join_split(nodes.select("fp", "node"), fps.where("size > 1"), ["fp"], ["node"], "inner").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    stars = join_hot(nodes.select("fp", "node"), fps.where("size > 1"), ["fp"], "size").select(F.col("first").alias("a"), F.col("node").alias("b"))
     left, right = (fps.select(F.col("fp").alias(f"fp_{c}"), F.col("first").alias(c)) for c in "ab")
+    # Of links a fingerprint has at most as many as its keys have room for, or is the least at the words where it meets others.
     links = simhash.links(fps).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
-    linked = join_split(join_split(links, left, ["fp_a"], ["fp_b"], "inner"), right, ["fp_b"], ["fp_a"], "inner")
-    return stars.union(linked.select("a", "b")).where("a <> b")
+    linked = links.join(left, "fp_a").join(right, "fp_b")
+    return stars.union(linked.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def links(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, bucket_cap: int = 64) -> DataFrame:
+def _unsettled(near: DataFrame, first: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, count) of the keys of near (key, node) whose sets ``found`` doesn't link to one; first: (node, a), the set each was compared with."""
+    linked = first.join(found.select("a", F.col("b").alias("node"), F.lit(True).alias("linked")), ["a", "node"], "left")
+    label = cut(linked.select("node", F.when(F.col("linked"), F.col("a")).otherwise(F.col("node")).alias("label")))
+    # The one that a set is linked to may be linked to another itself.
+    sizes = label.groupBy("label").agg(F.count("*").alias("n"))
+    further = sizes.join(label.select(F.col("node").alias("label"), F.col("label").alias("end")), "label")
+    label = join_hot(label, further, ["label"], "n").select("node", "end")
+    mixed = near.join(label, "node").groupBy("key").agg(F.count("*").alias("count"), F.min("end").alias("low"), F.max("end").alias("high"))
+    return join_hot(near, mixed.where("low <> high").select("key", "count"), ["key"], "count")
+
+
+def links(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, bucket_cap: int = 4) -> DataFrame:
     """Links (a, b) that connect nodes (node, text_hash, n, fp, keys) as their similarities do."""
-    keys = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = cut(keys.groupBy("key").count().where("count > 1"))
-    near = cut(join_split(keys, shared, ["key"], ["node"], "inner"))
+    keys = nodes.select("node", F.explode("keys").alias("key"))
+    shared = cut(keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("count")).where("count > 1"))
+    near = cut(join_hot(keys, shared, ["key"], "count"))
+    first = cut(near.groupBy("node").agg(F.min("a").alias("a")))
+    near = near.select("key", "node")
     by_fingerprint = cut(_fingerprint_pairs(nodes))
-    wanted = near.select("node").union(by_fingerprint.select("a")).union(by_fingerprint.select("b")).distinct()
+    wanted = first.select("node").union(by_fingerprint.select("a")).union(by_fingerprint.select("b")).distinct()
     sets = cut(sets_of(docs, nodes.join(wanted, "node", "left_semi").select("node", "text_hash"), shingle))
-    few = near.where(F.col("count") <= bucket_cap)
-    left, right = (few.select("key", F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-    # A similarity is at most the ratio of the sizes.
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least - 1e-9)))
-    pairs = pairs.select("a", "b").union(by_fingerprint.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
-    found = _similarities(pairs, sets).where(F.col("s") >= least).select("a", "b")
-    crowd = near.where(F.col("count") > bucket_cap).select("key", "node", F.lit(True).alias("free"))
-    for more in _crowd_links(crowd, sets, least):
+    pairs = first.where("a <> node").select("a", F.col("node").alias("b")).union(by_fingerprint.select("a", "b")).distinct()
+    found = cut(_similarities(pairs, sets).where(F.col("s") >= least).select("a", "b"))
+    rest = cut(_unsettled(near, first, found))
+    few = rest.where(F.col("count") <= bucket_cap)
+    left, right = (few.select("key", F.col("node").alias(c)) for c in "ab")
+    pairs = left.join(right, "key").where("a < b").select("a", "b").distinct()
+    found = found.union(_similarities(pairs, sets).where(F.col("s") >= least).select("a", "b"))
+    found = found.union(_block_links(rest.where((F.col("count") > bucket_cap) & (F.col("count") <= BLOCK)), sets, least))
+    for more in _crowd_links(rest.where(F.col("count") > BLOCK), sets, least):
         found = found.union(more)
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, bucket_cap: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, bucket_cap: int = 4) -> DataFrame:
     """doc_id, text_hash, component_id (smallest doc_id that links reach) and root (the component's own number) of each row of docs (doc_id, text)."""
     prepare(docs.sparkSession)
     rows = cut(signatures(docs, shingle))
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    first = [F.first(c).alias(c) for c in ("n", "fp", "keys")]
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.count("*").alias("n_rows"), *first))
     roots = components(links(nodes, docs, shingle, least, bucket_cap))
     linked = cut(nodes.select("node", "least").join(roots, "node"))
-    named = join_split(linked.select("node", "root"), linked.groupBy("root").agg(F.min("least").alias("component_id")), ["root"], ["node"])
-    named = nodes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return join_split(rows.select("doc_id", "text_hash", "node"), named, ["node"], ["doc_id"]).select("doc_id", "text_hash", "component_id", "root")
+    sizes = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    found = join_hot(linked.select("node", "root"), sizes, ["root"], "size")
+    named = nodes.select("node", "least", "n_rows").join(found, "node", "left")
+    named = cut(named.select("node", "n_rows", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")))
+    return join_hot(rows.select("doc_id", "text_hash", "node"), named, ["node"], "n_rows").select("doc_id", "text_hash", "component_id", "root")

@@ -68,7 +68,7 @@ def test_components_are_those_of_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     expected = brute_groups(texts)
     monkeypatch.setattr(similar, "BLOCK", 16)  # many blocks for a crowded key
-    for cap in (4, 64):
+    for cap in (2, 64):
         got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(df, bucket_cap=cap).collect()}
         assert [got[i] for i in range(len(texts))] == expected
     assert similar.near_duplicates(df.limit(0)).count() == 0
@@ -100,9 +100,9 @@ def test_crowds_by_pivots_and_blocks(spark, monkeypatch):
     rng.shuffle(order)
     sets = {new: sets[old] for new, old in enumerate(order)}
     rows = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in sets.items()], "node long, own binary")
-    crowd = spark.createDataFrame([(5, k, True) for k in sets], "key long, node long, free boolean")
-    pairs = [(r["a"], r["b"]) for df in similar._crowd_links(crowd, rows, 0.8) for r in df.collect()]
+    crowd = spark.createDataFrame([(5, k) for k in sets], "key long, node long")
     true = [(a, b) for a, b in combinations(sets, 2) if similar.jaccard(sets[a], sets[b]) >= 0.8]
+    pairs = [(r["a"], r["b"]) for df in similar._crowd_links(crowd, rows, 0.8) for r in df.collect()]
     assert parts(sets, pairs) == parts(sets, true) and len({*parts(sets, true).values()}) > 6
 
 
@@ -114,6 +114,20 @@ def parts(nodes, pairs):
     return root
 
 
+def test_loose_groups_are_those_of_brute_force(spark, monkeypatch):
+    """Copies of one text with so many edits that some pairs reach the limit and most don't."""
+    rng = random.Random(11)
+    base = made(rng, 120)
+    texts = [" ".join(edited(rng, base, rng.choice([1, 2, 3, 4, 6]))) for _ in range(90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    expected = brute_groups(texts)
+    assert 3 < len(set(expected)) < 80
+    for block in (8, 1024):
+        monkeypatch.setattr(similar, "BLOCK", block)
+        got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(df).collect()}
+        assert [got[i] for i in range(len(texts))] == expected
+
+
 def test_blocks_compare_across_sides():
     a = np.arange(10, dtype=np.uint64)
     sets = [a, a[:9], np.arange(50, 60, dtype=np.uint64), a[1:]]
