@@ -218,3 +218,14 @@ def test_url_model(spark):
 
 def test_prefix_of_sources():
     assert io.RECORD_COLUMNS[0] == "entity_id"
+
+
+def test_rounding_twice_is_duckdbs(spark):
+    """Scores of nine digits whose last three are 500: their products with a million lie on either side of a half."""
+    import duckdb
+
+    from linkloom.plans import registry
+
+    values = [0.5081315, 0.5043515, 0.0163035, 0.0087025, 0.1234565, 0.2500005, 1.0, 0.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(*registry._rounded_again(["x"])).collect()]
+    assert got == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6)", [v]).fetchone()[0] for v in values]
