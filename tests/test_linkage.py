@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import fast_records, normalized_records
-from linkloom.operators import blocking, evaluation, models, pairs, sampling, selection, siblings
+from linkloom.functions.translit import prepared
+from linkloom.operators import blocking, evaluation, models, pairs, sampling, selection, siblings, tfidf
 from linkloom.plans import flows
 from linkloom.sources import io
 
@@ -229,3 +230,37 @@ def test_rounding_twice_is_duckdbs(spark):
     values = [0.5081315, 0.5043515, 0.0163035, 0.0087025, 0.1234565, 0.2500005, 1.0, 0.0]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(*registry._rounded_again(["x"])).collect()]
     assert got == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6)", [v]).fetchone()[0] for v in values]
+
+
+def _tfidf_sides(spark, n):
+    s1 = prepared(spark.createDataFrame([(f"S1-{i:03d}", "Hot Ring Corporation", f"{i % 5} Large Street, Suite {1000 + i}", "US") for i in range(n)], SCHEMA)).withColumn("s1_id", F.col("entity_id"))
+    queries = prepared(spark.createDataFrame([(f"S2-{i:03d}", "HOT RING Corp.", f"{i % 5} Large St Ste {1000 + i}", "US") for i in range(0, n, 2)], SCHEMA)).withColumns({"src": F.lit(2), "q_id": F.col("entity_id")})
+    return queries, s1
+
+
+def test_tfidf_where_a_channel_has_only_crowded_terms(spark):
+    """All names are the same: with max_df below their number no term of a name is left."""
+    queries, s1 = _tfidf_sides(spark, 60)
+    report = {r["q_id"]: r for r in tfidf.cosine_report(queries, s1, ["q_id"], max_df=20).collect()}
+    assert len(report) == 30 and all(r["total_ncos"] == 0 and r["n_pairs"] == 12 and r["best_acos"] > 0.99 for r in report.values())
+    joined = tfidf.similarity_join(queries, s1, ["src", "q_id"], max_df=20).collect()
+    assert {(r["q_id"][3:], r["s1_id"][3:]) for r in joined if r["acos"] > 0.99} == {(f"{i:03d}", f"{i:03d}") for i in range(0, 60, 2)}
+
+
+def test_tfidf_matrices_grow_with_matches(spark):
+    """Ten groups that share a term each: the matrices have hardly more cells than pairs share a term, and any cut gives the same products."""
+    import pyarrow as pa
+
+    rows = lambda n, tag: pa.table({"id": [f"{tag}{i}" for i in range(n)], "n_terms": [[i % 10, 1000 + i] for i in range(n)], "n_w": [[0.6, 0.8]] * n, "a_terms": pa.array([[]] * n, pa.list_(pa.int64())), "a_w": pa.array([[]] * n, pa.list_(pa.float64()))})
+    n, cells, got = 1280, 0, {}
+    for at, places, ncos, acos in tfidf.strips(rows(n, "q"), rows(n, "s")):
+        cells += ncos.size
+        assert ncos.dtype == acos.dtype == np.float64 and not acos.any()
+        got.update({(int(at[i]), int(places[j])): float(ncos[i, j]) for i, j in zip(*np.nonzero(ncos), strict=True)})
+    assert len(got) == n * n // 10 and cells <= 2 * len(got)
+    assert all(abs(v - (1.0 if q == s else 0.36)) < 1e-12 and q % 10 == s % 10 for (q, s), v in got.items())
+
+
+def test_best_places_take_ties_by_place():
+    scores = np.array([[0.5, 0.9, 0.5, 0.5, 0.01], [0.0, 0.04, 0.0, 0.06, 0.0]])
+    assert tfidf.best_places(scores, 2, 0.05).tolist() == [[True, True, False, False, False], [False, False, False, True, False]]
