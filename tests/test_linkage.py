@@ -264,3 +264,11 @@ def test_tfidf_matrices_grow_with_matches(spark):
 def test_best_places_take_ties_by_place():
     scores = np.array([[0.5, 0.9, 0.5, 0.5, 0.01], [0.0, 0.04, 0.0, 0.06, 0.0]])
     assert tfidf.best_places(scores, 2, 0.05).tolist() == [[True, True, False, False, False], [False, False, False, True, False]]
+
+
+def test_records_of_a_small_file_are_dealt(spark):
+    from linkloom.plans import entities
+
+    rows = spark.range(entities.TASK_ROWS * 3, numPartitions=1)
+    assert entities.dealt(rows, "id").rdd.getNumPartitions() == 3 and entities.dealt(rows, "id").count() == rows.count()
+    assert entities.dealt(rows.limit(5), "id").count() == 5
