@@ -114,10 +114,14 @@ def key_postings(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.count("*").alias("postings"))
 
 
+def crowded_keys(keys: DataFrame, max_postings: int = 500) -> DataFrame:
+    """The keys with more postings, counted by a partial aggregation and written."""
+    return spool(key_postings(keys).where(F.col("postings") > max_postings).select("key"), "crowded")
+
+
 def pruned_keys(keys: DataFrame, max_postings: int = 500) -> DataFrame:
-    """Rows of keys with at most so many postings, counted by a partial aggregation."""
-    crowded = spool(key_postings(keys).where(F.col("postings") > max_postings).select("key"), "crowded")
-    return keys.join(crowded, "key", "left_anti")
+    """Rows of keys with at most so many postings."""
+    return keys.join(crowded_keys(keys, max_postings), "key", "left_anti")
 
 
 def candidates(source_keys: DataFrame, target_keys: DataFrame, max_postings: int = 500, names: list[str] | None = None) -> DataFrame:
@@ -129,8 +133,9 @@ def candidates(source_keys: DataFrame, target_keys: DataFrame, max_postings: int
     bit = F.lit(0).cast("long")
     for i, name in enumerate(names):
         bit = F.when(F.col("blocker") == name, F.lit(1 << i).cast("long")).otherwise(bit)
-    left = source_keys.select(F.col("entity_id").alias("s1_id"), "key").distinct()
-    right = pruned_keys(target_keys, max_postings).groupBy("key", F.col("entity_id").alias("cand_id")).agg(F.bit_or(bit).alias("bits"))
+    crowded = crowded_keys(target_keys, max_postings)
+    left = source_keys.join(crowded, "key", "left_anti").select(F.col("entity_id").alias("s1_id"), "key").distinct()
+    right = target_keys.join(crowded, "key", "left_anti").groupBy("key", F.col("entity_id").alias("cand_id")).agg(F.bit_or(bit).alias("bits"))
     met = left.join(right, "key").groupBy("s1_id", "cand_id").agg(F.bit_or("bits").alias("bits"))
     each = F.array(*(F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(name)) for i, name in enumerate(names)))
     return met.select("s1_id", "cand_id", F.array_compact(each).alias("reasons"))

@@ -272,3 +272,10 @@ def test_records_of_a_small_file_are_dealt(spark):
     rows = spark.range(entities.TASK_ROWS * 3, numPartitions=1)
     assert entities.dealt(rows, "id").rdd.getNumPartitions() == 3 and entities.dealt(rows, "id").count() == rows.count()
     assert entities.dealt(rows.limit(5), "id").count() == 5
+
+
+def test_crowded_keys_of_sources_move_nowhere(spark):
+    rows = lambda tag, n: spark.createDataFrame([(f"{tag}{i}", "name_exact", "hot") for i in range(n)] + [(f"{tag}1", "name_exact", "cold")], "entity_id string, blocker string, key string")
+    found = blocking.candidates(rows("S1-", 9), rows("S2-", 30), 20)
+    assert [(r["s1_id"], r["cand_id"], r["reasons"]) for r in found.collect()] == [("S1-1", "S2-1", ["name_exact"])]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 2
