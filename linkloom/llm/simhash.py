@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import cut, join_hot, prepare
+from linkloom.llm.common import cut, join_hot, prepare, rows_in
 from linkloom.llm.components import components
 
 SEED = 42
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, bucket_cap: int = 64) -> DataFrame:
     # Fingerprints without a link are their own component; only the others meet by their root.
     linked = cut(roots.join(nodes.select("fp", "least"), "fp"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
-    found = join_hot(linked.select("fp", "root"), least, ["root"], "size").select("fp", F.col("component_id").alias("found"))
+    found = join_hot(linked.select("fp", "root"), least, ["root"], "size", total=rows_in(linked)).select("fp", F.col("component_id").alias("found"))
     named = cut(nodes.join(found, "fp", "left").select("fp", "n", F.coalesce("found", "least").alias("component_id")))
     return join_hot(fps, named, ["fp"], "n").select("doc_id", "fp", "component_id")
 

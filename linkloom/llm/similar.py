@@ -13,9 +13,10 @@ First each set is compared with one other, the least that it shares a key with.
 one set is settled, whatever its size. Of the others, keys of at most ``bucket_cap`` sets give pairs, and the sets of
 larger ones are compared in one go, of which a star for each component comes back. Keys of more than BLOCK sets go by
 pivots first: those that a pivot links need no more comparison with each other, and as 1 - similarity is a metric, none
-with a set that is much farther from the pivot than they are. What that leaves is dealt into blocks of at most about
-BLOCK, and every two blocks are compared in one go. So nothing is left out, no row is made for each pair of a large
-group, and no task has to hold a whole group.
+with a set that is much farther from the pivot than they are. Pivots go on while each links at least GAIN of the sets
+of a key that none has linked yet; in a loose group they would link next to none. What that leaves is dealt into blocks
+of at most about BLOCK, and every two blocks are compared in one go. So nothing is left out, no row is made for each
+pair of a large group, and no task has to hold a whole group.
 
 Defined results: null text and text without words are one node without keys; a null doc_id gets the component of
 its text; no rows give no rows; other columns never matter.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from linkloom.llm.common import cut, join_hot, prepare
+from linkloom.llm.common import cut, join_hot, prepare, rows_in
 from linkloom.llm.components import components
 from linkloom.llm import simhash
 from linkloom.llm.simhash import SEED
@@ -43,6 +44,7 @@ BANDS = 32
 ROWS = 5
 BLOCK = 1024
 PIVOTS = 4
+GAIN = 0.1
 TILE = 4096
 
 
@@ -147,7 +149,7 @@ def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left, right = (sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
     left = pairs.groupBy("a").agg(F.count("*").alias("n_pairs")).join(left, "a")
     # The many sides' sets meet the pairs first, while these are narrow.
-    met = join_hot(pairs.join(right, "b"), left, ["a"], "n_pairs")
+    met = join_hot(pairs.join(right, "b"), left, ["a"], "n_pairs", total=rows_in(pairs))
     return met.select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long, s double")
 
 
@@ -157,21 +159,23 @@ def _crowd_links(crowd: DataFrame, sets: DataFrame, least: float) -> list[DataFr
     crowd = cut(crowd.select("key", "node", F.lit(True).alias("free")))
     loose = F.when(F.col("s") < least, F.col("s"))
     for _ in range(PIVOTS):
-        if crowd.isEmpty():
+        if not (total := rows_in(crowd)):
             break
         # The smallest node that no pivot before has linked. Keys of one group have one pivot, so its stars are one too.
         free = F.when(F.col("free"), F.col("node"))
         pivots = crowd.groupBy("key").agg(F.min(free).alias("pivot"), F.count("*").alias("n"))
-        held = cut(join_hot(crowd, pivots, ["key"], "n").drop("n"))
+        held = cut(join_hot(crowd, pivots, ["key"], "n", total=total).drop("n"))
         pairs = held.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
         near = cut(_similarities(pairs, sets))
         found.append(near.where(F.col("s") >= least).select("a", "b"))
         held = cut(held.join(near.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "s"), ["pivot", "node"]).select("key", "node", "free", "s"))
-        far = held.groupBy("key").agg(F.max(loose).alias("most"), F.max(loose.isNotNull() & F.col("free")).alias("more"), F.count("*").alias("n"))
+        still = F.count_if(loose.isNotNull() & F.col("free"))
+        more = (still > 0) & (still <= (1 - GAIN) * F.count_if("free"))
+        far = held.groupBy("key").agg(F.max(loose).alias("most"), more.alias("more"), F.count("*").alias("n"))
         # A set at 1 - s from the pivot may be within 1 - least only of what is at most that much farther away.
-        left = join_hot(held, far.where("most IS NOT NULL"), ["key"], "n").where(F.col("s") <= F.col("most") + (1 - least) + 1e-9)
+        left = join_hot(held, far.where("most IS NOT NULL"), ["key"], "n", total=total).where(F.col("s") <= F.col("most") + (1 - least) + 1e-9)
         left = cut(left.select("key", "node", (F.col("free") & (F.col("s") < least)).alias("free"), "more"))
-        # Where all are linked to some pivot, members of different pivots' stars may still be linked.
+        # Where all are linked to some pivot, members of different pivots' stars may still be linked. Loose sets are left to blocks.
         rest.append(left.where("NOT more").select("key", "node"))
         crowd = left.where("more").select("key", "node", "free")
     else:
@@ -183,7 +187,7 @@ def _crowd_links(crowd: DataFrame, sets: DataFrame, least: float) -> list[DataFr
         crowd = crowd.union(more)
     crowd = cut(crowd)
     counts = crowd.groupBy("key").agg(F.count("*").alias("count")).where("count > 1")
-    return [*found, _block_links(join_hot(crowd, counts, ["key"], "count"), sets, least)]
+    return [*found, _block_links(join_hot(crowd, counts, ["key"], "count", total=rows_in(crowd)), sets, least)]
 
 
 def _block_links(crowd: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -223,7 +227,7 @@ def _unsettled(near: DataFrame, first: DataFrame, found: DataFrame) -> DataFrame
     # The one that a set is linked to may be linked to another itself.
     sizes = label.groupBy("label").agg(F.count("*").alias("n"))
     further = sizes.join(label.select(F.col("node").alias("label"), F.col("label").alias("end")), "label")
-    label = join_hot(label, further, ["label"], "n").select("node", "end")
+    label = join_hot(label, further, ["label"], "n", total=rows_in(label)).select("node", "end")
     mixed = near.join(label, "node").groupBy("key").agg(F.count("*").alias("count"), F.min("end").alias("low"), F.max("end").alias("high"))
     return join_hot(near, mixed.where("low <> high").select("key", "count"), ["key"], "count")
 
@@ -260,7 +264,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAS
     roots = components(links(nodes, docs, shingle, least, bucket_cap))
     linked = cut(nodes.select("node", "least").join(roots, "node"))
     sizes = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
-    found = join_hot(linked.select("node", "root"), sizes, ["root"], "size")
+    found = join_hot(linked.select("node", "root"), sizes, ["root"], "size", total=rows_in(linked))
     named = nodes.select("node", "least", "n_rows").join(found, "node", "left")
     named = cut(named.select("node", "n_rows", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")))
     return join_hot(rows.select("doc_id", "text_hash", "node"), named, ["node"], "n_rows").select("doc_id", "text_hash", "component_id", "root")

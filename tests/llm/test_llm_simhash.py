@@ -130,3 +130,17 @@ def test_hot_keys_are_sent_to_their_rows(spark, monkeypatch):
             assert sorted(map(tuple, common.join_hot(rows, right, ["k"], "count", how).collect()), key=str) == expected
         docs = spark.createDataFrame([(i, "one two three four" if i % 2 else f"w{i} a b c d") for i in range(60)], "doc_id long, text string")
         assert {r["component_id"] for r in simhash.report(docs).where("doc_id % 2 = 1").collect()} == {1}
+
+
+def test_rounds_and_one_task_find_the_same_components(spark, monkeypatch):
+    rng = random.Random(14)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1200)]
+    df = spark.createDataFrame(edges + [(None, 3), (7, 7)], "a long, b long").repartition(5)
+    whole = {tuple(r) for r in components.components(df).collect()}
+    monkeypatch.setattr(components, "FEW", 0)
+    assert {tuple(r) for r in components.components(df).collect()} == whole and (1200, 1000) in whole
+    assert components.components(df.limit(0)).count() == 0
+    monkeypatch.setattr(components, "FEW", 380)  # rounds first, then one task
+    assert {tuple(r) for r in components.components(df).collect()} == whole
+    words = spark.createDataFrame([("b", "a"), ("b", "é"), ("x", "y")], "a string, b string")
+    assert {tuple(r) for r in components.components(words).collect()} == {("a", "a"), ("b", "a"), ("é", "a"), ("x", "x"), ("y", "x")}

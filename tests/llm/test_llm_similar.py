@@ -133,3 +133,45 @@ def test_blocks_compare_across_sides():
     sets = [a, a[:9], np.arange(50, 60, dtype=np.uint64), a[1:]]
     assert similar.block_links(sets, np.array([0, 0, 0, 0]), 0.8).tolist() == [0, 0, 2, 0]
     assert similar.block_links(sets, np.array([0, 0, 1, 1]), 0.9).tolist() == [0, 1, 2, 0]
+
+
+def stages_of(spark, run):
+    """How many stages ran while run() did."""
+    group = f"stages-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    run()
+    spark.sparkContext.setJobGroup("other", "other")
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(1 for s in stages if (info := tracker.getStageInfo(s)) and info.numCompletedTasks)
+
+
+def test_small_loose_groups_take_few_stages(spark, monkeypatch):
+    """Whatever a stage reads, it costs a file or more for each task; what is small needs no way around hot keys and no rounds of stars."""
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    rng = random.Random(12)
+    base = made(rng, 120)
+    texts = [" ".join(edited(rng, base, rng.choice([3, 4, 5, 6]))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = []
+    n = stages_of(spark, lambda: got.extend(similar.near_duplicates(df).collect()))
+    found = {r["doc_id"]: r["component_id"] for r in got}
+    assert [found[i] for i in range(len(texts))] == brute_groups(texts)
+    assert n < 180
+
+
+def test_pivots_stop_where_they_link_next_to_none(spark, monkeypatch):
+    """A key of loose sets has one round of pivots; beside it a key of tight ones goes on until all are linked."""
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    rng = random.Random(13)
+    made_of = lambda words, n: np.sort(np.array(words[n:] + [rng.randrange(1 << 60) for _ in range(n)], dtype=np.uint64))
+    base, *tight = ([rng.randrange(1 << 60) for _ in range(100)] for _ in range(4))
+    sets = {i: made_of(base, 20) for i in range(40)} | {100 + i: made_of(tight[i % 3], 2) for i in range(39)}
+    rows = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in sets.items()], "node long, own binary")
+    crowd = spark.createDataFrame([(5 if k < 100 else 6, k) for k in sets], "key long, node long")
+    compared, plain = [], similar._similarities
+    monkeypatch.setattr(similar, "_similarities", lambda pairs, sets: compared.append(pairs.count()) or plain(pairs, sets))
+    pairs = [(r["a"], r["b"]) for df in similar._crowd_links(crowd, rows, 0.8) for r in df.collect()]
+    true = [(a, b) for a, b in combinations(sets, 2) if similar.jaccard(sets[a], sets[b]) >= 0.8]
+    assert parts(sets, pairs) == parts(sets, true) and len({*parts(sets, true).values()}) == 43
+    assert compared[0] == 39 + 38 and max(compared[1:]) < 39
