@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.llm import ann, langid, licenses, mixing, packing, pii, quality, simhash, urlfilter, warc
+from linkloom.llm import ann, conversations, langid, licenses, mixing, packing, pii, quality, simhash, urlfilter, warc
 from linkloom.llm.common import table
 
 
@@ -74,6 +74,11 @@ def op10_language(spark, sf_dir):
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
 
 
+def op12_conversations(spark, sf_dir):
+    """Every conversation after the damage: its faults, the cheapest repair and the digest of what it gives."""
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_surrogates": op2_surrogates,
@@ -85,11 +90,13 @@ QUERIES = {
     "op8_revisits": op8_revisits,
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
+    "op12_conversations": op12_conversations,
 }
 
 ORACLES: dict[str, str] = {
     "op1_nearest": OP1_SQL,
     "op6_mixture": mixing.oracle(),
     "op7_urls": urlfilter.oracle(),
+    "op12_conversations": conversations.oracle(),
     "op8_revisits": warc.oracle(urlfilter.CANONICAL_SQL),
 }
