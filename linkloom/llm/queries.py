@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.llm import ann, conversations, langid, licenses, mixing, packing, pii, quality, simhash, urlfilter, warc
+from linkloom.llm import alignment, ann, conversations, langid, licenses, mixing, packing, pii, quality, simhash, urlfilter, warc
 from linkloom.llm.common import table
 
 
@@ -79,6 +79,11 @@ def op12_conversations(spark, sf_dir):
     return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
 
 
+def op13_alignment(spark, sf_dir):
+    """How every document's tokens align between two tokenizers, and how common its linked pairs are."""
+    return alignment.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_surrogates": op2_surrogates,
@@ -91,6 +96,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
     "op12_conversations": op12_conversations,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {
