@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.llm import alignment, ann, conversations, langid, licenses, mixing, packing, pii, quality, simhash, urlfilter, warc
+from linkloom.llm import alignment, ann, conversations, langid, licenses, mixing, packing, pii, ppm, quality, simhash, urlfilter, warc
 from linkloom.llm.common import table
 
 
@@ -74,6 +74,13 @@ def op10_language(spark, sf_dir):
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
 
 
+def op11_ppm(spark, sf_dir):
+    """Every document's log-probability by words alone and by PPM, learned from the documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = ppm.score(docs, ~ppm.held_out(F.col("doc_id")))
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_conversations(spark, sf_dir):
     """Every conversation after the damage: its faults, the cheapest repair and the digest of what it gives."""
     return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
@@ -95,6 +102,7 @@ QUERIES = {
     "op8_revisits": op8_revisits,
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
+    "op11_ppm": op11_ppm,
     "op12_conversations": op12_conversations,
     "op13_alignment": op13_alignment,
 }
