@@ -13,20 +13,21 @@ text gives ``und``. Other columns of the input never matter, whatever their name
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import prepare
+from linkloom.llm.common import cut, join_hot, prepare, spool
 
 ORDER = 5
 PAD = ORDER - 1
 UNDETERMINED = "und"
-ALPHABET = 2048  # characters over which the last back-off is uniform
+ALPHABET = 2048  # characters over which the last back-off is uniform; more, if a language has more
 MIX = np.uint64(0x9E3779B97F4A7C15)
 HASHES = 1 << 40
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -38,8 +39,7 @@ class TrainingBounds:
 
     docs_per_lang: int = 400  # texts of any length
     max_ngrams: int = 600_000  # stored per language and order; the rarest are left to their back-off
-    all_ngrams: int = 2_400_000  # stored per order in all models together, each language having an equal share
-    max_langs: int = 400  # the labels with the most texts
+    group_bytes: int = 96_000_000  # of models that a task holds at once, or one model, if that is larger
 
 
 @dataclass
@@ -53,6 +53,7 @@ class Model:
     between: float
     within: float
     z: float = 0.0  # calibrated limit of a text's distance from the mean
+    alphabet: int = ALPHABET
 
 
 _LETTER: np.ndarray | None = None
@@ -143,6 +144,7 @@ def estimate(lang: str, texts: list[str], max_ngrams: int) -> Model:
         above = types[n + 1][0]
         _, first, count = np.unique(_window_hashes(above, n), return_index=True, return_counts=True)
         types[n] = (above[first], count)
+    alphabet = max(ALPHABET, len(types[1][0]) + 1)  # whatever it hasn't seen is one character at least
     grams, logps, ctxs, logbs = [], [], [], []
     lower_keys, lower_p = np.zeros(0, np.uint64), np.zeros(0)
     for n in range(1, ORDER + 1):
@@ -159,7 +161,7 @@ def estimate(lang: str, texts: list[str], max_ngrams: int) -> Model:
             kept[np.argsort(-count, kind="stable")[max_ngrams:]] = False
         own = np.where(kept, (count - d) / total[inverse], 0.0)
         back = 1.0 - np.bincount(inverse, weights=own, minlength=len(ctx_key))
-        below = np.full(len(count), 1.0 / ALPHABET) if n == 1 else lower_p[np.searchsorted(lower_keys, _window_hashes(windows, n - 1))]
+        below = np.full(len(count), 1.0 / alphabet) if n == 1 else lower_p[np.searchsorted(lower_keys, _window_hashes(windows, n - 1))]
         p = own + back[inverse] * below
         order = np.argsort(keys)
         lower_keys, lower_p = keys[order], p[order]
@@ -170,7 +172,7 @@ def estimate(lang: str, texts: list[str], max_ngrams: int) -> Model:
         logbs.append(np.log2(back[used]))
     gram_keys, ctx_keys = np.concatenate(grams), np.concatenate(ctxs)
     g, c = np.argsort(gram_keys), np.argsort(ctx_keys)
-    return Model(lang, gram_keys[g], np.concatenate(logps)[g].astype(np.float32), ctx_keys[c], np.concatenate(logbs)[c].astype(np.float32), 0.0, 0.0, 0.0)
+    return Model(lang, gram_keys[g], np.concatenate(logps)[g].astype(np.float32), ctx_keys[c], np.concatenate(logbs)[c].astype(np.float32), 0.0, 0.0, 0.0, 0.0, alphabet)
 
 
 def fit(lang: str, texts: list[str], max_ngrams: int) -> Model:
@@ -208,8 +210,8 @@ def fit(lang: str, texts: list[str], max_ngrams: int) -> Model:
 class Scorer:
     """Log-probabilities by binary search in the sorted arrays, each distinct 5-gram looked up once."""
 
-    def __init__(self, models: list[Model], cache_size: int = 250_000):
-        self.models = models
+    def __init__(self, models: Iterable[Model], cache_size: int = 250_000):
+        self.models = models = list(models)
         self.cache_size = cache_size
         self.keys = np.zeros(0, np.uint64)
         self.values = np.zeros((0, len(models)), np.float32)
@@ -240,7 +242,7 @@ class Scorer:
                     break
                 at, hit = self._find(model.ctx_keys, ctx[n][todo])
                 total[todo[hit]] += model.ctx_logb[at[hit]]
-            total[todo] -= np.log2(ALPHABET)
+            total[todo] -= np.log2(model.alphabet)
             out[:, m] = total
         return out
 
@@ -312,43 +314,59 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, bounds: TrainingBounds = TrainingBounds()) -> list[Model]:
-    """Models of the languages in ``docs`` (doc_id, text, lang), each fitted in one task on its bounded sample.
+class Models:
+    """A written table of models, one row for each language, in groups of a bounded size. Iterating loads group after group."""
+
+    FIELDS = ("gk", "gp", "ck", "cb")
+
+    def __init__(self, rows: DataFrame, group_bytes: int):
+        size = sum((F.length(f) for f in self.FIELDS), F.lit(0)).cast("long")
+        before = F.coalesce(F.sum("size").over(Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sizes = rows.where(F.length("gk") > 0).select("lang", size.alias("size"))  # as many narrow rows as there are labels
+        self.dealt = cut(sizes.select("lang", F.floor(before / group_bytes).alias("group")))
+        self.rows = rows
+        self.groups = [r["group"] for r in self.dealt.select("group").distinct().orderBy("group").collect()]
+
+    def load(self, group: int) -> list[Model]:
+        found = self.rows.join(self.dealt.where(F.col("group") == group).select("lang"), "lang").collect()
+        arrays = lambda r: (np.frombuffer(r[f], t) for f, t in zip(self.FIELDS, (np.uint64, np.float32, np.uint64, np.float32), strict=True))
+        return sorted((Model(r["lang"], *arrays(r), r["mean"], r["between"], r["within"], r["z"], r["alphabet"]) for r in found), key=lambda m: m.lang)
+
+    def __iter__(self) -> Iterator[Model]:
+        for group in self.groups:
+            yield from self.load(group)
+
+
+def train(docs: DataFrame, bounds: TrainingBounds = TrainingBounds()) -> Models:
+    """Models of all languages in ``docs`` (doc_id, text, lang), each fitted in one task on its bounded sample.
 
     The sample: per language the docs_per_lang rows with the smallest hash of doc_id and text, repeated rows once.
     Hashes are chosen first, among those below a limit that follows from the language's number of different rows, so that
-    a task ranks few at any corpus size; the texts of the chosen are then picked in a second scan.
+    a task ranks few at any corpus size; the texts of the chosen are then picked in another scan. There may be any
+    number of labels: nothing but a model's own size is bounded.
     """
     prepare(docs.sparkSession)
     mark = F.pmod(F.xxhash64("doc_id", "text"), F.lit(HASHES))
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", mark.alias("mark"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("mark").alias("n")).orderBy(F.col("rows").desc(), "lang").limit(bounds.max_langs).collect()
-    if not counts:
-        return []
-    spark = docs.sparkSession
+    counts = cut(usable.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("mark").alias("n")))
     # Hashes below a limit are four times what is wanted; of these the smallest are taken. A language with few texts has no limit.
-    limits = spark.createDataFrame([(r["lang"], min(HASHES, 4 * bounds.docs_per_lang * HASHES // max(1, r["n"]))) for r in counts], "lang string, below long")
-    few = usable.select("lang", "mark").join(F.broadcast(limits), "lang").where(F.col("mark") < F.col("below")).select("lang", "mark").distinct()
+    limit = F.least(F.lit(HASHES), F.floor(F.lit(4 * bounds.docs_per_lang * HASHES) / F.greatest(F.col("n"), F.lit(1))))
+    limits = counts.select("lang", "rows", limit.alias("below"))
+    few = join_hot(usable.select("lang", "mark"), limits, ["lang"], "rows").where(F.col("mark") < F.col("below")).select("lang", "mark").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
-    chosen = few.withColumn("r", rank).where(F.col("r") <= bounds.docs_per_lang).select("lang", "mark")
-    # At most max_langs x docs_per_lang marks. Repeated rows fold before the shuffle.
-    sample = usable.join(F.broadcast(chosen), ["lang", "mark"], "left_semi").groupBy("lang", "mark").agg(F.min("text").alias("text"))
-    share = max(1, min(bounds.max_ngrams, bounds.all_ngrams // len(counts)))
+    chosen = spool(few.withColumn("r", rank).where(F.col("r") <= bounds.docs_per_lang).select("lang", "mark"), "language-sample")
+    # Written, so that Spark knows its size and sends it to the rows or not. Repeated rows fold before the shuffle.
+    sample = usable.join(chosen, ["lang", "mark"], "left_semi").groupBy("lang", "mark").agg(F.min("text").alias("text"))
 
     def fit_one(key, frame):
         import pandas as pd
 
-        m = fit(key[0], list(frame.sort_values("mark")["text"]), share)
-        row = [m.lang, m.gram_keys.tobytes(), m.gram_logp.tobytes(), m.ctx_keys.tobytes(), m.ctx_logb.tobytes(), m.mean, m.between, m.within, m.z]
-        return pd.DataFrame([row], columns=["lang", "gk", "gp", "ck", "cb", "mean", "between", "within", "z"])
+        m = fit(key[0], list(frame.sort_values("mark")["text"]), bounds.max_ngrams)
+        row = [m.lang, m.gram_keys.tobytes(), m.gram_logp.tobytes(), m.ctx_keys.tobytes(), m.ctx_logb.tobytes(), m.mean, m.between, m.within, m.z, m.alphabet]
+        return pd.DataFrame([row], columns=["lang", *Models.FIELDS, "mean", "between", "within", "z", "alphabet"])
 
-    schema = "lang string, gk binary, gp binary, ck binary, cb binary, mean double, between double, within double, z double"
-    rows = sample.groupBy("lang").applyInPandas(fit_one, schema).collect()  # at most all_ngrams n-grams of each order
-    models = [
-        Model(r["lang"], np.frombuffer(r["gk"], np.uint64), np.frombuffer(r["gp"], np.float32), np.frombuffer(r["ck"], np.uint64), np.frombuffer(r["cb"], np.float32), r["mean"], r["between"], r["within"], r["z"])
-        for r in rows
-    ]
-    return sorted((m for m in models if len(m.gram_keys)), key=lambda m: m.lang)
+    schema = "lang string, gk binary, gp binary, ck binary, cb binary, mean double, between double, within double, z double, alphabet long"
+    return Models(spool(sample.groupBy("lang").applyInPandas(fit_one, schema), "language-models"), bounds.group_bytes)
 
 
 CHUNK_CHARS = 400_000
@@ -367,11 +385,9 @@ def _runs(texts, chars: int) -> Iterator[list[str]]:
         yield run
 
 
-def identify(docs: DataFrame, models: list[Model], keep: list[str], z: float = 8.0) -> DataFrame:
-    """The columns ``keep`` of docs, then lang_pred, score, rejected, cross_entropy."""
-    spark = docs.sparkSession
-    prepare(spark)
-    packed = spark.sparkContext.broadcast(models)
+def _judged(docs: DataFrame, models: list[Model], keep: list[str], z: float):
+    """docs judged by models that fit in a task, and their broadcast."""
+    packed = docs.sparkSession.sparkContext.broadcast(models)
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean").add("cross_entropy", "double")
 
     def run(batches):
@@ -384,4 +400,28 @@ def identify(docs: DataFrame, models: list[Model], keep: list[str], z: float = 8
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "rejected", "cross_entropy"])
 
     need = keep if "text" in keep else [*keep, "text"]
-    return docs.select(*need).mapInArrow(run, schema)
+    return docs.select(*need).mapInArrow(run, schema), packed
+
+
+def identify(docs: DataFrame, models: Models | list[Model], keep: list[str], z: float = 8.0) -> DataFrame:
+    """The columns ``keep`` of docs, then lang_pred, score, rejected, cross_entropy.
+
+    One group of models is sent to the tasks. Where there are more, each group in turn judges all texts, and the best of
+    its winners is a text's language; its share then counts the languages of all groups.
+    """
+    prepare(docs.sparkSession)
+    groups = [None] if isinstance(models, list) else models.groups
+    load = lambda group: models if isinstance(models, list) else models.load(group)
+    if len(groups) <= 1:
+        return _judged(docs, load(groups[0]) if groups else [], keep, z)[0]
+    rows = spool(docs.select(F.struct(*keep).alias("kept"), F.col("text").alias("text")).withColumn("row", F.monotonically_increasing_id()), "language-rows")
+    parts = []
+    for group in groups:
+        part, packed = _judged(rows, load(group), ["row"], z)
+        parts.append(spool(part, "language-part"))
+        packed.destroy()
+    every = F.collect_list(F.struct("cross_entropy", "lang_pred", "score", "rejected"))  # one for each group
+    best = reduce(DataFrame.unionByName, parts).groupBy("row").agg(every.alias("every")).withColumn("best", F.array_min("every"))
+    shares = F.aggregate("every", F.lit(0.0), lambda total, g: total + F.pow(F.lit(2.0), -12.0 * (g["cross_entropy"] - F.col("best.cross_entropy"))) / g["score"])
+    score = F.when(F.col("best.score") > 0, 1.0 / shares).otherwise(0.0).alias("score")
+    return rows.join(best, "row").select("kept.*", "best.lang_pred", score, "best.rejected", "best.cross_entropy")

@@ -82,17 +82,48 @@ def test_texts_are_counted_in_runs(monkeypatch):
 
 
 def test_no_language_is_lost(spark):
-    """Rows without an id, long texts, and copies without number hide no language; too many labels are no crash."""
+    """Rows without an id, long texts, and copies without number hide no language; so many labels are all learned."""
     schema = "doc_id long, text string, lang string"
     rows = [(None, f"the cat {i}", "en") for i in range(500)] + [(i, f"le chat {'abcdefgh'[i % 8]}", "fr") for i in range(300)]
     assert [m.lang for m in langid.train(spark.createDataFrame(rows, schema))] == ["en", "fr"]
     rows = [(i, "xyz zyx " * 4000, "xx") for i in range(20)] + [(i, f"le chat {'abcdefgh'[i % 8]}", "fr") for i in range(300)]
     assert [m.lang for m in langid.train(spark.createDataFrame(rows, schema))] == ["fr", "xx"]
-    bounds = langid.TrainingBounds(docs_per_lang=2, max_langs=3)
+    bounds = langid.TrainingBounds(docs_per_lang=2)
     rows = [(1, "der hund", "de")] * 5000 + [(i, f"der hund {'abc'[i % 3]}", "de") for i in range(2, 5)] + [(i, "ab", f"l{i % 9}") for i in range(40)]
     learned = Counter(lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2)
-    most = sorted(learned, key=lambda x: (-learned[x], x))[:3]
-    assert "de" in most and [m.lang for m in langid.train(spark.createDataFrame(rows, schema), bounds)] == sorted(most)
+    assert [m.lang for m in langid.train(spark.createDataFrame(rows, schema), bounds)] == sorted(learned)
+
+
+def test_any_number_of_labels_can_be_predicted(spark):
+    """450 labels, each with words of its own: every one is learned whole, in one group of models or in many."""
+    word = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(3)) + "qxz"[n % 3]
+    rows = [(40 * n + i, f"{word(n)} {word(n)}{word(n)} {word(n)}", f"l{n:03d}") for n in range(450) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(learned) > 440
+    alone = langid.fit("l007", [rows[21][1]], 10**6)
+    found = {}
+    for name, size in (("one", 10**9), ("many", 40_000)):
+        models = langid.train(docs, langid.TrainingBounds(group_bytes=size))
+        assert (len(models.groups) > 5) == (name == "many")
+        own = list(models)
+        assert {m.lang for m in own} == learned and len(next(m for m in own if m.lang == "l007").gram_keys) == len(alone.gram_keys)
+        found[name] = {r["doc_id"]: r for r in langid.identify(docs, models, ["doc_id"]).collect()}
+    for i, _, lang in rows:
+        one, many = found["one"][i], found["many"][i]
+        assert one["lang_pred"] == many["lang_pred"] and (lang not in learned or one["lang_pred"] == lang)
+        assert one["score"] == pytest.approx(many["score"], rel=1e-5) and one["rejected"] == many["rejected"] and one["cross_entropy"] == pytest.approx(many["cross_entropy"], abs=1e-5)
+
+
+def test_many_letters_add_up_to_one():
+    """6,000 letters: more than the alphabet that is taken for granted."""
+    rng = np.random.default_rng(3)
+    letters = [chr(0x4E00 + i) for i in range(6000)]
+    model = langid.estimate("zh", ["".join(rng.choice(letters, 400)) for _ in range(60)] + ["".join(letters)], 10**6)
+    windows = np.array([[32, 32, 32, 32, ord(c)] for c in [*letters, " "]], dtype=np.uint32)
+    scorer = langid.Scorer([model])
+    unseen = 2.0 ** float(scorer._look_up(np.array([[32, 32, 32, 32, 0x1234]], dtype=np.uint32))[0, 0])
+    assert np.exp2(scorer._look_up(windows)[:, 0].astype(float)).sum() + unseen * (model.alphabet - 6001) == pytest.approx(1.0, abs=1e-3)
 
 
 def test_one_text_calibrates_no_rejection():
@@ -128,8 +159,9 @@ def test_held_out_accuracy_and_no_rejection_of_learned_languages(spark):
 def test_held_out_documents_are_not_learned(spark):
     rows = [(i, f"{'aaa bbb ' * 9}{i}" if zlib.crc32(str(i).encode()) % 4 != 2 else "zzz yyy " * 9, "x") for i in range(60)] + [(None, "ccc", "x"), (77, "ddd eee", None), (78, None, "x"), (79, "", "y")]
     models = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert [m.lang for m in models] == ["x"]
-    known = set(models[0].gram_keys.tolist())
+    (model,) = models
+    assert model.lang == "x"
+    known = set(model.gram_keys.tolist())
     assert int(langid.gram_hashes(np.array([ord("a")], np.uint32), 1)[0]) in known
     assert int(langid.gram_hashes(np.array([ord("z")], np.uint32), 1)[0]) not in known
 
@@ -141,5 +173,5 @@ def test_awkward_rows(spark):
     got = sorted((r["doc_id"] or 0, r["lang_pred"], r["rejected"]) for r in langid.identify(docs, models, ["doc_id"]).collect())
     assert [g[1] for g in got if g[0] in (2, 3, 4)] == ["und"] * 3 and all(g[1] in ("x", "y") for g in got if g[0] in (1, 5))
     assert langid.identify(docs.limit(0), models, ["doc_id"]).count() == 0
-    assert langid.train(docs.limit(0)) == []
+    assert list(langid.train(docs.limit(0))) == [] and {r['lang_pred'] for r in langid.identify(docs, langid.train(docs.limit(0)), ['doc_id']).collect()} == {'und'}
     assert {r["lang_pred"] for r in langid.identify(docs, [], ["doc_id"]).collect()} == {"und"}
