@@ -1,9 +1,17 @@
-"""Top-K similarity join on TF-IDF terms by tiles of sparse products.
+"""Similarity joins on TF-IDF terms, per country.
 
 Terms are a long table; the records of the first source give document frequencies per country, and queries
-keep only their terms. Each record becomes one row with its terms' numbers and weights. Within a country a block of
-queries meets a shard of records in one tile, which multiplies them in Arrow and returns what its caller wants of
-the products: for each query its best, or sums. No row is made for a pair that is in neither. Blocks hold so many
+keep only their terms. Each record becomes one row with its terms' numbers and weights.
+
+``similarity_join`` finds each query's best, beyond a few tiles by prefix filtering. A query's rarest terms seed it: their postings name
+records, the likeliest of which are compared exactly, and what they score is a floor under the query's own k-th best.
+Of its terms, those with the most impact first, only a prefix can then lead to another record that reaches the floor: what
+the rest could add is bounded by their weights and by the largest weight a record has for each. The prefix's postings
+name the candidates, sums over it and the bound for the rest drop most, and the others are compared exactly. A query meets
+only postings of its terms, a record only the queries that name it; no term has more than max_df postings.
+
+``cosine_report`` counts all pairs that share a term, so its work is all of them: within a country a block of
+queries meets a shard of records in one tile, which multiplies them in Arrow and returns sums. Blocks hold so many
 terms, not so many records, and a tile's work grows with the terms that match.
 """
 
@@ -95,7 +103,8 @@ def sparse_sides(queries: DataFrame, s1: DataFrame, q_ids: list[str], max_df: in
     crowded = spool(s1_terms.groupBy(*key).agg(F.count("*").alias("df")).where(F.col("df") > max_df).select(*key), "crowded")
     rare = lambda rows: rows.join(crowded, key, "left_anti")
     idf = spool(idf_table(rare(s1_terms), s1, max_df).withColumn("number", F.monotonically_increasing_id()), "idf")
-    return spool(sparse(rare(terms(queries, q_ids)), idf, q_ids), "sparse-queries"), spool(sparse(rare(s1_terms), idf, ["s1_id"]), "sparse-records")
+    row = F.monotonically_increasing_id()
+    return spool(sparse(rare(terms(queries, q_ids)), idf, q_ids).withColumn("row", row), "sparse-queries"), spool(sparse(rare(s1_terms), idf, ["s1_id"]).withColumn("row", row), "sparse-records")
 
 
 QUERY_TERMS, SHARD_TERMS = 250_000, 2_000_000  # terms of the records that meet in a tile
@@ -243,12 +252,122 @@ def best_places(scores: np.ndarray, k: int, least: float) -> np.ndarray:
     return good
 
 
-def similarity_join(queries: DataFrame, s1: DataFrame, q_ids: list[str], k: int = 12, address_k: int = 6, max_df: int = 5000) -> DataFrame:
-    """Candidates (q_ids, s1_id, score, ncos, acos): the k best by both channels and the address_k best by address.
+SEED_POSTINGS = 128  # of a query's rarest terms so many postings, or those of the rarest alone, are looked at for its floor
+SLACK = 1e-7  # over what rounding and the order of sums can change
+
+
+def impacts(rows: DataFrame) -> DataFrame:
+    """(row, channel, term, w) of sparse rows."""
+    of = lambda c: F.transform(F.arrays_zip(F.col(f"{c}_terms").alias("t"), F.col(f"{c}_w").alias("w")), lambda x: F.struct(F.lit(c).alias("channel"), x["t"].alias("term"), x["w"].alias("w")))
+    return rows.select("row", F.explode(F.concat(of("n"), of("a"))).alias("i")).select("row", "i.*")
+
 
-    queries, s1: prepared records with country; s1 has s1_id.
+def postings(records: DataFrame) -> DataFrame:
+    """One row for each term: how many records have it, the largest weight, and who has it with which weight."""
+    held = F.collect_list(F.struct("row", "w"))
+    return impacts(records).groupBy("term").agg(F.count("*").alias("df"), F.max("w").alias("top"), held.alias("held"))
+
+
+def prefixes(terms_of: DataFrame, floors: DataFrame) -> DataFrame:
+    """Of each query the terms that can lead to a record at its floors, and what the others can add (rest_n, rest_a).
+
+    terms_of: (q, channel, term, w, top); floors: (q, floor, floor_a). The terms with the most impact come first.
+    A rest is at most the sum of its impacts, and at most its norm, as no record's is above 1.
     """
-    left, right = sparse_sides(queries, s1, q_ids, max_df)
+    from_here = Window.partitionBy("q").orderBy((F.col("w") * F.col("top")).desc(), "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = Window.partitionBy("q")
+    own = lambda channel, value, where=True: F.when((F.col("channel") == channel) & where, value).otherwise(0.0)
+    impact, square = F.col("w") * F.col("top"), F.col("w") * F.col("w")
+    bound = lambda channel, window, where=True: F.least(F.sum(own(channel, impact, where)).over(window), F.sqrt(F.sum(own(channel, square, where)).over(window)))
+    rows = terms_of.join(floors, "q").withColumns({"to_n": bound("n", from_here), "to_a": bound("a", from_here)})
+    reaches = 0.5 * (F.col("to_n") + F.col("to_a")) >= F.col("floor") - SLACK
+    rows = rows.withColumn("kept", reaches | ((F.col("channel") == "a") & (F.col("to_a") >= F.col("floor_a") - SLACK)))
+    rows = rows.withColumns({"rest_n": bound("n", whole, ~F.col("kept")), "rest_a": bound("a", whole, ~F.col("kept"))})
+    return rows.where("kept").select("q", "channel", "term", "w", "floor", "floor_a", "rest_n", "rest_a")
+
+
+def _largest(scores: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
+    """A mask of the k largest scores of each group; group ascends."""
+    order = np.lexsort((-scores, group))
+    place = np.arange(len(order)) - np.searchsorted(group[order], group[order], "left")
+    mask = np.zeros(len(order), bool)
+    mask[order[place < k]] = True
+    return mask
+
+
+def named(asked: DataFrame, lists: DataFrame, pick: Callable[[dict[str, np.ndarray]], np.ndarray]) -> DataFrame:
+    """(q, s) of the records that the postings of the asked terms (q, channel, term, w, more) name and ``pick`` keeps.
+
+    The postings of a query come together and are added up in Arrow. pick gets, for each pair, q (ascending), its sums n and a,
+    and the other columns of asked, which must be the same in all rows of a query; it returns a mask.
+    """
+    more = [c for c in asked.columns if c not in ("q", "channel", "term", "w")]
+    met = asked.join(lists.select("term", "held"), "term").select("q", (F.col("channel") == "a").alias("address"), "w", "held", *more)
+    ordered = met.repartition("q").sortWithinPartitions("q")
+
+    def add_up(table: pa.Table) -> pa.RecordBatch:
+        held = table.column("held").combine_chunks()
+        size = pc.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int64)
+        entries = held.flatten()
+        row = entries.field("row").to_numpy(zero_copy_only=False)
+        weight = entries.field("w").to_numpy(zero_copy_only=False) * np.repeat(table.column("w").to_numpy(), size)
+        address = np.repeat(table.column("address").to_numpy(zero_copy_only=False), size)
+        q, first, group = np.unique(table.column("q").to_numpy(), return_index=True, return_inverse=True)
+        rows, place = np.unique(row, return_inverse=True)
+        keys, pair = np.unique(np.repeat(group, size) * len(rows) + place, return_inverse=True)
+        own, record = np.divmod(keys, max(1, len(rows)))
+        sums = {"q": own, **{c: table.column(c).to_numpy()[first][own] for c in more}}
+        sums |= {c: np.bincount(pair[which], weights=weight[which], minlength=len(keys)) for c, which in (("n", ~address), ("a", address))}
+        good = pick(sums)
+        return pa.RecordBatch.from_arrays([pa.array(q[own[good]]), pa.array(rows[record[good]])], names=["q", "s"])
+
+    def run(batches):
+        open_rows: list = []  # of the query that the last batch broke off in
+        for batch in batches:
+            q = batch.column("q").to_numpy()
+            if not len(q):
+                continue
+            cut = int(np.searchsorted(q, q[-1], "left"))
+            if cut or (open_rows and open_rows[-1].column("q")[-1].as_py() != q[0]):
+                yield add_up(pa.Table.from_batches([*open_rows, batch.slice(0, cut)]))
+                open_rows = []
+            open_rows.append(batch.slice(cut))
+        if open_rows:
+            yield add_up(pa.Table.from_batches(open_rows))
+
+    return ordered.mapInArrow(run, "q long, s long")
+
+
+def compared(pairs: DataFrame, queries: DataFrame, records: DataFrame) -> DataFrame:
+    """(q, s, score, ncos, acos) of pairs of sparse rows, exactly, in DIGITS digits."""
+    names = [f"{c}_{x}" for c in ("n", "a") for x in ("terms", "w")]
+    side = lambda rows, key, tag: rows.select(F.col("row").alias(key), *(F.col(c).alias(tag + c) for c in names))
+    met = pairs.join(side(records, "s", "r_"), "s").join(side(queries, "q", "l_"), "q")
+
+    def run(batches):
+        for batch in batches:
+            cosines = []
+            for channel in ("n", "a"):
+                flat = []
+                for tag in ("l_", "r_"):
+                    own = batch.column(f"{tag}{channel}_terms")
+                    pair = np.repeat(np.arange(batch.num_rows), pc.list_value_length(own).to_numpy(zero_copy_only=False).astype(np.int64))
+                    flat.append((pair, own.flatten().to_numpy(zero_copy_only=False), batch.column(f"{tag}{channel}_w").flatten().to_numpy(zero_copy_only=False)))
+                terms, code = np.unique(np.concatenate([f[1] for f in flat]), return_inverse=True)
+                keys = np.concatenate([f[0] for f in flat]) * max(1, len(terms)) + code
+                n = len(flat[0][0])
+                _, i, j = np.intersect1d(keys[:n], keys[n:], assume_unique=True, return_indices=True)
+                cosines.append(np.bincount(flat[0][0][i], weights=flat[0][2][i] * flat[1][2][j], minlength=batch.num_rows).astype(np.float64))
+            ncos, acos = cosines
+            found = [np.round(0.5 * (ncos + acos), DIGITS), np.round(ncos, DIGITS), np.round(acos, DIGITS)]
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("s"), *map(pa.array, found)], names=["q", "s", "score", "ncos", "acos"])
+
+    columns = ["q", "s", *(tag + c for tag in ("l_", "r_") for c in names)]
+    return met.select(*columns).mapInArrow(run, "q long, s long, score double, ncos double, acos double")
+
+
+def _by_tiles(left: DataFrame, right: DataFrame, q_ids: list[str], k: int, address_k: int, least: float) -> DataFrame:
+    """Each query's best of every tile it is in: for so few tiles that hardly a row is copied."""
     columns = [*q_ids, "s1_id", "score", "ncos", "acos"]
     schema = left.select(*q_ids).schema.add("s1_id", right.schema["s1_id"].dataType)
     for name in ("score", "ncos", "acos"):
@@ -259,16 +378,55 @@ def similarity_join(queries: DataFrame, s1: DataFrame, q_ids: list[str], k: int
         row, place, found = [], [], []
         for rows, places, ncos, acos in strips(left, right):
             score, address = np.round(0.5 * (ncos + acos), DIGITS), np.round(acos, DIGITS)
-            i, j = np.nonzero(best_places(score, k, LEAST) | best_places(address, address_k, LEAST))
+            i, j = np.nonzero(best_places(score, k, least) | best_places(address, address_k, least))
             row.append(rows[i])
             place.append(places[j])
             found.append(np.stack([score[i, j], np.round(ncos[i, j], DIGITS), address[i, j]]))
         values = np.concatenate(found, axis=1)
         return pa.table([*(left.column(c).take(pa.array(np.concatenate(row))) for c in q_ids), right.column("s1_id").take(pa.array(np.concatenate(place))), *(pa.array(v) for v in values)], names=columns)
 
-    pairs = tiles(left, right, q_ids, run, schema)
-    both = channel_top(pairs, "score", k, q_ids, LEAST).unionByName(channel_top(pairs, "acos", address_k, q_ids, LEAST))
-    return both.dropDuplicates([*q_ids, "s1_id"]).select(*columns)
+    return tiles(left, right, q_ids, run, schema)
+
+
+def _by_prefixes(left: DataFrame, right: DataFrame, q_ids: list[str], k: int, address_k: int, least: float, relative: float) -> DataFrame:
+    """The records that each query's seeds and prefix name, compared exactly, without those that can't reach its floors."""
+    lists = spool(postings(right), "postings")
+    terms_of = spool(impacts(left).withColumnRenamed("row", "q").join(lists.select("term", "df", "top"), "term"), "query-terms")
+    ahead = F.sum("df").over(Window.partitionBy("q").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
+    seeds = terms_of.withColumn("ahead", F.coalesce(ahead, F.lit(0))).where(F.col("ahead") < SEED_POSTINGS).select("q", "channel", "term", "w")
+    likely = lambda sums: _largest(sums["n"] + sums["a"], sums["q"], k) | _largest(sums["a"], sums["q"], address_k)
+    first = spool(compared(named(seeds, lists, likely), left, right), "seeded")
+    nth = lambda score, n: F.coalesce(F.get(F.sort_array(F.collect_list(score), asc=False), F.lit(n - 1)), F.lit(0.0))
+    floor = lambda score, n: F.greatest(F.lit(least), relative * F.max(score), nth(score, n))
+    floors = first.groupBy("q").agg(floor("score", k).alias("floor"), floor("acos", address_k).alias("floor_a"))
+
+    def reaching(sums: dict[str, np.ndarray]) -> np.ndarray:
+        address = sums["a"] + sums["rest_a"]
+        return (0.5 * (sums["n"] + sums["rest_n"] + address) >= sums["floor"] - SLACK) | (address >= sums["floor_a"] - SLACK)
+
+    others = named(prefixes(terms_of, floors), lists, reaching).join(first.select("q", "s"), ["q", "s"], "left_anti")
+    pairs = first.unionByName(compared(others, left, right))
+    named_pairs = pairs.join(right.select(F.col("row").alias("s"), "s1_id"), "s").join(left.select(F.col("row").alias("q"), *q_ids), "q")
+    return named_pairs.select(*q_ids, "s1_id", "score", "ncos", "acos")
+
+
+FEW_TILES = 4
+
+
+def similarity_join(queries: DataFrame, s1: DataFrame, q_ids: list[str], k: int = 12, address_k: int = 6, max_df: int = 5000, least: float = LEAST, relative: float = 0.4, few_tiles: int = FEW_TILES) -> DataFrame:
+    """Candidates (q_ids, s1_id, score, ncos, acos): the k best by both channels and the address_k best by address.
+
+    queries, s1: prepared records with country; s1 has s1_id. Both must reach ``least`` and ``relative`` of the query's best.
+    Where all terms make at most ``few_tiles`` tiles, tiles find them; else prefix filtering, whose work has no part that
+    grows with queries times records.
+    """
+    left, right = sparse_sides(queries, s1, q_ids, max_df)
+    if _blocks(left, QUERY_TERMS) * _blocks(right, SHARD_TERMS) <= few_tiles:
+        pairs = _by_tiles(left, right, q_ids, k, address_k, least)
+    else:
+        pairs = _by_prefixes(left, right, q_ids, k, address_k, least, relative)
+    both = channel_top(pairs, "score", k, q_ids, least, relative).unionByName(channel_top(pairs, "acos", address_k, q_ids, least, relative))
+    return both.dropDuplicates([*q_ids, "s1_id"]).select(*q_ids, "s1_id", "score", "ncos", "acos")
 
 
 def pair_cosines(pairs: DataFrame, queries: DataFrame, s1: DataFrame, q_ids: list[str], max_df: int = 5000) -> DataFrame:

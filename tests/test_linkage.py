@@ -279,3 +279,41 @@ def test_crowded_keys_of_sources_move_nowhere(spark):
     found = blocking.candidates(rows("S1-", 9), rows("S2-", 30), 20)
     assert [(r["s1_id"], r["cand_id"], r["reasons"]) for r in found.collect()] == [("S1-1", "S2-1", ["name_exact"])]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 2
+
+
+def _shuffled(spark, run):
+    """Records that the shuffles of ``run`` write, read from Spark's own counters."""
+    from pyspark.sql import functions as F
+
+    store, before = spark.sparkContext._jsc.sc().statusStore(), {}
+    count = lambda: {s.stageId(): s.shuffleWriteRecords() for s in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList()))}
+    before = count()
+    found = run().agg(F.count("*")).first()[0]
+    return found, sum(n for stage, n in count().items() if stage not in before)
+
+
+def test_prefixes_find_what_tiles_find(spark):
+    """The two ways give the same rows, and no row of the prefix join is copied to blocks: its shuffles grow like the records."""
+    from linkloom.plans import registry
+
+    got = {}
+    for sf in ("0.001", "0.01"):
+        queries, s1 = registry._prepared(spark, f"/root/testdata/sf{sf}")
+        left, right = tfidf.sparse_sides(queries, s1, ["src", "q_id"], 5000)
+        rounded = lambda df: sorted((r["src"], r["q_id"], r["s1_id"], round(r["score"], 6), round(r["acos"], 6)) for r in df.collect())
+        if sf == "0.001":
+            by = [tfidf.similarity_join(queries, s1, ["src", "q_id"], few_tiles=n) for n in (10**6, 0)]
+            assert rounded(by[0]) == rounded(by[1]) and by[0].count() > 500
+            tight = [tfidf.similarity_join(queries, s1, ["src", "q_id"], k=2, address_k=1, max_df=30, few_tiles=n) for n in (10**6, 0)]
+            assert rounded(tight[0]) == rounded(tight[1])
+        got[sf] = _shuffled(spark, lambda left=left, right=right: tfidf._by_prefixes(left, right, ["src", "q_id"], 12, 6, 0.05, 0.4))[1]
+    assert 0 < got["0.01"] < got["0.001"] * 10**1.2
+
+
+def test_prefix_of_a_query(spark):
+    """Impacts 0.5, 0.3, 0.1 of names and 0.4 of an address: what may be left out follows from the floors."""
+    rows = [(1, "n", 11, 0.8, 0.625), (1, "n", 12, 0.5, 0.6), (1, "n", 13, 0.33, 0.303), (1, "a", 14, 1.0, 0.4)]
+    terms_of = spark.createDataFrame(rows, "q long, channel string, term long, w double, top double")
+    kept = lambda floor, floor_a: {r["term"]: (round(r["rest_n"], 3), round(r["rest_a"], 3)) for r in tfidf.prefixes(terms_of, spark.createDataFrame([(1, floor, floor_a)], "q long, floor double, floor_a double")).collect()}
+    assert set(kept(0.04, 0.05)) == {11, 12, 13, 14} and set(kept(0.06, 0.9)) == {11, 12, 14}
+    assert kept(0.6, 0.9) == {11: (0.4, 0.4)} and kept(0.6, 0.3) == {11: (0.4, 0.0), 14: (0.4, 0.0)} and kept(0.9, 0.9) == {}
