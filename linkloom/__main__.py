@@ -6,7 +6,7 @@ match S1 S2 S3 OUT_DIR [--threshold --gap --max-matches]   matching_results and
 evaluate TRUTH MATCHES [--scope]           macro precision, recall, F0.5
 validate MATCHES S1 [--candidates FILE] [--records FILE...]   one line for each rule that finds something
 train S1 S2 S3 TRUTH MODEL                 fits the fast flow's model and tells its best threshold
-submit S1 S2 S3 MODEL OUT_DIR [--threshold --gap --max-matches]   the fast flow by a saved model; a run that broke off goes on where it was
+submit S1 S2 S3 MODEL OUT_DIR [--threshold --gap --max-matches --bundle DIR]   the fast flow by a saved model; encoded targets are written once, a run that broke off goes on where it was
 sweep S1 S2 S3 MODEL TRUTH                 macro F0.5 of the fast flow's best candidates by threshold
 predict S1 S2 S3 TRUTH OUT_DIR             the two-stage flow, trained on the truth
 urls URLS OUT_DIR [--model DIR]            a line of JSON for each URL of a text file
@@ -107,14 +107,10 @@ def _best(scored: DataFrame) -> DataFrame:
 
 
 def submit(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Matches and candidates of every S1 by buckets, which a second run of the same command doesn't write again; then the two lists."""
+    """Matches and candidates of every S1 by buckets, of which a second run of the same command makes only those that are missing; then the two lists."""
     s1, targets = _sides(spark, a)
-    model = models.StumpModel.load(spark, a.model)
     config = flows.LinkConfig(fast_threshold=a.threshold, fast_gap=a.gap, fast_matches=a.max_matches)
-    cands, found = flows.fast_flow(s1, targets, model, config)
-    matches, lists = flows.outputs(found, cands, s1)
-    both = matches.withColumnRenamed("source1_entity_id", "s1_id").join(lists.withColumnRenamed("source1_entity_id", "s1_id"), "s1_id")
-    written = io.write_resumable(both, f"{a.out}/buckets", "s1_id")
+    written = flows.submit(s1, targets, models.StumpModel.load(spark, a.model), a.out, config, a.bundle)
     held = spark.read.parquet(f"{a.out}/buckets").withColumnRenamed("s1_id", "source1_entity_id")
     io.write_tsv(held.select(*io.MATCH_HEADER), f"{a.out}/matching_results")
     io.write_tsv(held.select(*io.CANDIDATE_HEADER), f"{a.out}/candidate_pairs")
@@ -181,6 +177,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--threshold", type=float, default=flows.LinkConfig.fast_threshold)
     p.add_argument("--gap", type=float, default=flows.LinkConfig.fast_gap)
     p.add_argument("--max-matches", type=int, default=flows.LinkConfig.fast_matches)
+    p.add_argument("--bundle")
     command(sweep, "s1", "s2", "s3", "model", "truth")
     command(predict, "s1", "s2", "s3", "truth", "out")
     command(urls, "urls", "out").add_argument("--model")

@@ -182,11 +182,19 @@ def fast_keys(records: DataFrame) -> DataFrame:
     return records.select("entity_id", F.explode(F.array_distinct(F.concat(*each))).alias("k")).select("entity_id", "k.class", "k.key")
 
 
-def fast_candidates(source_keys: DataFrame, target_keys: DataFrame) -> DataFrame:
-    """Distinct pairs (s1_id, cand_id) that share a key whose postings among the targets stay within its class's cap."""
+def rare_fast_keys(target_keys: DataFrame) -> DataFrame:
+    """Without the keys whose postings among the targets exceed their class's cap."""
     cap = F.element_at(F.create_map(*(F.lit(x) for pair in CLASS_CAPS.items() for x in pair)), F.col("class"))
     crowded = spool(target_keys.groupBy("class", "key").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("class", "key"), "crowded")
-    right = target_keys.join(crowded, ["class", "key"], "left_anti").select(F.col("entity_id").alias("cand_id"), "class", "key")
+    return target_keys.join(crowded, ["class", "key"], "left_anti")
+
+
+def fast_candidates(source_keys: DataFrame, target_keys: DataFrame, rare: bool = False) -> DataFrame:
+    """Distinct pairs (s1_id, cand_id) that share a key whose postings among the targets stay within its class's cap.
+
+    rare: whether the target's crowded keys are gone already, as in a bundle.
+    """
+    right = (target_keys if rare else rare_fast_keys(target_keys)).select(F.col("entity_id").alias("cand_id"), "class", "key")
     return source_keys.withColumnRenamed("entity_id", "s1_id").join(right, ["class", "key"]).select("s1_id", "cand_id").distinct()
 
 

@@ -5,15 +5,17 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import text
 from linkloom.operators import blocking
-from linkloom.plans import entities, sql
+from linkloom.plans import entities, flows, sql
 from linkloom.plans.entities import SOURCES_SQL, TRUTH_SQL, table
-from linkloom.plans.registry import _fast_keys_sql, _fast_sql, _normalized, joined, query
+from linkloom.plans.registry import _cheap_sql, _fast_keys_sql, _fast_sql, _normalized, joined, query
 from linkloom.sources import io
 from linkloom.sources.shared import shared_dir
+from linkloom.streaming import index, urls
 
 _RECORD = "entity_id, business_name, business_address, country"
 
@@ -110,20 +112,60 @@ def encoded_bundle(spark, d):
     _, s2, s3 = entities.sources(spark, d)
     targets, path = text.fast_records(s2.unionByName(s3)), _at(spark, "bundle")
     io.write_bundle(blocking.fast_keys(targets), text.encoded_records(targets).select("entity_id", "name_len"), path)
-    keys, payload = io.read_bundle(spark, path)
-    return keys.join(payload, "entity_id").groupBy("class").agg(F.count("*").alias("n_keys"), F.countDistinct("entity_id").alias("n_entities"), F.sum("name_len").alias("name_chars"))
+    held = io.read_bundle(spark, path)
+    return held.keys.join(held.payload, "entity_id").groupBy("class").agg(F.count("*").alias("n_keys"), F.countDistinct("entity_id").alias("n_entities"), F.sum("name_len").alias("name_chars"))
+
+
+@query(f"WITH {SOURCES_SQL},{_fast_sql()},{_fast_keys_sql()},{_cheap_sql()} SELECT s1_id, cand_id, round(cheap, 6) AS cheap FROM cheap")
+def bundle_topk(spark, d):
+    """The fast flow's best candidates from a bundle of the targets, written once and joined where it lies."""
+    s1, s2, s3 = entities.sources(spark, d)
+    path = _at(spark, "targets")
+    flows.write_targets(s2.unionByName(s3), path)
+    return flows.fast_pairs(s1, io.read_bundle(spark, path)).select("s1_id", "cand_id", F.round("cheap", 6).alias("cheap"))
+
+
+class _BrokenOff(Exception):
+    pass
 
 
 @query(f"WITH {TRUTH_SQL} SELECT s1_id, array_to_string(list_sort(ids), ',') AS ids FROM truth")
 def resumable_lists(spark, d):
-    """Id lists by buckets; a second run finds nothing to write."""
-    path = _at(spark, "resumable")
-    lists = entities.truth(spark, d).select("s1_id", F.array_join(F.array_sort("ids"), ",").alias("ids"))
-    io.write_resumable(lists, path, "s1_id")
-    io.write_resumable(lists, path, "s1_id")
+    """Id lists by buckets: a run breaks off after a third of them, the next makes the others, a third nothing."""
+    path, calls = _at(spark, "resumable"), []
+    lists = entities.truth(spark, d)
+
+    def make(part: DataFrame) -> DataFrame:
+        calls.append(1)
+        if len(calls) == 3:
+            raise _BrokenOff
+        return part.select("s1_id", F.array_join(F.array_sort("ids"), ",").alias("ids"))
+
+    try:
+        io.write_resumable(lists, path, "s1_id", 6, make, at_once=1)
+    except _BrokenOff:
+        pass
+    for _ in range(2):
+        io.write_resumable(lists, path, "s1_id", 6, make, at_once=2)
     return spark.read.parquet(path).select("s1_id", "ids")
 
 
+@query(f"WITH {SOURCES_SQL},{sql.candidates()} SELECT s1_id, cand_id, array_to_string(reasons, ',') AS reasons FROM cands")
+def streamed_candidates(spark, d):
+    """Targets arrive in files and are indexed, by one stream and by its restart; then records arrive and meet the index."""
+    s1, s2, s3 = entities.sources(spark, d)
+    arriving, path, seen = _at(spark, "arriving"), _at(spark, "index"), _at(spark, "seen")
+    for more in (s2, s3):
+        more.select(*_RECORD.split(", ")).repartition(2).write.mode("append").parquet(arriving)
+        stream = urls.read_stream(spark, arriving, io.text_schema(_RECORD.split(", ")), per_batch=1)
+        index.write_index(stream, path, f"{path}-at").awaitTermination()
+    s1.select(*_RECORD.split(", ")).repartition(2).write.parquet(seen)
+    records = urls.read_stream(spark, seen, io.text_schema(_RECORD.split(", ")), per_batch=1)
+    met = _at(spark, "met")
+    urls.write_stream(urls.arriving_candidates(records, index.read_index(spark, path)), met, f"{met}-at").awaitTermination()
+    return index.with_reasons(spark.read.parquet(met)).select("s1_id", "cand_id", *joined("reasons"))
+
+
 @query(f"SELECT unnest([{sql.quoted(text.COUNTRIES)}]) AS alias, unnest([{sql.quoted(text.COUNTRIES.values())}]) AS code")
 def json_map(spark, d):
     """A side input of one JSON object."""

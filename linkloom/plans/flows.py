@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.text import fast_records, normalized_records
 from linkloom.functions.translit import prepared
 from linkloom.operators import blocking, evaluation, models, pairs, sampling, selection, siblings, tfidf
-from linkloom.sources.io import CANDIDATE_HEADER, MATCH_HEADER, id_lists
+from linkloom.sources.io import CANDIDATE_HEADER, MATCH_HEADER, Bundle, has_bundle, id_lists, read_bundle, write_bundle, write_resumable
 from linkloom.sources.shared import spool
 
 
@@ -44,21 +44,38 @@ def rule_flow(s1: DataFrame, targets: DataFrame, config: LinkConfig = LinkConfig
     return cands, selection.select_matches(scored, config.threshold, config.gap, config.max_matches)
 
 
-def fast_pairs(s1: DataFrame, targets: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
+_PAYLOAD = ["id", *dict.fromkeys([*pairs.CODES, *pairs.FAST_SIDE])]
+
+
+def _numbered(records: DataFrame) -> DataFrame:
+    """Raw records normalised and written once, with a number each in place of their id, which is kept as ``id``."""
+    coded = pairs.fast_codes(fast_records(records)).withColumnRenamed("entity_id", "id").withColumn("entity_id", F.monotonically_increasing_id())
+    return spool(coded.select("entity_id", *_PAYLOAD, *(c for c in coded.columns if c not in _PAYLOAD and c != "entity_id")), "fast")
+
+
+def write_targets(targets: DataFrame, path: str, buckets: int | None = None) -> None:
+    """The targets of the fast flow as a bundle, which any number of runs can read."""
+    right = _numbered(targets)
+    write_bundle(spool(blocking.rare_fast_keys(spool(blocking.fast_keys(right), "fast-keys")), "rare-keys"), right.select("entity_id", *_PAYLOAD), path, buckets=buckets)
+
+
+def fast_pairs(s1: DataFrame, targets: DataFrame | Bundle, config: LinkConfig = LinkConfig()) -> DataFrame:
     """Compared pairs of raw records by the fast set: candidates by capped keys, the best by the cheap score, their features.
 
     Records are normalised once and written with a number each; all raw pairs are pairs of numbers, and only the best get the
-    columns that features read.
+    columns that features read. targets: raw records, or a bundle of them, whose two tables are joined where they lie.
     """
-    number = lambda df: spool(pairs.fast_codes(fast_records(df)).withColumn("number", F.monotonically_increasing_id()), "fast")
-    left, right = number(s1), number(targets)
-    keys = lambda df: blocking.fast_keys(df.withColumn("entity_id", F.col("number")))
-    cands = blocking.fast_candidates(keys(left), spool(keys(right), "fast-keys"))
-    coded = lambda df: df.select(F.col("number").alias("entity_id"), F.col("entity_id").alias("id"), *pairs.CODES)
-    sided = pairs.with_sides(cands, coded(left), coded(right), ["id", *pairs.CODES])
-    cheap = sided.select("s1_id", F.col("l_id").alias("_s1"), F.col("r_id").alias("_cand"), F.round(pairs.cheap_score(), 9).alias("cheap"))
-    best = selection.top_k(cheap, config.fast_candidates, ["s1_id"], "cheap", ["_cand"]).select(F.col("_s1").alias("s1_id"), F.col("_cand").alias("cand_id"), "cheap")
-    return pairs.fast_features(pairs.with_sides(best, left, right, pairs.FAST_SIDE))
+    left = _numbered(s1)
+    if isinstance(targets, Bundle):
+        right, cands = targets.payload, blocking.fast_candidates(blocking.fast_keys(left), targets.keys, rare=True)
+    else:
+        right = _numbered(targets)
+        cands = blocking.fast_candidates(blocking.fast_keys(left), spool(blocking.fast_keys(right), "fast-keys"))
+    sided = pairs.with_sides(cands, left, right, ["id", *pairs.CODES])
+    cheap = sided.select("s1_id", "cand_id", F.col("l_id").alias("_s1"), F.col("r_id").alias("_cand"), F.round(pairs.cheap_score(), 9).alias("cheap"))
+    best = selection.top_k(cheap, config.fast_candidates, ["s1_id"], "cheap", ["_cand"])
+    met = pairs.with_sides(best, left, right, pairs.FAST_SIDE).drop("s1_id", "cand_id").withColumnsRenamed({"_s1": "s1_id", "_cand": "cand_id"})
+    return pairs.fast_features(met)
 
 
 def fast_matches(compared: DataFrame, model: models.Matcher, config: LinkConfig = LinkConfig()) -> DataFrame:
@@ -67,7 +84,7 @@ def fast_matches(compared: DataFrame, model: models.Matcher, config: LinkConfig
     return selection.select_matches(scored, config.fast_threshold, config.fast_gap, config.fast_matches)
 
 
-def fast_flow(s1: DataFrame, targets: DataFrame, model: models.Matcher, config: LinkConfig = LinkConfig()) -> tuple[DataFrame, DataFrame]:
+def fast_flow(s1: DataFrame, targets: DataFrame | Bundle, model: models.Matcher, config: LinkConfig = LinkConfig()) -> tuple[DataFrame, DataFrame]:
     """(candidates, matches) of raw records by a fitted model over the fast features; pairs are compared once."""
     compared = spool(fast_pairs(s1, targets, config), "compared")
     return compared.select("s1_id", "cand_id"), fast_matches(compared, model, config)
@@ -160,6 +177,26 @@ def outputs(matches: DataFrame, cands: DataFrame, s1: DataFrame) -> tuple[DataFr
     return id_lists(inside, required, MATCH_HEADER), id_lists(cands.select("s1_id", "cand_id"), required, CANDIDATE_HEADER)
 
 
+def submit(s1: DataFrame, targets: DataFrame, model: models.Matcher, out: str, config: LinkConfig = LinkConfig(), bundle: str | None = None, buckets: int = 16, at_once: int = 4) -> list[int]:
+    """Both lists of every S1 under ``out``/buckets, by buckets of its id; returns the buckets this run made.
+
+    The targets' bundle is written once, to ``bundle`` or beside the lists. A run after one that broke off normalises, blocks and
+    compares only the S1 of the buckets that are missing.
+    """
+    spark, at = s1.sparkSession, bundle or f"{out}/targets"
+    if not has_bundle(spark, at):
+        write_targets(targets, at)
+    held = read_bundle(spark, at)
+
+    def lists(part: DataFrame) -> DataFrame:
+        part = part.drop("s1_id")
+        cands, found = fast_flow(part, held, model, config)
+        matches, candidates = (t.withColumnRenamed(CANDIDATE_HEADER[0], "s1_id") for t in outputs(found, cands, part))
+        return matches.join(candidates, "s1_id")
+
+    return write_resumable(s1.withColumn("s1_id", F.col("entity_id")), f"{out}/buckets", "s1_id", buckets, lists, at_once)
+
+
 def evaluate(matches: DataFrame, truth: DataFrame) -> DataFrame:
     lists = matches.groupBy("s1_id").agg(F.collect_set("cand_id").alias("ids"))
     return evaluation.evaluate_matching(truth, lists)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import time
 import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -152,45 +154,92 @@ def write_prepared(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("country").parquet(path)
 
 
-def _bundle_bucket(key) -> F.Column:
-    return F.pmod(F.xxhash64(key), F.lit(64)).cast("int")
+def _table_of(path: str) -> str:
+    return f"linkloom_{hashlib.md5(path.encode()).hexdigest()}"
 
 
-def write_bundle(keys: DataFrame, payload: DataFrame, path: str, key: str = "entity_id") -> None:
-    """The encoded targets, to be built once and read often: keys, and payload in buckets of the entity's hash."""
-    keys.write.mode("overwrite").parquet(f"{path}/keys")
-    payload.withColumn("bucket", _bundle_bucket(F.col(key))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/payload")
+def write_bucketed(df: DataFrame, path: str, columns: list[str], buckets: int) -> None:
+    """A table in so many buckets of the columns' hash, one sorted file each; its layout stands beside it, so that any session can open it."""
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {_table_of(path)}")
+    df.repartition(buckets, *columns).write.mode("overwrite").format("parquet").bucketBy(buckets, *columns).sortBy(*columns).option("path", path).saveAsTable(_table_of(path))
+    layout = {"schema": df.schema.json(), "columns": columns, "buckets": buckets}
+    spark.createDataFrame([(json.dumps(layout),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.layout")
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """The table with its buckets: joins and groupings by its columns need no exchange of it, and one key is one file."""
+    layout, name = read_json_map(spark, f"{path}.layout"), _table_of(path)
+    if not spark.catalog.tableExists(name):
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromJson(json.loads(layout["schema"])))
+        by = ", ".join(f"`{c}`" for c in layout["columns"])
+        spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {layout['buckets']} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+@dataclass(frozen=True)
+class Bundle:
+    """Encoded targets: keys (class, key, entity_id) without the crowded ones, and what is compared of each entity_id."""
+
+    keys: DataFrame
+    payload: DataFrame
+
+
+BUNDLE_ROWS = 500_000  # of the payload in a bucket
 
 
-def read_bundle(spark: SparkSession, path: str, entity: str | None = None) -> tuple[DataFrame, DataFrame]:
+def write_bundle(keys: DataFrame, payload: DataFrame, path: str, key: str = "entity_id", buckets: int | None = None) -> None:
+    """The encoded targets, to be built once and read often, each table in buckets of what it is joined by. The mark is written last."""
+    buckets = buckets or max(8, -(-payload.count() // BUNDLE_ROWS))
+    write_bucketed(keys, f"{path}/keys", ["class", "key"], buckets)
+    write_bucketed(payload, f"{path}/payload", [key], buckets)
+    fs, at = _files(keys.sparkSession, f"{path}/_complete")
+    fs.create(at).close()
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def has_bundle(spark: SparkSession, path: str) -> bool:
+    """Whether a bundle was written there to its end."""
+    fs, at = _files(spark, f"{path}/_complete")
+    return fs.exists(at)
+
+
+def read_bundle(spark: SparkSession, path: str, entity: str | None = None, key: str = "entity_id") -> Bundle:
     """Keys and payload; of one entity only its bucket of the payload is read."""
-    payload = spark.read.parquet(f"{path}/payload")
-    if entity is not None:
-        payload = payload.where((F.col("bucket") == _bundle_bucket(F.lit(entity))) & (F.col("entity_id") == entity))
-    return spark.read.parquet(f"{path}/keys"), payload.drop("bucket")
+    payload = read_bucketed(spark, f"{path}/payload")
+    return Bundle(read_bucketed(spark, f"{path}/keys"), payload if entity is None else payload.where(F.col(key) == F.lit(entity)))
 
 
-def write_resumable(df: DataFrame, path: str, key: str, buckets: int = 16) -> list[int]:
-    """Writes hash buckets of the key that aren't there yet, each as a partition of its own; returns those written.
+def write_resumable(rows: DataFrame, path: str, key: str, buckets: int = 16, make: Callable[[DataFrame], DataFrame] | None = None, at_once: int | None = None) -> list[int]:
+    """Writes what ``make`` gives of the rows (by default the rows), by hash buckets of the key; returns the buckets written.
+
+    Only buckets that aren't there yet are made, so a run that goes on after another broke off computes what is missing and
+    nothing else. at_once: how many buckets' rows go into one call of make (default: all that are missing); what is done when
+    a run breaks off is done for good. make must return the key, and of a row only what belongs to that row's key.
 
     A bucket counts as written once its mark is: a mark is written after its bucket, which is overwritten on the next try until then.
-    The plan of df runs once: what is missing of it is written by bucket first, and each bucket's files are read from there.
+    A plan of make runs once: it is written by bucket first, and each bucket's files are read from there.
     """
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    marks = {b: hadoop(f"{path}/_marks/{b}") for b in range(buckets)}
+    spark = rows.sparkSession
+    fs, _ = _files(spark, path)
+    marks = {b: _files(spark, f"{path}/_marks/{b}")[1] for b in range(buckets)}
     missing = [b for b, mark in marks.items() if not fs.exists(mark)]
-    if not missing:
-        return []
-    staged = f"{shared_dir(spark).rstrip('/')}/resumable-{uuid.uuid4().hex}"
-    marked = df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    marked.where(F.col("_bucket").isin(missing)).write.partitionBy("_bucket").parquet(staged)
-    held = spark.read.schema(marked.schema).parquet(staged)
-    for b in missing:
-        held.where(F.col("_bucket") == b).drop("_bucket").write.mode("overwrite").parquet(f"{path}/bucket={b}")
-        fs.create(marks[b]).close()
-    fs.delete(hadoop(staged), True)
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    for at in range(0, len(missing), at_once or max(1, len(missing))):
+        wave = missing[at : at + (at_once or len(missing))]
+        own = rows.where(bucket.isin(wave))
+        made = (make(own) if make else own).withColumn("_bucket", bucket)
+        staged = f"{shared_dir(spark).rstrip('/')}/resumable-{uuid.uuid4().hex}"
+        made.write.partitionBy("_bucket").parquet(staged)
+        held = spark.read.schema(made.schema).parquet(staged)
+        for b in wave:
+            held.where(F.col("_bucket") == b).drop("_bucket").write.mode("overwrite").parquet(f"{path}/bucket={b}")
+            fs.create(marks[b]).close()
+        fs.delete(_files(spark, staged)[1], True)
     return missing
 
 

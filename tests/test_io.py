@@ -53,14 +53,17 @@ def test_resumable_writes(spark, tmp_path):
 
 def test_bundle_and_fetch(spark, tmp_path):
     df = spark.createDataFrame([("a", 1)], "entity_id string, x int")
-    io.write_bundle(df, df, str(tmp_path / "b"))
-    assert [t.count() for t in io.read_bundle(spark, str(tmp_path / "b"))] == [1, 1]
+    keys = spark.createDataFrame([("c", "k", "a")], "class string, key string, entity_id string")
+    assert not io.has_bundle(spark, str(tmp_path / "b"))
+    io.write_bundle(keys, df, str(tmp_path / "b"))
+    held = io.read_bundle(spark, str(tmp_path / "b"))
+    assert io.has_bundle(spark, str(tmp_path / "b")) and (held.keys.count(), held.payload.count()) == (1, 1)
 
     def fake(url, timeout):
         return {"final_url": url, "status_code": 200 if "ok" in url else None, "content_type": "text/html", "html": "<title>x</title>", "redirect_chain": [], "error": None if "ok" in url else "Timeout"}
 
-    _, one = io.read_bundle(spark, str(tmp_path / "b"), entity="a")
-    assert [tuple(r) for r in one.collect()] == [("a", 1)] and io.read_bundle(spark, str(tmp_path / "b"), entity="z")[1].count() == 0
+    one = io.read_bundle(spark, str(tmp_path / "b"), entity="a").payload
+    assert [tuple(r) for r in one.collect()] == [("a", 1)] and io.read_bundle(spark, str(tmp_path / "b"), entity="z").payload.count() == 0
     got = {r["url"]: (r["status_code"], r["error"]) for r in io.fetch_pages(spark.createDataFrame([("http://ok",), ("http://no",)], "url string"), fake).collect()}
     assert got == {"http://ok": (200, None), "http://no": (None, "Timeout")}
 
@@ -120,3 +123,111 @@ def test_arriving_records_meet_standing_keys(spark, tmp_path):
     stream = urls.arriving_candidates(urls.read_stream(spark, str(tmp_path / "in"), target.schema), keys)
     urls.write_stream(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     assert {(r["s1_id"], r["cand_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("S1-1", "S2-1")}
+
+
+def test_a_resumed_run_makes_only_what_is_missing(spark, tmp_path):
+    """The first run breaks off after a third of its buckets; rows are counted as they are made."""
+    df, path = spark.range(600).selectExpr("id", "concat('k', id % 300) AS key"), str(tmp_path / "r")
+    made = []
+
+    def make(part):
+        if len(made) == 2 and not broken:
+            broken.append(1)
+            raise RuntimeError("lost")
+        made.append(part.count())
+        return part.groupBy("key").agg(F.count("*").alias("n"))
+
+    broken: list = []
+    with pytest.raises(RuntimeError, match="lost"):
+        io.write_resumable(df, path, "key", 6, make, at_once=1)
+    first = sum(made)
+    assert len(made) == 2 and 0 < first < 400
+    assert io.write_resumable(df, path, "key", 6, make, at_once=3) == [2, 3, 4, 5]
+    assert sum(made) == 600 and len(made) == 4  # every row was made once over both runs
+    assert io.write_resumable(df, path, "key", 6, make) == [] and len(made) == 4
+    got = spark.read.parquet(path).select("key", "n").collect()
+    assert len(got) == 300 and {r["n"] for r in got} == {2}
+
+
+def test_bundle_is_joined_where_it_lies(spark, tmp_path):
+    """The same pairs with and without a bundle, and no exchange of either of its tables, in any session that opens it."""
+    from linkloom.plans import entities, flows
+
+    s1, s2, s3 = entities.sources(spark, "/root/testdata/sf0.001")
+    targets, path = s2.unionByName(s3), str(tmp_path / "bundle")
+    flows.write_targets(targets, path, buckets=4)
+    rows = lambda df: sorted(tuple(r) for r in df.select("s1_id", "cand_id", "cheap", "combined").collect())
+    plain = rows(flows.fast_pairs(s1, targets))
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan as it is made, before any stage has run
+    try:
+        for part in ("keys", "payload"):
+            spark.sql(f"DROP TABLE {io._table_of(f'{path}/{part}')}")  # as a new session would find it
+        held = flows.fast_pairs(s1, io.read_bundle(spark, path))
+        plan = held._jdf.queryExecution().executedPlan()
+        exchanges, todo = [], [plan]
+        while todo:
+            node = todo.pop()
+            if "Exchange" in node.nodeName():
+                exchanges.append(node.toString())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        bundled = [e for e in exchanges if "Bucketed: true" in e]
+        # What lies over the bundle's own scan without a join between is the bundle alone.
+        assert exchanges and "Bucketed: true" in plan.toString() and not [e for e in bundled if "Join" not in e]
+        assert plain == rows(held) and len(plain) > 100
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+
+
+def test_submission_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
+    """Lists of a run that broke off and went on are those of an unbroken one, and the second run compares the missing S1 alone."""
+    from linkloom.operators import models
+    from linkloom.plans import entities, flows
+
+    s1, s2, s3 = entities.sources(spark, "/root/testdata/sf0.001")
+    compared, flow = [], flows.fast_flow
+
+    class Name(models.Matcher):
+        def score(self, pairs):
+            return pairs.withColumn("score", F.col("combined"))
+
+    def counted(part, *rest):
+        if len(compared) == 1 and not broken:
+            broken.append(1)
+            raise RuntimeError("lost")
+        compared.append(part.count())
+        return flow(part, *rest)
+
+    broken: list = []
+    monkeypatch.setattr(flows, "fast_flow", counted)
+    run = lambda name: flows.submit(s1, s2.unionByName(s3), Name(), str(tmp_path / name), bundle=str(tmp_path / "targets"), buckets=3, at_once=1)
+    with pytest.raises(RuntimeError, match="lost"):
+        run("out")
+    assert run("out") == [1, 2] and sum(compared) == s1.count() and run("out") == []
+    broken.append(1)
+    assert run("whole") == [0, 1, 2]
+    lists = lambda name: sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / name / "buckets")).select("s1_id", "matched_entity_ids", "candidate_entity_ids").collect())
+    assert lists("out") == lists("whole") and len(lists("out")) == s1.count() and any(m for _, m, _ in lists("out"))
+
+
+def test_index_grows_over_files_and_restarts(spark, tmp_path):
+    """A key is closed by the posting beyond the cap, in one batch or over several, and stays closed; the log is written once."""
+    from linkloom.operators import blocking
+    from linkloom.functions.text import normalized_records
+    from linkloom.streaming import index
+
+    blockers = {"name_exact": blocking.exact_name, "name_compact": blocking.compact_name}
+    names = ["Hot Name"] * 5 + ["Warm Name"] * 3 + ["Cold Name"]
+    rows = [(f"S2-{i}", n, "1 Street", "US") for i, n in enumerate(names)]
+    schema, folder, path = io.text_schema(io.RECORD_COLUMNS), str(tmp_path / "in"), str(tmp_path / "index")
+    seen = []
+    for part in (rows[:2] + rows[5:7], rows[2:5], rows[7:] + [("S2-9", "Hot Name", "2 Street", "US")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        index.write_index(urls.read_stream(spark, folder, schema, per_batch=1), path, str(tmp_path / "at"), 3, blockers).awaitTermination()
+        seen.append(sorted(tuple(r) for r in index.read_index(spark, path).collect()))
+    every = spark.createDataFrame(rows + [("S2-9", "Hot Name", "2 Street", "US")], schema)
+    batch = blocking.pruned_keys(blocking.blocking_keys(normalized_records(every), blockers), 3).select("key", "entity_id", "blocker")
+    assert seen[2] == sorted(tuple(r) for r in batch.collect()) and {"exact_name#hot name"} & {k for k, *_ in seen[0]} and not {k for k, *_ in seen[1] if "hot" in k}
+    assert spark.read.parquet(path).where("closed").groupBy("key").count().where("count > 1").count() == 0
