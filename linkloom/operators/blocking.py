@@ -124,26 +124,40 @@ def pruned_keys(keys: DataFrame, max_postings: int = 500) -> DataFrame:
     return keys.join(crowded_keys(keys, max_postings), "key", "left_anti")
 
 
-def candidates(source_keys: DataFrame, target_keys: DataFrame, max_postings: int = 500, names: list[str] | None = None) -> DataFrame:
-    """Pairs (s1_id, cand_id, reasons) that share a key which the targets don't crowd; reasons are the targets' strategies.
-
-    Strategies travel as bits of a long (names: at most 63, by default the registered ones), which hash aggregation sums up in place.
-    """
-    names = sorted(names or BLOCKERS)
+def strategy_bits(names: list[str]) -> Column:
+    """The strategy of a key as a bit of a long (at most 63 of them)."""
     bit = F.lit(0).cast("long")
     for i, name in enumerate(names):
         bit = F.when(F.col("blocker") == name, F.lit(1 << i).cast("long")).otherwise(bit)
+    return bit
+
+
+def reasons_of(names: list[str]) -> Column:
+    """The names that the bits stand for."""
+    return F.array_compact(F.array(*(F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(name)) for i, name in enumerate(names)))).alias("reasons")
+
+
+def met(source_keys: DataFrame, target_keys: DataFrame, names: list[str], max_postings: int = 500) -> DataFrame:
+    """Pairs (s1_id, cand_id, bits) that share a key which the targets don't crowd; bits are the targets' strategies.
+
+    Ids may be of any type; of numbers, no string is in what the pairs' shuffle carries, and hash aggregation sums up bits in place.
+    """
     crowded = crowded_keys(target_keys, max_postings)
     left = source_keys.join(crowded, "key", "left_anti").select(F.col("entity_id").alias("s1_id"), "key").distinct()
-    right = target_keys.join(crowded, "key", "left_anti").groupBy("key", F.col("entity_id").alias("cand_id")).agg(F.bit_or(bit).alias("bits"))
-    met = left.join(right, "key").groupBy("s1_id", "cand_id").agg(F.bit_or("bits").alias("bits"))
-    each = F.array(*(F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(name)) for i, name in enumerate(names)))
-    return met.select("s1_id", "cand_id", F.array_compact(each).alias("reasons"))
+    right = target_keys.join(crowded, "key", "left_anti").groupBy("key", F.col("entity_id").alias("cand_id")).agg(F.bit_or(strategy_bits(names)).alias("bits"))
+    return left.join(right, "key").groupBy("s1_id", "cand_id").agg(F.bit_or("bits").alias("bits"))
+
+
+def candidates(source_keys: DataFrame, target_keys: DataFrame, max_postings: int = 500, names: list[str] | None = None) -> DataFrame:
+    """Pairs (s1_id, cand_id, reasons) that share a key which the targets don't crowd; reasons are the targets' strategies."""
+    names = sorted(names or BLOCKERS)
+    return met(source_keys, target_keys, names, max_postings).select("s1_id", "cand_id", reasons_of(names))
 
 
 def capped(pairs: DataFrame, most: int = 150) -> DataFrame:
-    """For each s1_id the candidates that most strategies found; ties by cand_id."""
-    rank = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.size("reasons").desc(), "cand_id"))
+    """For each s1_id the candidates that most strategies found (by reasons or bits); ties by cand_id."""
+    found = F.bit_count("bits") if "bits" in pairs.columns else F.size("reasons")
+    rank = F.row_number().over(Window.partitionBy("s1_id").orderBy(found.desc(), "cand_id"))
     return pairs.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
 

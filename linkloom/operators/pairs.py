@@ -107,6 +107,26 @@ def fast_codes(records: DataFrame) -> DataFrame:
     return records.withColumns({"name_code": code("fast_name"), "addr_code": code("fast_addr"), "word_codes": codes("name_words"), "gram_codes": codes("name_grams"), "addr_codes": codes("addr_words")})
 
 
+SIGNED = {"word_codes": 2, "gram_codes": 4, "addr_codes": 2}  # sets with signatures of so many longs
+SIGNS = ["name_code", "addr_code", "postal", "country_code", *(f"{name}_{k}" for name, lanes in SIGNED.items() for k in ("n", *range(lanes)))]
+
+
+def with_signatures(coded: DataFrame) -> DataFrame:
+    """Adds of each set of codes its size and a signature: every code sets one of its bits (SIGNS, with the scalars)."""
+    def lane(name: str, k: int, lanes: int) -> Column:
+        bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
+        own = F.filter(name, lambda c: F.pmod(F.call_function("shiftrightunsigned", c, F.lit(6)), F.lit(lanes)) == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(bit(c)))
+
+    signs = {f"{name}_{k}": lane(name, k, lanes) for name, lanes in SIGNED.items() for k in range(lanes)}
+    return coded.withColumns({f"{name}_n": F.size(name) for name in SIGNED} | signs)
+
+
+def _cheap(jaccard) -> Column:
+    equal = lambda name, none: flag((F.col(f"l_{name}") == F.col(f"r_{name}")) & (F.col(f"l_{name}") != none))
+    return equal("name_code", 0) + jaccard("word_codes") + jaccard("gram_codes") + equal("addr_code", 0) + 0.5 * jaccard("addr_codes") + 0.3 * equal("postal", 0) + 0.2 * equal("country_code", "")
+
+
 def cheap_score() -> Column:
     """A quick score to rank a record's candidates by, on the codes of words and n-grams (see fast_codes)."""
     def jaccard(name: str) -> Column:
@@ -114,8 +134,19 @@ def cheap_score() -> Column:
         both = F.size(F.array_intersect(left, right))
         return sim.ratio_or(both, F.size(left) + F.size(right) - both, 0.0)
 
-    equal = lambda name, none: flag((F.col(f"l_{name}") == F.col(f"r_{name}")) & (F.col(f"l_{name}") != none))
-    return equal("name_code", 0) + jaccard("word_codes") + jaccard("gram_codes") + equal("addr_code", 0) + 0.5 * jaccard("addr_codes") + 0.3 * equal("postal", 0) + 0.2 * equal("country_code", "")
+    return _cheap(jaccard)
+
+
+def cheap_bound() -> Column:
+    """Not less than the cheap score, from signatures: a bit that only one side has stands for a code that only it has."""
+    def jaccard(name: str) -> Column:
+        left, right = F.col(f"l_{name}_n"), F.col(f"r_{name}_n")
+        lanes = [(F.col(f"l_{name}_{k}"), F.col(f"r_{name}_{k}")) for k in range(SIGNED[name])]
+        alone = lambda sides: sum((F.bit_count(x.bitwiseAND(F.bitwise_not(y))) for x, y in sides), F.lit(0))
+        both = F.least(left - alone(lanes), right - alone([(y, x) for x, y in lanes]))
+        return sim.ratio_or(both, left + right - both, 0.0)
+
+    return _cheap(jaccard)
 
 
 def fast_features(pairs: DataFrame) -> DataFrame:

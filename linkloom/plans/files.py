@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame
@@ -166,12 +165,15 @@ def streamed_candidates(spark, d):
     return index.with_reasons(spark.read.parquet(met)).select("s1_id", "cand_id", *joined("reasons"))
 
 
-@query(f"SELECT unnest([{sql.quoted(text.COUNTRIES)}]) AS alias, unnest([{sql.quoted(text.COUNTRIES.values())}]) AS code")
+@query("SELECT r_name AS region, count(*) AS customers FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
 def json_map(spark, d):
-    """A side input of one JSON object."""
+    """Customers by region, through a side input of one JSON object that says each nation's."""
     path = _at(spark, "map")
-    spark.createDataFrame([(json.dumps(text.COUNTRIES),)], "value string").coalesce(1).write.text(path)
-    return spark.createDataFrame(sorted(io.read_json_map(spark, path).items()), "alias string, code string")
+    names = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    entries = F.sort_array(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), "r_name")))
+    names.agg(F.to_json(F.map_from_entries(entries)).alias("value")).coalesce(1).write.text(path)
+    regions = F.create_map(*(F.lit(x) for pair in sorted(io.read_json_map(spark, path).items()) for x in pair))
+    return table(spark, d, "customer").groupBy(F.try_element_at(regions, F.col("c_nationkey").cast("string")).alias("region")).agg(F.count("*").alias("customers"))
 
 
 @query(f"WITH {SOURCES_SQL},{sql.normalized('records')} SELECT entity_id, 'first_word' AS blocker, concat('first#', ({sql.words('name_norm')})[1]) AS key FROM norm WHERE len({sql.words('name_norm')}) > 0")

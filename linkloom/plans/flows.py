@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import fast_records, normalized_records
@@ -29,27 +29,49 @@ class LinkConfig:
     fast_matches: int = 10
 
 
+def _numbered_candidates(s1: DataFrame, targets: DataFrame, config: LinkConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(s1_id, cand_id, bits) by numbers, and both sides with entity_id and number. Targets' numbers ascend with their ids, so ties go as by id."""
+    number = F.monotonically_increasing_id()
+    left = spool(s1.withColumn("number", number), "left")
+    right = spool(targets.orderBy("entity_id").withColumn("number", number), "right")
+    keys = lambda df: blocking.blocking_keys(df.withColumn("entity_id", F.col("number")))
+    pairs = blocking.met(keys(left), spool(keys(right), "keys"), sorted(blocking.BLOCKERS), config.max_postings)
+    return spool(blocking.capped(pairs, config.max_candidates), "pairs"), left, right
+
+
+def _with_ids(cands: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    ids = lambda df, key: df.select(F.col("number").alias(key), F.col("entity_id").alias(f"_{key}"))
+    met = cands.join(ids(right, "cand_id"), "cand_id").join(ids(left, "s1_id"), "s1_id")
+    return met.select(F.col("_s1_id").alias("s1_id"), F.col("_cand_id").alias("cand_id"), blocking.reasons_of(sorted(blocking.BLOCKERS)))
+
+
 def rule_candidates(s1: DataFrame, targets: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
-    """(s1_id, cand_id, reasons) of normalised records."""
-    keys = spool(blocking.blocking_keys(targets), "keys")
-    return blocking.capped(blocking.candidates(blocking.blocking_keys(s1), keys, config.max_postings), config.max_candidates)
+    """(s1_id, cand_id, reasons) of normalised records, which should be written already: targets are sorted."""
+    return _with_ids(*_numbered_candidates(s1, targets, config))
+
+
+def rule_pairs(s1: DataFrame, targets: DataFrame, config: LinkConfig = LinkConfig()) -> tuple[DataFrame, DataFrame]:
+    """rule_candidates, and the same pairs (s1_id, cand_id) with both sides, which are joined by number."""
+    cands, left, right = _numbered_candidates(s1, targets, config)
+    by_number = lambda df: df.withColumns({"id": F.col("entity_id"), "entity_id": F.col("number")})
+    met = pairs.with_sides(cands.select("s1_id", "cand_id"), by_number(left), by_number(right), ["id", *pairs.SIDE])
+    return _with_ids(cands, left, right), met.drop("s1_id", "cand_id").withColumnsRenamed({"l_id": "s1_id", "r_id": "cand_id"})
 
 
 def rule_flow(s1: DataFrame, targets: DataFrame, config: LinkConfig = LinkConfig(), matcher: models.Matcher | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates, matches) of raw records: block, compare, score, select."""
-    left, right = spool(normalized_records(s1), "left"), spool(normalized_records(targets), "right")
-    cands = spool(rule_candidates(left, right, config), "pairs")
-    compared = pairs.pair_features(pairs.with_sides(cands.select("s1_id", "cand_id"), left, right, pairs.SIDE))
-    scored = (matcher or models.RuleMatcher()).score(compared).select("s1_id", "cand_id", "score")
+    left, right = spool(normalized_records(s1), "normalized"), spool(normalized_records(targets), "normalized")
+    cands, met = rule_pairs(left, right, config)
+    scored = (matcher or models.RuleMatcher()).score(pairs.pair_features(met)).select("s1_id", "cand_id", "score")
     return cands, selection.select_matches(scored, config.threshold, config.gap, config.max_matches)
 
 
-_PAYLOAD = ["id", *dict.fromkeys([*pairs.CODES, *pairs.FAST_SIDE])]
+_PAYLOAD = ["id", *dict.fromkeys([*pairs.CODES, *pairs.SIGNS, *pairs.FAST_SIDE])]
 
 
 def _numbered(records: DataFrame) -> DataFrame:
     """Raw records normalised and written once, with a number each in place of their id, which is kept as ``id``."""
-    coded = pairs.fast_codes(fast_records(records)).withColumnRenamed("entity_id", "id").withColumn("entity_id", F.monotonically_increasing_id())
+    coded = pairs.with_signatures(pairs.fast_codes(fast_records(records))).withColumnRenamed("entity_id", "id").withColumn("entity_id", F.monotonically_increasing_id())
     return spool(coded.select("entity_id", *_PAYLOAD, *(c for c in coded.columns if c not in _PAYLOAD and c != "entity_id")), "fast")
 
 
@@ -59,6 +81,29 @@ def write_targets(targets: DataFrame, path: str, buckets: int | None = None) ->
     write_bundle(spool(blocking.rare_fast_keys(spool(blocking.fast_keys(right), "fast-keys")), "rare-keys"), right.select("entity_id", *_PAYLOAD), path, buckets=buckets)
 
 
+BOUND_SLACK = 1e-8  # scores are rounded to nine digits
+
+
+def cheap_best(cands: DataFrame, left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """(s1_id, cand_id, _s1, _cand, cheap): of each s1_id's pairs of numbers the k best by the cheap score, ties by the candidate's own id.
+
+    Signatures bound every pair's score. The k likeliest of each record are scored exactly; what the least of them scores is a floor,
+    and of the other pairs only those whose bound reaches it are scored at all.
+    """
+    rank = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.col("bound").desc(), "cand_id"))
+    bounds = pairs.with_sides(cands, left, right, pairs.SIGNS).select("s1_id", "cand_id", pairs.cheap_bound().alias("bound"))
+    ranked = spool(bounds.withColumn("_rank", rank), "bounds")
+
+    def scored(some: DataFrame) -> DataFrame:
+        met = pairs.with_sides(some.select("s1_id", "cand_id"), left, right, ["id", *pairs.CODES])
+        return met.select("s1_id", "cand_id", F.col("l_id").alias("_s1"), F.col("r_id").alias("_cand"), F.round(pairs.cheap_score(), 9).alias("cheap"))
+
+    first = spool(scored(ranked.where(F.col("_rank") <= k)), "likeliest")
+    floors = first.groupBy("s1_id").agg(F.min("cheap").alias("floor"))  # of k pairs; a record with fewer has no others
+    others = ranked.where(F.col("_rank") > k).join(floors, "s1_id").where(F.col("bound") >= F.col("floor") - BOUND_SLACK)
+    return selection.top_k(first.unionByName(scored(others)), k, ["s1_id"], "cheap", ["_cand"])
+
+
 def fast_pairs(s1: DataFrame, targets: DataFrame | Bundle, config: LinkConfig = LinkConfig()) -> DataFrame:
     """Compared pairs of raw records by the fast set: candidates by capped keys, the best by the cheap score, their features.
 
@@ -71,9 +116,7 @@ def fast_pairs(s1: DataFrame, targets: DataFrame | Bundle, config: LinkConfig =
     else:
         right = _numbered(targets)
         cands = blocking.fast_candidates(blocking.fast_keys(left), spool(blocking.fast_keys(right), "fast-keys"))
-    sided = pairs.with_sides(cands, left, right, ["id", *pairs.CODES])
-    cheap = sided.select("s1_id", "cand_id", F.col("l_id").alias("_s1"), F.col("r_id").alias("_cand"), F.round(pairs.cheap_score(), 9).alias("cheap"))
-    best = selection.top_k(cheap, config.fast_candidates, ["s1_id"], "cheap", ["_cand"])
+    best = cheap_best(cands, left, right, config.fast_candidates)
     met = pairs.with_sides(best, left, right, pairs.FAST_SIDE).drop("s1_id", "cand_id").withColumnsRenamed({"_s1": "s1_id", "_cand": "cand_id"})
     return pairs.fast_features(met)
 
@@ -136,6 +179,11 @@ def expanded(p1: DataFrame, cands: DataFrame, queries: DataFrame, s1: DataFrame)
     return featured(both.join(new.select("src", "q_id", "s1_id", "n_keys"), ["src", "q_id", "s1_id"]), queries, s1)
 
 
+def _number_of(name: str):
+    """The digits at an id's end; of an id without any (or with too many), a number from its hash."""
+    return F.coalesce(F.regexp_extract(name, "([0-9]+)$", 1).try_cast("long"), F.pmod(F.xxhash64(name), F.lit(1_000_000_000)))
+
+
 def two_stage(s1: DataFrame, s2: DataFrame, s3: DataFrame, truth_pairs: DataFrame, rounds: int = models.ROUNDS) -> DataFrame:
     """All candidates (src, q_id, s1_id, p1, p2), trained and scored on the given records.
 
@@ -145,10 +193,10 @@ def two_stage(s1: DataFrame, s2: DataFrame, s3: DataFrame, truth_pairs: DataFram
     parents = prepared(s1).withColumn("s1_id", F.col("entity_id"))
     queries, parents = spool(queries, "queries"), spool(parents, "parents")
     cands = spool(featured(spool(block(queries, parents), "blocked"), queries, parents), "candidates")
-    number = F.regexp_extract("s1_id", "([0-9]+)$", 1).cast("long")
+    number = _number_of("s1_id")
     own = truth_pairs.select(F.col("s1_id"), F.col("cand_id").alias("q_id"), F.lit(1).alias("label"))
     val = sampling.validation_queries(cands, number, ["src", "q_id"]).withColumn("is_val", F.lit(True))
-    key = F.col("src").cast("long") * 1_000_000_000 + F.regexp_extract("q_id", "([0-9]+)$", 1).cast("long")
+    key = F.col("src").cast("long") * 1_000_000_000 + _number_of("q_id")
     marked = spool(cands.join(own, ["s1_id", "q_id"], "left").join(val, ["src", "q_id"], "left").fillna({"label": 0, "is_val": False}).withColumn("qhash", sampling.query_hash(key)), "marked")
     first = ["src", *CONTEXT, *FUZZY]
     fitted = models.stage1(marked, first, rounds)

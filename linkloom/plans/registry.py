@@ -247,7 +247,7 @@ def pruned_keys(spark, d):
 
 def _sides(spark, d):
     s1, s2, s3 = entities.sources(spark, d)
-    return spool(text.normalized_records(s1), "left"), spool(text.normalized_records(s2.unionByName(s3)), "right")
+    return spool(text.normalized_records(s1), "normalized"), spool(text.normalized_records(s2.unionByName(s3)), "normalized")
 
 
 @query(f"WITH {SOURCES_SQL},{sql.candidates()} SELECT s1_id, cand_id, array_to_string(reasons, ',') AS reasons FROM cands")
@@ -271,8 +271,7 @@ def candidate_lists(spark, d):
 
 
 def _native_pairs(spark, d):
-    left, right = _sides(spark, d)
-    return pairs.native_features(pairs.with_sides(flows.rule_candidates(left, right).select("s1_id", "cand_id"), left, right, pairs.SIDE))
+    return pairs.native_features(flows.rule_pairs(*_sides(spark, d))[1])
 
 
 def _round_sql(names, digits=6):

@@ -317,3 +317,28 @@ def test_prefix_of_a_query(spark):
     kept = lambda floor, floor_a: {r["term"]: (round(r["rest_n"], 3), round(r["rest_a"], 3)) for r in tfidf.prefixes(terms_of, spark.createDataFrame([(1, floor, floor_a)], "q long, floor double, floor_a double")).collect()}
     assert set(kept(0.04, 0.05)) == {11, 12, 13, 14} and set(kept(0.06, 0.9)) == {11, 12, 14}
     assert kept(0.6, 0.9) == {11: (0.4, 0.4)} and kept(0.6, 0.3) == {11: (0.4, 0.0), 14: (0.4, 0.0)} and kept(0.9, 0.9) == {}
+
+
+def test_bounds_leave_few_pairs_to_score(spark, monkeypatch):
+    """The bound is never below the score, the best are those of scoring every pair, and under a third of all pairs are scored."""
+    from linkloom.plans import entities
+
+    s1, s2, s3 = entities.sources(spark, "/root/testdata/sf0.01")
+    left, right = flows._numbered(s1), flows._numbered(s2.unionByName(s3))
+    cands = spool_of(blocking.fast_candidates(blocking.fast_keys(left), blocking.fast_keys(right)))
+    both = pairs.with_sides(cands, left, right, list(dict.fromkeys([*pairs.CODES, *pairs.SIGNS])))
+    assert both.where(pairs.cheap_bound() < pairs.cheap_score() - 1e-9).count() == 0 and both.where(pairs.cheap_bound() > pairs.cheap_score() + 1e-9).count() > 0
+    scored, with_sides = [], pairs.with_sides
+    monkeypatch.setattr(pairs, "with_sides", lambda some, l, r, columns, keep=None: scored.append(some.count() if "word_codes" in columns else 0) or with_sides(some, l, r, columns, keep))
+    k = 5
+    best = {(r["_s1"], r["_cand"], r["cheap"]) for r in flows.cheap_best(cands, left, right, k).collect()}
+    monkeypatch.undo()
+    every = pairs.with_sides(cands, left, right, ["id", *pairs.CODES]).select(F.col("s1_id"), F.col("l_id").alias("_s1"), F.col("r_id").alias("_cand"), F.round(pairs.cheap_score(), 9).alias("cheap"))
+    assert best == {(r["_s1"], r["_cand"], r["cheap"]) for r in selection.top_k(every, k, ["s1_id"], "cheap", ["_cand"]).collect()}
+    assert 0 < sum(scored) < cands.count() / 3
+
+
+def spool_of(df):
+    from linkloom.sources.shared import spool
+
+    return spool(df, "test")
