@@ -23,10 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def spool(df: DataFrame, name: str) -> DataFrame:
+def spool(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cuts the lineage of what several later steps read."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _written.append(path)
     return df.sparkSession.read.parquet(path)
 
