@@ -165,6 +165,18 @@ def _ip(form: str, key: bytes, tweak: str) -> str:
     return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
 
 
+AREAS = [a for a in range(1, 900) if a != 666]  # what a social security number may begin with
+
+
+def _ssn(form: str, key: bytes, tweak: str) -> str:
+    """Another valid number: a permutation of areas, groups of 1 to 99 and serials of 1 to 9999."""
+    area, group, serial = int(form[:3]), int(form[3:5]), int(form[5:])
+    x = permute((AREAS.index(area) * 99 + group - 1) * 9999 + serial - 1, len(AREAS) * 99 * 9999, key, tweak)
+    x, serial = divmod(x, 9999)
+    area, group = divmod(x, 99)
+    return f"{AREAS[area]:03d}{group + 1:02d}{serial + 1:04d}"
+
+
 def _iban(form: str, key: bytes, tweak: str) -> str:
     body = reshape(form[4:], key, tweak + form[:2])
     value = int("".join(str(int(c, 36)) for c in body + form[:2] + "00"))
@@ -223,6 +235,8 @@ def surrogate(kind: str, form: str, tries: int = 0, gender: str = "", key: bytes
         return _ip(form, key, tweak)
     if kind == "iban":
         return _iban(form, key, tweak)
+    if kind == "ssn" and len(form) == 9:
+        return _ssn(form, key, tweak)
     if kind == "access_key":
         return form[:4] + reshape(form[4:], key, tweak)
     if kind in ("given", "surname"):
@@ -250,8 +264,11 @@ def render(span: Span, form: str) -> str:
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")
 PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\d{1,4}(?:[ .-]\d{2,4}){2,4}|\d{8,12})|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w])")
+#: Digits without separators are a card only with a right check digit.
 CARD = re.compile(r"(?<![\w.-])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}([ -]?)\d{6}\2\d{5}|\d{13,19})(?![\w]|[.-]\d)")
 IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")
+#: What stands before four numbers that are no address.
+VERSION = re.compile(r"(?i)\b(?:v|ver|version|release|build|firmware|section|§)[ .:#]{0,3}\Z")
 SSN = re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 ACCESS = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")
@@ -277,21 +294,37 @@ NAME_WORD = re.compile(rf"(?<!\w)(?:{CAP}|{CASELESS})(?!\w)")
 
 
 def _names(text: str) -> list[Span]:
-    """Names after a title or introduction, then the other places where their parts stand as whole words of the text."""
-    found: list[Span] = []
-    parts_of: dict[str, tuple[str, str]] = {}
+    """Names after a title or introduction, then the other places where their parts stand as whole words of the text.
+
+    A part is of one kind in the whole text, wherever it stands: what it is in a name of several parts counts first, then that
+    somebody introduces himself by it alone; alone after a title it is a surname.
+    """
+    named: list[tuple[list[tuple[int, str]], str, bool]] = []
     for m in NAME.finditer(text):
-        gender = GENDER.get(m[1] or "", "")
         parts = [(x.start() + m.start(2), x[0]) for x in re.finditer(r"[^\s·-]+", m[2])]
-        kinds = ["given"] if len(parts) == 1 and m[1] is None else ["given"] * (len(parts) - 1) + ["surname"]
-        for (at, word), kind in zip(parts, kinds, strict=True):
+        named.append((parts, GENDER.get(m[1] or "", ""), m[1] is None))
+    kind_of: dict[str, str] = {}
+    for parts, _, _ in named:
+        if len(parts) > 1:
+            for k, (_, word) in enumerate(parts):
+                kind_of.setdefault(word.lower(), "surname" if k == len(parts) - 1 else "given")
+    for lone, kind in ((True, "given"), (False, "surname")):
+        for parts, _, introduced in named:
+            if len(parts) == 1 and introduced is lone:
+                kind_of.setdefault(parts[0][1].lower(), kind)
+    found: list[Span] = []
+    spellings: dict[str, str] = {}
+    for parts, gender, _ in named:
+        for at, word in parts:
+            kind = kind_of[word.lower()]
             found.append(Span(at, at + len(word), kind, word.lower(), word, gender if kind == "given" else ""))
             for spelt in (word, word.upper(), word.capitalize()):
-                parts_of.setdefault(spelt, (kind, word.lower()))
-    if parts_of:
+                spellings.setdefault(spelt, word.lower())
+    if spellings:
         for m in NAME_WORD.finditer(text):
-            if m[0] in parts_of:
-                found.append(Span(m.start(), m.end(), *parts_of[m[0]], m[0]))
+            if m[0] in spellings:
+                form = spellings[m[0]]
+                found.append(Span(m.start(), m.end(), kind_of[form], form, m[0]))
     return found
 
 
@@ -308,9 +341,12 @@ def find(text: str) -> list[Span]:
             add("email", m, m[0].lower())
     if HAS_DIGIT.search(text):
         for m in IP.finditer(text) if "." in text else ():
-            add("ip", m, ".".join(str(int(x)) for x in m[0].split(".")))
+            if not VERSION.search(text, max(0, m.start() - 16), m.start()):
+                add("ip", m, ".".join(str(int(x)) for x in m[0].split(".")))
         for m in CARD.finditer(text):
-            add("card", m, re.sub(r"\D", "", m[0]))
+            digits = re.sub(r"\D", "", m[0])
+            if len(digits) < len(m[0]) or luhn_digit(digits[:-1]) == int(digits[-1]):
+                add("card", m, digits)
         for m in PHONE.finditer(text):
             digits = re.sub(r"\D", "", m[0])
             # With the country code 1 or without it a number is the same.

@@ -193,3 +193,25 @@ def test_long_secrets_go_whole():
     assert pii.surrogate("secret", same + "ab")[-2:] != "ab" and len({pii.surrogate("secret", same + c) for c in "abcdefgh"}) == 8
     letters = "password-and-token=" + "a" * 200_000  # no digit: looked through once
     assert pii.find("token: " + "a" * 200_000) == [] and pii.find(letters) == []
+
+
+def test_every_ssn_surrogate_is_valid_and_distinct():
+    forms = [f"{a:03d}{g:02d}{n:04d}" for a in (1, 5, 665, 667, 899) for g in (1, 9, 50, 99) for n in range(1, 100)]
+    got = [pii.surrogate("ssn", f) for f in forms]
+    assert len(set(got)) == len(forms)
+    assert all(pii.SSN.fullmatch(f"{s[:3]}-{s[3:5]}-{s[5:]}") for s in got)
+
+
+def test_digits_and_versions_that_are_no_entities():
+    assert pii.find("order 1234567890123 and 9807915762804490") == []
+    assert [s.text for s in pii.find("cards 4111111111111111, 4111 1111 1111 1112")] == ["4111111111111111", "4111 1111 1111 1112"]
+    for text in ("version 1.2.3.4", "v1.2.3.4", "Release: 10.0.0.1", "see section 4.3.2.1"):
+        assert pii.find(text) == [], text
+    assert [s.text for s in pii.find("host 1.2.3.4, conversion 5.6.7.8")] == ["1.2.3.4", "5.6.7.8"]
+
+
+def test_a_part_of_a_name_is_one_person_wherever_it_stands():
+    kinds = lambda text: {(s.kind, s.form) for s in pii.find(text)}
+    assert kinds("Mrs Anna Smith met Miss Anna and Mr Smith. Anna left.") == {("given", "anna"), ("surname", "smith")}
+    assert kinds("Dr Maria came in. She said: my name is Maria") == {("given", "maria")}
+    assert kinds("Dr Jones came") == {("surname", "jones")}
