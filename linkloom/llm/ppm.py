@@ -20,7 +20,7 @@ scored whole. Words of more than 64 bytes are looked up by their SHA-256.
 from __future__ import annotations
 
 import hashlib
-import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
-from linkloom.llm.common import cut, join_hot, prepare, rows_in, spool
+from linkloom.llm.common import join_hot, prepare, spool
 
 ORDER = 5
 BITS = 9  # a symbol: 0 before a text, a byte plus one, the end
 END = 257
 SYMBOLS = 257  # what can follow a context
 SHARED = 3  # windows with the same so many symbols before their last are solved in one task
-RUN_CHARS, BLOCK_CHARS = 1_000_000, 32_000_000
+RUN_CHARS, RUN_DOCS, BLOCK_CHARS = 500_000, 1 << 10, 32_000_000
 MOST_CODES, PIECE = 6_000_000, 500_000  # distinct windows at which a block ends; windows in a row that is written
 GROUP_CODES = 500_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LONGEST = 64
+DOC_BITS = 10  # six symbols leave so many bits of a long for the number of a document in its run
 
 
 def last(codes, n: int):
@@ -70,12 +70,17 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(text: bytes) -> list[bytes]:
-    found = WORD.findall(text)
-    if len(text) > LONGEST and any(len(w) > LONGEST for w in found):
+    found = text.split()  # at the six characters that end a word
+    if len(text) > LONGEST and max(map(len, found), default=0) > LONGEST:
         found = [w if len(w) <= LONGEST else b" " + hashlib.sha256(w).digest() for w in found]
     return found
 
 
+def _first_of_runs(keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal keys begin, of sorted keys."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
 class Tally:
     """Distinct windows with counts, from many runs."""
 
@@ -84,17 +89,22 @@ class Tally:
         self.parts: list = []
         self.waiting = 0
 
-    def add(self, codes: np.ndarray, learned: np.ndarray) -> None:
-        keys, place = np.unique(codes, return_inverse=True)
-        self.parts.append((keys, np.bincount(place, weights=learned, minlength=len(keys)).astype(np.int64)))
+    def add(self, codes: np.ndarray, times: int) -> None:
+        """Windows that count so many times each: once, or not at all."""
+        keys, counts = np.unique(codes, return_counts=True)
+        self.parts.append((keys, counts * times))
         self.waiting += len(keys)
         if self.waiting > max(1_000_000, len(self.codes)):
             self.merge()
 
     def merge(self) -> None:
         parts = [(self.codes, self.counts), *self.parts]
-        keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        self.codes, self.counts = keys, np.bincount(place, weights=np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
+        keys = np.concatenate([k for k, _ in parts])
+        order = np.argsort(keys, kind="stable")  # which merges what is sorted already
+        keys = keys[order]
+        first = _first_of_runs(keys)
+        counts = np.concatenate([c for _, c in parts])[order]
+        self.codes, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
         self.parts, self.waiting = [], 0
 
 
@@ -108,17 +118,18 @@ def blocks(docs: DataFrame, learned) -> DataFrame:
 
     class Block:
         def __init__(self, number: int):
-            self.number, self.tally, self.words, self.size, self.runs = number, Tally(), {}, 0, 0
+            self.number, self.tally, self.words, self.others, self.size, self.runs = number, Tally(), Counter(), set(), 0, 0
 
         def run(self, ids: list, texts: list[bytes], learn: list[bool]) -> pa.RecordBatch:
             codes, sizes = windows(texts)
-            self.tally.add(codes, np.repeat(np.array(learn, np.int64), sizes))
-            n_tokens, words = [], self.words
+            learned = np.repeat(np.array(learn, bool), sizes)
+            self.tally.add(codes[learned], 1)
+            self.tally.add(codes[~learned], 0)
+            n_tokens = []
             for text, own in zip(texts, learn, strict=True):
-                found = words_of(text)
-                n_tokens.append(len(found) + 1)
-                for w in [*found, b""]:
-                    words[w] = words.get(w, 0) + own
+                found = [*words_of(text), b""]
+                n_tokens.append(len(found))
+                (self.words if own else self.others).update(found)
             packed = zstandard.ZstdCompressor(level=3).compress(b"\xff".join(texts))  # no byte of UTF-8 is 0xFF
             n, kind = len(texts), ids[0].type
             columns = [
@@ -133,7 +144,7 @@ def blocks(docs: DataFrame, learned) -> DataFrame:
         def pieces(self):
             self.tally.merge()
             codes, counts = self.tally.codes, self.tally.counts
-            words = sorted(self.words.items())
+            words = sorted(({**self.words, **dict.fromkeys(self.others - self.words.keys(), 0)}).items())
             for at in range(0, max(len(codes), len(words)), PIECE):
                 own = words[at : at + PIECE]
                 c = codes[at : at + PIECE]
@@ -149,7 +160,7 @@ def blocks(docs: DataFrame, learned) -> DataFrame:
                 texts.append((text.as_py() or "").encode().translate(LOWER))
                 learn.append(own.as_py())
                 size += len(texts[-1])
-                if size >= RUN_CHARS:
+                if size >= RUN_CHARS or len(texts) == RUN_DOCS:
                     yield block.run([*ids, batch.column("doc_id").slice(begin, k + 1 - begin)], texts, learn)
                     ids, texts, learn, size, begin = [], [], [], 0, k + 1
                     if block.size >= BLOCK_CHARS or len(block.tally.codes) >= MOST_CODES:
@@ -162,7 +173,7 @@ def blocks(docs: DataFrame, learned) -> DataFrame:
             yield from block.pieces()
 
     rows = docs.select("doc_id", "text", learned.alias("learned"))
-    return spool(rows.mapInArrow(run, schema), "ppm-blocks")
+    return spool(rows.mapInArrow(run, schema), "ppm-blocks", "zstd")
 
 
 def asked(written: DataFrame) -> DataFrame:
@@ -242,12 +253,12 @@ def probabilities(counts: DataFrame) -> DataFrame:
     """code, logp of every window of counts (code, n)."""
     spark = counts.sparkSession
     seen = counts.where("n > 0")
-    three = cut(seen.groupBy(last(F.col("code"), 3).alias("gram")).agg(F.sum("n").alias("n")))  # at most 257^3 rows
+    three = spool(seen.groupBy(last(F.col("code"), 3).alias("gram")).agg(F.sum("n").alias("n")), "ppm-three")  # at most 257^3 rows
     pairs = three.groupBy(last(F.col("gram"), 2).alias("gram")).agg(F.sum("n").alias("n")).collect()  # at most 258 * 257 rows
     two = sorted((r["gram"], r["n"]) for r in pairs)
     two = (np.array([g for g, _ in two], np.int64), np.array([n for _, n in two], np.int64))
     low = spark.sparkContext.broadcast([shorter(*two, 1), two])
-    groups = max(1, -(-rows_in(counts) // GROUP_CODES))
+    groups = max(1, -(-counts.count() // GROUP_CODES))
     middle = last(F.shiftright("code", BITS), SHARED)
     dealt = counts.select(F.pmod(F.xxhash64(middle), F.lit(groups)).cast("int").alias("deal"), "code", "n")
     needs = dealt.select("deal", last(F.shiftright("code", BITS), 2).alias("context")).distinct()
@@ -274,12 +285,12 @@ def score(docs: DataFrame, learned) -> DataFrame:
     """
     written = blocks(docs, learned)
     windows_asked, words_asked = asked(written), asked_words(written)
-    counts = cut(windows_asked.groupBy("code").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")))
-    words = cut(words_asked.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")))
+    counts = spool(windows_asked.groupBy("code").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")), "ppm-windows", "zstd")
+    words = spool(words_asked.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")), "ppm-words", "zstd")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     n_train, least = int(total["n"]), float(int(total["n"]) + int(total["v"]) + 1)
     logp = probabilities(counts.select("code", "n")).join(counts.select("code", "blocks"), "code")
-    found = join_hot(windows_asked.select("block", "code"), cut(logp), ["code"], "blocks").select("block", "code", F.lit(None).cast("binary").alias("word"), F.col("logp").alias("value"))
+    found = join_hot(windows_asked.select("block", "code"), spool(logp, "ppm-logp", "zstd"), ["code"], "blocks").select("block", "code", F.lit(None).cast("binary").alias("word"), F.col("logp").alias("value"))
     heard = join_hot(words_asked.select("block", "word"), words, ["word"], "blocks").select("block", F.lit(None).cast("long").alias("code"), "word", F.col("n").cast("double").alias("value"))
     out = ["doc_id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = written.select("doc_id", "learned").schema
@@ -292,23 +303,28 @@ def score(docs: DataFrame, learned) -> DataFrame:
         order = np.argsort(codes)
         codes, logs = codes[order], logs[order]
         own = right.filter(pa.array(is_word))
-        times = dict(zip(own.column("word").to_pylist(), own.column("value").to_pylist(), strict=True))
-        unknown = {w for w, n in times.items() if not n}
-        base = {w: float(v) for w, v in zip(times, np.log10((np.array(list(times.values())) + 1) / least), strict=True)}
+        del right
+        words_here, times = own.column("word").to_pylist(), own.column("value").to_numpy()
+        unknown = {words_here[i] for i in np.flatnonzero(times == 0).tolist()}
+        base = dict(zip(words_here, np.log10((times + 1) / least).tolist(), strict=True))
+        del own, words_here
         left = left.sort_by([("run", "ascending"), ("pos", "ascending")])
         known, bases, scores = [], [], []
         for packed in left.column("texts"):
             if not packed.is_valid:
                 continue
             texts = zstandard.ZstdDecompressor().decompress(packed.as_py()).split(b"\xff")
-            windows_here, sizes = windows(texts)
-            order = np.argsort(windows_here)
-            value = np.empty(len(windows_here))
-            value[order] = logs[np.searchsorted(codes, windows_here[order])]
-            scores += np.add.reduceat(value, np.cumsum(sizes) - sizes).tolist()
+            here, sizes = windows(texts)
+            # Sorted with their documents' numbers in the low bits, so that each distinct window is looked up once.
+            here = np.sort(here.astype(np.uint64) << np.uint64(DOC_BITS) | np.repeat(np.arange(len(texts), dtype=np.uint64), sizes))
+            whose = (here & np.uint64((1 << DOC_BITS) - 1)).astype(np.int64)
+            here = (here >> np.uint64(DOC_BITS)).astype(np.int64)
+            first = _first_of_runs(here)
+            value = np.repeat(logs[np.searchsorted(codes, here[first])], np.diff(np.append(first, len(here))))
+            scores += np.bincount(whose, weights=value, minlength=len(texts)).tolist()
             for text in texts:
                 found_words = [*words_of(text), b""]
-                known.append(len(found_words) - (sum(w in unknown for w in found_words) if unknown else 0))
+                known.append(len(found_words) - (sum(map(unknown.__contains__, found_words)) if unknown else 0))
                 bases.append(sum(map(base.__getitem__, found_words)))
         given = {"n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n_train] * len(known), pa.int64()), "base_score": pa.array(bases, pa.float64()), "score": pa.array(scores, pa.float64())}
         return pa.table({name: given[name] if name in given else left.column(name) for name in out})

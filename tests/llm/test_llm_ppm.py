@@ -89,7 +89,7 @@ def test_scores_against_a_trie(spark):
 
 
 def test_small_blocks_and_groups_give_the_same(spark, monkeypatch):
-    for name, value in (("RUN_CHARS", 50), ("BLOCK_CHARS", 200), ("PIECE", 7), ("GROUP_CODES", 40)):
+    for name, value in (("RUN_CHARS", 50), ("RUN_DOCS", 3), ("BLOCK_CHARS", 200), ("PIECE", 7), ("GROUP_CODES", 40)):
         monkeypatch.setattr(ppm, name, value)
     compare(spark, awkward())
 
