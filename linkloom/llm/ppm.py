@@ -335,3 +335,47 @@ def score(docs: DataFrame, learned) -> DataFrame:
 
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
+
+
+def oracle() -> str:
+    """DuckDB SQL for the query: counts of windows of every length, then each distinct window's way down the contexts."""
+    crc = "list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, len(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT))), lambda c, b: list_reduce(list_concat([xor(c, b)], CAST(range(8) AS BIGINT[])), lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))"
+    mask = lambda n: (1 << BITS * n) - 1
+    top = ORDER
+    symbols = " | ".join(f"(coalesce(lag(s, {k}) OVER w, 0) << {BITS * k})" for k in range(1, top + 1))
+    tables = [f"g{top} AS MATERIALIZED (SELECT code AS g, count(*) AS n FROM windows WHERE NOT held GROUP BY 1)"]
+    tables += [f"g{j} AS MATERIALIZED (SELECT g & {mask(j + 1)} AS g, CAST(sum(n) AS BIGINT) AS n FROM g{j + 1} GROUP BY 1)" for j in range(top - 1, -1, -1)]
+    tables += [f"c{j} AS MATERIALIZED (SELECT g >> {BITS} AS c, CAST(sum(n) AS DOUBLE) AS t, CAST(count(*) AS DOUBLE) AS q FROM g{j} GROUP BY 1)" for j in range(top + 1)]
+    for j in range(1, top + 1):
+        gone = f"SELECT a.g >> {BITS} AS c, sum(b.n) AS gone FROM g{j} a JOIN g{j - 1} b ON b.g = a.g & {mask(j)} GROUP BY 1"
+        tables.append(f"x{j} AS MATERIALIZED (SELECT o.c, u.t - e.gone AS t, u.q - o.q AS q FROM c{j} o JOIN ({gone}) e USING (c) JOIN c{j - 1} u ON u.c = o.c & {mask(j - 1)})")
+    joins, columns = [], []
+    for j in range(top, -1, -1):
+        joins.append(f"LEFT JOIN g{j} ON g{j}.g = d.code & {mask(j + 1)} LEFT JOIN c{j} ON c{j}.c = (d.code >> {BITS}) & {mask(j)}")
+        if j:
+            joins.append(f"LEFT JOIN x{j} ON x{j}.c = (d.code >> {BITS}) & {mask(j)}")
+        t, q = ((f"coalesce(x{j + 1}.{v}, c{j}.{v}, 0)" for v in "tq") if j < top else (f"coalesce(c{j}.{v}, 0)" for v in "tq"))
+        columns += [f"g{j}.n AS n{j}", f"{t} AS t{j}", f"{q} AS q{j}"]
+    way = f"-log10({SYMBOLS} - (SELECT count(*) FROM g0))"
+    for j in range(top + 1):
+        way = f"CASE WHEN n{j} IS NOT NULL THEN log10(n{j} / (t{j} + q{j})) ELSE CASE WHEN q{j} > 0 THEN log10(q{j} / (t{j} + q{j})) ELSE 0 END + {way} END"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    nl = ",\n"
+    return f"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') AS text, coalesce(CAST(doc_id AS VARCHAR), '') AS k FROM documents),
+marked AS MATERIALIZED (SELECT r, doc_id, text, doc_id IS NOT NULL AND xor({crc}, 4294967295) % 7 = 2 AS held FROM docs),
+signs AS (SELECT r, held, list_concat(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT) + 1), [CAST({END} AS BIGINT)]) AS own FROM marked),
+placed AS (SELECT r, held, unnest(own) AS s, unnest(range(len(own))) AS p FROM signs),
+windows AS MATERIALIZED (SELECT r, held, s | {symbols} AS code FROM placed WINDOW w AS (PARTITION BY r ORDER BY p)),
+{nl.join(tables)},
+looked AS (SELECT d.code, {', '.join(columns)} FROM (SELECT DISTINCT code FROM windows) d {' '.join(joins)}),
+logs AS MATERIALIZED (SELECT code, {way} AS lp FROM looked),
+scores AS (SELECT r, sum(lp) AS score FROM windows JOIN logs USING (code) GROUP BY r),
+tokens AS MATERIALIZED (SELECT r, held, unnest(list_concat(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), [''])) AS w FROM marked),
+seen AS MATERIALIZED (SELECT w, count(*) AS c FROM tokens WHERE NOT held GROUP BY w),
+total AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM seen),
+bases AS (
+  SELECT r, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1) / CAST(n + v + 1 AS DOUBLE))) AS base_score
+  FROM tokens LEFT JOIN seen USING (w), total GROUP BY r)
+SELECT doc_id, held AS held_out, n_tokens, n_known, n AS train_tokens, base_score, score FROM marked JOIN scores USING (r) JOIN bases USING (r), total"""

@@ -111,6 +111,7 @@ ORACLES: dict[str, str] = {
     "op1_nearest": OP1_SQL,
     "op6_mixture": mixing.oracle(),
     "op7_urls": urlfilter.oracle(),
+    "op11_ppm": ppm.oracle(),
     "op12_conversations": conversations.oracle(),
     "op8_revisits": warc.oracle(urlfilter.CANONICAL_SQL),
 }

@@ -125,3 +125,8 @@ def test_query_against_a_trie_on_the_smallest_table(spark):
     got = {r["doc_id"]: tuple(r)[1:] for r in queries.QUERIES["op11_ppm"](spark, "/root/testdata/sf0.001").collect()}
     for d, t in docs:
         assert got[d][:4] == known[d, t][:4] and got[d][4:] == pytest.approx(known[d, t][4:], rel=1e-9)
+
+
+def test_query_equals_its_sql(oracle_rows):
+    got, wanted = oracle_rows(queries.QUERIES["op11_ppm"], queries.ORACLES["op11_ppm"])
+    assert got == wanted and len(got[1]) == 200
