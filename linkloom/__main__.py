@@ -7,6 +7,8 @@ evaluate TRUTH MATCHES [--scope]           macro precision, recall, F0.5
 validate MATCHES S1 [--candidates FILE] [--records FILE...]   one line for each rule that finds something
 train S1 S2 S3 TRUTH MODEL                 fits the fast flow's model and tells its best threshold
 submit S1 S2 S3 MODEL OUT_DIR [--threshold --gap --max-matches --bundle DIR]   the fast flow by a saved model; encoded targets are written once, a run that broke off goes on where it was
+diagnose S1 S2 S3 TRUTH                    how many true pairs each class of keys covers, and pairs that none does
+honest S1 S2 S3 TRUTH [--thresholds T...]  scores of the fast flow on records its model hasn't seen
 sweep S1 S2 S3 MODEL TRUTH                 macro F0.5 of the fast flow's best candidates by threshold
 predict S1 S2 S3 TRUTH OUT_DIR             the two-stage flow, trained on the truth
 urls URLS OUT_DIR [--model DIR]            a line of JSON for each URL of a text file
@@ -126,6 +128,23 @@ def sweep(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def diagnose(spark: SparkSession, a: argparse.Namespace) -> int:
+    s1, targets = _sides(spark, a)
+    by_class, missed = flows.diagnose_keys(s1, targets, io.truth_pairs(io.read_truth(spark, a.truth)))
+    for row in by_class.orderBy(F.desc("covered"), "class").collect():
+        _show(row)
+    missed = spool(missed, "missed")
+    print(json.dumps({"uncovered": missed.count(), "examples": [list(r) for r in missed.orderBy("s1_id", "cand_id").limit(8).collect()]}))
+    return 0
+
+
+def honest(spark: SparkSession, a: argparse.Namespace) -> int:
+    s1, targets = _sides(spark, a)
+    for threshold, row in flows.honest_evaluation(s1, targets, io.read_truth(spark, a.truth), a.thresholds):
+        print(json.dumps({"threshold": threshold} | row.asDict()))
+    return 0
+
+
 def predict(spark: SparkSession, a: argparse.Namespace) -> int:
     known = lambda path: io.read_records(spark, path).withColumn("country", normalize_country(F.col("country")))
     s1 = known(a.s1)
@@ -179,6 +198,8 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--max-matches", type=int, default=flows.LinkConfig.fast_matches)
     p.add_argument("--bundle")
     command(sweep, "s1", "s2", "s3", "model", "truth")
+    command(diagnose, "s1", "s2", "s3", "truth")
+    command(honest, "s1", "s2", "s3", "truth").add_argument("--thresholds", type=float, nargs="+", default=[0.35, 0.45, 0.55, 0.65])
     command(predict, "s1", "s2", "s3", "truth", "out")
     command(urls, "urls", "out").add_argument("--model")
     p = command(serve)

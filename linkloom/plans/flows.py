@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import fast_records, normalized_records
 from linkloom.functions.translit import prepared
 from linkloom.operators import blocking, evaluation, models, pairs, sampling, selection, siblings, tfidf
-from linkloom.sources.io import CANDIDATE_HEADER, MATCH_HEADER, Bundle, has_bundle, id_lists, read_bundle, write_bundle, write_resumable
+from linkloom.sources.io import CANDIDATE_HEADER, MATCH_HEADER, Bundle, has_bundle, id_lists, read_bundle, truth_pairs, write_bundle, write_resumable
 from linkloom.sources.shared import spool
 
 
@@ -133,6 +133,28 @@ def fast_flow(s1: DataFrame, targets: DataFrame | Bundle, model: models.Matcher,
     return compared.select("s1_id", "cand_id"), fast_matches(compared, model, config)
 
 
+def diagnose_keys(s1: DataFrame, targets: DataFrame, truth_pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of raw records and their true pairs: (class, covered, coverage) by class of fast keys, and the pairs (s1_id, cand_id) that share no key."""
+    left, right = spool(blocking.fast_keys(fast_records(s1)), "fast-keys"), spool(blocking.fast_keys(fast_records(targets)), "fast-keys")
+    shared = truth_pairs.join(left.withColumnRenamed("entity_id", "s1_id"), "s1_id").join(right.withColumnRenamed("entity_id", "cand_id"), ["cand_id", "class", "key"])
+    return blocking.key_coverage(left, right, truth_pairs), evaluation.missed_pairs(truth_pairs, shared.select("s1_id", "cand_id"))
+
+
+def honest_evaluation(s1: DataFrame, targets: DataFrame, truth: DataFrame, thresholds: list[float], every: int = 10, config: LinkConfig = LinkConfig()) -> list[tuple[float, Row]]:
+    """(threshold, scores) of the fast flow on S1 records that the model has never seen, one of ``every`` by the hash of its id.
+
+    The model learns from the others, without the targets that belong to held-out records; those are compared with all targets.
+    """
+    out = lambda key: sampling.nth_split(F.pmod(F.xxhash64(key), F.lit(1 << 31)), every)
+    held, own = truth.where(out("s1_id")), truth.where(~out("s1_id"))
+    theirs = truth_pairs(held).select(F.col("cand_id").alias("entity_id")).distinct()
+    learned = spool(fast_pairs(s1.where(~out("entity_id")), targets.join(theirs, "entity_id", "left_anti"), config), "compared")
+    model = fit_fast_model(learned, truth_pairs(own))
+    scored = spool(model.score(fast_pairs(s1.where(out("entity_id")), targets, config)).select("s1_id", "cand_id", "score"), "scored")
+    found = lambda t: selection.select_matches(scored, t, config.fast_gap, config.fast_matches)
+    return [(t, evaluate(found(t), held).first()) for t in thresholds]
+
+
 def fit_fast_model(compared: DataFrame, truth_pairs: DataFrame) -> models.StumpModel:
     """Boosted stumps from labelled, sampled pairs."""
     labelled = sampling.labelled(compared, truth_pairs)

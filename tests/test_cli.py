@@ -54,6 +54,23 @@ def test_trained_flow_over_files(spark, tmp_path, capsys):
     assert len(capsys.readouterr().out.splitlines()) == 19
 
 
+def test_diagnosis_and_honest_evaluation(spark, tmp_path, capsys):
+    """Targets of held-out records are never learned from; a pair without a common key is told."""
+    p = lambda name: str(tmp_path / name)
+    full = [f"{a} {b}" for a in ("Blue", "Green", "Red", "Old", "New") for b in ("Star", "Field", "Rock", "Mill", "Bridge", "Tower")]
+    (tmp_path / "s1.tsv").write_text(HEAD + "".join(f"S1-{i}\t{n} Corporation\t{i} Main Street\tUS\n" for i, n in enumerate(full)))
+    (tmp_path / "s2.tsv").write_text(HEAD + "".join(f"S2-{i}\t{n.upper()} Corp\t{i} Main St\tUSA\n" for i, n in enumerate(full) if i) + "S2-0\tZyx\tFar\tFR\n")
+    (tmp_path / "s3.tsv").write_text(HEAD)
+    (tmp_path / "truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"S1-{i}\tS2-{i}\n" for i in range(len(full))))
+    sources = [p("s1.tsv"), p("s2.tsv"), p("s3.tsv"), p("truth.tsv")]
+    assert main(["diagnose", *sources]) == 0
+    *classes, last = map(json.loads, capsys.readouterr().out.splitlines())
+    assert {c["class"]: c["covered"] for c in classes}["name_exact"] == len(full) - 1 and last == {"uncovered": 1, "examples": [["S1-0", "S2-0"]]}
+    assert main(["honest", *sources, "--thresholds", "0.4"]) == 0
+    (row,) = map(json.loads, capsys.readouterr().out.splitlines())
+    assert row["threshold"] == 0.4 and 0 < row["true_pairs"] < len(full) / 2 and row["f05"] > 0.6
+
+
 def test_service(spark):
     import threading
     from urllib.error import HTTPError
