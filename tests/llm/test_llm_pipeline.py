@@ -17,8 +17,8 @@ from linkloom.llm.queries import ORACLES, QUERIES
 DIR = "/root/testdata/sf0.001"
 
 
-def test_all_ten_operators_are_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == list(range(1, 11))
+def test_all_thirteen_operators_are_registered():
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
