@@ -35,6 +35,18 @@ def test_oracle(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(columns, found.fetchall())
 
 
+def test_pair_cosines_of_pairs_without_a_shared_term(spark, tmp_path):
+    """More than max_df records share every name, size and type, so S1-10 and S3-10 have no term in common that counts."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT k AS p_partkey, 'large ring' AS p_name, 'Brand#1' AS p_brand, 'LARGE' AS p_type, 10 AS p_size, 1.0 AS p_retailprice FROM range(15030) t(k)) TO '{tmp_path}/part.parquet'")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    df = registry.QUERIES["pair_cosines"](spark, str(tmp_path))
+    found = con.execute(registry.ORACLES["pair_cosines"])
+    columns = [d[0] for d in found.description]
+    got, wanted = rows(df.columns, df.collect()), rows(columns, found.fetchall())
+    assert got == wanted and "S3-10" not in {v for r in got for v in r}
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
