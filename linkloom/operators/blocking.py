@@ -137,15 +137,28 @@ def reasons_of(names: list[str]) -> Column:
     return F.array_compact(F.array(*(F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(name)) for i, name in enumerate(names)))).alias("reasons")
 
 
-def met(source_keys: DataFrame, target_keys: DataFrame, names: list[str], max_postings: int = 500) -> DataFrame:
+SOURCE_ROWS = 2_500  # records whose pairs meet in one task
+
+
+def met(source_keys: DataFrame, target_keys: DataFrame, names: list[str], max_postings: int = 500, parts: int | None = None) -> DataFrame:
     """Pairs (s1_id, cand_id, bits) that share a key which the targets don't crowd; bits are the targets' strategies.
 
-    Ids may be of any type; of numbers, no string is in what the pairs' shuffle carries, and hash aggregation sums up bits in place.
+    A key's postings travel as one array to the records that have it, and become pairs only where all of a record's meet: pairs move
+    once, as ids in arrays. What then ranks or gathers a record's pairs finds them in place. Ids may be of any type.
+    parts: how many tasks the records are dealt to, as arrays don't tell how many pairs they make.
     """
     crowded = crowded_keys(target_keys, max_postings)
-    left = source_keys.join(crowded, "key", "left_anti").select(F.col("entity_id").alias("s1_id"), "key").distinct()
-    right = target_keys.join(crowded, "key", "left_anti").groupBy("key", F.col("entity_id").alias("cand_id")).agg(F.bit_or(strategy_bits(names)).alias("bits"))
-    return left.join(right, "key").groupBy("s1_id", "cand_id").agg(F.bit_or("bits").alias("bits"))
+    left = source_keys.join(crowded, "key", "left_anti").select(F.col("entity_id").alias("s1_id"), "key")
+    rare = target_keys.join(crowded, "key", "left_anti").select("key", strategy_bits(names).alias("bits"), "entity_id")
+    lists = rare.repartition("key").groupBy("key", "bits").agg(F.collect_list("entity_id").alias("cand_ids"))
+    dealt = left.join(lists, "key").select("s1_id", "bits", "cand_ids").repartition(*([parts] if parts else []), "s1_id")
+    return dealt.select("s1_id", F.explode("cand_ids").alias("cand_id"), "bits").groupBy("s1_id", "cand_id").agg(F.bit_or("bits").alias("bits"))
+
+
+def rule_met(left: DataFrame, right: DataFrame, max_postings: int = 500, blockers: dict[str, Keys] | None = None) -> DataFrame:
+    """``met`` of normalised records, which should be written already, as they are counted and split into keys twice."""
+    own = blockers or BLOCKERS
+    return met(blocking_keys(left, own), spool(blocking_keys(right, own), "keys"), sorted(own), max_postings, max(1, -(-left.count() // SOURCE_ROWS)))
 
 
 def candidates(source_keys: DataFrame, target_keys: DataFrame, max_postings: int = 500, names: list[str] | None = None) -> DataFrame:
@@ -163,7 +176,8 @@ def capped(pairs: DataFrame, most: int = 150) -> DataFrame:
 
 def generate_candidates(s1: DataFrame, s2: DataFrame, s3: DataFrame, most: int = 150, max_postings: int = 500) -> DataFrame:
     """Every s1_id with an array of candidates from both targets; those without any have an empty one. Inputs are normalised."""
-    pairs = capped(candidates(blocking_keys(s1), blocking_keys(s2.unionByName(s3)), max_postings), most)
+    s1 = spool(s1, "normalized")
+    pairs = capped(rule_met(s1, s2.unionByName(s3), max_postings), most)
     lists = pairs.groupBy("s1_id").agg(F.array_sort(F.collect_list("cand_id")).alias("candidates"))
     return s1.select(F.col("entity_id").alias("s1_id")).join(lists, "s1_id", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
 

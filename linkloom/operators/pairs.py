@@ -9,17 +9,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import similarity as sim
-from linkloom.functions.text import words_of
+from linkloom.functions.text import char_ngrams, words_of
 
 SIDE = ["business_name", "business_address", "name_stripped", "addr_norm", "country_norm"]
 
 
-def with_sides(pairs: DataFrame, left: DataFrame, right: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
-    """pairs (s1_id, cand_id, ...) with columns of both records: l_* by s1_id, r_* by cand_id."""
-    side = lambda df, key, p: df.select(F.col("entity_id").alias(key), *(F.col(c).alias(p + c) for c in columns))
+def with_sides(pairs: DataFrame, left: DataFrame, right: DataFrame, columns: list[str], keep: list[str] | None = None, l_more: list[str] = [], r_more: list[str] = []) -> DataFrame:
+    """pairs (s1_id, cand_id, ...) with columns of both records: l_* by s1_id, r_* by cand_id; each side may have more of its own."""
+    own = {"l_": [*columns, *l_more], "r_": [*columns, *r_more]}
+    side = lambda df, key, p: df.select(F.col("entity_id").alias(key), *(F.col(c).alias(p + c) for c in own[p]))
     # s1_id comes last: what ranks a record's candidates finds them in place.
     out = pairs.join(side(right, "cand_id", "r_"), "cand_id").join(side(left, "s1_id", "l_"), "s1_id")
-    return out.select(*(keep or pairs.columns), *(p + c for p in ("l_", "r_") for c in columns))
+    return out.select(*(keep or pairs.columns), *(p + c for p, names in own.items() for c in names))
+
+
+def _padded(words: Column) -> Column:
+    return F.transform(F.array_distinct(words), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+
+
+def left_sets(p: str = "") -> dict[str, Column]:
+    """What pairs look up of a left record in the right one's texts: words and numbers between blanks, and 3-grams, each once."""
+    name, addr = F.col(f"{p}name_stripped"), F.col(f"{p}addr_norm")
+    return {
+        f"{p}name_words": _padded(words_of(name)), f"{p}name_grams": F.array_distinct(char_ngrams(name, 3)),
+        f"{p}addr_words": _padded(words_of(addr)), f"{p}addr_grams": F.array_distinct(char_ngrams(addr, 3)), f"{p}addr_nums": _padded(sim.numbers_in(addr)),
+    }
+
+
+def right_sizes(p: str = "") -> dict[str, Column]:
+    """The sizes of a right record's sets, and its numbers between blanks."""
+    name, addr = F.col(f"{p}name_stripped"), F.col(f"{p}addr_norm")
+    size = lambda items: F.size(F.array_distinct(items))
+    return {
+        f"{p}name_words_n": size(words_of(name)), f"{p}name_grams_n": size(char_ngrams(name, 3)), f"{p}addr_words_n": size(words_of(addr)), f"{p}addr_grams_n": size(char_ngrams(addr, 3)),
+        f"{p}addr_nums_n": size(sim.numbers_in(addr)), f"{p}addr_numbers": F.concat(F.lit(" "), F.array_join(sim.numbers_in(addr), " "), F.lit(" ")),
+    }
+
+
+def compared_sides(pairs: DataFrame, left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """``with_sides`` for the native features: their sets are made once for each record, not for each pair."""
+    return with_sides(pairs, left.withColumns(left_sets()), right.withColumns(right_sizes()), columns, l_more=list(left_sets()), r_more=list(right_sizes()))
 
 
 NATIVE = [
@@ -38,22 +67,33 @@ def flag(condition: Column) -> Column:
 
 
 def native_features(pairs: DataFrame) -> DataFrame:
-    """Adds the features that need no UDF (NATIVE)."""
+    """Adds the features that need no UDF (NATIVE).
+
+    A word or 3-gram of the left is in the right's set just if the right's text holds it (a word between blanks), so no set of the
+    right is made, only its size. Sides without these sets (see ``compared_sides``) get them here, for each pair.
+    """
     c = F.col
+    sets = {} if "l_name_grams" in pairs.columns else left_sets("l_") | right_sizes("r_")
     ln, rn, la, ra = c("l_name_stripped"), c("r_name_stripped"), c("l_addr_norm"), c("r_addr_norm")
-    lt, rt, lw, rw = words_of(ln), words_of(rn), words_of(la), words_of(ra)
-    zips = lambda a: F.regexp_extract_all(a, F.lit(r"\b[0-9]{5,6}\b"), F.lit(0))
-    return pairs.withColumns({
+    held = lambda items, text: F.when(text.isNotNull(), F.size(F.filter(items, lambda t: F.contains(text, t))))
+    spaced = lambda text: F.concat(F.lit(" "), text, F.lit(" "))
+    shared = {
+        "_name_words": held("l_name_words", spaced(rn)), "_name_grams": held("l_name_grams", rn), "_addr_words": held("l_addr_words", spaced(ra)),
+        "_addr_grams": held("l_addr_grams", ra), "_addr_nums": held("l_addr_nums", c("r_addr_numbers")),
+    }
+    jaccard = lambda name: sim.ratio_or(c(f"_{name}"), F.size(f"l_{name}") + c(f"r_{name}_n") - c(f"_{name}"), 1.0)
+    grams = lambda name, a, b: F.when((F.length(a) < 3) | (F.length(b) < 3), (a == b).cast("double")).otherwise(jaccard(name))
+    return pairs.withColumns(sets).withColumns(shared).withColumns({
         "name_raw_exact": flag((c("l_business_name") == c("r_business_name")) & (c("l_business_name") != "")),
         "name_norm_exact": flag((ln == rn) & (ln != "")),
-        "name_token_jaccard": sim.jaccard(lt, rt), "name_token_containment": sim.containment(lt, rt), "name_levenshtein": sim.levenshtein_ratio(ln, rn),
-        "name_char_3gram": sim.ngram_jaccard(ln, rn), "name_length_ratio": sim.length_ratio(ln, rn), "name_shared_tokens": F.size(F.array_intersect(lt, rt)).cast("double"),
+        "name_token_jaccard": jaccard("name_words"), "name_token_containment": sim.ratio_or(c("_name_words"), F.least(F.size("l_name_words"), c("r_name_words_n")), 0.0), "name_levenshtein": sim.levenshtein_ratio(ln, rn),
+        "name_char_3gram": grams("name_grams", ln, rn), "name_length_ratio": sim.length_ratio(ln, rn), "name_shared_tokens": c("_name_words").cast("double"),
         "addr_norm_exact": flag((la == ra) & (la != "")),
-        "addr_token_jaccard": sim.jaccard(lw, rw), "addr_levenshtein": sim.levenshtein_ratio(la, ra), "addr_char_3gram": sim.ngram_jaccard(la, ra),
-        "addr_num_overlap": sim.number_overlap(la, ra), "addr_shared_nums": sim.number_matches(la, ra).cast("double"), "addr_length_ratio": sim.length_ratio(la, ra),
+        "addr_token_jaccard": jaccard("addr_words"), "addr_levenshtein": sim.levenshtein_ratio(la, ra), "addr_char_3gram": grams("addr_grams", la, ra),
+        "addr_num_overlap": jaccard("addr_nums"), "addr_shared_nums": c("_addr_nums").cast("double"), "addr_length_ratio": sim.length_ratio(la, ra),
         "country_match": flag((c("l_country_norm") == c("r_country_norm")) & (c("l_country_norm") != "UNKNOWN")),
-        "postal_code_match": flag(F.arrays_overlap(zips(la), zips(ra))),
-    })
+        "postal_code_match": flag(F.exists("l_addr_nums", lambda n: F.length(n).isin(7, 8) & F.contains(c("r_addr_numbers"), n))),
+    }).drop(*shared, *left_sets("l_"), *right_sizes("r_"))
 
 
 def pair_features(pairs: DataFrame) -> DataFrame:
