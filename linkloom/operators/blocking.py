@@ -151,14 +151,23 @@ def met(source_keys: DataFrame, target_keys: DataFrame, names: list[str], max_po
     left = source_keys.join(crowded, "key", "left_anti").select(F.col("entity_id").alias("s1_id"), "key")
     rare = target_keys.join(crowded, "key", "left_anti").select("key", strategy_bits(names).alias("bits"), "entity_id")
     lists = rare.repartition("key").groupBy("key", "bits").agg(F.collect_list("entity_id").alias("cand_ids"))
-    dealt = left.join(lists, "key").select("s1_id", "bits", "cand_ids").repartition(*([parts] if parts else []), "s1_id")
+    return pairs_of(left.join(lists, "key"), parts)
+
+
+def pairs_of(lists: DataFrame, parts: int | None = None) -> DataFrame:
+    """Pairs (s1_id, cand_id, bits) of what keys led each record to (s1_id, bits, cand_ids), made where all of a record's meet."""
+    dealt = lists.select("s1_id", "bits", "cand_ids").repartition(*([parts] if parts else []), "s1_id")
     return dealt.select("s1_id", F.explode("cand_ids").alias("cand_id"), "bits").groupBy("s1_id", "cand_id").agg(F.bit_or("bits").alias("bits"))
 
 
+def source_parts(records: DataFrame) -> int:
+    return max(1, -(-records.count() // SOURCE_ROWS))
+
+
 def rule_met(left: DataFrame, right: DataFrame, max_postings: int = 500, blockers: dict[str, Keys] | None = None) -> DataFrame:
     """``met`` of normalised records, which should be written already, as they are counted and split into keys twice."""
     own = blockers or BLOCKERS
-    return met(blocking_keys(left, own), spool(blocking_keys(right, own), "keys"), sorted(own), max_postings, max(1, -(-left.count() // SOURCE_ROWS)))
+    return met(blocking_keys(left, own), spool(blocking_keys(right, own), "keys"), sorted(own), max_postings, source_parts(left))
 
 
 def candidates(source_keys: DataFrame, target_keys: DataFrame, max_postings: int = 500, names: list[str] | None = None) -> DataFrame:

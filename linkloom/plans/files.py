@@ -13,7 +13,7 @@ from linkloom.plans import entities, flows, sql
 from linkloom.plans.entities import SOURCES_SQL, TRUTH_SQL, table
 from linkloom.plans.registry import _cheap_sql, _fast_keys_sql, _fast_sql, _normalized, joined, query
 from linkloom.sources import io
-from linkloom.sources.shared import shared_dir
+from linkloom.sources.shared import shared_dir, spool
 from linkloom.streaming import index, urls
 
 _RECORD = "entity_id, business_name, business_address, country"
@@ -161,8 +161,10 @@ def streamed_candidates(spark, d):
     s1.select(*_RECORD.split(", ")).repartition(2).write.parquet(seen)
     records = urls.read_stream(spark, seen, io.text_schema(_RECORD.split(", ")), per_batch=1)
     met = _at(spark, "met")
-    urls.write_stream(urls.arriving_candidates(records, index.read_index(spark, path)), met, f"{met}-at").awaitTermination()
-    return index.with_reasons(spark.read.parquet(met)).select("s1_id", "cand_id", *joined("reasons"))
+    lists = spool(index.posting_lists(index.read_index(spark, path)), "lists")
+    urls.write_stream(urls.arriving_lists(records, lists), met, f"{met}-at").awaitTermination()
+    found = index.with_reasons(spark.read.parquet(met), blocking.source_parts(spark.read.parquet(seen)))
+    return found.select("s1_id", "cand_id", *joined("reasons"))
 
 
 @query("SELECT r_name AS region, count(*) AS customers FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -28,6 +29,13 @@ def arriving_candidates(records: DataFrame, target_keys: DataFrame) -> DataFrame
     return left.join(right, "key")
 
 
+def arriving_lists(records: DataFrame, lists: DataFrame) -> DataFrame:
+    """(s1_id, bits, cand_ids): what each key of arriving records leads to; lists: (key, bits, cand_ids) of the targets, written."""
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a batch of few files is much work on few bytes
+    left = blocking_keys(normalized_records(records.repartition(parts, "entity_id"))).select(F.col("entity_id").alias("s1_id"), "key")
+    return left.join(lists, "key").select("s1_id", "bits", "cand_ids")
+
+
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """To Parquet, each row once across restarts, until what is there is done."""
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -231,3 +231,20 @@ def test_index_grows_over_files_and_restarts(spark, tmp_path):
     batch = blocking.pruned_keys(blocking.blocking_keys(normalized_records(every), blockers), 3).select("key", "entity_id", "blocker")
     assert seen[2] == sorted(tuple(r) for r in batch.collect()) and {"exact_name#hot name"} & {k for k, *_ in seen[0]} and not {k for k, *_ in seen[1] if "hot" in k}
     assert spark.read.parquet(path).where("closed").groupBy("key").count().where("count > 1").count() == 0
+
+
+def test_index_counts_without_python(spark, tmp_path):
+    """Keys are counted by Spark alone, however many there are; a key that a batch alone crowds leaves one row in the log."""
+    from linkloom.operators import blocking
+    from linkloom.streaming import index
+
+    schema, folder, path = io.text_schema(io.RECORD_COLUMNS), str(tmp_path / "in"), str(tmp_path / "index")
+    rows = spark.createDataFrame([(f"S2-{i}", "Hot Name" if i < 9 else f"Cold {i}", "1 Street", "US") for i in range(12)], schema)
+    rows.coalesce(1).write.parquet(folder)
+    blockers = {"name_exact": blocking.exact_name}
+    plan = index.indexed(rows, 3, blockers)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    index.write_index(urls.read_stream(spark, folder, schema), path, str(tmp_path / "at"), 3, blockers).awaitTermination()
+    log = spark.read.parquet(path)
+    assert log.where("key = 'exact_name#hot name'").count() == log.where("closed").count() == 1
+    assert {r["entity_id"] for r in index.read_index(spark, path).collect()} == {"S2-9", "S2-10", "S2-11"}
