@@ -265,8 +265,11 @@ def ranked(df: DataFrame, by: list[str], score: str, tie: list[str], prefix: str
 QUERY = ["src", "q_id"]
 
 
-def competition(cands: DataFrame) -> DataFrame:
-    """Adds, to candidates (src, q_id, s1_id, score, ncos, acos), how each ranks among its query's and its parent's."""
+def competition(cands: DataFrame, parts: int | None = None) -> DataFrame:
+    """Adds, to candidates (src, q_id, s1_id, score, ncos, acos), how each ranks among its query's and its parent's.
+
+    parts: how many tasks the parents are dealt to, where the session's number of partitions wouldn't grow with the candidates.
+    """
     c = F.col
     df = ranked(cands, QUERY, "score", ["s1_id"], "_q")
     df = df.withColumns({
@@ -275,7 +278,7 @@ def competition(cands: DataFrame) -> DataFrame:
     })
     for name in ("ncos", "acos"):
         df = ranked(df, QUERY, name, ["s1_id"], "_x").withColumns({f"{name}_gap": c("_xtop") - c(name), f"{name}_rank": F.least(c("_xrank"), F.lit(127))})
-    df = ranked(df, ["s1_id"], "score", QUERY, "_s")
+    df = ranked(df.repartition(parts, "s1_id") if parts else df, ["s1_id"], "score", QUERY, "_s")
     top1 = F.sum((c("_qrank") == 1).cast("int")).over(Window.partitionBy("s1_id"))
     cut = F.lit(32000)
     df = df.withColumns({"rank_s1": F.least(c("_srank"), cut), "gap_top_s1": c("_stop") - c("score"), "n_cand_s1": F.least(c("_ssize"), cut.cast("long")), "n_top1_s1": F.least(top1, cut.cast("long"))})

@@ -382,3 +382,19 @@ def test_native_features_make_no_sets_of_pairs(spark):
     wanted = pairs.with_sides(both, side("l"), side("r"), columns).select("s1_id", "cand_id", *(v.alias(n) for n, v in sets.items()))
     rows_of = lambda df: sorted(tuple(r) for r in df.select("s1_id", "cand_id", *sets).collect())
     assert rows_of(own) == rows_of(wanted) == rows_of(late)
+
+
+def test_scored_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks that rank pairs get so many rows each at any size; the session's number of partitions stays as it is."""
+    import re
+
+    from linkloom.plans import entities
+
+    d = "/root/testdata/sf0.001"
+    n = entities.table(spark, d, "lineitem").count()
+    monkeypatch.setattr(entities, "PAIR_ROWS", n // 12)
+    parts = entities.pair_parts(spark, d)
+    assert parts in (12, 13)
+    scored = entities.scored_pairs(spark, d)
+    plans = plan_of(pairs.competition(scored, parts)), plan_of(siblings.sibling_pairs(scored.withColumnRenamed("p", "p1"), parts=parts))
+    assert all({int(k) for k in re.findall(r"hashpartitioning\(.*?, (\d+)\)", p)} == {parts} for p in plans)
