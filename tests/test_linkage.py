@@ -398,3 +398,12 @@ def test_scored_pairs_are_dealt_by_their_number(spark, monkeypatch):
     scored = entities.scored_pairs(spark, d)
     plans = plan_of(pairs.competition(scored, parts)), plan_of(siblings.sibling_pairs(scored.withColumnRenamed("p", "p1"), parts=parts))
     assert all({int(k) for k in re.findall(r"hashpartitioning\(.*?, (\d+)\)", p)} == {parts} for p in plans)
+
+
+def test_seeds_hold_to_their_postings(spark):
+    """The term that would go beyond SEED_POSTINGS is no seed, unless it is the rarest."""
+    rows = [(1, "n", 10, 0.5, 2), (1, "a", 11, 0.5, 100), (1, "n", 12, 0.5, 900), (2, "n", 12, 1.0, 900)]
+    terms = spark.createDataFrame(rows, "q long, channel string, term long, w double, df long")
+    assert sorted((r["q"], r["term"]) for r in tfidf.seed_terms(terms).collect()) == [(1, 10), (1, 11), (2, 12)]
+    lists = tfidf.postings(spark.createDataFrame([(7, [1], [0.5], [2], [0.5])], "row long, n_terms array<long>, n_w array<double>, a_terms array<long>, a_w array<double>"))
+    assert sorted((r["term"], r["df"], r["rows"], r["weights"]) for r in lists.collect()) == [(1, 1, [7], [0.5]), (2, 1, [7], [0.5])]
