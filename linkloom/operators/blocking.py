@@ -8,6 +8,7 @@ Spark knows their size: few go to all rows, which then move nowhere to be droppe
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,10 +165,128 @@ def source_parts(records: DataFrame) -> int:
     return max(1, -(-records.count() // SOURCE_ROWS))
 
 
-def rule_met(left: DataFrame, right: DataFrame, max_postings: int = 500, blockers: dict[str, Keys] | None = None) -> DataFrame:
-    """``met`` of normalised records, which should be written already, as they are counted and split into keys twice."""
+FEW = 8  # postings of a key that move to each record of their own; longer lists are shared by the records with the same of them
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Pairs, not made yet. Records with the same long lists are a class, whose pairs are ranked once; a record has a few of its own beside.
+
+    members: (s1_id, class, chunk, cut, own_ids, own): a record meets its class's candidates up to the place ``cut`` but own_ids, and
+    its own, (cand_id, bits), which short lists led it to. shared: (class, chunks, cand_id, bits, place). A chunk is at most about
+    SOURCE_ROWS members of a class; parts: how many tasks these are dealt to.
+    """
+
+    members: DataFrame
+    shared: DataFrame
+    parts: int
+
+    def dealt(self) -> tuple[DataFrame, DataFrame]:
+        """Members and shared candidates (with other columns that they may have got), dealt by class and chunk."""
+        chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")
+        shared = self.shared.select("*", chunk).drop("chunks")
+        return self.members.repartition(self.parts, "class", "chunk"), shared.repartition(self.parts, "class", "chunk")
+
+    def met(self, left: Callable[[DataFrame], DataFrame] = lambda rows: rows, right: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """Members with each of the candidates they share, which moves neither pairs nor lists to single records.
+
+        left, right: add columns to members and to shared candidates where they meet, so that these don't move either.
+        """
+        members, shared = self.dealt()
+        met = left(members.drop("own")).join(right(shared), ["class", "chunk"])
+        return met.where((F.col("place") <= F.col("cut")) & ~F.array_contains("own_ids", F.col("cand_id"))).drop("cut", "own_ids", "place")
+
+    def own(self) -> DataFrame:
+        """(s1_id, cand_id, bits) that short lists led to, with all that made them candidates."""
+        return self.members.repartition(self.parts, "s1_id").select("s1_id", F.explode("own").alias("o")).select("s1_id", "o.cand_id", "o.bits")
+
+    def holding(self, pairs: DataFrame) -> DataFrame:
+        """Those of the given pairs (s1_id, cand_id) that are among these."""
+        met = pairs.select("s1_id", "cand_id").join(self.members, "s1_id").join(self.shared.select("class", "cand_id", "place"), ["class", "cand_id"], "left")
+        shared = (F.col("place") <= F.col("cut")) & ~F.array_contains("own_ids", F.col("cand_id"))
+        return met.where(F.coalesce(shared, F.lit(False)) | F.exists("own", lambda o: o["cand_id"] == F.col("cand_id"))).select("s1_id", "cand_id")
+
+    def counts(self) -> DataFrame:
+        """(s1_id, n): how many candidates each member has; those that it shares are counted by their places."""
+        left_out = self.members.select("s1_id", "class", "cut", F.explode("own_ids").alias("cand_id")).join(self.shared.select("class", "cand_id", "place"), ["class", "cand_id"])
+        less = left_out.where(F.col("place") <= F.col("cut")).groupBy("s1_id").agg(F.count("*").alias("less"))
+        most = self.shared.groupBy("class").agg(F.count("*").alias("most"))
+        met = self.members.select("s1_id", "class", "cut", F.size("own").alias("own")).join(most, "class", "left").join(less, "s1_id", "left")
+        none = F.lit(0).cast("long")
+        return met.select("s1_id", (F.least("cut", F.coalesce("most", none)) - F.coalesce("less", none) + F.col("own")).cast("int").alias("n"))
+
+    def lists(self) -> DataFrame:
+        """(s1_id, candidates): each member's candidates, sorted."""
+        members, shared = self.dealt()
+        ids = shared.groupBy("class", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "cand_id"))), lambda c: c["cand_id"]).alias("ids"))
+        met = members.join(ids, ["class", "chunk"], "left")
+        first = F.slice(F.coalesce("ids", F.array().cast(met.schema["ids"].dataType)), F.lit(1), F.col("cut"))
+        both = F.concat(F.array_except(first, F.col("own_ids")), F.transform("own", lambda o: o["cand_id"]))
+        return met.select("s1_id", F.array_sort(both).alias("candidates"))
+
+    def pairs(self) -> DataFrame:
+        """All pairs (s1_id, cand_id, bits), each once."""
+        return self.met().select("s1_id", "cand_id", "bits").unionByName(self.own())
+
+
+def blocks_of(source_keys: DataFrame, target_keys: DataFrame, names: list[str], max_postings: int = 500, most: int | None = None, parts: int = 1) -> Blocks:
+    """The pairs that share a key which the targets don't crowd; ``most`` for each record, as ``capped`` takes them.
+
+    What leads to a record's own candidates is at most FEW postings a key. The longer lists that a record has are the same for many, so
+    they are joined, counted and ranked for each such class; then only the order of a class and a record's own decides the cap.
+    """
+    crowded = crowded_keys(target_keys, max_postings)
+    rare = target_keys.join(crowded, "key", "left_anti").select("key", F.struct(F.col("entity_id").alias("cand_id"), strategy_bits(names).alias("bits")).alias("one"))
+    lists = spool(rare.groupBy("key").agg(F.collect_list("one").alias("found")).withColumns({"number": F.monotonically_increasing_id(), "is_long": F.size("found") > FEW}), "lists")
+    left = source_keys.join(crowded, "key", "left_anti").select(F.col("entity_id").alias("s1_id"), "key")
+    led = lists.select("key", F.when(F.col("is_long"), F.col("number")).alias("long"), F.when(~F.col("is_long"), F.col("found")).alias("found"))
+    one = left.join(led, "key").select("s1_id", "long", F.explode_outer("found").alias("one")).select("s1_id", "long", "one.cand_id", "one.bits").repartition(parts, "s1_id")
+    mine = one.groupBy("s1_id", "cand_id", "long").agg(F.bit_or("bits").alias("bits"))
+    led_to = F.collect_list(F.when(F.col("cand_id").isNotNull(), F.struct("cand_id", "bits")))
+    records = spool(mine.groupBy("s1_id").agg(F.array_sort(F.collect_list("long")).alias("longs"), led_to.alias("own")), "records")
+    classes = spool(records.groupBy("longs").agg(F.ceil(F.count("*") / SOURCE_ROWS).alias("chunks")).withColumn("class", F.monotonically_increasing_id()), "classes")
+    listed = classes.select("class", "chunks", F.explode("longs").alias("number")).join(lists.where("is_long").select("number", "found"), "number")
+    joint = listed.select("class", "chunks", F.explode("found").alias("one")).groupBy("class", "chunks", "one.cand_id").agg(F.bit_or("one.bits").alias("bits"))
+    place = F.row_number().over(Window.partitionBy("class").orderBy(F.bit_count("bits").desc(), "cand_id"))
+    shared = spool(joint.withColumn("place", place), "shared")
+    chunk = F.pmod(F.xxhash64("s1_id"), F.col("chunks")).alias("chunk")
+    members = records.join(classes, "longs").select("s1_id", "class", chunk, "own")
+    # What a record's own candidates also share with it through long lists counts for them.
+    apart = members.select("s1_id", "class", F.explode("own").alias("o")).select("s1_id", "class", "o.*").join(shared.select("class", "cand_id", F.col("bits").alias("_bits")), ["class", "cand_id"], "left")
+    bits = F.col("bits").bitwiseOR(F.coalesce("_bits", F.lit(0).cast("long")))
+    ranked = F.struct((-F.bit_count("bits")).alias("fewer"), "cand_id", F.lit(0).alias("place"), "bits")
+    own = apart.withColumn("bits", bits).repartition(parts, "s1_id").groupBy("s1_id").agg(F.array_sort(F.collect_list(ranked)).alias("own"))
+    members = members.drop("own").join(own, "s1_id", "left").withColumn("own_ids", F.transform("own", lambda o: o["cand_id"]))
+    if most is None:
+        members = members.withColumn("cut", F.lit(2**31 - 1))
+    else:
+        members = _cut(members, shared, most, parts)
+    some = lambda name: F.coalesce(F.col(name), F.array().cast(members.schema[name].dataType)).alias(name)
+    return Blocks(spool(members.select("s1_id", "class", "chunk", "cut", some("own_ids"), some("own")), "members"), shared if most is None else shared.where(F.col("place") <= most), parts)
+
+
+def _cut(members: DataFrame, shared: DataFrame, most: int, parts: int) -> DataFrame:
+    """Members with the place ``cut`` of the last candidate they share, and of their own only those, among the ``most`` best of both.
+
+    A class's order holds for what its records don't have of their own, and the ``most`` first of it are enough.
+    """
+    in_order = F.array_sort(F.collect_list(F.struct((-F.bit_count("bits")).alias("fewer"), "cand_id", "place", F.lit(None).cast("long").alias("bits"))))
+    tops = shared.where(F.col("place") <= most).groupBy("class", "chunks").agg(in_order.alias("top"))
+    tops = tops.select("class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "top").repartition(parts, "class", "chunk")
+    met = members.repartition(parts, "class", "chunk").join(tops, ["class", "chunk"], "left")
+    others = F.filter("top", lambda t: ~F.array_contains("own_ids", t["cand_id"]))
+    both = F.slice(F.array_sort(F.concat(F.coalesce(others, F.array().cast(met.schema["top"].dataType)), "own")), 1, most)
+    merged = F.when(F.col("own").isNotNull(), both)
+    last = F.coalesce(F.array_max(F.transform("merged", lambda m: m["place"])), F.lit(0))
+    out = met.withColumn("merged", merged)
+    kept = F.filter("merged", lambda m: m["bits"].isNotNull())
+    return out.withColumns({"cut": F.when(F.col("merged").isNull(), F.lit(most)).otherwise(last), "own": kept}).drop("top", "merged")
+
+
+def rule_blocks(left: DataFrame, right: DataFrame, max_postings: int = 500, most: int | None = None, blockers: dict[str, Keys] | None = None) -> Blocks:
+    """``blocks_of`` normalised records, which should be written already, as they are counted and split into keys twice."""
     own = blockers or BLOCKERS
-    return met(blocking_keys(left, own), spool(blocking_keys(right, own), "keys"), sorted(own), max_postings, source_parts(left))
+    return blocks_of(blocking_keys(left, own), spool(blocking_keys(right, own), "keys"), sorted(own), max_postings, most, source_parts(left))
 
 
 def candidates(source_keys: DataFrame, target_keys: DataFrame, max_postings: int = 500, names: list[str] | None = None) -> DataFrame:
@@ -186,8 +305,7 @@ def capped(pairs: DataFrame, most: int = 150) -> DataFrame:
 def generate_candidates(s1: DataFrame, s2: DataFrame, s3: DataFrame, most: int = 150, max_postings: int = 500) -> DataFrame:
     """Every s1_id with an array of candidates from both targets; those without any have an empty one. Inputs are normalised."""
     s1 = spool(s1, "normalized")
-    pairs = capped(rule_met(s1, s2.unionByName(s3), max_postings), most)
-    lists = pairs.groupBy("s1_id").agg(F.array_sort(F.collect_list("cand_id")).alias("candidates"))
+    lists = rule_blocks(s1, s2.unionByName(s3), max_postings, most).lists()
     return s1.select(F.col("entity_id").alias("s1_id")).join(lists, "s1_id", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import normalize_country, normalize_text, words_of
+from linkloom.operators.blocking import Blocks
 
 
 def f_beta(p: Column, r: Column, beta: float = 0.5) -> Column:
@@ -62,7 +63,19 @@ def evaluate_blocking(truth: DataFrame, candidates: DataFrame, n_targets: int) -
     """
     none = F.array().cast("array<string>")
     met = truth.select("s1_id", F.array_distinct("ids").alias("t")).join(candidates.select("s1_id", F.array_distinct("ids").alias("c")), "s1_id", "left").select("t", F.coalesce("c", none).alias("c"))
-    per = met.select(F.size("t").alias("n_true"), F.size("c").alias("n"), F.size(F.array_intersect("t", "c")).alias("covered"))
+    return blocking_report(met.select(F.size("t").alias("n_true"), F.size("c").alias("n"), F.size(F.array_intersect("t", "c")).alias("covered")), n_targets)
+
+
+def evaluate_blocks(truth: DataFrame, blocks: Blocks, n_targets: int) -> DataFrame:
+    """``evaluate_blocking`` of pairs that aren't made: only counts and true pairs move."""
+    true = truth.select("s1_id", F.array_distinct("ids").alias("t"))
+    covered = blocks.holding(true.select("s1_id", F.explode("t").alias("cand_id"))).groupBy("s1_id").agg(F.count("*").cast("int").alias("covered"))
+    per = true.select("s1_id", F.size("t").alias("n_true")).join(blocks.counts(), "s1_id", "left").join(covered, "s1_id", "left")
+    return blocking_report(per.select("n_true", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("covered", F.lit(0)).alias("covered")), n_targets)
+
+
+def blocking_report(per: DataFrame, n_targets: int) -> DataFrame:
+    """``evaluate_blocking`` of one row (n_true, n, covered) for each parent."""
     by_count = per.groupBy("n").agg(F.count("*").alias("parents"), F.sum("n_true").alias("n_true"), F.sum("covered").alias("covered"))
     hist = by_count.agg(
         F.sum("n_true").alias("total_true"), F.sum("covered").alias("covered"), F.sum(F.col("n") * F.col("parents")).alias("total_candidates"), F.sum("parents").alias("parents"), F.max("n").alias("most"),

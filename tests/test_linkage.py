@@ -407,3 +407,71 @@ def test_seeds_hold_to_their_postings(spark):
     assert sorted((r["q"], r["term"]) for r in tfidf.seed_terms(terms).collect()) == [(1, 10), (1, 11), (2, 12)]
     lists = tfidf.postings(spark.createDataFrame([(7, [1], [0.5], [2], [0.5])], "row long, n_terms array<long>, n_w array<double>, a_terms array<long>, a_w array<double>"))
     assert sorted((r["term"], r["df"], r["rows"], r["weights"]) for r in lists.collect()) == [(1, 1, [7], [0.5]), (2, 1, [7], [0.5])]
+
+
+def _block_keys(spark, seed=3):
+    """Keys of sources and targets: crowded, long and short ones, records with none, and targets met by a long and a short key."""
+    import random
+
+    rng = random.Random(seed)
+    kinds = {"common": ("name_exact", 2), "group": ("name_token", 4), "other": ("name_ngram", 3), "few": ("composite_key", 12)}
+    own = lambda tag, n: [(f"{tag}{i}", blocker, f"{kind}#{rng.randrange(many)}") for i in range(n) for kind, (blocker, many) in kinds.items() if rng.random() < 0.7]
+    frame = lambda rows: spark.createDataFrame(rows, "entity_id string, blocker string, key string")
+    return frame(own("S1-", 40)), frame(own("S2-", 60)), ["composite_key", "name_exact", "name_ngram", "name_token"]
+
+
+def test_blocks_are_the_pairs(spark, monkeypatch):
+    """Pairs of classes and of a record's own, capped or not, are those of single records; so are their lists, counts and what they hold."""
+    monkeypatch.setattr(blocking, "SOURCE_ROWS", 3)
+    left, right, names = _block_keys(spark)
+    rows = lambda df: sorted(map(tuple, df.select("s1_id", "cand_id", "bits").collect()))
+    for most, few in ((None, 8), (5, 8), (13, 4), (5, 0), (20, 100)):
+        monkeypatch.setattr(blocking, "FEW", few)
+        pairs_of_records = blocking.met(left, right, names, 25, 2)
+        expected = rows(pairs_of_records if most is None else blocking.capped(pairs_of_records, most))
+        blocks = blocking.blocks_of(left, right, names, 25, most, 3)
+        assert rows(blocks.pairs()) == expected and expected
+        lists: dict = {}
+        for s, c, _ in expected:
+            lists.setdefault(s, []).append(c)
+        got = {r["s1_id"]: r["candidates"] for r in blocks.lists().collect()}
+        assert {s: c for s, c in got.items() if c} == lists
+        assert {r["s1_id"]: r["n"] for r in blocks.counts().collect() if r["n"]} == {s: len(c) for s, c in lists.items()}
+        asked = spark.createDataFrame([(f"S1-{i}", f"S2-{j}") for i in range(45) for j in range(0, 65, 3)], "s1_id string, cand_id string")
+        held = {(r["s1_id"], r["cand_id"]) for r in blocks.holding(asked).collect()}
+        assert held == {(s, c) for s, c, _ in expected if int(c[3:]) % 3 == 0}
+
+
+def test_pairs_of_a_class_move_nowhere(spark):
+    """Records with the same long lists meet their candidates as a class: what moves are records and a class's list, not pairs or lists to each record."""
+    left = spark.createDataFrame([(f"S1-{i}", "name_exact", "k") for i in range(200)] + [(f"S1-{i}", "composite_key", f"own{i}") for i in range(200)], "entity_id string, blocker string, key string")
+    right = spark.createDataFrame([(f"S2-{i}", "name_exact", "k") for i in range(40)] + [(f"S2-{i}", "composite_key", f"own{i}") for i in range(40)], "entity_id string, blocker string, key string")
+    blocks = blocking.blocks_of(left, right, ["composite_key", "name_exact"], 50, 30, 2)
+    assert blocks.shared.count() == 30 and blocks.members.count() == 200
+    import re
+
+    moved = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan_of(blocks.met()))
+    assert all("class" in m for m in moved) and not any("cand_id" in m or "s1_id" in m for m in moved)
+    assert blocks.pairs().count() == 200 * 30
+    from linkloom.operators import evaluation
+
+    truth = spark.createDataFrame([(f"S1-{i}", [f"S2-{i}"] if i < 60 else []) for i in range(201)], "s1_id string, ids array<string>")
+    lists = blocks.pairs().groupBy("s1_id").agg(F.collect_list("cand_id").alias("ids"))
+    assert evaluation.evaluate_blocks(truth, blocks, 40).collect() == evaluation.evaluate_blocking(truth, lists, 40).collect()
+
+
+def test_matches_are_chosen_where_pairs_lie(spark):
+    """Dropping what is far from the best of some of a record's pairs changes no choice among all of them."""
+    import random
+
+    from linkloom.operators.selection import near_best, select_matches
+
+    rng = random.Random(5)
+    rows = [(f"s{i % 9}", f"c{i}", rng.choice([0.3, 0.5, 0.55, 0.65, 0.7, 0.8, 0.95])) for i in range(120)]
+    pairs_of_all = spark.createDataFrame(rows, "s1_id string, cand_id string, score double")
+    some, rest = pairs_of_all.where(F.crc32("cand_id") % 3 > 0), pairs_of_all.where(F.crc32("cand_id") % 3 == 0)
+    near = near_best(some, 0.5, 0.15, ["s1_id"])
+    assert near.count() < some.count()
+    for most in (None, 2):
+        chosen = lambda df: sorted(map(tuple, select_matches(df, 0.5, 0.15, most).collect()))
+        assert chosen(near.unionByName(rest)) == chosen(pairs_of_all)
