@@ -187,13 +187,10 @@ class Blocks:
         shared = self.shared.select("*", chunk).drop("chunks")
         return self.members.repartition(self.parts, "class", "chunk"), shared.repartition(self.parts, "class", "chunk")
 
-    def met(self, left: Callable[[DataFrame], DataFrame] = lambda rows: rows, right: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
-        """Members with each of the candidates they share, which moves neither pairs nor lists to single records.
-
-        left, right: add columns to members and to shared candidates where they meet, so that these don't move either.
-        """
+    def met(self) -> DataFrame:
+        """Members with each of the candidates they share, which moves neither pairs nor lists to single records."""
         members, shared = self.dealt()
-        met = left(members.drop("own")).join(right(shared), ["class", "chunk"])
+        met = members.drop("own").join(shared, ["class", "chunk"])
         return met.where((F.col("place") <= F.col("cut")) & ~F.array_contains("own_ids", F.col("cand_id"))).drop("cut", "own_ids", "place")
 
     def own(self) -> DataFrame:
