@@ -310,6 +310,48 @@ def test_prefixes_find_what_tiles_find(spark):
     assert 0 < got["0.01"] < got["0.001"] * 10**1.2
 
 
+def test_report_sends_no_row_to_all_blocks(spark, monkeypatch):
+    """Many small blocks report what one does, and the shuffles grow like the records, not like blocks times records."""
+    from linkloom.plans import registry
+
+    got, rows = {}, {}
+    for sf in ("0.001", "0.01"):
+        queries, s1 = registry._prepared(spark, f"/root/testdata/sf{sf}")
+        queries, s1 = (registry.spool(df, "prepared") for df in (queries, s1))
+        rounded = lambda df: sorted((r["q_id"], r["n_pairs"], round(r["best_score"], 6), round(r["best_acos"], 6), round(r["total_ncos"], 4)) for r in df.collect())
+        if sf == "0.001":
+            rows["one"] = rounded(tfidf.cosine_report(queries, s1, ["q_id"]))
+        for name, n in (("QUERY_TERMS", 1500), ("SHARD_TERMS", 1500), ("PULLED", 5000)):
+            monkeypatch.setattr(tfidf, name, n, raising=False)
+        if sf == "0.001":
+            rows["many"] = rounded(tfidf.cosine_report(queries, s1, ["q_id"]))
+        got[sf] = _shuffled(spark, lambda: tfidf.cosine_report(queries, s1, ["q_id"]))  # noqa: B023
+    assert rows["one"] == rows["many"] and len(rows["one"]) > 100
+    assert 0 < got["0.01"][1] < got["0.001"][1] * 10**1.2
+
+
+def test_blocks_end_where_their_terms_have_many_postings(spark, monkeypatch):
+    """Queries with the same terms share a block; one that alone has too many postings gets a block of its own."""
+    rows = [(i, [1, 2], [6, 2]) for i in range(5)] + [(5, [3, 4], [5, 1]), (6, [5], [90]), (7, [6], [3])]
+    queries = spark.createDataFrame(rows, "row long, common array<long>, df array<long>").withColumns({"n_terms": F.col("common"), "a_terms": F.array().cast("array<long>")})
+    monkeypatch.setattr(tfidf, "PULLED", 14)
+    block = {r["row"]: r["block"] for r in tfidf.blocked(queries).collect()}
+    assert [[q for q in sorted(block) if block[q] == b] for b in sorted(set(block.values()))] == [[0, 1, 2, 3, 4, 5], [6], [7]]
+    monkeypatch.setattr(tfidf, "PULLED", 8)
+    block = {r["row"]: r["block"] for r in tfidf.blocked(queries).collect()}
+    assert [[q for q in sorted(block) if block[q] == b] for b in sorted(set(block.values()))] == [[0, 1, 2, 3, 4], [5], [6], [7]]
+
+
+def test_forms_split_each_text_once(spark):
+    """Name, other name and address are split into words once each, beside one Arrow node, whose answer is taken only for what isn't ASCII."""
+    rows = [("S1-1", "Étoile dba Straße Corp", "Große Allee 5, Île-de-France", "FR"), ("S1-2", "Hot Ring dba Øl", "5 Large Street, Suite 7", "US"), ("S1-3", None, None, "US")]
+    found = prepared(spark.createDataFrame(rows, SCHEMA))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("['’‘`´]") == 3
+    got = [(r["n_core"], r["n_alt"], r["a_norm"], r["a_state"]) for r in found.orderBy("entity_id").collect()]
+    assert got == [("etoile strasse", "strasse", "grosse allee 5", "fr_idf"), ("hot ring ol", "ol", "5 large st ste 7", ""), ("", "", "", "")]
+
+
 def test_prefix_of_a_query(spark):
     """Impacts 0.5, 0.3, 0.1 of names and 0.4 of an address: what may be left out follows from the floors."""
     rows = [(1, "n", 11, 0.8, 0.625), (1, "n", 12, 0.5, 0.6), (1, "n", 13, 0.33, 0.303), (1, "a", 14, 1.0, 0.4)]
