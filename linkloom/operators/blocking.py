@@ -8,13 +8,13 @@ Spark knows their size: few go to all rows, which then move nowhere to be droppe
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import char_ngrams, words_of
-from linkloom.sources.shared import spool
+from linkloom.sources.shared import spool, unsent
 
 Keys = Callable[[], Column]
 
@@ -152,7 +152,7 @@ def met(source_keys: DataFrame, target_keys: DataFrame, names: list[str], max_po
     left = source_keys.join(crowded, "key", "left_anti").select(F.col("entity_id").alias("s1_id"), "key")
     rare = target_keys.join(crowded, "key", "left_anti").select("key", strategy_bits(names).alias("bits"), "entity_id")
     lists = rare.repartition("key").groupBy("key", "bits").agg(F.collect_list("entity_id").alias("cand_ids"))
-    return pairs_of(left.join(lists, "key"), parts)
+    return pairs_of(left.join(unsent(lists), "key"), parts)
 
 
 def pairs_of(lists: DataFrame, parts: int | None = None) -> DataFrame:
@@ -190,7 +190,7 @@ class Blocks:
     def met(self) -> DataFrame:
         """Members with each of the candidates they share, which moves neither pairs nor lists to single records."""
         members, shared = self.dealt()
-        met = members.drop("own").join(shared, ["class", "chunk"])
+        met = members.drop("own").join(unsent(shared), ["class", "chunk"])
         return met.where((F.col("place") <= F.col("cut")) & ~F.array_contains("own_ids", F.col("cand_id"))).drop("cut", "own_ids", "place")
 
     def own(self) -> DataFrame:
@@ -199,13 +199,13 @@ class Blocks:
 
     def holding(self, pairs: DataFrame) -> DataFrame:
         """Those of the given pairs (s1_id, cand_id) that are among these."""
-        met = pairs.select("s1_id", "cand_id").join(self.members, "s1_id").join(self.shared.select("class", "cand_id", "place"), ["class", "cand_id"], "left")
+        met = pairs.select("s1_id", "cand_id").join(unsent(self.members), "s1_id").join(unsent(self.shared.select("class", "cand_id", "place")), ["class", "cand_id"], "left")
         shared = (F.col("place") <= F.col("cut")) & ~F.array_contains("own_ids", F.col("cand_id"))
         return met.where(F.coalesce(shared, F.lit(False)) | F.exists("own", lambda o: o["cand_id"] == F.col("cand_id"))).select("s1_id", "cand_id")
 
     def counts(self) -> DataFrame:
         """(s1_id, n): how many candidates each member has; those that it shares are counted by their places."""
-        left_out = self.members.select("s1_id", "class", "cut", F.explode("own_ids").alias("cand_id")).join(self.shared.select("class", "cand_id", "place"), ["class", "cand_id"])
+        left_out = self.members.select("s1_id", "class", "cut", F.explode("own_ids").alias("cand_id")).join(unsent(self.shared.select("class", "cand_id", "place")), ["class", "cand_id"])
         less = left_out.where(F.col("place") <= F.col("cut")).groupBy("s1_id").agg(F.count("*").alias("less"))
         most = self.shared.groupBy("class").agg(F.count("*").alias("most"))
         met = self.members.select("s1_id", "class", "cut", F.size("own").alias("own")).join(most, "class", "left").join(less, "s1_id", "left")
@@ -216,7 +216,7 @@ class Blocks:
         """(s1_id, candidates): each member's candidates, sorted."""
         members, shared = self.dealt()
         ids = shared.groupBy("class", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "cand_id"))), lambda c: c["cand_id"]).alias("ids"))
-        met = members.join(ids, ["class", "chunk"], "left")
+        met = members.join(unsent(ids), ["class", "chunk"], "left")
         first = F.slice(F.coalesce("ids", F.array().cast(met.schema["ids"].dataType)), F.lit(1), F.col("cut"))
         both = F.concat(F.array_except(first, F.col("own_ids")), F.transform("own", lambda o: o["cand_id"]))
         return met.select("s1_id", F.array_sort(both).alias("candidates"))
@@ -237,23 +237,23 @@ def blocks_of(source_keys: DataFrame, target_keys: DataFrame, names: list[str],
     lists = spool(rare.groupBy("key").agg(F.collect_list("one").alias("found")).withColumns({"number": F.monotonically_increasing_id(), "is_long": F.size("found") > FEW}), "lists")
     left = source_keys.join(crowded, "key", "left_anti").select(F.col("entity_id").alias("s1_id"), "key")
     led = lists.select("key", F.when(F.col("is_long"), F.col("number")).alias("long"), F.when(~F.col("is_long"), F.col("found")).alias("found"))
-    one = left.join(led, "key").select("s1_id", "long", F.explode_outer("found").alias("one")).select("s1_id", "long", "one.cand_id", "one.bits").repartition(parts, "s1_id")
+    one = left.join(unsent(led), "key").select("s1_id", "long", F.explode_outer("found").alias("one")).select("s1_id", "long", "one.cand_id", "one.bits").repartition(parts, "s1_id")
     mine = one.groupBy("s1_id", "cand_id", "long").agg(F.bit_or("bits").alias("bits"))
     led_to = F.collect_list(F.when(F.col("cand_id").isNotNull(), F.struct("cand_id", "bits")))
     records = spool(mine.groupBy("s1_id").agg(F.array_sort(F.collect_list("long")).alias("longs"), led_to.alias("own")), "records")
     classes = spool(records.groupBy("longs").agg(F.ceil(F.count("*") / SOURCE_ROWS).alias("chunks")).withColumn("class", F.monotonically_increasing_id()), "classes")
-    listed = classes.select("class", "chunks", F.explode("longs").alias("number")).join(lists.where("is_long").select("number", "found"), "number")
+    listed = classes.select("class", "chunks", F.explode("longs").alias("number")).join(unsent(lists.where("is_long").select("number", "found")), "number")
     joint = listed.select("class", "chunks", F.explode("found").alias("one")).groupBy("class", "chunks", "one.cand_id").agg(F.bit_or("one.bits").alias("bits"))
     place = F.row_number().over(Window.partitionBy("class").orderBy(F.bit_count("bits").desc(), "cand_id"))
     shared = spool(joint.withColumn("place", place), "shared")
     chunk = F.pmod(F.xxhash64("s1_id"), F.col("chunks")).alias("chunk")
     members = records.join(classes, "longs").select("s1_id", "class", chunk, "own")
     # What a record's own candidates also share with it through long lists counts for them.
-    apart = members.select("s1_id", "class", F.explode("own").alias("o")).select("s1_id", "class", "o.*").join(shared.select("class", "cand_id", F.col("bits").alias("_bits")), ["class", "cand_id"], "left")
+    apart = members.select("s1_id", "class", F.explode("own").alias("o")).select("s1_id", "class", "o.*").join(unsent(shared.select("class", "cand_id", F.col("bits").alias("_bits"))), ["class", "cand_id"], "left")
     bits = F.col("bits").bitwiseOR(F.coalesce("_bits", F.lit(0).cast("long")))
     ranked = F.struct((-F.bit_count("bits")).alias("fewer"), "cand_id", F.lit(0).alias("place"), "bits")
     own = apart.withColumn("bits", bits).repartition(parts, "s1_id").groupBy("s1_id").agg(F.array_sort(F.collect_list(ranked)).alias("own"))
-    members = members.drop("own").join(own, "s1_id", "left").withColumn("own_ids", F.transform("own", lambda o: o["cand_id"]))
+    members = members.drop("own").join(unsent(own), "s1_id", "left").withColumn("own_ids", F.transform("own", lambda o: o["cand_id"]))
     if most is None:
         members = members.withColumn("cut", F.lit(2**31 - 1))
     else:
@@ -270,7 +270,7 @@ def _cut(members: DataFrame, shared: DataFrame, most: int, parts: int) -> DataFr
     in_order = F.array_sort(F.collect_list(F.struct((-F.bit_count("bits")).alias("fewer"), "cand_id", "place", F.lit(None).cast("long").alias("bits"))))
     tops = shared.where(F.col("place") <= most).groupBy("class", "chunks").agg(in_order.alias("top"))
     tops = tops.select("class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "top").repartition(parts, "class", "chunk")
-    met = members.repartition(parts, "class", "chunk").join(tops, ["class", "chunk"], "left")
+    met = members.repartition(parts, "class", "chunk").join(unsent(tops), ["class", "chunk"], "left")
     others = F.filter("top", lambda t: ~F.array_contains("own_ids", t["cand_id"]))
     both = F.slice(F.array_sort(F.concat(F.coalesce(others, F.array().cast(met.schema["top"].dataType)), "own")), 1, most)
     merged = F.when(F.col("own").isNotNull(), both)
@@ -302,8 +302,12 @@ def capped(pairs: DataFrame, most: int = 150) -> DataFrame:
 def generate_candidates(s1: DataFrame, s2: DataFrame, s3: DataFrame, most: int = 150, max_postings: int = 500) -> DataFrame:
     """Every s1_id with an array of candidates from both targets; those without any have an empty one. Inputs are normalised."""
     s1 = spool(s1, "normalized")
-    lists = rule_blocks(s1, s2.unionByName(s3), max_postings, most).lists()
-    return s1.select(F.col("entity_id").alias("s1_id")).join(lists, "s1_id", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
+    blocks = rule_blocks(s1, s2.unionByName(s3), max_postings, most)
+    # Members are joined before they meet their lists, so that these don't move again; those of no class are dealt by their ids.
+    every = s1.select(F.col("entity_id").alias("s1_id")).join(unsent(blocks.members), "s1_id", "left")
+    chunk = F.coalesce("chunk", F.pmod(F.xxhash64("s1_id"), F.lit(blocks.parts)))
+    lists = replace(blocks, members=every.withColumn("chunk", chunk)).lists()
+    return lists.withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
 
 
 # The fast set: nine classes of keys, each with its own cap.

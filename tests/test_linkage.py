@@ -500,3 +500,19 @@ def test_pairs_of_a_class_move_nowhere(spark):
     truth = spark.createDataFrame([(f"S1-{i}", [f"S2-{i}"] if i < 60 else []) for i in range(201)], "s1_id string, ids array<string>")
     lists = blocks.pairs().groupBy("s1_id").agg(F.collect_list("cand_id").alias("ids"))
     assert evaluation.evaluate_blocks(truth, blocks, 40).collect() == evaluation.evaluate_blocking(truth, lists, 40).collect()
+
+
+def test_lists_never_pass_the_driver(spark, monkeypatch):
+    """What grows with the input is merged, not sent: Spark takes written lists for much smaller than they are. Only crowded keys and classes may go to all."""
+    plans, spool = [], blocking.spool
+    monkeypatch.setattr(blocking, "spool", lambda df, name, *more: plans.append(plan_of(df)) or spool(df, name, *more))
+    s1 = records(spark, [*S1, ("S1-003", "", "", ""), ("S1-003", "", "", "")])
+    lists = blocking.generate_candidates(s1, records(spark, S2), records(spark, S3))
+    blocks = blocking.rule_blocks(s1, spool_of(records(spark, S2 + S3)), most=2)
+    asked = spark.createDataFrame([("S1-001", "S2-001")], "s1_id string, cand_id string")
+    made = [lists, blocks.met(), blocks.lists(), blocks.holding(asked)]
+    sent = [line for plan in [*plans, *map(plan_of, made)] for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert sent and all("LeftAnti" in line or "[longs" in line for line in sent), sent
+    # Rows without any candidate stay, each once.
+    got = [(r["s1_id"], r["candidates"]) for r in lists.collect()]
+    assert sorted(s for s, _ in got) == ["S1-001", "S1-002", "S1-003", "S1-003"] and [c for s, c in got if s == "S1-003"] == [[], []]
