@@ -516,3 +516,21 @@ def test_lists_never_pass_the_driver(spark, monkeypatch):
     # Rows without any candidate stay, each once.
     got = [(r["s1_id"], r["candidates"]) for r in lists.collect()]
     assert sorted(s for s, _ in got) == ["S1-001", "S1-002", "S1-003", "S1-003"] and [c for s, c in got if s == "S1-003"] == [[], []]
+
+
+def test_two_stages_send_no_records_to_all(spark, monkeypatch):
+    """Terms, lists and pairs of both stages are merged, as the written records they come from look much smaller than they are. Only crowded terms and countries' sizes may go to all."""
+    plans, spool = [], tfidf.spool
+    for module in (tfidf, flows):
+        monkeypatch.setattr(module, "spool", lambda df, name, *more: plans.append(plan_of(df)) or spool(df, name, *more))
+    queries, parents = _tfidf_sides(spark, 40)
+    queries, parents = spool_of(queries), spool_of(parents)
+    found = tfidf.similarity_join(queries, parents, ["src", "q_id"])
+    by_prefix = tfidf.similarity_join(queries, parents, ["src", "q_id"], few_tiles=0)
+    cands = spool_of(found.withColumn("p1", F.col("score")))
+    pairs_found = [tfidf.pair_cosines(cands.select("src", "q_id", "s1_id"), queries, parents, ["src", "q_id"]), flows.featured(cands.select("src", "q_id", "s1_id", "ncos", "acos"), queries, parents)]
+    pairs_found += [siblings.expand(cands, queries), siblings.sibling_features(cands, queries)]
+    every = "\n".join([*plans, *map(plan_of, [found, by_prefix, *pairs_found])])
+    sent = [line for line in every.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    small = lambda line: "LeftAnti" in line and "term" in line or line.split("BroadcastHashJoin ")[-1].startswith("[country#") and line.count("[") == 2 and "term" not in line
+    assert all(map(small, sent)), [line for line in sent if not small(line)]
